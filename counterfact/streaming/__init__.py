@@ -1,0 +1,5 @@
+"""No stream source, window or state is part of the feature set, so this package is empty.
+
+The row-wise functions in ``counterfact.functions`` and the line operators built from them hold no
+action, so they also accept a streaming DataFrame (checked in ``tests/test_streaming.py``).
+"""
