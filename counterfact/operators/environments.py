@@ -123,10 +123,13 @@ def env_names(env_lines: DataFrame) -> list[str]:
     return sorted(row.env for row in rows)
 
 
-def env_sizes(env_lines: DataFrame) -> DataFrame:
-    """Examples per environment, with the smallest non-empty size and the number of environments."""
+def env_sizes(env_lines: DataFrame, envs: Sequence[str] = ()) -> DataFrame:
+    """Examples per environment; named environments without examples get 0."""
     sizes = env_lines.groupBy("env").agg(F.count(F.lit(1)).alias("n"))
-    return sizes
+    if not envs:
+        return sizes
+    names = F.broadcast(env_lines.sparkSession.createDataFrame([(e,) for e in envs], "env string"))
+    return names.join(sizes, "env", "left").select("env", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def size_summary(sizes: DataFrame) -> DataFrame:
