@@ -75,7 +75,7 @@ def shuffled_batches(
     examples: DataFrame,
     seed: int,
     n_rows: int,
-    epochs: Sequence[int] = (0,),
+    epochs: int = 1,
     batch_size: int = fixed.BATCH_SIZE,
     batches_needed: int | None = None,
 ) -> DataFrame:
@@ -83,7 +83,7 @@ def shuffled_batches(
 
     ``batches_needed`` keeps the first batches only; the rows of later ones are not sorted.
     """
-    keyed = examples.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in epochs]))).withColumn(
+    keyed = examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn(
         "_digest", digest(seed, F.col("epoch"), F.col("env"), F.col("doc_id"), F.col("line_no"))
     )
     below = None if batches_needed is None else batches_needed * batch_size
@@ -118,7 +118,7 @@ def round_robin_schedule(
     envs = sorted(row.env for row in counted)
     per_epoch = min(plan.rounds, -(-plan.max_steps // len(envs)))
     batches = shuffled_batches(
-        examples, seed, sum(r.n for r in counted), range(plan.epochs), batch_size, per_epoch
+        examples, seed, sum(r.n for r in counted), plan.epochs, batch_size, per_epoch
     )
     position = F.array_position(F.array(*[F.lit(e) for e in envs]), F.col("env"))
     step = (F.col("epoch") * plan.rounds + F.col("batch_no")) * len(envs) + position
@@ -138,7 +138,7 @@ def pooled_schedule(
     plan = plan_row(pooled_plan(sizes, batch_size, accumulation, nb_steps, num_epochs))
     epochs = min(plan.epochs, -(-plan.max_steps // plan.n_batches))
     needed = min(plan.n_batches, plan.max_steps)
-    batches = shuffled_batches(examples, seed, plan.n_examples, range(epochs), batch_size, needed)
+    batches = shuffled_batches(examples, seed, plan.n_examples, epochs, batch_size, needed)
     step = F.col("epoch") * plan.n_batches + F.col("batch_no") + 1
     return step_limit(batches.withColumn("step", step), plan.max_steps)
 

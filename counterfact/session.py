@@ -14,6 +14,7 @@ def get_session(app_name: str = "counterfact", cores: str | None = None) -> Spar
         SparkSession.builder.appName(app_name)
         .master(f"local[{cores}]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
