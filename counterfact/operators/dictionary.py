@@ -33,7 +33,7 @@ class TermDictionary:
     @classmethod
     def from_text(cls, lines: str) -> "TermDictionary":
         """Dictionary from text with one pair a line."""
-        return cls(tuple(line.split()) for line in lines.strip().splitlines())
+        return cls(tuple(line.split()) for line in lines.splitlines() if line.strip())
 
     @classmethod
     def gendered(cls) -> "TermDictionary":
