@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,21 +92,24 @@ def nonempty_eval_scan(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(_env_of_path().alias("split"), F.col("value").alias("line"))
 
 
-def skipped_eval_files(spark: SparkSession, folder: str, wanted: list[str] = ()) -> DataFrame:
-    """Report ``(split, reason)`` of validation files that are empty, or wanted and missing."""
-    listing = (
+def skipped_eval_files(spark: SparkSession, folder: str, wanted: Sequence[str] = ()) -> DataFrame:
+    """Report ``(split, reason)`` of validation files that are empty, or wanted and missing.
+
+    A scan skips files without bytes, so the names come from the file listing of the source.
+    """
+    glob = f"{folder.rstrip('/')}/*.txt"
+    listed = {m.group(1) for m in (re.search(_ENV_IN_PATH, f) for f in spark.read.text(glob).inputFiles()) if m}
+    names = spark.createDataFrame(
+        [(n, "empty" if n in listed else "missing") for n in sorted(listed | set(wanted))],
+        "split string, reason string",
+    )
+    filled = (
         spark.read.format("binaryFile")
-        .load(f"{folder.rstrip('/')}/*.txt")
-        .select(F.regexp_extract("path", _ENV_IN_PATH, 1).alias("split"), "length")
-        .groupBy("split")
-        .agg(F.sum("length").alias("length"))
+        .load(glob)
+        .select(F.regexp_extract("path", _ENV_IN_PATH, 1).alias("split"))
+        .distinct()
     )
-    empty = listing.where(F.col("length") == 0).select("split", F.lit("empty").alias("reason"))
-    if not wanted:
-        return empty
-    names = spark.createDataFrame([(n,) for n in wanted], "split string")
-    missing = names.join(listing, "split", "left_anti").select("split", F.lit("missing").alias("reason"))
-    return empty.unionByName(missing)
+    return names.join(filled, "split", "left_anti")
 
 
 def test_lines_scan(lines: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ items AS (SELECT doc_id, line_no, target, opposite,
 
 EVENTS = f"""log AS (
   SELECT user_id AS run, CAST(event_id // {LOG_RUNS_EPOCH} AS BIGINT) AS epoch, CAST(event_id // 5 AS BIGINT) AS round,
-         event_id AS step, event_type AS env, value AS loss FROM events)"""
+         event_id AS step, event_type AS env, ln(1 + value) AS loss FROM events)"""
 
 
 def _grid_model(which: Grid) -> str:
@@ -154,7 +154,7 @@ logits AS (
   JOIN vocab v ON v.seed = w.seed AND v.p = w.p
   LEFT JOIN cnt c ON c.seed = w.seed AND c.p = w.p AND c.env = e.env AND c.ctx = w.ctx AND c.word = w.word
   LEFT JOIN tot t ON t.seed = w.seed AND t.p = w.p AND t.env = e.env AND t.ctx = w.ctx
-  GROUP BY ALL),
+  GROUP BY w.seed, w.p, a.alpha, w.ctx, w.word),
 z AS (
   SELECT seed, p, alpha, ctx,
          coalesce(sum(exp(logit)) FILTER (is_seen), 0) + (any_value(v) - count(*) FILTER (is_seen)) * exp(any_value(unseen)) AS z
@@ -208,27 +208,27 @@ ORACLES["text_column_pick"] = """
 SELECT 'content' AS picked, text FROM documents UNION ALL SELECT 'first', text FROM benchmark"""
 _SPLIT_ROWS = "\nUNION ALL ".join(
     f"""SELECT {s} AS seed, {p}::DOUBLE AS p_env_a, CASE WHEN {_draw(s, 'doc_id', 'line_no')} < {p}::DOUBLE THEN '{A}' ELSE '{B}' END AS env,
-  CASE WHEN {_draw(s, 'doc_id', 'line_no')} < {p}::DOUBLE THEN line ELSE other END AS line FROM both"""
+  CASE WHEN {_draw(s, 'doc_id', 'line_no')} < {p}::DOUBLE THEN line ELSE other END AS line FROM two_forms"""
     for s, p in FULL.cells
 )
 ORACLES["write_splits"] = _with(
-    DOCS, f"both AS MATERIALIZED (SELECT doc_id, line_no, line, {_swap('line', FREQUENT)} AS other FROM docs)"
+    DOCS, f"two_forms AS MATERIALIZED (SELECT doc_id, line_no, line, {_swap('line', FREQUENT)} AS other FROM docs)"
 ) + f"""SELECT seed, p_env_a, env, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars
 FROM ({_SPLIT_ROWS}) GROUP BY ALL"""
 ORACLES["write_scores"] = _line_bias(SMALL) + """
 SELECT seed, p AS p_env_a, alpha, method, doc_id, line_no, round(bias, 6) AS bias FROM scores"""
 _RUNNING = "avg(loss) OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING)"
 ORACLES["write_training_log"] = _with(EVENTS) + f"""
-SELECT run, epoch, step AS global_step, round(train_loss, 4) AS train_loss, round(loss / 50, 4) AS val_loss,
-  round(exp(loss / 50), 4) AS perplexity
+SELECT run, epoch, step AS global_step, round(train_loss, 4) AS train_loss, round(loss, 4) AS val_loss,
+  round(exp(loss), 4) AS perplexity
 FROM (SELECT *, {_RUNNING} AS train_loss FROM log) WHERE step % {fixed.LOG_INTERVAL} = 0"""
 ORACLES["write_loss_history"] = _with(EVENTS) + "SELECT epoch AS \"Epoch\", " + ", ".join(
     f"round(avg(loss) FILTER (env = '{e}'), 6) AS {e}" for e in ("click", "error", "purchase", "signup", "view")
 ) + " FROM log GROUP BY epoch"
 ORACLES["write_eval_results"] = _with(EVENTS, """
-result AS (SELECT avg(m) AS l FROM (SELECT epoch, avg(loss / 50) AS m FROM log GROUP BY epoch))""") + """
+result AS (SELECT avg(m) AS l FROM (SELECT epoch, avg(loss) AS m FROM log GROUP BY epoch))""") + """
 SELECT 'eval_loss' AS key, round(l, 6) AS value FROM result
-UNION ALL SELECT 'perplexity', round(CASE WHEN round(l, 6) < 100 THEN exp(round(l, 6)) ELSE 'inf'::DOUBLE END, 6) FROM result"""
+UNION ALL SELECT 'perplexity', round(CASE WHEN l < 100 THEN exp(l) ELSE 'inf'::DOUBLE END, 6) FROM result"""
 
 # --- projections, filters, scalar functions -------------------------------------------------------
 
@@ -294,8 +294,8 @@ SELECT name, n, CAST(s AS INTEGER) AS seed, CAST({_DOT.format('pd')} AS DOUBLE)
   method, CAST('0.' || pd AS DOUBLE) AS compat_p,
   CASE WHEN NOT rated THEN 1e-5::DOUBLE ELSE CAST(base || CASE WHEN ex = '' THEN '' ELSE 'e' || ex END AS DOUBLE) END AS compat_lr
 FROM parts"""
-ORACLES["perplexity"] = _with(EVENTS) + "SELECT step, round(exp(loss / 50), 6) AS perplexity, loss >= 100 AS guarded FROM log"
-ORACLES["round4"] = _with(EVENTS) + "SELECT step, round(loss / 7, 4) AS rounded, printf('%.4f', loss / 7) AS shown FROM log"
+ORACLES["perplexity"] = _with(EVENTS) + "SELECT step, round(exp(loss), 6) AS perplexity, loss * 20 >= 100 AS guarded FROM log"
+ORACLES["round4"] = _with(EVENTS) + "SELECT step, round(loss, 4) AS rounded, printf('%.4f', loss) AS shown FROM log"
 ORACLES["seq_len_cap"] = """
 SELECT doc_id, CAST(CASE WHEN lang = 'en' THEN least(n_chars, 1000000) WHEN lang = 'fr' THEN 512 ELSE 1024 END AS BIGINT) AS block_length
 FROM documents"""
@@ -334,7 +334,7 @@ _STEPS = fixed.STEPS_PER_RUN
 _PER_ROUND = fixed.BATCH_SIZE * fixed.ACCUMULATION
 _PLAN = _ENV_SIZES.rstrip() + f""",
 ilm AS (SELECT CAST(min(n) // {_PER_ROUND} AS BIGINT) AS rounds, CAST(min(n) // {_PER_ROUND} * count(*) AS BIGINT) AS spe, count(*) AS n_env FROM sizes),
-elm AS (SELECT CAST(ceil(sum(n) / {fixed.BATCH_SIZE}) AS BIGINT) AS rounds, CAST(ceil(sum(n) / {fixed.BATCH_SIZE}) // {fixed.ACCUMULATION} AS BIGINT) AS spe FROM sizes)"""
+elm AS (SELECT CAST(ceil(sum(n) / {fixed.BATCH_SIZE}) AS BIGINT) AS rounds, CAST(ceil(sum(n) / {fixed.BATCH_SIZE}) AS BIGINT) // {fixed.ACCUMULATION} AS spe FROM sizes)"""
 ORACLES["round_plan"] = _PLAN + "\nUNION ALL ".join(
     f"""
 SELECT '{m}' AS method, rounds, spe AS steps_per_epoch, CAST(greatest(1, ceil({_STEPS} / spe)) AS BIGINT) AS epochs, CAST({_STEPS} AS BIGINT) AS max_steps FROM {t}"""
@@ -366,7 +366,7 @@ ORACLES["loss_by_step_interval"] = _with(EVENTS) + f"SELECT * FROM ({_RUN_LOSS})
 ORACLES["best_checkpoint"] = _with(EVENTS, """
 better AS (SELECT * FROM (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
   FROM log) WHERE earlier IS NULL OR loss < earlier)""") + """
-SELECT run, step, loss, step = max(step) OVER (PARTITION BY run) AS is_best FROM better"""
+SELECT run, step, round(loss, 6) AS loss, step = max(step) OVER (PARTITION BY run) AS is_best FROM better"""
 _SPECIAL = ", ".join(f"({_text(t)}, 0, {i})" for i, t in enumerate(fixed.SPECIAL_TOKENS))
 _N_SPECIAL = len(fixed.SPECIAL_TOKENS)
 ORACLES["build_vocab"] = _with(DOCS, _TOKENS) + f"""
@@ -462,7 +462,7 @@ SELECT 'iLM' AS method, epoch, step FROM ({ORACLES['round_robin_schedule']}) WHE
 UNION ALL SELECT 'eLM', epoch, step FROM ({ORACLES['pooled_schedule']}) WHERE step % {fixed.LOG_INTERVAL} = 0 GROUP BY ALL"""
 ORACLES["checkpoint_steps"] = f"""
 SELECT DISTINCT epoch, step FROM ({ORACLES['round_robin_schedule']}) WHERE step % {CHECKPOINT_EVERY} = 0"""
-ORACLES["step_limit"] = _with(EVENTS) + f"SELECT run, step, env, loss FROM log WHERE step <= {_STEPS}"
+ORACLES["step_limit"] = _with(EVENTS) + f"SELECT run, step, env, round(loss, 6) AS loss FROM log WHERE step <= {_STEPS}"
 
 # --- sets -----------------------------------------------------------------------------------------
 

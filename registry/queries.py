@@ -56,7 +56,7 @@ def _env_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    """Step log: user as run, event type as environment, event number as step, value as loss."""
+    """Step log: user as run, event type as environment, event number as step, logarithm of the value as loss."""
     events = spread(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value"))
     return events.select(
         F.col("user_id").alias("run"),
@@ -64,7 +64,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
         F.floor(F.col("event_id") / 5).cast("bigint").alias("round"),
         F.col("event_id").alias("step"),
         F.col("event_type").alias("env"),
-        F.col("value").alias("loss"),
+        F.log(1 + F.col("value")).alias("loss"),
     )
 
 
@@ -210,7 +210,7 @@ def write_scores(spark: SparkSession, d: str) -> DataFrame:
 def write_training_log(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark, "training_log")
     log = _events(spark, d)
-    val_loss = log.select("run", F.col("step").alias("global_step"), (F.col("loss") / 50).alias("val_loss"))
+    val_loss = log.select("run", F.col("step").alias("global_step"), F.col("loss").alias("val_loss"))
     writers.write_training_log(runlog.training_log(log, val_loss), folder)
     return (
         spark.read.option("header", True)
@@ -233,7 +233,7 @@ def write_loss_history(spark: SparkSession, d: str) -> DataFrame:
 @query
 def write_eval_results(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark, "eval_results")
-    log = _events(spark, d).select(F.col("epoch").alias("batch"), (F.col("loss") / 50).alias("loss"))
+    log = _events(spark, d).select(F.col("epoch").alias("batch"), "loss")
     result = runlog.batch_mean_loss(log).select(
         F.round("eval_loss", 6).alias("eval_loss"),
         F.round(measures.perplexity(F.col("eval_loss")), 6).alias("perplexity"),
@@ -388,14 +388,14 @@ def perplexity(spark: SparkSession, d: str) -> DataFrame:
     log = _events(spark, d)
     return log.select(
         "step",
-        F.round(measures.perplexity(F.col("loss") / 50), 6).alias("perplexity"),
-        (measures.perplexity(F.col("loss")) == float("inf")).alias("guarded"),
+        F.round(measures.perplexity(F.col("loss")), 6).alias("perplexity"),
+        (measures.perplexity(F.col("loss") * 20) == float("inf")).alias("guarded"),
     )
 
 
 @query
 def round4(spark: SparkSession, d: str) -> DataFrame:
-    shown = F.col("loss") / 7
+    shown = F.col("loss")
     return _events(spark, d).select("step", measures.round4(shown).alias("rounded"), measures.format4(shown).alias("shown"))
 
 
@@ -569,7 +569,7 @@ def best_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     best = runlog.best_checkpoint(log).select("run", "step", F.lit(True).alias("is_best"))
     better = runlog.improvements(log).select("run", "step", "loss")
     return better.join(best, ["run", "step"], "left").select(
-        "run", "step", "loss", F.coalesce("is_best", F.lit(False)).alias("is_best")
+        "run", "step", _r("loss"), F.coalesce("is_best", F.lit(False)).alias("is_best")
     )
 
 
@@ -718,7 +718,7 @@ def checkpoint_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def step_limit(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.step_limit(_events(spark, d), fixed.STEPS_PER_RUN).select("run", "step", "env", "loss")
+    return schedule.step_limit(_events(spark, d), fixed.STEPS_PER_RUN).select("run", "step", "env", _r("loss"))
 
 
 # --- sets -----------------------------------------------------------------------------------------
