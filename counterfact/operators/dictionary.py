@@ -79,7 +79,7 @@ class TermDictionary:
 
     def has_token(self, line: Column) -> Column:
         """Whether swapping changes a token of the line."""
-        return F.exists(text.blank_tokens(line), lambda token: self.contains(F.lower(token)))
+        return F.arrays_overlap(text.blank_tokens(F.lower(line)), F.array(*[F.lit(t) for t in self.terms]))
 
     def hits(self, word_array: Column) -> Column:
         """Terms among the words, repetitions kept."""

@@ -2,13 +2,14 @@
 
 Draws do not depend on p, so a line is in environment A of a cell where its draw is below p and
 otherwise, swapped, in environment B. The words are not fanned out over the cells: every
-``(ctx, word)`` is counted once, with two conditional sums per cell.
+``(ctx, word)`` is counted once, with two conditional sums per cell. Rows per seed are made from the
+counts, after they have been cut down to what is asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,9 @@ from counterfact.operators.environments import line_draw
 from counterfact.plans import cloze
 from counterfact.staging import stage
 
-# Cells per bit mask column.
-_MASK_BITS = 60
-# Settings become columns of the plan, so their number is bounded.
-MAX_CELLS = 400
+# Cells become columns, so their number is bounded.
+MAX_CELLS = 60
+_CELL_COLUMNS = ("seed", "p_text", "p_env_a", "alpha_text", "alpha", "method")
 
 
 @dataclass(frozen=True)
@@ -35,28 +35,24 @@ class Grid:
     p_values: Sequence[str] = fixed.P_ENV_A
     alphas: Sequence[str] = fixed.ALPHAS
     methods: Sequence[str] = fixed.METHODS
-    cells: list[tuple[int, str]] = field(init=False)
 
     def __post_init__(self) -> None:
-        cells = [(s, p) for s in self.seeds for p in self.p_values]
-        if not cells or len(cells) > MAX_CELLS:
-            raise ValueError(f"a grid needs 1 to {MAX_CELLS} cells")
+        if not 0 < len(self.cells) <= MAX_CELLS or not self.alphas or not self.methods:
+            raise ValueError(f"a grid needs 1 to {MAX_CELLS} cells, a smoothing value and a method")
         unknown = set(self.methods) - set(fixed.METHODS)
         if unknown:
             raise ValueError(f"unknown methods: {sorted(unknown)}")
-        object.__setattr__(self, "cells", cells)
 
-    def cell_literal(self) -> Column:
-        """Array of the cells, for ``explode``."""
+    @property
+    def cells(self) -> list[tuple[int, str]]:
+        return [(s, p) for s in self.seeds for p in self.p_values]
+
+    def p_literal(self) -> Column:
+        """Array of the values of p, for ``explode``."""
         return F.array(
             *[
-                F.struct(
-                    F.lit(i).alias("cell"),
-                    F.lit(s).alias("seed"),
-                    F.lit(p).alias("p_text"),
-                    F.lit(float(p)).alias("p_env_a"),
-                )
-                for i, (s, p) in enumerate(self.cells)
+                F.struct(F.lit(j).alias("j"), F.lit(p).alias("p_text"), F.lit(float(p)).alias("p_env_a"))
+                for j, p in enumerate(self.p_values)
             ]
         )
 
@@ -72,7 +68,8 @@ class Grid:
 
 @dataclass(frozen=True)
 class GridModel:
-    """Estimators of all cells: a table ``(ctx, word, a0, b0, a1, b1, ...)`` of counts."""
+    """Estimators of all cells: a table ``(ctx, word, a0_0, b0_0, a0_1, b0_1, ...)`` of counts, the
+    columns numbered by seed and p."""
 
     grid: Grid
     dictionary: TermDictionary
@@ -80,83 +77,93 @@ class GridModel:
     context: str = "left"
 
     def vocab_sizes(self) -> DataFrame:
-        """Vocabulary size per cell; the words of all cells are found in one aggregation."""
-        n_cells = len(self.grid.cells)
-        chunks = [range(i, min(i + _MASK_BITS, n_cells)) for i in range(0, n_cells, _MASK_BITS)]
-        masks = []
-        for m, chunk in enumerate(chunks):
-            bits = [
-                F.when(F.col(f"a{c}") + F.col(f"b{c}") > 0, F.lit(1 << (c - chunk[0]))).otherwise(F.lit(0))
-                for c in chunk
-            ]
-            masks.append(F.bit_or(sum(bits[1:], bits[0]).cast("bigint")).alias(f"m{m}"))
+        """Vocabulary size per seed and p. A bit per p marks the words of a cell, so one aggregation
+        over the words serves all cells."""
+        js = range(len(self.grid.p_values))
+        rows = []
+        for i, seed in enumerate(self.grid.seeds):
+            mask = F.lit(0).cast("bigint")
+            for j in js:
+                used = F.col(f"a{i}_{j}") + F.col(f"b{i}_{j}") > 0
+                mask = mask.bitwiseOR(F.when(used, F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint"))
+            rows.append(F.struct(F.lit(seed).alias("seed"), mask.alias("mask")))
         unlisted = self.counts.where(~self.dictionary.contains(F.col("word")))
-        present = unlisted.groupBy("word").agg(*masks)
-        sums = [
-            F.sum(F.shiftright(F.col(f"m{m}"), c - chunk[0]).bitwiseAND(F.lit(1))).alias(f"v{c}")
-            for m, chunk in enumerate(chunks)
-            for c in chunk
-        ]
+        marked = unlisted.select("word", F.inline(F.array(*rows)))
+        present = marked.groupBy("seed", "word").agg(F.bit_or("mask").alias("mask"))
+        sums = [F.sum(F.shiftright("mask", j).bitwiseAND(F.lit(1))).alias(f"v{j}") for j in js]
         extra = len(self.dictionary) + 1
-        rows = [
-            F.struct(F.lit(c).alias("cell"), (F.coalesce(F.col(f"v{c}"), F.lit(0)) + extra).alias("vocab_size"))
-            for c in range(n_cells)
-        ]
-        return present.agg(*sums).select(F.inline(F.array(*rows)))
+        sizes = [F.struct(F.lit(j).alias("j"), (F.col(f"v{j}") + extra).alias("vocab_size")) for j in js]
+        return present.groupBy("seed").agg(*sums).select("seed", F.inline(F.array(*sizes)))
+
+    def seed_counts(self, counts: DataFrame) -> DataFrame:
+        """Rows ``(seed, ctx, word, a0, b0, a1, b1, ...)`` of counts."""
+        rows = []
+        for i, seed in enumerate(self.grid.seeds):
+            columns = [
+                F.col(f"{side}{i}_{j}").alias(f"{side}{j}") for j in range(len(self.grid.p_values)) for side in "ab"
+            ]
+            rows.append(F.struct(F.lit(seed).alias("seed"), *columns))
+        return counts.select("ctx", "word", F.inline(F.array(*rows)))
 
     def context_totals(self, contexts: DataFrame) -> DataFrame:
-        """Per context: arrays over the cells with the number of words, of distinct words, and the
+        """Per seed and context: arrays over p with the number of words, of distinct words, and the
         sum of the geometric means of the smoothed counts, the last for every smoothing value."""
-        here = self.counts.join(contexts.select("ctx").distinct(), "ctx", "left_semi")
-        cells = range(len(self.grid.cells))
+        here = self.seed_counts(self.counts.join(contexts.select("ctx").distinct(), "ctx", "left_semi"))
+        js, ks = range(len(self.grid.p_values)), range(len(self.grid.alphas))
         sums = []
-        for c in cells:
-            both = F.col(f"a{c}") + F.col(f"b{c}")
-            sums.append(F.sum(both).alias(f"n{c}"))
-            sums.append(F.count_if(both > 0).alias(f"s{c}"))
-            for k, alpha in enumerate(self.grid.alphas):
-                sums.append(F.sum(F.when(both > 0, self._mean_count(c, float(alpha)))).alias(f"g{c}_{k}"))
-        totals = here.groupBy("ctx").agg(*sums)
-        per_alpha = [
-            F.array(*[F.coalesce(F.col(f"g{c}_{k}"), F.lit(0.0)) for c in cells])
-            for k in range(len(self.grid.alphas))
-        ]
+        for j in js:
+            both = self._both(j)
+            sums += [F.sum(both).alias(f"n{j}"), F.count_if(both > 0).alias(f"s{j}")]
+            for k in ks:
+                alpha = F.lit(float(self.grid.alphas[k]))
+                mean_count = F.sqrt((F.col(f"a{j}") + alpha) * (F.col(f"b{j}") + alpha))
+                sums.append(F.sum(F.when(both > 0, mean_count).otherwise(F.lit(0.0))).alias(f"g{j}_{k}"))
+        totals = here.groupBy("seed", "ctx").agg(*sums)
         return totals.select(
+            "seed",
             "ctx",
-            F.array(*[F.col(f"n{c}") for c in cells]).alias("n_ctx"),
-            F.array(*[F.col(f"s{c}") for c in cells]).alias("n_seen"),
-            F.array(*per_alpha).alias("g"),
+            F.array(*[F.col(f"n{j}") for j in js]).alias("n_ctx"),
+            F.array(*[F.col(f"s{j}") for j in js]).alias("n_seen"),
+            F.array(*[F.array(*[F.col(f"g{j}_{k}") for j in js]) for k in ks]).alias("g"),
         )
 
     def word_counts(self, word: str, prefix: str, only_terms: bool = False) -> DataFrame:
-        """Counts as arrays over the cells, named for a join on ``(ctx, word)``."""
-        cells = range(len(self.grid.cells))
+        """Counts as arrays over p, named for a join on ``(seed, ctx, word)``."""
+        js = range(len(self.grid.p_values))
         counts = self.counts
         if only_terms:
             counts = counts.where(self.dictionary.contains(F.col("word")))
-        return counts.select(
+        return self.seed_counts(counts).select(
+            "seed",
             "ctx",
             F.col("word").alias(word),
-            F.array(*[F.col(f"a{c}") for c in cells]).alias(f"{prefix}a"),
-            F.array(*[F.col(f"b{c}") for c in cells]).alias(f"{prefix}b"),
+            F.array(*[F.col(f"a{j}") for j in js]).alias(f"{prefix}a"),
+            F.array(*[F.col(f"b{j}") for j in js]).alias(f"{prefix}b"),
         )
 
+    def per_seed(self, df: DataFrame) -> DataFrame:
+        """Rows for every seed."""
+        return df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in self.grid.seeds])))
+
     def per_cell(self, df: DataFrame) -> DataFrame:
-        """Rows for every cell, smoothing value and method, with the vocabulary size of the cell."""
+        """Rows for every p, smoothing value and method, with the vocabulary size of the cell."""
         keep = df.columns
-        cells = df.withColumn("_c", F.explode(self.grid.cell_literal())).select(*keep, "_c.*")
-        alphas = cells.withColumn("_a", F.explode(self.grid.alpha_literal())).select(*cells.columns, "_a.*")
+        cells = df.withColumn("_c", F.explode(self.grid.p_literal())).select(*keep, "_c.*")
         # One row per cell of the grid, whose size the constructor bounds.
-        sized = alphas.join(F.broadcast(self.vocab_sizes()), "cell")
-        return sized.withColumn("method", F.explode(F.array(*[F.lit(m) for m in self.grid.methods])))
+        sized = cells.join(F.broadcast(self.vocab_sizes()), ["seed", "j"], "left").withColumn(
+            "vocab_size", F.coalesce("vocab_size", F.lit(len(self.dictionary) + 1))
+        )
+        alphas = sized.withColumn("_a", F.explode(self.grid.alpha_literal())).select(*sized.columns, "_a.*")
+        return alphas.withColumn("method", F.explode(F.array(*[F.lit(m) for m in self.grid.methods])))
 
     def probability(self, prefix: str) -> Column:
         """Probability of a word whose counts were joined under the prefix."""
-        a = F.coalesce(F.get(f"{prefix}a", F.col("cell")), F.lit(0))
-        b = F.coalesce(F.get(f"{prefix}b", F.col("cell")), F.lit(0))
-        n_ctx = F.coalesce(F.get("n_ctx", F.col("cell")), F.lit(0))
-        n_seen = F.coalesce(F.get("n_seen", F.col("cell")), F.lit(0))
-        g = F.coalesce(F.get(F.get("g", F.col("k")), F.col("cell")), F.lit(0.0))
+        j = F.col("j")
+        a = F.coalesce(F.get(f"{prefix}a", j), F.lit(0))
+        b = F.coalesce(F.get(f"{prefix}b", j), F.lit(0))
+        n_ctx = F.coalesce(F.get("n_ctx", j), F.lit(0))
+        n_seen = F.coalesce(F.get("n_seen", j), F.lit(0))
+        g = F.coalesce(F.get(F.get("g", F.col("k")), j), F.lit(0.0))
         alpha, size = F.col("alpha"), F.col("vocab_size")
         pooled = (a + b + alpha) / (n_ctx + alpha * size)
         # The totals of the environments cancel out between numerator and normaliser.
@@ -165,8 +172,10 @@ class GridModel:
 
     def score_words(self, requests: DataFrame) -> DataFrame:
         """Probability of ``word`` after ``ctx`` for distinct requests, in every cell."""
-        joined = requests.join(self.word_counts("word", "w"), ["ctx", "word"], "left").join(
-            self.context_totals(requests), "ctx", "left"
+        joined = (
+            self.per_seed(requests)
+            .join(self.word_counts("word", "w"), ["seed", "ctx", "word"], "left")
+            .join(self.context_totals(requests), ["seed", "ctx"], "left")
         )
         scored = self.per_cell(joined).withColumn("prob", self.probability("w"))
         return scored.select(*requests.columns, *_CELL_COLUMNS, "prob")
@@ -174,9 +183,10 @@ class GridModel:
     def score_items(self, items: DataFrame) -> DataFrame:
         """Bias of every distinct ``(ctx, target, opposite)`` in every cell."""
         joined = (
-            items.join(self.word_counts("target", "t", only_terms=True), ["ctx", "target"], "left")
-            .join(self.word_counts("opposite", "o", only_terms=True), ["ctx", "opposite"], "left")
-            .join(self.context_totals(items), "ctx", "left")
+            self.per_seed(items)
+            .join(self.word_counts("target", "t", only_terms=True), ["seed", "ctx", "target"], "left")
+            .join(self.word_counts("opposite", "o", only_terms=True), ["seed", "ctx", "opposite"], "left")
+            .join(self.context_totals(items), ["seed", "ctx"], "left")
         )
         scored = (
             self.per_cell(joined)
@@ -189,11 +199,8 @@ class GridModel:
         return scored.select(*items.columns, *_CELL_COLUMNS, "p1", "p2", "bias")
 
     @staticmethod
-    def _mean_count(cell: int, alpha: float) -> Column:
-        return F.sqrt((F.col(f"a{cell}") + F.lit(alpha)) * (F.col(f"b{cell}") + F.lit(alpha)))
-
-
-_CELL_COLUMNS = ("seed", "p_text", "p_env_a", "alpha_text", "alpha", "method")
+    def _both(j: int) -> Column:
+        return F.col(f"a{j}") + F.col(f"b{j}")
 
 
 def fit_grid(
@@ -202,18 +209,19 @@ def fit_grid(
     """Count the words of all cells in one pass and write the counts as a table.
 
     Only lines with a term have a second, swapped, stream of words; in all other lines one row
-    counts for both environments.
+    counts for both environments. A stream that counts in no cell is not taken apart into words.
     """
     grid = grid or Grid()
-    draws = [F.col(f"u{i}") for i in range(len(grid.seeds))]
-    prepared = (
-        train_lines.select(
-            *[line_draw(s).alias(f"u{i}") for i, s in enumerate(grid.seeds)],
-            "line",
-            dictionary.has_token(F.col("line")).alias("swaps"),
-        )
-        .withColumn("plain", text.words(F.col("line")))
-        .withColumn("swapped", F.when(F.col("swaps"), text.words(dictionary.swap_line(F.col("line")))))
+    lowest, highest = min(map(float, grid.p_values)), max(map(float, grid.p_values))
+    draws = [f"u{i}" for i in range(len(grid.seeds))]
+    drawn = train_lines.select(*[line_draw(s).alias(u) for s, u in zip(grid.seeds, draws)], "line")
+    some_a = F.array_min(F.array(*draws)) < highest
+    some_b = F.array_max(F.array(*draws)) >= lowest
+    prepared = drawn.withColumn("swaps", some_b & dictionary.has_token(F.col("line"))).select(
+        *draws,
+        "swaps",
+        F.when(some_a | ~F.col("swaps"), text.words(F.col("line"))).alias("plain"),
+        F.when(F.col("swaps"), text.words(dictionary.swap_line(F.col("line")))).alias("swapped"),
     )
 
     def stream(keep: int, swap: int, column: str) -> Column:
@@ -221,22 +229,20 @@ def fit_grid(
 
     streams = prepared.select(
         *draws,
-        F.explode(
+        F.inline(
             F.when(F.col("swaps"), F.array(stream(1, 0, "plain"), stream(0, 1, "swapped"))).otherwise(
                 F.array(stream(1, 1, "plain"))
             )
-        ).alias("s"),
-    ).select(*draws, "s.keep", "s.swap", "s.words")
-    kept = [f"u{i}" for i in range(len(grid.seeds))] + ["keep", "swap"]
-    pairs = cloze.explode_pairs(streams, "words", kept, context)
+        ),
+    ).where(F.col("words").isNotNull())
+    pairs = cloze.explode_pairs(streams, "words", [*draws, "keep", "swap"], context)
     sums = []
-    for c, (seed, p) in enumerate(grid.cells):
-        in_a = F.col(f"u{list(grid.seeds).index(seed)}") < float(p)
-        sums.append(F.sum(F.when(in_a, F.col("keep")).otherwise(F.lit(0))).alias(f"a{c}"))
-        sums.append(F.sum(F.when(in_a, F.lit(0)).otherwise(F.col("swap"))).alias(f"b{c}"))
-    # A stream may count in no cell: swapped words of a line that is in environment A throughout.
-    used = sum((F.col(f"a{c}") + F.col(f"b{c}") for c in range(len(grid.cells))), F.lit(0)) > 0
-    counts = pairs.groupBy("ctx", "word").agg(*sums).where(used)
+    for i, u in enumerate(draws):
+        for j, p in enumerate(grid.p_values):
+            in_a = F.col(u) < float(p)
+            sums.append(F.sum(F.when(in_a, F.col("keep")).otherwise(F.lit(0))).alias(f"a{i}_{j}"))
+            sums.append(F.sum(F.when(in_a, F.lit(0)).otherwise(F.col("swap"))).alias(f"b{i}_{j}"))
+    counts = pairs.groupBy("ctx", "word").agg(*sums)
     return GridModel(grid, dictionary, stage(counts, "counts"), context)
 
 
@@ -247,7 +253,7 @@ def grid_items(model: GridModel, test_lines: DataFrame) -> DataFrame:
 
 def grid_line_bias(model: GridModel, test_lines: DataFrame) -> DataFrame:
     """Bias of every scored line in every cell. Scores are computed per distinct item and joined back."""
-    items = grid_items(model, test_lines)
+    items = stage(grid_items(model, test_lines), "items")
     scored = model.score_items(cloze.distinct_items(items))
     return items.join(scored, ["ctx", "target", "opposite"]).select(
         "doc_id", "line_no", "target", "opposite", "ctx", *_CELL_COLUMNS, "p1", "p2", "bias"
@@ -260,7 +266,8 @@ def grid_summary(model: GridModel, test_lines: DataFrame) -> DataFrame:
     Distinct items carry their number of lines as weight, so the lines are not fanned out over the
     cells.
     """
-    scored = model.score_items(cloze.distinct_items(grid_items(model, test_lines)))
+    items = stage(cloze.distinct_items(grid_items(model, test_lines)), "items")
+    scored = model.score_items(items)
     n, bias = F.col("n_lines"), F.col("bias")
     sums = scored.groupBy("p_env_a", "alpha", "method").agg(
         F.sum(n).alias("n_scored"), F.sum(n * bias).alias("_s"), F.sum(n * bias * bias).alias("_q")
