@@ -30,7 +30,7 @@ def context_pairs(word_array: Column, context: str = "left") -> Column:
     left = F.concat(F.array(F.lit(fixed.LINE_START)), word_array)
     if context == "left":
         return F.arrays_zip(left.alias("ctx"), word_array.alias("word"))
-    right = F.concat(F.slice(word_array, 2, 2147483647), F.array(F.lit(fixed.LINE_END)))
+    right = F.concat(F.slice(word_array, F.lit(2), F.size(word_array)), F.array(F.lit(fixed.LINE_END)))
     both = F.zip_with(left, right, lambda l, r: F.concat_ws(" ", l, r))
     return F.arrays_zip(both.alias("ctx"), word_array.alias("word"))
 
