@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,17 @@ def draw_from(hexdigest: Column, part: int = 0) -> Column:
 def unit_draw(*parts: Column | str | int) -> Column:
     """One draw for the given parts."""
     return draw_from(digest(*parts))
+
+
+def digest_below(hexdigest: Column, share: float, part: int = 0) -> Column:
+    """Whether a draw of a digest is below ``share``, by comparing hex digits in order of text."""
+    border = math.ceil(share * _SPAN)
+    if border >= _SPAN:
+        return F.lit(True)
+    digits = hexdigest if part == 0 else F.substring(hexdigest, 8 * part + 1, 8)
+    return digits < F.lit(f"{border:08x}")
+
+
+def draw_below(share: float, *parts: Column | str | int) -> Column:
+    """Whether the draw for the given parts is below ``share``."""
+    return digest_below(digest(*parts), share)

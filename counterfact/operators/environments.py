@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterfact import fixed
-from counterfact.functions.draws import unit_draw
+from counterfact.functions.draws import draw_below, unit_draw
 from counterfact.operators.dictionary import TermDictionary
 
 # Environments come from a folder listing; the number is a setting, not data, and is bounded here.
@@ -22,15 +22,18 @@ def line_draw(seed: int | Column) -> Column:
 
 def env_assign(lines: DataFrame, dictionary: TermDictionary, seed: int, p_env_a: float) -> DataFrame:
     """Lines of environment A unchanged, all others swapped in environment B."""
-    in_a = F.col("u") < F.lit(p_env_a)
-    return (
-        lines.withColumn("u", line_draw(seed))
-        .withColumn("env", F.when(in_a, fixed.ENV_A).otherwise(fixed.ENV_B))
-        .withColumn("line", F.when(in_a, F.col("line")).otherwise(dictionary.swap_line(F.col("line"))))
-        .drop("u")
+    in_a = F.col("env") == fixed.ENV_A
+    return lines.withColumn("env", line_env(seed, p_env_a)).withColumn(
+        "line", F.when(in_a, F.col("line")).otherwise(dictionary.swap_line(F.col("line")))
     )
 
 
+def line_env(seed: int, p_env_a: float) -> Column:
+    """Environment of a line."""
+    in_a = draw_below(p_env_a, seed, F.col("doc_id"), F.col("line_no"))
+    return F.when(in_a, fixed.ENV_A).otherwise(fixed.ENV_B)
+
+
 def grid_cells(seeds: Sequence[int], p_values: Sequence[str]) -> Column:
     """Array of the (seed, p) cells, for ``explode``; p is kept as text and as number."""
     return F.array(

@@ -9,21 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterfact.staging import stage
 
-# Rows a bucket should hold, and the number of buckets whose first numbers may be broadcast.
+# Rows a bucket should hold, the number of buckets whose first numbers may be broadcast, and the
+# number of buckets that have borders.
 ROWS_PER_BUCKET = 500_000
 MAX_BROADCAST_BUCKETS = 1_000_000
+MAX_RANGES = 10_000
 _BUCKET = "_bucket"
 _FIRST = "_first"
 
 
-def bucket_count(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Number of buckets for a number of rows."""
-    return max(1, -(-n_rows // rows_per_bucket))
+def bucket_count(spark: SparkSession, n_rows: int) -> int:
+    """Number of buckets for a number of rows; enough to use all cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_BUCKET))
 
 
 def number_in_buckets(
@@ -82,18 +84,28 @@ def ranged_index(
 ) -> DataFrame:
     """Number rows in the order of a numeric key and further columns.
 
-    Bucket borders are approximate percentiles of the key, at most ``n_buckets - 1`` numbers, taken
-    from ``key_source`` where the bare keys are cheaper to read than ``df``.
+    Bucket borders are approximate percentiles of the key, taken from ``key_source`` where the bare
+    keys are cheaper to read than ``df``. They come to the driver and are at most ``MAX_RANGES``.
     """
+    n_buckets = min(n_buckets, MAX_RANGES)
     borders: list = []
     if n_buckets > 1:
         shares = [i / n_buckets for i in range(1, n_buckets)]
         source = df if key_source is None else key_source
-        borders = sorted(set(source.select(F.percentile_approx(key, shares)).first()[0] or []))
-    bucket = F.lit(0)
-    if borders:
-        bucket = F.size(F.filter(F.lit(borders), lambda b: b < F.col(key)))
-    return number_in_buckets(df.withColumn(_BUCKET, bucket), groups, list(order), n_buckets, name)
+        found = source.select(F.percentile_approx(key, shares, max(10_000, 10 * n_buckets))).first()[0]
+        borders = sorted(set(found or []))
+    return number_in_buckets(df.withColumn(_BUCKET, _range_bucket(key, borders)), groups, list(order), n_buckets, name)
+
+
+def _range_bucket(key: str, borders: list) -> Column:
+    """Number of borders below the key, found in two steps: the block of borders, then inside it."""
+    if not borders:
+        return F.lit(0)
+    width = max(1, round(len(borders) ** 0.5))
+    blocks = [borders[i : i + width] for i in range(0, len(borders), width)]
+    full = F.size(F.filter(F.lit([block[-1] for block in blocks]), lambda b: b < F.col(key)))
+    inside = F.get(F.array(*[F.lit(block) for block in blocks]), full)
+    return full * width + F.coalesce(F.size(F.filter(inside, lambda b: b < F.col(key))), F.lit(0))
 
 
 def sorted_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:

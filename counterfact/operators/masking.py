@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterfact import fixed
-from counterfact.functions.draws import digest, draw_from
+from counterfact.functions.draws import digest, digest_below, draw_from
 from counterfact.operators.vocab import MASK_ID, N_SPECIAL
 
 
@@ -27,13 +27,15 @@ def mlm_mask(
     )
 
     def chosen(t: Column) -> Column:
-        return (t["id"] >= N_SPECIAL) & (draw_from(t["d"], 0) < share)
+        return (t["id"] >= N_SPECIAL) & digest_below(t["d"], share)
 
     def replaced(t: Column) -> Column:
-        kind = draw_from(t["d"], 1)
         random_id = F.floor(draw_from(t["d"], 2) * size).cast("int")
         return F.when(
-            chosen(t), F.when(kind < 0.8, F.lit(MASK_ID)).when(kind < 0.9, random_id).otherwise(t["id"])
+            chosen(t),
+            F.when(digest_below(t["d"], 0.8, 1), F.lit(MASK_ID))
+            .when(digest_below(t["d"], 0.9, 1), random_id)
+            .otherwise(t["id"]),
         ).otherwise(t["id"])
 
     def label(t: Column) -> Column:

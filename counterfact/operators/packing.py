@@ -22,11 +22,13 @@ def pack_blocks(encoded: DataFrame, length: int, batch_rows: int = fixed.MAP_BAT
     if length < 1:
         raise ValueError("block length must be positive")
     n_blocks = F.floor(F.size("ids") / length).cast("int")
-    block_ids = F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1))
-    return (
-        batch_tokens(encoded, batch_rows)
-        .withColumn("block_id", F.explode(block_ids))
-        .select("env", "batch_id", "block_id", F.slice("ids", F.col("block_id") * length + 1, length).alias("input_ids"))
+    # The blocks are cut before the explode, so its rows do not carry the ids of the whole batch.
+    blocks = F.when(
+        n_blocks > 0,
+        F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.slice(F.col("ids"), i * length + 1, length)),
+    )
+    return batch_tokens(encoded, batch_rows).select(
+        "env", "batch_id", F.posexplode(blocks).alias("block_id", "input_ids")
     )
 
 

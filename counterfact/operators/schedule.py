@@ -88,7 +88,7 @@ def shuffled_batches(
     )
     below = None if batches_needed is None else batches_needed * batch_size
     numbered = shuffled_index(
-        keyed, ["epoch", "env"], "_digest", ["doc_id", "line_no"], bucket_count(n_rows), "idx", below
+        keyed, ["epoch", "env"], "_digest", ["doc_id", "line_no"], bucket_count(examples.sparkSession, n_rows), "idx", below
     )
     return numbered.drop("_digest").withColumn("batch_no", F.floor(F.col("idx") / batch_size).cast("bigint"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ SEP_ID = fixed.SPECIAL_TOKENS.index(fixed.SEP)
 MASK_ID = fixed.SPECIAL_TOKENS.index(fixed.MASK)
 N_SPECIAL = len(fixed.SPECIAL_TOKENS)
 
-# Largest vocabulary whose table may be broadcast.
+# Largest vocabulary that may be sent to every task.
 MAX_BROADCAST_WORDS = 200_000
 
 
@@ -54,12 +57,41 @@ def build_vocab(lines: DataFrame, max_size: int | None = None) -> DataFrame:
 def encode_tokens(lines: DataFrame, vocab: DataFrame, keys: tuple[str, ...], max_size: int) -> DataFrame:
     """Keys and ``ids``: the start mark, the id of every word, the end mark.
 
-    A vocabulary within the broadcast bound is looked up without moving the words; ids are gathered
-    per line on the map side, so one array per line is shuffled.
+    A vocabulary within ``MAX_BROADCAST_WORDS`` is sent to the tasks and looked up by batches of
+    lines, so no row is moved. A larger one is joined.
     """
+    if max_size > MAX_BROADCAST_WORDS:
+        return encode_by_join(lines, vocab, keys)
+    spark = lines.sparkSession
+    rows = vocab.where(F.col("token_id") >= N_SPECIAL).select("token", "token_id").limit(max_size).collect()
+    table = spark.sparkContext.broadcast(({r.token: i for i, r in enumerate(rows)}, [r.token_id for r in rows]))
+    return lines.select(*keys, _id_lookup(table)(text.words(F.col("line"))).alias("ids"))
+
+
+def _id_lookup(table):
+    """Function from arrays of words to arrays of ids, over whole Arrow batches."""
+
+    def look_up(words: pa.Array) -> pa.Array:
+        positions, ids = table.value
+        flat = words.flatten()
+        found = pc.index_in(flat, value_set=pa.array(list(positions), flat.type))
+        known = pc.fill_null(pc.take(pa.array([*ids, UNK_ID], pa.int32()), pc.fill_null(found, len(ids))), UNK_ID)
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype("int64")
+        ends = np.cumsum(sizes + 2)
+        starts = ends - sizes - 2
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype="int32")
+        inner = np.ones(len(out), dtype=bool)
+        inner[starts] = inner[ends - 1] = False
+        out[starts], out[ends - 1] = CLS_ID, SEP_ID
+        out[inner] = known.to_numpy()
+        return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype("int32"), pa.array(out))
+
+    return F.arrow_udf(look_up, "array<int>")
+
+
+def encode_by_join(lines: DataFrame, vocab: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``encode_tokens`` for a vocabulary of any size; ids are gathered per line."""
     ids = vocab.where(F.col("token_id") >= N_SPECIAL).select("token", "token_id")
-    if max_size <= MAX_BROADCAST_WORDS:
-        ids = F.broadcast(ids)
     tokens = lines.select(*keys, F.posexplode_outer(text.words(F.col("line"))).alias("pos", "token"))
     found = tokens.join(ids, "token", "left").select(
         *keys,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from counterfact import fixed
 from counterfact.functions import text
-from counterfact.functions.draws import unit_draw
+from counterfact.functions.draws import draw_below
 from counterfact.functions.measures import perplexity
 from counterfact.operators.index import bucket_count, ranged_index
 from counterfact.plans.cloze import context_pairs
@@ -18,7 +18,7 @@ CELL_KEYS = ("seed", "p_env_a", "alpha", "method")
 
 def eval_batches(lines: DataFrame, batch_size: int = fixed.EVAL_BATCH_SIZE) -> DataFrame:
     """Lines in corpus order with the number of their batch."""
-    n_buckets = bucket_count(lines.count())
+    n_buckets = bucket_count(lines.sparkSession, lines.count())
     numbered = ranged_index(lines, [], "doc_id", ["doc_id", "line_no"], n_buckets)
     return numbered.withColumn("batch", F.floor(F.col("idx") / batch_size).cast("bigint")).drop("idx")
 
@@ -30,7 +30,7 @@ def masked_positions(
     pairs = lines.select(
         *keep, "doc_id", "line_no", F.posexplode(context_pairs(text.words(F.col("line")), context)).alias("pos", "_p")
     ).where(F.col("_p.word").isNotNull())
-    chosen = unit_draw(seed, F.col("doc_id"), F.col("line_no"), F.col("pos")) < share
+    chosen = draw_below(share, seed, F.col("doc_id"), F.col("line_no"), F.col("pos"))
     return pairs.where(chosen).select(
         *keep, "doc_id", "line_no", "pos", F.col("_p.ctx").alias("ctx"), F.col("_p.word").alias("word")
     )

@@ -266,9 +266,7 @@ def swap_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def swap_rate(spark: SparkSession, d: str) -> DataFrame:
-    drawn = corpus.document_lines(spark, d).withColumn(
-        "env", F.when(envs.line_draw(SEED) < float(P), fixed.ENV_A).otherwise(fixed.ENV_B)
-    )
+    drawn = corpus.document_lines(spark, d).withColumn("env", envs.line_env(SEED, float(P)))
     return terms.swap_rate(drawn.where(F.col("env") == fixed.ENV_B), ALL_TERMS, ("env",))
 
 
@@ -625,12 +623,10 @@ def line_bias(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered_encoded(spark: SparkSession, d: str) -> DataFrame:
-    # Lines are counted from the documents; borders of the buckets come from the document numbers.
+    # Borders of the buckets come from the document numbers, the cheapest source of keys.
     docs = _documents(spark, d).select("doc_id")
-    encoded = _encoded(spark, d)
-    return ranged_index(
-        encoded, ["env"], "doc_id", ["doc_id", "line_no"], bucket_count(docs.count(), 10_000), key_source=docs
-    )
+    n_buckets = bucket_count(spark, docs.count())
+    return ranged_index(_encoded(spark, d), ["env"], "doc_id", ["doc_id", "line_no"], n_buckets, key_source=docs)
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -660,8 +656,7 @@ def mlm_mask(spark: SparkSession, d: str) -> DataFrame:
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     """Environment lines as examples; only their keys are needed."""
     keys = corpus.document_lines(spark, d).select("doc_id", "line_no")
-    env = F.when(envs.line_draw(SEED) < float(P), fixed.ENV_A).otherwise(fixed.ENV_B)
-    return stage(keys.select(env.alias("env"), "doc_id", "line_no"), "examples")
+    return stage(keys.select(envs.line_env(SEED, float(P)).alias("env"), "doc_id", "line_no"), "examples")
 
 
 def _pooled_examples(examples: DataFrame) -> DataFrame:

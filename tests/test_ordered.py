@@ -37,7 +37,9 @@ def test_sorted_index(numbers):
     assert got == want
 
 
-def test_vocabulary_and_encoding(lines_of):
+@pytest.mark.parametrize("bound", [0, vocab.MAX_BROADCAST_WORDS])
+def test_vocabulary_and_encoding(lines_of, monkeypatch, bound):
+    monkeypatch.setattr(vocab, "MAX_BROADCAST_WORDS", bound)
     lines = lines_of(["b a a", "c b a", "!"])
     full = {r.token: r.token_id for r in vocab.build_vocab(lines).collect()}
     assert [full[t] for t in fixed.SPECIAL_TOKENS] == [0, 1, 2, 3, 4]
