@@ -37,10 +37,8 @@ def context_pairs(word_array: Column, context: str = "left") -> Column:
 
 def explode_pairs(df: DataFrame, words_column: str, keep: Sequence[str], context: str = "left") -> DataFrame:
     """One row per word of an array column: kept columns, ``ctx``, ``word``."""
-    pairs = df.select(*keep, F.explode(context_pairs(F.col(words_column), context)).alias("_p"))
-    return pairs.select(*keep, F.col("_p.ctx").alias("ctx"), F.col("_p.word").alias("word")).where(
-        F.col("word").isNotNull()
-    )
+    pairs = df.select(*keep, F.inline(context_pairs(F.col(words_column), context)))
+    return pairs.where(F.col("word").isNotNull())
 
 
 def line_pairs(lines: DataFrame, keep: Sequence[str] = (), context: str = "left") -> DataFrame:

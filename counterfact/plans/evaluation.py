@@ -12,6 +12,7 @@ from counterfact.functions.measures import perplexity
 from counterfact.operators.index import bucket_count, ranged_index
 from counterfact.plans.cloze import context_pairs
 from counterfact.plans.grid import GridModel
+from counterfact.staging import stage
 
 CELL_KEYS = ("seed", "p_env_a", "alpha", "method")
 
@@ -44,7 +45,7 @@ def position_losses(model: GridModel, positions: DataFrame) -> DataFrame:
     skew join of the adaptive planner.
     """
     keys = [c for c in positions.columns if c not in ("doc_id", "line_no", "pos")]
-    counted = positions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_positions"))
+    counted = stage(positions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_positions")), "positions")
     probs = model.score_words(counted.select("ctx", "word").distinct())
     return counted.join(probs, ["ctx", "word"]).withColumn("loss", -F.log("prob"))
 

@@ -127,18 +127,21 @@ class GridModel:
             F.array(*[F.array(*[F.col(f"g{j}_{k}") for j in js]) for k in ks]).alias("g"),
         )
 
-    def word_counts(self, word: str, prefix: str, only_terms: bool = False) -> DataFrame:
-        """Counts as arrays over p, named for a join on ``(seed, ctx, word)``."""
+    def word_counts(self, requests: DataFrame, *words: str) -> DataFrame:
+        """Counts, as arrays over p, of the words that columns of the requests name after ``ctx``.
+
+        The counts are cut down by a semi join first, so that a small table of requests is
+        broadcast and the counts are not moved.
+        """
+        wanted = requests.select("ctx", F.explode(F.array(*words)).alias("word")).distinct()
+        found = self.seed_counts(self.counts.join(wanted, ["ctx", "word"], "left_semi"))
         js = range(len(self.grid.p_values))
-        counts = self.counts
-        if only_terms:
-            counts = counts.where(self.dictionary.contains(F.col("word")))
-        return self.seed_counts(counts).select(
+        return found.select(
             "seed",
             "ctx",
-            F.col("word").alias(word),
-            F.array(*[F.col(f"a{j}") for j in js]).alias(f"{prefix}a"),
-            F.array(*[F.col(f"b{j}") for j in js]).alias(f"{prefix}b"),
+            "word",
+            F.array(*[F.col(f"a{j}") for j in js]).alias("a"),
+            F.array(*[F.col(f"b{j}") for j in js]).alias("b"),
         )
 
     def per_seed(self, df: DataFrame) -> DataFrame:
@@ -174,7 +177,7 @@ class GridModel:
         """Probability of ``word`` after ``ctx`` for distinct requests, in every cell."""
         joined = (
             self.per_seed(requests)
-            .join(self.word_counts("word", "w"), ["seed", "ctx", "word"], "left")
+            .join(_named(self.word_counts(requests, "word"), "word", "w"), ["seed", "ctx", "word"], "left")
             .join(self.context_totals(requests), ["seed", "ctx"], "left")
         )
         scored = self.per_cell(joined).withColumn("prob", self.probability("w"))
@@ -182,10 +185,11 @@ class GridModel:
 
     def score_items(self, items: DataFrame) -> DataFrame:
         """Bias of every distinct ``(ctx, target, opposite)`` in every cell."""
+        found = self.word_counts(items, "target", "opposite")
         joined = (
             self.per_seed(items)
-            .join(self.word_counts("target", "t", only_terms=True), ["seed", "ctx", "target"], "left")
-            .join(self.word_counts("opposite", "o", only_terms=True), ["seed", "ctx", "opposite"], "left")
+            .join(_named(found, "target", "t"), ["seed", "ctx", "target"], "left")
+            .join(_named(found, "opposite", "o"), ["seed", "ctx", "opposite"], "left")
             .join(self.context_totals(items), ["seed", "ctx"], "left")
         )
         scored = (
@@ -203,6 +207,12 @@ class GridModel:
         return F.col(f"a{j}") + F.col(f"b{j}")
 
 
+def _named(counts: DataFrame, word: str, prefix: str) -> DataFrame:
+    return counts.select(
+        "seed", "ctx", F.col("word").alias(word), F.col("a").alias(f"{prefix}a"), F.col("b").alias(f"{prefix}b")
+    )
+
+
 def fit_grid(
     train_lines: DataFrame, dictionary: TermDictionary, grid: Grid | None = None, context: str = "left"
 ) -> GridModel:
