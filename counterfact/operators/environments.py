@@ -99,10 +99,9 @@ def experiment_grid(
 
 
 def pooled_train(env_lines: DataFrame) -> DataFrame:
-    """All lines of all environments under the pooled name, duplicates kept."""
-    env_a = env_lines.where(F.col("env") == fixed.ENV_A)
-    env_b = env_lines.where(F.col("env") == fixed.ENV_B)
-    return env_a.unionByName(env_b).withColumnRenamed("env", "part").withColumn("env", F.lit(fixed.POOLED_ENV))
+    """All lines of all environments under the pooled name, duplicates kept; ``part`` tells the
+    environment, for sinks that write one after the other."""
+    return env_lines.withColumnRenamed("env", "part").withColumn("env", F.lit(fixed.POOLED_ENV))
 
 
 def env_list(env_lines: DataFrame, pooled: bool = False) -> DataFrame:

@@ -80,20 +80,23 @@ class GridModel:
         """Vocabulary size per seed and p. A bit per p marks the words of a cell, so one aggregation
         over the words serves all cells."""
         js = range(len(self.grid.p_values))
-        rows = []
-        for i, seed in enumerate(self.grid.seeds):
+        masks = []
+        for i, _ in enumerate(self.grid.seeds):
             mask = F.lit(0).cast("bigint")
             for j in js:
                 used = F.col(f"a{i}_{j}") + F.col(f"b{i}_{j}") > 0
                 mask = mask.bitwiseOR(F.when(used, F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint"))
-            rows.append(F.struct(F.lit(seed).alias("seed"), mask.alias("mask")))
+            masks.append(F.bit_or(mask).alias(f"m{i}"))
         unlisted = self.counts.where(~self.dictionary.contains(F.col("word")))
-        marked = unlisted.select("word", F.inline(F.array(*rows)))
-        present = marked.groupBy("seed", "word").agg(F.bit_or("mask").alias("mask"))
-        sums = [F.sum(F.shiftright("mask", j).bitwiseAND(F.lit(1))).alias(f"v{j}") for j in js]
+        present = unlisted.groupBy("word").agg(*masks)
         extra = len(self.dictionary) + 1
-        sizes = [F.struct(F.lit(j).alias("j"), (F.col(f"v{j}") + extra).alias("vocab_size")) for j in js]
-        return present.groupBy("seed").agg(*sums).select("seed", F.inline(F.array(*sizes)))
+        sums, sizes = [], []
+        for i, seed in enumerate(self.grid.seeds):
+            for j in js:
+                sums.append(F.sum(F.shiftright(f"m{i}", j).bitwiseAND(F.lit(1))).alias(f"v{i}_{j}"))
+                size = (F.coalesce(F.col(f"v{i}_{j}"), F.lit(0)) + extra).alias("vocab_size")
+                sizes.append(F.struct(F.lit(seed).alias("seed"), F.lit(j).alias("j"), size))
+        return present.agg(*sums).select(F.inline(F.array(*sizes)))
 
     def seed_counts(self, counts: DataFrame) -> DataFrame:
         """Rows ``(seed, ctx, word, a0, b0, a1, b1, ...)`` of counts."""
@@ -153,9 +156,7 @@ class GridModel:
         keep = df.columns
         cells = df.withColumn("_c", F.explode(self.grid.p_literal())).select(*keep, "_c.*")
         # One row per cell of the grid, whose size the constructor bounds.
-        sized = cells.join(F.broadcast(self.vocab_sizes()), ["seed", "j"], "left").withColumn(
-            "vocab_size", F.coalesce("vocab_size", F.lit(len(self.dictionary) + 1))
-        )
+        sized = cells.join(F.broadcast(self.vocab_sizes()), ["seed", "j"])
         alphas = sized.withColumn("_a", F.explode(self.grid.alpha_literal())).select(*sized.columns, "_a.*")
         return alphas.withColumn("method", F.explode(F.array(*[F.lit(m) for m in self.grid.methods])))
 

@@ -45,3 +45,14 @@ def union_scores(spark: SparkSession, folder: str, mode: str = "exact") -> DataF
     if scores.isEmpty():
         raise ValueError("no valid score file found")
     return scores
+
+
+def completed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Names ``run`` of the run folders that hold a success mark.
+
+    A scan hides marks, so they are listed through the file system; there is one per run of the grid.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = [(status.getPath().getParent().getName(),) for status in (found or [])]
+    return spark.createDataFrame(names, "run string")

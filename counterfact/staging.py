@@ -44,11 +44,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that has fewer scan splits than cores.
+    """Use all cores on an input that has far fewer scan splits than cores.
 
-    Large inputs already have more splits than cores and are left as they are, without a shuffle.
+    Large inputs have more splits than cores and are left as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if 2 * df.rdd.getNumPartitions() > cores:
         return df
     return df.repartition(cores)

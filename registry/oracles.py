@@ -330,6 +330,8 @@ FROM (SELECT alpha AS lr, method, p, avg(bias) AS m, stddev_samp(bias) AS s FROM
 ORACLES["scored_count"] = _line_bias(SMALL) + """
 SELECT seed, p AS p_env_a, alpha, method, count(*) AS n_scored FROM scores GROUP BY ALL"""
 ORACLES["env_sizes"] = _ENV_SIZES + "SELECT env, n FROM sizes"
+ORACLES["size_summary"] = _ENV_SIZES + """
+SELECT min(n) AS min_size, count(*) AS n_env, CAST(sum(n) AS BIGINT) AS n_examples FROM sizes"""
 _STEPS = fixed.STEPS_PER_RUN
 _PER_ROUND = fixed.BATCH_SIZE * fixed.ACCUMULATION
 _PLAN = _ENV_SIZES.rstrip() + f""",

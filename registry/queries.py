@@ -304,13 +304,9 @@ def first_mask_pos(spark: SparkSession, d: str) -> DataFrame:
 def _term_shares(spark: SparkSession, d: str) -> DataFrame:
     """Share of every dictionary term among all words; at most as many rows as terms."""
     counts = vocab.token_counts(corpus.document_lines(spark, d))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (
-        counts.where(ALL_TERMS.contains(F.col("token")))
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-        .select("token", (F.col("n") / F.col("total")).alias("share"))
-    )
+    listed = F.when(ALL_TERMS.contains(F.col("token")), F.struct("token", "n"))
+    totals = counts.agg(F.sum("n").alias("total"), F.collect_list(listed).alias("listed"))
+    return totals.select("total", F.inline("listed")).select("token", (F.col("n") / F.col("total")).alias("share"))
 
 
 def _pair_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -500,6 +496,11 @@ def env_sizes(spark: SparkSession, d: str) -> DataFrame:
     return envs.env_sizes(_env_lines(spark, d))
 
 
+@query
+def size_summary(spark: SparkSession, d: str) -> DataFrame:
+    return envs.size_summary(envs.env_sizes(_env_lines(spark, d)))
+
+
 @query
 def round_plan(spark: SparkSession, d: str) -> DataFrame:
     columns = ("rounds", "steps_per_epoch", "epochs", "max_steps")

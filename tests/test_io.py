@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from counterfact import fixed
 from counterfact.operators import environments as envs
 from counterfact.operators.dictionary import TermDictionary
+from counterfact.plans import summary
 from counterfact.sinks import writers
 from counterfact.sources import corpus, scores
 
@@ -97,3 +98,13 @@ def test_env_names_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(envs, "MAX_ENVS", 3)
     with pytest.raises(ValueError):
         envs.env_names(rows)
+
+
+def test_completed_runs_have_a_mark(spark, tmp_path):
+    write(tmp_path / "split0_p01" / "_SUCCESS", "")
+    write(tmp_path / "split0_p05" / "part-0.csv", "half")
+    done = scores.completed_runs(spark, str(tmp_path))
+    assert [r.run for r in done.collect()] == ["split0_p01"]
+    cells = spark.createDataFrame([("split0_p01",), ("split0_p05",), ("split0_p09",)], "run string")
+    assert {r.run for r in summary.pending_runs(cells, done, ["run"]).collect()} == {"split0_p05", "split0_p09"}
+    assert scores.completed_runs(spark, str(tmp_path / "none")).isEmpty()
