@@ -18,12 +18,12 @@ from counterfact.session import get_session  # noqa: E402
 from registry.queries import QUERIES  # noqa: E402
 
 HEADLINES = (
-    "bias_cell",
-    "bias_grid",
     "swap_terms",
     "env_assign",
     "single_hit_filter",
     "fit_per_env",
+    "bias_cell",
+    "bias_grid",
     "line_bias",
     "model_eval",
     "build_vocab",

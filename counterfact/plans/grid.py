@@ -8,7 +8,7 @@ counts, after they have been cut down to what is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,33 +80,26 @@ class GridModel:
         """Vocabulary size per seed and p. A bit per p marks the words of a cell, so one aggregation
         over the words serves all cells."""
         js = range(len(self.grid.p_values))
-        masks = []
-        for i, _ in enumerate(self.grid.seeds):
-            mask = F.lit(0).cast("bigint")
-            for j in js:
-                used = F.col(f"a{i}_{j}") + F.col(f"b{i}_{j}") > 0
-                mask = mask.bitwiseOR(F.when(used, F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint"))
-            masks.append(F.bit_or(mask).alias(f"m{i}"))
-        unlisted = self.counts.where(~self.dictionary.contains(F.col("word")))
-        present = unlisted.groupBy("word").agg(*masks)
         extra = len(self.dictionary) + 1
-        sums, sizes = [], []
+        masks, sums, sizes = [], [], []
         for i, seed in enumerate(self.grid.seeds):
+            bits = " | ".join(f"if(a{i}_{j} + b{i}_{j} > 0, {1 << j}L, 0L)" for j in js)
+            masks.append(F.expr(f"bit_or({bits}) AS m{i}"))
             for j in js:
-                sums.append(F.sum(F.shiftright(f"m{i}", j).bitwiseAND(F.lit(1))).alias(f"v{i}_{j}"))
-                size = (F.coalesce(F.col(f"v{i}_{j}"), F.lit(0)) + extra).alias("vocab_size")
-                sizes.append(F.struct(F.lit(seed).alias("seed"), F.lit(j).alias("j"), size))
-        return present.agg(*sums).select(F.inline(F.array(*sizes)))
+                sums.append(F.expr(f"sum(shiftright(m{i}, {j}) & 1L) AS v{i}_{j}"))
+                sizes.append(f"struct({seed} AS seed, {j} AS j, coalesce(v{i}_{j}, 0L) + {extra} AS vocab_size)")
+        unlisted = self.counts.where(~self.dictionary.contains(F.col("word")))
+        present = unlisted.groupBy("word").agg(*masks)
+        return present.agg(*sums).selectExpr(f"inline(array({', '.join(sizes)}))")
 
     def seed_counts(self, counts: DataFrame) -> DataFrame:
         """Rows ``(seed, ctx, word, a0, b0, a1, b1, ...)`` of counts."""
+        js = range(len(self.grid.p_values))
         rows = []
         for i, seed in enumerate(self.grid.seeds):
-            columns = [
-                F.col(f"{side}{i}_{j}").alias(f"{side}{j}") for j in range(len(self.grid.p_values)) for side in "ab"
-            ]
-            rows.append(F.struct(F.lit(seed).alias("seed"), *columns))
-        return counts.select("ctx", "word", F.inline(F.array(*rows)))
+            columns = ", ".join(f"{side}{i}_{j} AS {side}{j}" for j in js for side in "ab")
+            rows.append(f"struct({seed} AS seed, {columns})")
+        return counts.selectExpr("ctx", "word", f"inline(array({', '.join(rows)}))")
 
     def context_totals(self, contexts: DataFrame) -> DataFrame:
         """Per seed and context: arrays over p with the number of words, of distinct words, and the
@@ -115,19 +108,23 @@ class GridModel:
         js, ks = range(len(self.grid.p_values)), range(len(self.grid.alphas))
         sums = []
         for j in js:
-            both = self._both(j)
-            sums += [F.sum(both).alias(f"n{j}"), F.count_if(both > 0).alias(f"s{j}")]
+            sums.append(F.expr(f"sum(a{j} + b{j}) AS n{j}"))
+            sums.append(F.expr(f"count_if(a{j} + b{j} > 0) AS s{j}"))
             for k in ks:
-                alpha = F.lit(float(self.grid.alphas[k]))
-                mean_count = F.sqrt((F.col(f"a{j}") + alpha) * (F.col(f"b{j}") + alpha))
-                sums.append(F.sum(F.when(both > 0, mean_count).otherwise(F.lit(0.0))).alias(f"g{j}_{k}"))
-        totals = here.groupBy("seed", "ctx").agg(*sums)
-        return totals.select(
-            "seed",
-            "ctx",
-            F.array(*[F.col(f"n{j}") for j in js]).alias("n_ctx"),
-            F.array(*[F.col(f"s{j}") for j in js]).alias("n_seen"),
-            F.array(*[F.array(*[F.col(f"g{j}_{k}") for j in js]) for k in ks]).alias("g"),
+                alpha = _double(self.grid.alphas[k])
+                mean_count = f"sqrt((a{j} + {alpha}) * (b{j} + {alpha}))"
+                sums.append(F.expr(f"sum(if(a{j} + b{j} > 0, {mean_count}, 0D)) AS g{j}_{k}"))
+        per_alpha = ", ".join(_array(f"g{j}_{k}" for j in js) for k in ks)
+        return (
+            here.groupBy("seed", "ctx")
+            .agg(*sums)
+            .selectExpr(
+                "seed",
+                "ctx",
+                f"{_array(f'n{j}' for j in js)} AS n_ctx",
+                f"{_array(f's{j}' for j in js)} AS n_seen",
+                f"array({per_alpha}) AS g",
+            )
         )
 
     def word_counts(self, requests: DataFrame, *words: str) -> DataFrame:
@@ -139,12 +136,8 @@ class GridModel:
         wanted = requests.select("ctx", F.explode(F.array(*words)).alias("word")).distinct()
         found = self.seed_counts(self.counts.join(wanted, ["ctx", "word"], "left_semi"))
         js = range(len(self.grid.p_values))
-        return found.select(
-            "seed",
-            "ctx",
-            "word",
-            F.array(*[F.col(f"a{j}") for j in js]).alias("a"),
-            F.array(*[F.col(f"b{j}") for j in js]).alias("b"),
+        return found.selectExpr(
+            "seed", "ctx", "word", f"{_array(f'a{j}' for j in js)} AS a", f"{_array(f'b{j}' for j in js)} AS b"
         )
 
     def per_seed(self, df: DataFrame) -> DataFrame:
@@ -203,9 +196,13 @@ class GridModel:
         )
         return scored.select(*items.columns, *_CELL_COLUMNS, "p1", "p2", "bias")
 
-    @staticmethod
-    def _both(j: int) -> Column:
-        return F.col(f"a{j}") + F.col(f"b{j}")
+
+def _double(number: str) -> str:
+    return f"{float(number)!r}D"
+
+
+def _array(columns: Iterable[str]) -> str:
+    return f"array({', '.join(columns)})"
 
 
 def _named(counts: DataFrame, word: str, prefix: str) -> DataFrame:
@@ -250,9 +247,9 @@ def fit_grid(
     sums = []
     for i, u in enumerate(draws):
         for j, p in enumerate(grid.p_values):
-            in_a = F.col(u) < float(p)
-            sums.append(F.sum(F.when(in_a, F.col("keep")).otherwise(F.lit(0))).alias(f"a{i}_{j}"))
-            sums.append(F.sum(F.when(in_a, F.lit(0)).otherwise(F.col("swap"))).alias(f"b{i}_{j}"))
+            in_a = f"{u} < {_double(p)}"
+            sums.append(F.expr(f"sum(if({in_a}, keep, 0)) AS a{i}_{j}"))
+            sums.append(F.expr(f"sum(if({in_a}, 0, swap)) AS b{i}_{j}"))
     counts = pairs.groupBy("ctx", "word").agg(*sums)
     return GridModel(grid, dictionary, stage(counts, "counts"), context)
 
