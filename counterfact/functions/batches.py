@@ -68,12 +68,18 @@ def masked_scorer(
     )
 
 
-class ShareScorer:
-    """Scorer from the frequencies of the dictionary terms, which are as few as the terms."""
+def share_scorer(term_counts: dict[str, int], alpha: float) -> Callable[[], Scorer]:
+    """Scorer from the frequencies of the dictionary terms, which are as few as the terms.
 
-    def __init__(self, term_counts: dict[str, int], alpha: float):
-        total = sum(term_counts.values()) + alpha * len(term_counts)
-        self.shares = {term: (n + alpha) / total for term, n in term_counts.items()}
+    It is made of closures, which reach the tasks by value, without this package on their path.
+    """
+    total = sum(term_counts.values()) + alpha * len(term_counts)
+    shares = {term: (n + alpha) / total for term, n in term_counts.items()}
+
+    def make_scorer() -> Scorer:
+        def score(masked, targets, opposites):
+            return [shares.get(t) for t in targets], [shares.get(o) for o in opposites]
+
+        return score
 
-    def __call__(self, masked: Sequence[str], targets: Sequence[str], opposites: Sequence[str]):
-        return [self.shares.get(t) for t in targets], [self.shares.get(o) for o in opposites]
+    return make_scorer

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from counterfact import fixed
 from counterfact.functions import measures, tags, text
-from counterfact.functions.batches import ShareScorer
 from counterfact.functions.batches import map_batches as _map_batches
 from counterfact.functions.batches import masked_scorer as _masked_scorer
+from counterfact.functions.batches import share_scorer
 from counterfact.operators import dictionary as terms
 from counterfact.operators import environments as envs
 from counterfact.operators import masking, packing, runlog, schedule, vocab
@@ -752,9 +752,8 @@ def masked_scorer(spark: SparkSession, d: str) -> DataFrame:
     counts = vocab.token_counts(corpus.document_lines(spark, d)).where(FREQUENT.contains(F.col("token")))
     # At most one row per term of the dictionary.
     by_term = dict.fromkeys(FREQUENT.terms, 0) | {row.token: row.n for row in counts.collect()}
-    alpha = float(ALPHA)
     hits = terms.mask_hits(terms.single_hits(corpus.conversation_lines(spark, d), FREQUENT))
-    scored = _masked_scorer(hits, lambda: ShareScorer(by_term, alpha))
+    scored = _masked_scorer(hits, share_scorer(by_term, float(ALPHA)))
     biased = scored.withColumn("p", measures.pair_probability(F.col("p1"), F.col("p2"))).where(F.col("p").isNotNull())
     return biased.select(
         "doc_id", "line_no", "target", _r("p1"), _r("p2"), F.round(measures.entropy_bias(F.col("p")), 6).alias("bias")
