@@ -1,6 +1,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from registry.oracles import ORACLES
+from registry.queries import QUERIES
 from tests.compare import connect, differences
 
 SF_DIR = entry.ENTRY_DIR
@@ -12,14 +14,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 2
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     got = entry.queries()[name](spark, SF_DIR).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
