@@ -6,11 +6,18 @@ beyond it. The tests hold each against a brute-force version, an exact round tri
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from counterfact.llm.bpe_automaton import encode_and_decode
 from counterfact.llm.quality_rules import quality_rules
+from counterfact.llm.secret_scan import secret_scan
 from counterfact.llm.simhash import near_duplicates
 
+#: Vocabulary file of the registered queries.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,3 +41,21 @@ def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules(documents(spark, d), carry=["doc_id"])
+
+
+@query
+def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the token ids and of the decoded text of every document."""
+    coded = encode_and_decode(documents(spark, d), TOKENIZER, carry=["doc_id"])
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets of every document; the source owns a document."""
+    return secret_scan(documents(spark, d), owner="source", repository="doc_id")
