@@ -1,17 +1,28 @@
-"""Pipeline over ``documents``: stages that pass a table of documents on, each written and read again."""
+"""Pipeline over ``documents``: stages that pass a table of documents on, each written and read again.
+
+Every stage but the last returns the columns of its documents. Columns of the table beside those of
+``documents`` are carried, whatever their names; a null text is a text without words.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from counterfact.llm.batches import quoted
+from counterfact.llm.bpe_automaton import encode_and_decode
+from counterfact.llm.decontamination import with_matches
+from counterfact.llm.pii import fit, tag_pii
 from counterfact.llm.quality_rules import quality_rules
+from counterfact.llm.queries import tokenizer_path
 from counterfact.llm.simhash import one_of_each
 from counterfact.llm.staging import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    judged = quality_rules(docs, prefix="_rules_").where("_rules_kept")
+    return judged.select(*map(quoted, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +30,41 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs, shingle=3, distance=2)
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    marked = with_matches(docs, benchmark, column="_copies")
+    return marked.where(F.size("_copies") == 0).select(*map(quoted, docs.columns))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the names of the kinds in place of personal data, and the new number of characters."""
+    marked = tag_pii(docs, fit(docs), redact=True, column="_redacted")
+    new = {"text": F.col("_redacted")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        size = F.char_length("_redacted").cast(kind)
+        new["n_chars"] = F.when(F.col("_redacted").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(size)
+    return marked.select(*[new.get(c, F.col(quoted(c))).alias(c) for c in docs.columns])
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    carry = [c for c in docs.columns if c != "text"]
+    coded = encode_and_decode(docs, tokenizer_path(), carry=carry)
+    return coded.drop("decoded")
+
+
+#: Name and function of each stage, in order.
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("redact", redact),
+    ("tokenize", tokenize),
+]
 
-#: No SQL: the stages use XXH64, suffix arrays, alignments and trained models.
+#: No SQL: the stages use suffix arrays, XXH64, alignments, a trained tagger and a tokenizer.
 ORACLE_SQL = None
 
 

@@ -42,14 +42,16 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(
+    buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of the first word of each text (one more at the end).
 
-    Words are runs of bytes other than the six ASCII spaces; they end with their text.
+    Words are runs of bytes that are not in ``gap`` (the six ASCII spaces); they end with their text.
     """
     n = len(buf)
     space = np.ones(n + 2, bool)
-    np.take(IS_SPACE, buf, out=space[1:-1])
+    np.take(gap, buf, out=space[1:-1])
     edges = np.flatnonzero(space[1:] != space[:-1])
     inner = offsets[(offsets > 0) & (offsets < n)]
     cut = inner[~space[inner] & ~space[inner + 1]]
@@ -60,19 +62,21 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def word_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = IS_SPACE) -> pa.Array:
     """The words as an Arrow array of binary values, without a Python object per word."""
     sizes = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=sizes[1:])
-    compact = buf[~IS_SPACE[buf]]
+    compact = buf[~gap[buf]]
     return pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(np.ascontiguousarray(compact))]
     )
 
 
-def word_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def word_ids(
+    buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, pa.Array]:
     """Number of every word among the distinct words of the batch, and these words. Exact, no hashing."""
-    coded = word_array(buf, starts, ends).dictionary_encode()
+    coded = word_array(buf, starts, ends, gap).dictionary_encode()
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 

@@ -26,10 +26,17 @@ WINDOW = 3
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
-COLUMNS = (
-    "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "base_failed boolean, kept boolean, covered_words bigint, longest_repeat bigint"
-)
+COLUMNS = {
+    "n_words": "bigint",
+    "word_chars": "bigint",
+    "n_symbols": "bigint",
+    "n_dup_lines": "bigint",
+    "n_repeat_words": "bigint",
+    "base_failed": "boolean",
+    "kept": "boolean",
+    "covered_words": "bigint",
+    "longest_repeat": "bigint",
+}
 
 
 @dataclass(frozen=True)
@@ -178,11 +185,12 @@ def measure(texts: pa.Array, limits: Limits) -> list[np.ndarray]:
 
 
 def quality_rules(
-    df: DataFrame, text: str = "text", limits: Limits = Limits(), carry: Sequence[str] | None = None
+    df: DataFrame, text: str = "text", limits: Limits = Limits(), carry: Sequence[str] | None = None, prefix: str = ""
 ) -> DataFrame:
     """The ``carry`` columns of every row (all, if not given) with the measures and verdicts of its text.
 
-    A row is judged where it lies; nothing is shuffled. Memory follows one part of a batch, or the longest
+    A carried column with the name of a measure gives way to it; ``prefix`` is set before the measures' names. A row is judged where it lies; nothing is shuffled. Memory follows one part of a batch, or the longest
     text.
     """
-    return with_text_columns(df, lambda: lambda texts: measure(texts, limits), COLUMNS, text, carry)
+    columns = ", ".join(f"`{prefix}{name}` {kind}" for name, kind in COLUMNS.items())
+    return with_text_columns(df, lambda: lambda texts: measure(texts, limits), columns, text, carry)

@@ -6,18 +6,17 @@ beyond it. The tests hold each against a brute-force version, an exact round tri
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterfact.llm.bpe_automaton import encode_and_decode
+from counterfact.llm.decontamination import contaminated
+from counterfact.llm.pii import fit as fit_pii
+from counterfact.llm.pii import tag_pii
 from counterfact.llm.quality_rules import quality_rules
 from counterfact.llm.secret_scan import secret_scan
 from counterfact.llm.simhash import near_duplicates
 
-#: Vocabulary file of the registered queries.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,6 +26,13 @@ def query(fn):
     return fn
 
 
+def tokenizer_path() -> str:
+    """Vocabulary file of the registered queries, on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
@@ -43,10 +49,17 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules(documents(spark, d), carry=["doc_id"])
 
 
+@query
+def op5_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data of every document; the tagger is fitted on a sample of 2,000 documents at most."""
+    docs = documents(spark, d)
+    return tag_pii(docs, fit_pii(docs), carry=["doc_id"])
+
+
 @query
 def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the token ids and of the decoded text of every document."""
-    coded = encode_and_decode(documents(spark, d), TOKENIZER, carry=["doc_id"])
+    coded = encode_and_decode(documents(spark, d), tokenizer_path(), carry=["doc_id"])
     return coded.select(
         "doc_id",
         "n_tokens",
@@ -55,6 +68,12 @@ def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, edited or not, with the item and the score."""
+    return contaminated(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 @query
 def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
     """Secrets of every document; the source owns a document."""
