@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from counterfact.llm import language_id, quality_ranking
 from counterfact.llm.bpe_automaton import encode_and_decode
 from counterfact.llm.decontamination import contaminated
 from counterfact.llm.pii import fit as fit_pii
@@ -49,6 +50,15 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules(documents(spark, d), carry=["doc_id"])
 
 
+@query
+def op4_quality_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every document; learned from 8,000 labelled documents of each label at most."""
+    docs, labels = documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")
+    held = quality_ranking.held_out()
+    ranked = quality_ranking.rank_quality(docs, quality_ranking.fit(docs, labels, ~held), carry=["doc_id"])
+    return ranked.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_pii(spark: SparkSession, d: str) -> DataFrame:
     """Personal data of every document; the tagger is fitted on a sample of 2,000 documents at most."""
@@ -56,6 +66,15 @@ def op5_pii(spark: SparkSession, d: str) -> DataFrame:
     return tag_pii(docs, fit_pii(docs), carry=["doc_id"])
 
 
+@query
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document; learned from 1,000 documents of each language at most."""
+    docs = documents(spark, d)
+    held = language_id.held_out()
+    found = language_id.identify(docs, language_id.fit(docs, ~held), carry=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query
 def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the token ids and of the decoded text of every document."""
