@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterfact.llm import language_id, quality_ranking
+from counterfact.llm import language_id, pitman_yor, quality_ranking
 from counterfact.llm.bpe_automaton import encode_and_decode
 from counterfact.llm.decontamination import contaminated
 from counterfact.llm.pii import fit as fit_pii
@@ -17,6 +17,7 @@ from counterfact.llm.pii import tag_pii
 from counterfact.llm.quality_rules import quality_rules
 from counterfact.llm.secret_scan import secret_scan
 from counterfact.llm.simhash import near_duplicates
+from counterfact.llm.token_packing import pack_texts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +51,12 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules(documents(spark, d), carry=["doc_id"])
 
 
+@query
+def op3_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document, packed into rows of 2,048."""
+    return pack_texts(documents(spark, d), tokenizer_path())
+
+
 @query
 def op4_quality_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Quality of every document; learned from 8,000 labelled documents of each label at most."""
@@ -75,6 +82,12 @@ def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op7_pitman_yor(spark: SparkSession, d: str) -> DataFrame:
+    """Log-probability of every document under the sampled model, and under counts with one added."""
+    return pitman_yor.score_texts(documents(spark, d), pitman_yor.held_out())
+
+
 @query
 def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the token ids and of the decoded text of every document."""
