@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterfact.llm.batches import quoted
+from counterfact.llm.batches import free_name, quoted
 from counterfact.llm.bpe_automaton import encode_and_decode
 from counterfact.llm.decontamination import with_matches
 from counterfact.llm.pii import fit, tag_pii
@@ -21,7 +21,10 @@ from counterfact.llm.staging import stage
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules(docs, prefix="_rules_").where("_rules_kept")
+    prefix = "_rules_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    judged = quality_rules(docs, prefix=prefix).where(F.col(f"{prefix}kept"))
     return judged.select(*map(quoted, docs.columns))
 
 
@@ -33,18 +36,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = with_matches(docs, benchmark, column="_copies")
-    return marked.where(F.size("_copies") == 0).select(*map(quoted, docs.columns))
+    copies = free_name(docs, "_copies")
+    marked = with_matches(docs, benchmark, column=copies)
+    return marked.where(F.size(copies) == 0).select(*map(quoted, docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the names of the kinds in place of personal data, and the new number of characters."""
-    marked = tag_pii(docs, fit(docs), redact=True, column="_redacted")
-    new = {"text": F.col("_redacted")}
+    column = free_name(docs, "_redacted")
+    marked = tag_pii(docs, fit(docs), redact=True, column=column)
+    new = {"text": F.col(column)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        size = F.char_length("_redacted").cast(kind)
-        new["n_chars"] = F.when(F.col("_redacted").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(size)
+        size = F.char_length(column).cast(kind)
+        new["n_chars"] = F.when(F.col(column).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(size)
     return marked.select(*[new.get(c, F.col(quoted(c))).alias(c) for c in docs.columns])
 
 

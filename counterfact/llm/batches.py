@@ -32,6 +32,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each; a null text is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

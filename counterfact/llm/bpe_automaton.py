@@ -17,23 +17,42 @@ Defined cases: a null or empty text has no tokens and decodes to an empty text;
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from counterfact.llm.batches import text_buffer, with_text_columns, word_bounds, word_ids
 
-# Fixed values of the word tokenizer: its white space and how it splits.
-WHITE_SPACE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPLIT = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
-)
+# Fixed values of the word tokenizer: its white space, and the contractions that it splits off.
+WHITE_SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
+def _ranges() -> dict[str, str]:
+    """For each category, or its first letter, its characters as ranges of a pattern's class."""
+    out: dict[str, str] = {}
+    kinds = map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))
+    at = 0
+    for kind, run in itertools.groupby(kinds):
+        first, at = at, at + sum(1 for _ in run)
+        for name in (kind, kind[0]):
+            out[name] = out.get(name, "") + f"\\U{first:08x}-\\U{at - 1:08x}"
+    return out
+
+
+_RANGES = _ranges()
+LETTERS, NUMBERS = _RANGES["L"], _RANGES["N"]
+SPLIT = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE_SPACE}{LETTERS}{NUMBERS}]+")
+#: Characters that this Python does not know; newer tables may class them otherwise.
+NOT_KNOWN = re.compile(f"[{_RANGES['Cn']}]")
 WORD_END = "</w>"
 
 
@@ -228,7 +247,7 @@ class SpecialSplit:
     def __init__(self, ids: dict[str, int]):
         self.ids = ids
         names = sorted(ids, key=len, reverse=True)
-        self.pattern = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.pattern = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def parts(self, word: str) -> list[str]:
         return self.pattern.split(word) if self.pattern and "<|" in word else [word]
@@ -245,12 +264,23 @@ def _pieces(word: str, split: SpecialSplit) -> list[str | int]:
     for part in split.parts(word):
         if part in split.ids:
             out.append(split.ids[part])
+        elif NOT_KNOWN.search(part):
+            out += _split_by_library(part)
         elif part:
             # Each character is lower-cased by itself, so a capital sigma never becomes a final one.
             out += SPLIT.findall(unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower())
     return out
 
 
+def _split_by_library(part: str) -> list[str]:
+    """The same for characters that are newer than this Python, with the tables of the tokenizers library."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    plain = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(part)
+    split = pre_tokenizers.Split(Regex(CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
+    return [piece for piece, _ in split.pre_tokenize_str(plain)]
+
+
 def _ragged(values: np.ndarray, firsts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of ``values`` that are chosen, one after the other, and their bounds."""
     sizes = (firsts[1:] - firsts[:-1])[chosen]

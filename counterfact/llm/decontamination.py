@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructType
 
-from counterfact.llm.batches import LOWER, quoted, text_buffer, with_text_columns, word_bounds, word_ids
+from counterfact.llm.batches import LOWER, free_name, quoted, text_buffer, with_text_columns, word_bounds, word_ids
 
 #: Words are runs of ASCII letters, digits and bytes of other letters.
 GAP = np.ones(256, bool)
@@ -263,7 +263,7 @@ def with_matches(
         return df.select(*map(quoted, keep), F.array().cast(ArrayType(each)).alias(column))
     for items in blocks:
         items.choose_seeds(_rates(df, text, items))
-    names = [f"{column}_{k}" for k in range(len(blocks))]
+    names = [free_name(df, f"{column}_{k}") for k in range(len(blocks))]
     out = StructType()
     for name in names:
         out = out.add(name, ArrayType(each))

@@ -154,12 +154,18 @@ def learn(x: np.ndarray, labels: Sequence[str], rule: Training) -> Coder:
 
 
 def fit(
-    df: DataFrame, learn_from: Column, id_col: str = "doc_id", lang: str = "lang", text: str = "text", rule: Training = Training()
+    df: DataFrame,
+    learn_from: Column,
+    id_col: str = "doc_id",
+    lang: str = "lang",
+    text: str = "text",
+    rule: Training = Training(),
 ) -> Coder:
     """A coder from the rows for which ``learn_from`` holds, ``rule.texts`` of each language at most."""
     ident = F.col(quoted(id_col))
     usable = df.where(learn_from & F.col(quoted(lang)).isNotNull() & F.col(quoted(text)).isNotNull())
-    usable = usable.select(ident.alias("id"), F.col(quoted(lang)).cast("string").alias("lang"), F.col(quoted(text)).alias("text"))
+    language = F.col(quoted(lang)).cast("string").alias("lang")
+    usable = usable.select(ident.alias("id"), language, F.col(quoted(text)).alias("text"))
     chosen = bucket_sample(usable, "id", rule.texts, ["lang"])
     texts = usable.join(F.broadcast(chosen), ["id", "lang"])
 

@@ -75,6 +75,12 @@ def _digits(value: str) -> str:
     return "".join(c for c in value if "0" <= c <= "9")
 
 
+def _byte(number: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    short = number.lstrip("0")
+    return len(short) <= 3 and int(short or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans (kind, start, end) of the base patterns, leftmost and not overlapping within a kind."""
     found = []
@@ -92,9 +98,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not DIGIT.search(text):
         return found
     if "." in text:
-        found += [
-            (1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))
-        ]
+        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_byte, m.group().split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _digits(m.group())
@@ -106,7 +110,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # Shapes of added spans; a span is stripped of spaces and punctuation at its ends first.
-_EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+\s?[(\[]?@[)\]]?\s?[A-Za-z0-9-]+(\s?(\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+)+")
+_EMAIL_SHAPE = re.compile(
+    r"[A-Za-z0-9._%+-]+\s?[(\[]?@[)\]]?\s?[A-Za-z0-9-]+(\s?(\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+)+"
+)
 _IP_SHAPE = re.compile(r"([0-9]{1,3})(?:\s?(?:\.|\[\.\]|\(\.\))\s?([0-9]{1,3})){3}")
 _PHONE_SHAPE = re.compile(r"[+(]?[0-9][\x20().0-9/-]+[0-9]")
 _PHONE_GROUPS = re.compile(r"[0-9]+")
@@ -120,10 +126,12 @@ def fits(kind: int, value: str) -> bool:
     if kind == 1:
         return bool(_IP_SHAPE.fullmatch(value)) and all(int(p) <= 255 for p in _PHONE_GROUPS.findall(value))
     if kind == 2:
-        return 16 <= len(digits) <= 19 and luhn(digits) and sum(not c.isalnum() for c in value) == len(value) - len(digits)
+        marks = sum(not c.isalnum() for c in value)
+        return 16 <= len(digits) <= 19 and luhn(digits) and marks == len(value) - len(digits)
     groups = _PHONE_GROUPS.findall(value)
     grouped = len(groups) >= 3 and max(map(len, groups)) <= 5
-    return 8 <= len(digits) <= 15 and grouped and bool(_PHONE_SHAPE.fullmatch(value)) and not re.search(r"\.[0-9]+\.[0-9]+\.", value)
+    dotted = re.search(r"\.[0-9]+\.[0-9]+\.", value)
+    return 8 <= len(digits) <= 15 and grouped and not dotted and bool(_PHONE_SHAPE.fullmatch(value))
 
 
 def symbols_of(text: str) -> np.ndarray:
@@ -178,16 +186,22 @@ def _made_up(kind: int, rng: np.random.Generator) -> str:
     number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     pick = lambda *options: options[int(rng.integers(0, len(options)))]
     if kind == 0:
-        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" @ ", " . "), ("(@)", "."), ("[@]", "[dot]"))
+        plain = ("@", ".")
+        at, dot = pick(plain, plain, plain, (" @ ", "."), (" @ ", " . "), ("(@)", "."), ("[@]", "[dot]"))
         name = word(int(rng.integers(2, 9))) + pick("", ".", "_", "-") + pick(number(2), word(4))
-        return name + at + word(int(rng.integers(3, 8))) + pick("", number(1)) + dot + pick("com", "org", "net", f"example{dot}com")
+        top = pick("com", "org", "net", f"example{dot}com")
+        return name + at + word(int(rng.integers(3, 8))) + pick("", number(1)) + dot + top
     if kind == 1:
         return pick(".", ".", "[.]", " . ").join(str(int(x)) for x in rng.integers(0, 256, 4))
     if kind == 2:
         digits = number(15)
         digits += next(str(c) for c in range(10) if luhn(digits + str(c)))
         return pick("", "", " ", "-", ".", "/").join(digits[i : i + 4] for i in range(0, 16, 4))
-    groups = pick(("+", "1", number(3), number(3), number(4)), ("", number(3), number(3), number(4)), ("+", number(2), number(3), number(4), number(2)))
+    groups = pick(
+        ("+", "1", number(3), number(3), number(4)),
+        ("", number(3), number(3), number(4)),
+        ("+", number(2), number(3), number(4), number(2)),
+    )
     if rng.random() < 0.5:
         groups = (*groups[:-3], f"({groups[-3]})", *groups[-2:])
     return groups[0] + pick(" ", "-", ".", " ").join(groups[1:])

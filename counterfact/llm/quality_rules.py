@@ -189,7 +189,8 @@ def quality_rules(
 ) -> DataFrame:
     """The ``carry`` columns of every row (all, if not given) with the measures and verdicts of its text.
 
-    A carried column with the name of a measure gives way to it; ``prefix`` is set before the measures' names. A row is judged where it lies; nothing is shuffled. Memory follows one part of a batch, or the longest
+    A carried column with the name of a measure gives way to it; ``prefix`` is set before the measures' names.
+    A row is judged where it lies; nothing is shuffled. Memory follows one part of a batch, or the longest
     text.
     """
     columns = ", ".join(f"`{prefix}{name}` {kind}" for name, kind in COLUMNS.items())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from counterfact.llm.batches import IS_SPACE, LOWER, quoted, text_buffer, with_text_columns, word_bounds
+from counterfact.llm.batches import IS_SPACE, LOWER, free_name, quoted, text_buffer, with_text_columns, word_bounds
 from counterfact.llm.components import components
 from counterfact.llm.shipping import ship
 from counterfact.llm.staging import partitions_for, stage
@@ -252,8 +252,7 @@ def spanning_links(a: np.ndarray, b: np.ndarray, distance: int, fan: int = 4) ->
         # Nodes whose members cannot differ in more bits: all are linked to one of them.
         whole = least + _ones(~shared) <= distance
         for x, y in zip(i[whole].tolist(), j[whole].tolist()):
-            mine, other = _below(x, level, len(ta[0][0]), len(ta), fan, ta), _below(y, level, len(tb[0][0]), len(tb), fan, tb)
-            group = np.concatenate([a[mine], b[other]])
+            group = np.concatenate([a[_below(x, level, fan, ta)], b[_below(y, level, fan, tb)]])
             left.append(np.full(len(group), group[0]))
             right.append(group)
         i, j = i[~whole], j[~whole]
@@ -266,11 +265,11 @@ def spanning_links(a: np.ndarray, b: np.ndarray, distance: int, fan: int = 4) ->
     return _forest(np.concatenate(left), np.concatenate(right))
 
 
-def _below(node: int, level: int, n: int, height: int, fan: int, tree: list) -> slice:
+def _below(node: int, level: int, fan: int, tree: list) -> slice:
     """Members below a node; a padded level has the root again."""
     while level and tree[level] is tree[level - 1]:
         level -= 1
-    return slice(node * fan**level, min(n, (node + 1) * fan**level))
+    return slice(node * fan**level, min(len(tree[0][0]), (node + 1) * fan**level))
 
 
 def _children(i: np.ndarray, j: np.ndarray, level: int, ta: list, tb: list, fan: int) -> tuple[np.ndarray, np.ndarray]:
@@ -371,20 +370,24 @@ def near_duplicates(
     )
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = 2) -> DataFrame:
+def one_of_each(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = 2
+) -> DataFrame:
     """The rows of ``df`` whose id is the least of its near duplicates, one row for an id.
 
     Rows without an id stay only if no row with an id is in their group.
     """
     found = near_duplicates(df, id_col, text, shingle, distance)
+    key, rows = free_name(df, "_kept"), free_name(df, "_rows")
+    ident = F.col(quoted(id_col))
     kept = stage(
-        found.where(F.col(quoted(id_col)).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(quoted(id_col)).alias("kept_id"))
-        .agg(F.count("*").alias("rows")),
+        found.where(ident.eqNullSafe(F.col("component_id")))
+        .groupBy(ident.alias(key))
+        .agg(F.count("*").alias(rows)),
         "kept",
     )
-    rows = df.join(kept, F.col(quoted(id_col)).eqNullSafe(F.col("kept_id")))
-    single = rows.where((F.col("rows") == 1) | F.col("kept_id").isNull()).select(*map(quoted, df.columns))
+    marked = df.join(kept, ident.eqNullSafe(F.col(key)))
+    columns = [F.col(quoted(c)) for c in df.columns]
     # Rows that share an id are rare; only they are moved by their id.
-    several = rows.where((F.col("rows") > 1) & F.col("kept_id").isNotNull()).select(*map(quoted, df.columns))
-    return single.unionByName(several.dropDuplicates([id_col]))
+    several = (F.col(rows) > 1) & F.col(key).isNotNull()
+    return marked.where(~several).select(*columns).union(marked.where(several).select(*columns).dropDuplicates([id_col]))
