@@ -59,7 +59,6 @@ king queen
 # The experiment grid.
 SEEDS = (0, 1, 2, 3, 4)
 P_ENV_A = ("0.1", "0.25", "0.5", "0.7", "0.9")
-LEARNING_RATES = ("1e-05", "5e-05")
 METHODS = ("eLM", "iLM")
 STEPS_PER_RUN = 2500
 BATCH_SIZE = 16
@@ -85,7 +84,6 @@ LOSS_GUARD = 100.0
 PROBABILITY_FLOOR = 1e-8
 DEFAULT_RATE = "1e-5"
 IGNORED_LABEL = -100
-VOCABULARY_SIZE = 30522
 
 MASK = "[MASK]"
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"

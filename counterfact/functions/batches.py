@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from counterfact import fixed
 
-Columns = dict[str, list]
+Columns = dict[str, pa.Array]
 Scorer = Callable[[Sequence[str], Sequence[str], Sequence[str]], tuple[Sequence, Sequence]]
 
 
@@ -22,8 +23,8 @@ def map_batches(
 ) -> DataFrame:
     """Apply ``fn`` to batches of columns; it may change the number of rows.
 
-    The output holds the columns of ``schema`` only. A batch ends at the end of a partition, so
-    ``fn`` must not depend on which rows share one.
+    Columns go in and come out as Arrow arrays. The output holds the columns of ``schema`` only. A batch
+    ends at the end of a partition, so ``fn`` must not depend on which rows share one.
     """
     out_type = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow_schema = to_arrow_schema(out_type)
@@ -31,9 +32,10 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, batch_rows):
-                columns = fn(batch.slice(start, batch_rows).to_pydict())
-                yield pa.RecordBatch.from_pydict(
-                    {f.name: columns[f.name] for f in arrow_schema}, schema=arrow_schema
+                part = batch.slice(start, batch_rows)
+                columns = fn(dict(zip(part.schema.names, part.columns)))
+                yield pa.RecordBatch.from_arrays(
+                    [columns[f.name].cast(f.type) for f in arrow_schema], schema=arrow_schema
                 )
 
     return df.mapInArrow(run, out_type)
@@ -68,17 +70,28 @@ def masked_scorer(
     )
 
 
-def share_scorer(term_counts: dict[str, int], alpha: float) -> Callable[[], Scorer]:
-    """Scorer from the frequencies of the dictionary terms, which are as few as the terms.
+def place_scorer(
+    counts: dict[tuple[str, bool], int], terms: Sequence[str], alpha: float, mask: str = fixed.MASK
+) -> Callable[[], Scorer]:
+    """Scorer that reads the masked line: the share of a term among all terms, at the beginning of a line if
+    no word stands before the mask, and inside a line otherwise.
 
-    It is made of closures, which reach the tasks by value, without this package on their path.
+    ``counts`` has the frequencies of the terms in both places, twice as many as terms at most. The scorer is
+    made of closures, which reach the tasks by value, without this package on their path.
     """
-    total = sum(term_counts.values()) + alpha * len(term_counts)
-    shares = {term: (n + alpha) / total for term, n in term_counts.items()}
+    shares = {}
+    for first in (True, False):
+        total = sum(counts.get((t, first), 0) for t in terms) + alpha * len(terms)
+        shares |= {(t, first): (counts.get((t, first), 0) + alpha) / total for t in terms}
+    word = re.compile(r"\w")
 
     def make_scorer() -> Scorer:
         def score(masked, targets, opposites):
-            return [shares.get(t) for t in targets], [shares.get(o) for o in opposites]
+            first = [word.search(line[: line.index(mask)]) is None for line in masked]
+            return (
+                [shares.get((t, f)) for t, f in zip(targets, first)],
+                [shares.get((o, f)) for o, f in zip(opposites, first)],
+            )
 
         return score
 

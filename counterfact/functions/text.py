@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,12 +41,15 @@ def masked_tokens(line: Column, mask: str = fixed.MASK) -> Column:
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
 
 
-def mask_word(line: Column, target: Column, mask: str = fixed.MASK) -> Column:
-    """Replace ``target``, as a whole word in any case, by the mask."""
-    pattern = F.concat(
-        F.lit(f"(?iu)(?<!{WORD_CLASS})"), target, F.lit(f"(?!{WORD_CLASS})")
-    )
-    return F.regexp_replace(line, pattern, F.lit(mask.replace("\\", "\\\\").replace("$", "\\$")))
+def mask_words(line: Column, terms: Sequence[str], mask: str = fixed.MASK) -> Column:
+    """Replace every term that stands as a whole word, in any case, by the mask.
+
+    One constant pattern holds all terms. Terms that are not words, with a dot for example, never stand as one.
+    """
+    whole = [t for t in terms if re.fullmatch(r"\w+", t)]
+    choice = "|".join(_quote_pattern(t) for t in sorted(whole, key=len, reverse=True))
+    pattern = f"(?iu)(?<!{WORD_CLASS})(?:{choice or '(?!)'})(?!{WORD_CLASS})"
+    return F.regexp_replace(line, F.lit(pattern), F.lit(mask.replace("\\", "\\\\").replace("$", "\\$")))
 
 
 def is_capitalised(token: Column) -> Column:

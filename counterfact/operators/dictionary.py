@@ -110,9 +110,14 @@ def swap_rate(lines: DataFrame, dictionary: TermDictionary, keys: tuple[str, ...
 
 
 def single_hits(lines: DataFrame, dictionary: TermDictionary) -> DataFrame:
-    """Lines with exactly one term, with that term and its opposite."""
+    """Lines with exactly one term, with that term and its opposite.
+
+    The words come out of an ``explode`` of one element, below which no filter is moved, so a line is taken
+    apart once.
+    """
+    split = F.array(F.struct(text.words(F.col("line")).alias("words")))
     return (
-        lines.withColumn("words", text.words(F.col("line")))
+        lines.select("*", F.inline(split))
         .withColumn("found", dictionary.hits(F.col("words")))
         .where(F.size("found") == 1)
         .withColumn("target", F.get("found", F.lit(0)))
@@ -121,10 +126,12 @@ def single_hits(lines: DataFrame, dictionary: TermDictionary) -> DataFrame:
     )
 
 
-def mask_hits(hits: DataFrame, mask: str = fixed.MASK) -> DataFrame:
-    """Mask the target of every line and give the position of the first mask, counted from 1."""
-    return (
-        hits.withColumn("masked", text.mask_word(F.col("line"), F.col("target"), mask))
-        .withColumn("mask_pos", F.array_position(text.masked_tokens(F.col("masked"), mask), mask))
-        .where(F.col("mask_pos") > 0)
+def mask_hits(hits: DataFrame, dictionary: TermDictionary, mask: str = fixed.MASK) -> DataFrame:
+    """Mask the target of every line and give the position of the first mask, counted from 1.
+
+    A line of ``single_hits`` has one term of the dictionary and the words beside it, so the place of the
+    target among the words is the place of the mask.
+    """
+    return hits.withColumn("masked", text.mask_words(F.col("line"), dictionary.terms, mask)).withColumn(
+        "mask_pos", F.array_position("words", F.col("target"))
     )

@@ -99,9 +99,10 @@ def experiment_grid(
 
 
 def pooled_train(env_lines: DataFrame) -> DataFrame:
-    """All lines of all environments under the pooled name, duplicates kept; ``part`` tells the
-    environment, for sinks that write one after the other."""
-    return env_lines.withColumnRenamed("env", "part").withColumn("env", F.lit(fixed.POOLED_ENV))
+    """All lines of all environments under the pooled name, duplicates kept. The columns stay, and ``part``
+    tells the environment a line comes from: in order of ``part``, one environment follows the other."""
+    pooled = env_lines.withColumn("part", F.col("env"))
+    return pooled.withColumn("env", F.lit(fixed.POOLED_ENV))
 
 
 def env_list(env_lines: DataFrame, pooled: bool = False) -> DataFrame:

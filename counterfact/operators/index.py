@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 
 from counterfact.staging import stage
 
-# Rows a bucket should hold, the number of buckets whose first numbers may be broadcast, and the
-# number of buckets that have borders.
+# Rows a bucket should hold.
 ROWS_PER_BUCKET = 500_000
-MAX_BROADCAST_BUCKETS = 1_000_000
-MAX_RANGES = 10_000
 _BUCKET = "_bucket"
 _FIRST = "_first"
 
@@ -29,25 +26,19 @@ def bucket_count(spark: SparkSession, n_rows: int) -> int:
 
 
 def number_in_buckets(
-    df: DataFrame,
-    groups: Sequence[str],
-    order: Sequence[str | Column],
-    n_buckets: int,
-    name: str = "idx",
-    below: int | None = None,
+    df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "idx", below: int | None = None
 ) -> DataFrame:
     """Number rows from 0 per group, given an order-keeping ``_bucket`` column.
 
     With ``below``, only numbers under it are kept; buckets that start later are dropped before the
-    rows are sorted.
+    rows are sorted. The first numbers are one row per group and bucket; the planner sends them to all
+    tasks while they are few and joins them otherwise.
     """
     sizes = df.groupBy(*groups, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
         Window.partitionBy(*groups).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     firsts = sizes.select(*groups, _BUCKET, (F.sum("_n").over(earlier) - F.col("_n")).alias(_FIRST))
-    if n_buckets <= MAX_BROADCAST_BUCKETS:
-        firsts = F.broadcast(firsts)
     placed = df.join(firsts, [*groups, _BUCKET])
     if below is not None:
         placed = placed.where(F.col(_FIRST) < below)
@@ -70,47 +61,26 @@ def shuffled_index(
     """Number rows in the order of a hex digest column, which spreads evenly over the buckets."""
     head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     bucketed = df.withColumn(_BUCKET, F.shiftright(head * F.lit(n_buckets), 32))
-    return number_in_buckets(bucketed, groups, [digest, *ties], n_buckets, name, below)
+    return number_in_buckets(bucketed, groups, [digest, *ties], name, below)
 
 
 def ranged_index(
     df: DataFrame,
     groups: Sequence[str],
-    key: str,
-    order: Sequence[str],
-    n_buckets: int,
+    order: Sequence[str | Column],
+    n_rows: int | None = None,
     name: str = "idx",
-    key_source: DataFrame | None = None,
 ) -> DataFrame:
-    """Number rows in the order of a numeric key and further columns.
+    """Number rows per group in any order of columns of any type.
 
-    Bucket borders are approximate percentiles of the key, taken from ``key_source`` where the bare
-    keys are cheaper to read than ``df``. They come to the driver and are at most ``MAX_RANGES``.
+    The rows are split into ranges over the groups and all columns of the order, as many as the number
+    of rows asks for, and written once so that the borders cannot move.
     """
-    n_buckets = min(n_buckets, MAX_RANGES)
-    borders: list = []
-    if n_buckets > 1:
-        shares = [i / n_buckets for i in range(1, n_buckets)]
-        source = df if key_source is None else key_source
-        found = source.select(F.percentile_approx(key, shares, max(10_000, 10 * n_buckets))).first()[0]
-        borders = sorted(set(found or []))
-    return number_in_buckets(df.withColumn(_BUCKET, _range_bucket(key, borders)), groups, list(order), n_buckets, name)
-
-
-def _range_bucket(key: str, borders: list) -> Column:
-    """Number of borders below the key, found in two steps: the block of borders, then inside it."""
-    if not borders:
-        return F.lit(0)
-    width = max(1, round(len(borders) ** 0.5))
-    blocks = [borders[i : i + width] for i in range(0, len(borders), width)]
-    full = F.size(F.filter(F.lit([block[-1] for block in blocks]), lambda b: b < F.col(key)))
-    inside = F.get(F.array(*[F.lit(block) for block in blocks]), full)
-    return full * width + F.coalesce(F.size(F.filter(inside, lambda b: b < F.col(key))), F.lit(0))
+    n_buckets = bucket_count(df.sparkSession, df.count() if n_rows is None else n_rows)
+    ranged = df.repartitionByRange(n_buckets, *groups, *order).withColumn(_BUCKET, F.spark_partition_id())
+    return number_in_buckets(stage(ranged, "ranged"), groups, list(order), name)
 
 
 def sorted_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
-    """Number rows of any order: range partitions, written once so that borders cannot move."""
-    ranged = df.repartitionByRange(*order).withColumn(_BUCKET, F.spark_partition_id())
-    written = stage(ranged, "ranged")
-    n_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return number_in_buckets(written, [], list(order), n_buckets, name)
+    """Number all rows in an order."""
+    return ranged_index(df, [], order, name=name)

@@ -14,14 +14,22 @@ from counterfact.functions.measures import unguarded_perplexity
 STRETCH = 10_000
 
 
-def epoch_env_loss(log: DataFrame) -> DataFrame:
-    """Mean loss and number of updates per epoch and environment."""
-    return log.groupBy("epoch", "env").agg(F.avg("loss").alias("avg_loss"), F.count("loss").alias("n_updates"))
+def epoch_env_loss(log: DataFrame, envs: Sequence[str]) -> DataFrame:
+    """Mean loss and number of updates per epoch and named environment; NULL and 0 without updates."""
+    found = log.groupBy("epoch", "env").agg(F.avg("loss").alias("avg_loss"), F.count("loss").alias("n_updates"))
+    names = F.explode(F.array(*[F.lit(e) for e in envs])).alias("env")
+    cells = found.select("epoch").distinct().select("epoch", names)
+    return cells.join(found, ["epoch", "env"], "left").select(
+        "epoch", "env", "avg_loss", F.coalesce("n_updates", F.lit(0)).alias("n_updates")
+    )
 
 
-def round_loss(log: DataFrame) -> DataFrame:
-    """Mean loss per round, 0 without updates."""
-    return log.groupBy("epoch", "round").agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("avg_loss"))
+def round_loss(log: DataFrame, rounds: DataFrame | None = None) -> DataFrame:
+    """Mean loss per round, 0 without updates. ``rounds`` lists the rounds ``(epoch, round)`` that were run."""
+    found = log.groupBy("epoch", "round").agg(F.avg("loss").alias("avg_loss"))
+    if rounds is not None:
+        found = rounds.select("epoch", "round").distinct().join(found, ["epoch", "round"], "left")
+    return found.select("epoch", "round", F.coalesce("avg_loss", F.lit(0.0)).alias("avg_loss"))
 
 
 def batch_mean_loss(losses: DataFrame) -> DataFrame:
@@ -92,19 +100,36 @@ def best_checkpoint(evals: DataFrame, keys: Sequence[str] = ("run",)) -> DataFra
 
 
 def loss_history(log: DataFrame, envs: Sequence[str]) -> DataFrame:
-    """Mean loss with one row per epoch and one column per environment; NULL without data."""
-    return log.groupBy("epoch").pivot("env", list(envs)).agg(F.avg("loss"))
+    """Mean loss with one row per epoch, counted from 1, and one column per environment; NULL without data."""
+    wide = log.groupBy("epoch").pivot("env", list(envs)).agg(F.avg("loss"))
+    return wide.withColumn("epoch", F.col("epoch") + 1)
+
+
+def round_log(
+    log: DataFrame, val_loss: DataFrame, interval: int = fixed.LOG_INTERVAL, keys: Sequence[str] = ("run",)
+) -> DataFrame:
+    """Log rows of a per-environment run: at the end of a round whose last step is a multiple of the interval,
+    with the mean loss of the round."""
+    rounds = log.groupBy(*keys, "epoch", "round").agg(
+        F.max("step").alias("global_step"), F.coalesce(F.avg("loss"), F.lit(0.0)).alias("train_loss")
+    )
+    return _log_rows(rounds.where(F.col("global_step") % interval == 0), val_loss)
 
 
 def training_log(log: DataFrame, val_loss: DataFrame | None = None, interval: int = fixed.LOG_INTERVAL) -> DataFrame:
-    """Log rows ``(run, epoch, global_step, train_loss, val_loss, perplexity)`` at the logged steps."""
+    """Log rows of a pooled run: at the logged steps, with the mean loss since the start of the epoch."""
     rows = loss_by_step_interval(log, interval).select(
         "run", "epoch", F.col("step").alias("global_step"), F.col("running_loss").alias("train_loss")
     )
+    return _log_rows(rows, val_loss)
+
+
+def _log_rows(rows: DataFrame, val_loss: DataFrame | None) -> DataFrame:
+    """Rows ``(run, epoch, global_step, train_loss, val_loss, perplexity)``, epochs counted from 1."""
     if val_loss is None:
         rows = rows.withColumn("val_loss", F.lit(None).cast("double"))
     else:
         rows = rows.join(val_loss, ["run", "global_step"], "left")
     return rows.withColumn("perplexity", unguarded_perplexity(F.col("val_loss"))).select(
-        "run", "epoch", "global_step", "train_loss", "val_loss", "perplexity"
+        "run", (F.col("epoch") + 1).alias("epoch"), "global_step", "train_loss", "val_loss", "perplexity"
     )

@@ -110,11 +110,15 @@ def round_robin_schedule(
     batch_size: int = fixed.BATCH_SIZE,
     accumulation: int = fixed.ACCUMULATION,
 ) -> DataFrame:
-    """Steps that visit the environments in turn: in round r, batch r of each, in order of name."""
-    counted = sizes.where(F.col("n") > 0).collect()
+    """Steps that visit the environments in turn: in round r, batch r of each, in order of name.
+
+    An environment without examples has no turn: the plan counts the others only.
+    """
+    filled = sizes.where(F.col("n") > 0)
+    counted = filled.collect()
     if not counted:
         raise ValueError("all training environments are empty")
-    plan = plan_row(round_plan(sizes, batch_size, accumulation, nb_steps, num_epochs))
+    plan = plan_row(round_plan(filled, batch_size, accumulation, nb_steps, num_epochs))
     envs = sorted(row.env for row in counted)
     per_epoch = min(plan.rounds, -(-plan.max_steps // len(envs)))
     batches = shuffled_batches(
@@ -153,10 +157,18 @@ def rank_shards(numbered: DataFrame, world_size: int) -> DataFrame:
     return numbered.withColumn("rank", F.pmod(F.col("idx"), F.lit(world_size)).cast("int"))
 
 
-def log_steps(schedule: DataFrame, interval: int = fixed.LOG_INTERVAL, n_env: int | None = None) -> DataFrame:
-    """Steps at which a run is logged; with ``n_env``, only steps that end a round."""
+def log_steps(
+    schedule: DataFrame, interval: int = fixed.LOG_INTERVAL, n_env: int | None = None, max_steps: int | None = None
+) -> DataFrame:
+    """Steps at which a run is logged; with ``n_env``, only steps that end a round.
+
+    The step limit ``max_steps`` cuts a round short and so ends it too.
+    """
     steps = schedule.select("epoch", "step").distinct().where(F.col("step") % interval == 0)
-    return steps if n_env is None else steps.where(F.col("step") % n_env == 0)
+    if n_env is None:
+        return steps
+    ends = F.col("step") % n_env == 0
+    return steps.where(ends if max_steps is None else ends | (F.col("step") == max_steps))
 
 
 def checkpoint_steps(schedule: DataFrame, every: int) -> DataFrame:

@@ -5,21 +5,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfact import fixed
 from counterfact.functions import text
 from counterfact.operators.index import sorted_index
+from counterfact.staging import stage
 
 UNK_ID = fixed.SPECIAL_TOKENS.index(fixed.UNK)
 CLS_ID = fixed.SPECIAL_TOKENS.index(fixed.CLS)
 SEP_ID = fixed.SPECIAL_TOKENS.index(fixed.SEP)
 MASK_ID = fixed.SPECIAL_TOKENS.index(fixed.MASK)
 N_SPECIAL = len(fixed.SPECIAL_TOKENS)
+MISSING = -1
 
-# Largest vocabulary that may be sent to every task.
-MAX_BROADCAST_WORDS = 200_000
+# Words that are looked up without moving a row: the most frequent ones, which are the hot keys of a join.
+FREQUENT_WORDS = 50_000
 
 
 def line_tokens(lines: DataFrame, *keys: str) -> DataFrame:
@@ -34,19 +36,10 @@ def token_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def build_vocab(lines: DataFrame, max_size: int | None = None) -> DataFrame:
-    """Rows ``(token, n, token_id)``: special tokens first, then words by falling count and by name.
-
-    With ``max_size``, the vocabulary holds that many entries, special tokens included, and other
-    words are unknown; without, every word is an entry.
-    """
-    counts = token_counts(lines)
-    order = [F.desc("n"), F.asc("token")]
-    if max_size is None:
-        numbered = sorted_index(counts, order)
-    else:
-        kept = counts.orderBy(*order).limit(max_size - N_SPECIAL)
-        numbered = kept.withColumn("idx", F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
+def build_vocab(lines: DataFrame) -> DataFrame:
+    """Rows ``(token, n, token_id)``: special tokens first, then all words by falling count and by name."""
+    counts = stage(token_counts(lines), "token_counts")
+    numbered = sorted_index(counts, [F.desc("n"), F.asc("token")])
     words = numbered.select("token", "n", (F.col("idx") + N_SPECIAL).alias("token_id"))
     special = lines.sparkSession.createDataFrame(
         [(t, 0, i) for i, t in enumerate(fixed.SPECIAL_TOKENS)], "token string, n bigint, token_id bigint"
@@ -54,29 +47,48 @@ def build_vocab(lines: DataFrame, max_size: int | None = None) -> DataFrame:
     return special.unionByName(words)
 
 
-def encode_tokens(lines: DataFrame, vocab: DataFrame, keys: tuple[str, ...], max_size: int) -> DataFrame:
+def encode_tokens(lines: DataFrame, vocab: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Keys and ``ids``: the start mark, the id of every word, the end mark.
 
-    A vocabulary within ``MAX_BROADCAST_WORDS`` is sent to the tasks and looked up by batches of
-    lines, so no row is moved. A larger one is joined.
+    The first ``FREQUENT_WORDS`` words of the vocabulary are sent to the tasks and looked up by batches of
+    lines. What they do not hold is exploded, joined with the rest of the vocabulary and filled in; no
+    frequent word is a key of that join. A vocabulary without a rest needs no join. Words that the
+    vocabulary does not hold are unknown. ``keys`` name a line; ``vocab`` is best a written table.
     """
-    if max_size > MAX_BROADCAST_WORDS:
-        return encode_by_join(lines, vocab, keys)
     spark = lines.sparkSession
-    rows = vocab.where(F.col("token_id") >= N_SPECIAL).select("token", "token_id").limit(max_size).collect()
-    table = spark.sparkContext.broadcast(({r.token: i for i, r in enumerate(rows)}, [r.token_id for r in rows]))
-    return lines.select(*keys, _id_lookup(table)(text.words(F.col("line"))).alias("ids"))
+    words = vocab.where(F.col("token_id") >= N_SPECIAL).select("token", "token_id")
+    border = N_SPECIAL + FREQUENT_WORDS
+    rest = words.where(F.col("token_id") >= border)
+    rows = words.where(F.col("token_id") < border).collect()
+    table = spark.sparkContext.broadcast(([r.token for r in rows], [r.token_id for r in rows]))
+    split = lines.select(*keys, text.words(F.col("line")).alias("_words"))
+    if rest.isEmpty():
+        return split.select(*keys, _id_lookup(table, UNK_ID)("_words").alias("ids"))
+    found = split.select(*keys, "_words", _id_lookup(table, MISSING)("_words").alias("ids"))
+    # The ids have the start mark before them, so the word of a place is one earlier.
+    open_places = F.filter(F.sequence(F.lit(1), F.size("_words") + 1), lambda i: F.get("ids", i) == MISSING)
+    missing = found.where(F.array_contains("ids", MISSING)).select(*keys, "_words", F.explode(open_places).alias("pos"))
+    tokens = missing.select(*keys, "pos", F.get("_words", F.col("pos") - 1).alias("token"))
+    named = tokens.join(rest, "token", "left").select(
+        *keys, F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).cast("int").alias("id")).alias("t")
+    )
+    filled = named.groupBy(*keys).agg(F.array_sort(F.collect_list("t"))["id"].alias("_fill"))
+    return found.select(*keys, "ids").join(filled, list(keys), "left").select(*keys, _filler()("ids", "_fill").alias("ids"))
 
 
-def _id_lookup(table):
+def _id_lookup(table, unknown: int):
     """Function from arrays of words to arrays of ids, over whole Arrow batches."""
+    value_set: list = []  # made once per task
 
     def look_up(words: pa.Array) -> pa.Array:
-        positions, ids = table.value
+        if not value_set:
+            tokens, ids = table.value
+            value_set.extend([pa.array(tokens, pa.string()), pa.array([*ids, unknown], pa.int32())])
+        tokens, ids = value_set
         flat = words.flatten()
-        found = pc.index_in(flat, value_set=pa.array(list(positions), flat.type))
-        known = pc.fill_null(pc.take(pa.array([*ids, UNK_ID], pa.int32()), pc.fill_null(found, len(ids))), UNK_ID)
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype("int64")
+        found = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=tokens), len(tokens))
+        known = pc.take(ids, found)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype("int64")
         ends = np.cumsum(sizes + 2)
         starts = ends - sizes - 2
         out = np.empty(int(ends[-1]) if len(ends) else 0, dtype="int32")
@@ -89,20 +101,14 @@ def _id_lookup(table):
     return F.arrow_udf(look_up, "array<int>")
 
 
-def encode_by_join(lines: DataFrame, vocab: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``encode_tokens`` for a vocabulary of any size; ids are gathered per line."""
-    ids = vocab.where(F.col("token_id") >= N_SPECIAL).select("token", "token_id")
-    tokens = lines.select(*keys, F.posexplode_outer(text.words(F.col("line"))).alias("pos", "token"))
-    found = tokens.join(ids, "token", "left").select(
-        *keys,
-        F.when(
-            F.col("pos").isNotNull(),
-            F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).cast("int").alias("id")),
-        ).alias("t"),
-    )
-    return found.groupBy(*keys).agg(with_marks(F.array_sort(F.collect_list("t"))["id"]).alias("ids"))
+def _filler():
+    """Function that fills the missing ids of arrays in order."""
 
+    def fill_in(ids: pa.Array, fill: pa.Array) -> pa.Array:
+        flat = ids.flatten().to_numpy().copy()
+        flat[flat == MISSING] = fill.flatten().to_numpy()
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
+        return pa.ListArray.from_arrays(bounds, pa.array(flat, pa.int32()))
 
-def with_marks(ids: Column) -> Column:
-    """Array of ids between the start and end marks."""
-    return F.concat(F.array(F.lit(CLS_ID)), ids, F.array(F.lit(SEP_ID)))
+    return F.arrow_udf(fill_in, "array<int>")

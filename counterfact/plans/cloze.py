@@ -57,9 +57,10 @@ def fit_pooled(env_lines: DataFrame, context: str = "left") -> DataFrame:
     return line_pairs(env_lines, (), context).groupBy("ctx", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pool_counts(counts: DataFrame) -> DataFrame:
-    """Pooled counts from counts per environment."""
-    return counts.groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+def pool_counts(counts: DataFrame, env: str = fixed.POOLED_ENV) -> DataFrame:
+    """Counts of one pooled environment from counts per environment."""
+    pooled = counts.groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+    return pooled.select(F.lit(env).alias("env"), "ctx", "word", "n")
 
 
 def vocabulary_size(counts: DataFrame, dictionary: TermDictionary) -> int:
@@ -93,14 +94,16 @@ def candidate_scores(
         "opposite",
         F.explode(F.array("target", "opposite")).alias("word"),
     ).withColumn("env", F.explode(F.array(*[F.lit(e) for e in envs])))
+    # The counts are cut down to the contexts and words of the items before anything else is done with them.
     here = counts.where(F.col("env").isin(list(envs)))
-    # Totals are needed for the contexts of the items only.
+    asked = wanted.select("ctx", "word").distinct()
+    found = here.join(asked, ["ctx", "word"], "left_semi")
     totals = (
-        here.join(items.select("ctx").distinct(), "ctx", "left_semi")
+        here.join(asked.select("ctx").distinct(), "ctx", "left_semi")
         .groupBy("env", "ctx")
         .agg(F.sum("n").alias("n_ctx"))
     )
-    scored = wanted.join(here, ["env", "ctx", "word"], "left").join(totals, ["env", "ctx"], "left")
+    scored = wanted.join(found, ["env", "ctx", "word"], "left").join(totals, ["env", "ctx"], "left")
     n, n_ctx = F.coalesce("n", F.lit(0)), F.coalesce("n_ctx", F.lit(0))
     return scored.select(
         "env",

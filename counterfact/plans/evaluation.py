@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,20 @@ from counterfact import fixed
 from counterfact.functions import text
 from counterfact.functions.draws import draw_below
 from counterfact.functions.measures import perplexity
-from counterfact.operators.index import bucket_count, ranged_index
+from counterfact.operators.index import ranged_index
 from counterfact.plans.cloze import context_pairs
 from counterfact.plans.grid import GridModel
 from counterfact.staging import stage
 
+# A key with more than one in so many rows is broadcast, so there are fewer of them than this.
+FREQUENT_SHARE = 10_000
+
 CELL_KEYS = ("seed", "p_env_a", "alpha", "method")
 
 
 def eval_batches(lines: DataFrame, batch_size: int = fixed.EVAL_BATCH_SIZE) -> DataFrame:
     """Lines in corpus order with the number of their batch."""
-    n_buckets = bucket_count(lines.sparkSession, lines.count())
-    numbered = ranged_index(lines, [], "doc_id", ["doc_id", "line_no"], n_buckets)
+    numbered = ranged_index(lines, [], ["doc_id", "line_no"])
     return numbered.withColumn("batch", F.floor(F.col("idx") / batch_size).cast("bigint")).drop("idx")
 
 
@@ -40,14 +44,35 @@ def masked_positions(
 def position_losses(model: GridModel, positions: DataFrame) -> DataFrame:
     """Negative log-likelihood of every chosen position in every cell of the grid.
 
-    Probabilities are computed per distinct ``(ctx, word)``. Equal positions of a batch are counted
-    before the join, so a frequent pair is one row per batch; what skew remains is left to the
-    skew join of the adaptive planner.
+    Probabilities are computed per distinct ``(ctx, word)`` and stay one row of it, with an array over the
+    cells, until they have met the positions. Equal positions of a batch are counted before.
     """
     keys = [c for c in positions.columns if c not in ("doc_id", "line_no", "pos")]
     counted = stage(positions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_positions")), "positions")
-    probs = model.score_words(counted.select("ctx", "word").distinct())
-    return counted.join(probs, ["ctx", "word"]).withColumn("loss", -F.log("prob"))
+    asked = stage(counted.groupBy("ctx", "word").agg(F.count(F.lit(1)).alias("n_rows")), "asked")
+    cell = F.struct(*CELL_KEYS, (-F.log("prob")).alias("loss"))
+    scored = model.score_words(asked.select("ctx", "word")).groupBy("ctx", "word").agg(
+        F.collect_list(cell).alias("cells")
+    )
+    return join_frequent(counted, stage(scored, "losses"), asked, ["ctx", "word"]).select(
+        *keys, "n_positions", F.inline("cells")
+    )
+
+
+def join_frequent(many: DataFrame, one: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join rows with a table that has one row per key, without sending the rows of a frequent key to one task.
+
+    ``asked`` has the number of rows ``n_rows`` of every key. A key that has more than one in ``FREQUENT_SHARE``
+    of all rows is frequent; there are fewer than ``FREQUENT_SHARE`` of these, so their rows of ``one`` are
+    broadcast, and all others are joined by a shuffle.
+    """
+    total = asked.agg(F.sum("n_rows")).first()[0] or 0
+    often = F.broadcast(asked.where(F.col("n_rows") * FREQUENT_SHARE > total).select(*keys))
+    hot = one.join(often, list(keys), "left_semi")
+    return (
+        many.join(F.broadcast(hot), list(keys))
+        .unionByName(many.join(often, list(keys), "left_anti").join(one, list(keys)))
+    )
 
 
 def masked_cross_entropy(losses: DataFrame) -> DataFrame:

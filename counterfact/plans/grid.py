@@ -9,7 +9,7 @@ counts, after they have been cut down to what is asked for.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,10 +75,15 @@ class GridModel:
     dictionary: TermDictionary
     counts: DataFrame
     context: str = "left"
+    sizes: DataFrame | None = None
 
     def vocab_sizes(self) -> DataFrame:
-        """Vocabulary size per seed and p. A bit per p marks the words of a cell, so one aggregation
-        over the words serves all cells."""
+        """Vocabulary size per seed and p: the table written when the model was fitted, if there is one."""
+        return self.sizes if self.sizes is not None else self.count_vocabulary()
+
+    def count_vocabulary(self) -> DataFrame:
+        """The same from the counts. A bit per p marks the words of a cell, so one aggregation over the words
+        serves all cells."""
         js = range(len(self.grid.p_values))
         extra = len(self.dictionary) + 1
         masks, sums, sizes = [], [], []
@@ -251,7 +256,8 @@ def fit_grid(
             sums.append(F.expr(f"sum(if({in_a}, keep, 0)) AS a{i}_{j}"))
             sums.append(F.expr(f"sum(if({in_a}, 0, swap)) AS b{i}_{j}"))
     counts = pairs.groupBy("ctx", "word").agg(*sums)
-    return GridModel(grid, dictionary, stage(counts, "counts"), context)
+    model = GridModel(grid, dictionary, stage(counts, "counts"), context)
+    return replace(model, sizes=stage(model.count_vocabulary(), "vocab_sizes"))
 
 
 def grid_items(model: GridModel, test_lines: DataFrame) -> DataFrame:
@@ -272,20 +278,15 @@ def grid_summary(model: GridModel, test_lines: DataFrame) -> DataFrame:
     """Lines, mean and sample deviation of the bias per (p, alpha, method), over seeds.
 
     Distinct items carry their number of lines as weight, so the lines are not fanned out over the
-    cells.
+    cells. The squares are taken around the mean, which is known first, so no digits are lost.
     """
     items = stage(cloze.distinct_items(grid_items(model, test_lines)), "items")
-    scored = model.score_items(items)
-    n, bias = F.col("n_lines"), F.col("bias")
-    sums = scored.groupBy("p_env_a", "alpha", "method").agg(
-        F.sum(n).alias("n_scored"), F.sum(n * bias).alias("_s"), F.sum(n * bias * bias).alias("_q")
-    )
-    spread = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("n_scored"), F.lit(0.0))
-    return sums.select(
-        "p_env_a",
-        "alpha",
-        "method",
-        "n_scored",
-        (F.col("_s") / F.col("n_scored")).alias("mean_bias"),
-        F.when(F.col("n_scored") > 1, F.sqrt(spread / (F.col("n_scored") - 1))).alias("std_bias"),
-    )
+    keys = ["p_env_a", "alpha", "method"]
+    scored = stage(model.score_items(items).select(*keys, "n_lines", "bias"), "scored")
+    n, bias, mean = F.col("n_lines"), F.col("bias"), F.col("mean_bias")
+    means = scored.groupBy(*keys).agg(F.sum(n).alias("n_scored"), (F.sum(n * bias) / F.sum(n)).alias("mean_bias"))
+    # One row per cell of the grid, whose size the constructor bounds.
+    apart = scored.join(F.broadcast(means), keys).groupBy(*keys, "n_scored", "mean_bias")
+    squares = apart.agg(F.sum(n * (bias - mean) * (bias - mean)).alias("_q"))
+    deviation = F.when(F.col("n_scored") > 1, F.sqrt(F.col("_q") / (F.col("n_scored") - 1)))
+    return squares.select(*keys, "n_scored", "mean_bias", deviation.alias("std_bias"))

@@ -38,11 +38,6 @@ def missing_cells(cells: DataFrame, present: DataFrame, keys: Sequence[str]) ->
     return cells.join(present.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def present_cells(cells: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells with data."""
-    return cells.join(present.select(*keys).distinct(), list(keys), "left_semi")
-
-
 def pending_runs(cells: DataFrame, completed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells that are not completed; a cell is completed by its success mark, not by its folder."""
     return cells.join(completed.select(*keys).distinct(), list(keys), "left_anti")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from counterfact import fixed
 from counterfact.functions.measures import format4
@@ -27,17 +28,48 @@ def write_splits(cell_lines: DataFrame, folder: str) -> None:
     )
 
 
-def export_split_text(
-    env_lines: DataFrame, folder: str, validation: DataFrame | None = None, test: DataFrame | None = None
-) -> None:
-    """Text layout of one cell: environments, pooled lines, validation and test lines."""
-    for env in (fixed.ENV_A, fixed.ENV_B):
-        env_lines.where(F.col("env") == env).select("line").write.text(f"{folder}/{env}.txt")
-    env_lines.select("line").write.text(f"{folder}/train_env/{fixed.POOLED_ENV}.txt")
-    if validation is not None:
-        validation.select("line").write.text(f"{folder}/val_env/val_ind.txt")
-    if test is not None:
-        test.select("line").write.text(f"{folder}/val_env/test.txt")
+def split_files(cell_lines: DataFrame, validation: DataFrame, test: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows ``(seed, p_env_a, file, part, doc_no, doc_id, line_no, line)`` of all text files of all cells.
+
+    Documents are in order of ``doc_no``, their number if they have one, then of ``doc_id`` as text.
+
+    A line of training text is in the file of its environment and in the pooled file, where ``part`` puts
+    environment A before B. Validation and test text are the same for every cell ``(seed, p_text)``.
+    """
+    keys = ["seed", F.col("p_text").alias("p_env_a")]
+
+    def place(lines: DataFrame) -> list:
+        number = F.col("doc_id") if isinstance(lines.schema["doc_id"].dataType, IntegralType) else F.lit(None)
+        return [number.cast("bigint").alias("doc_no"), F.col("doc_id").cast("string").alias("doc_id"), "line_no", "line"]
+
+    files = F.explode(F.array(F.col("env"), F.lit(fixed.POOLED_ENV))).alias("file")
+    train = cell_lines.select(*keys, files, F.col("env").alias("part"), *place(cell_lines))
+    held = validation.select(F.lit(f"{fixed.VAL_PREFIX}ind").alias("file"), *place(validation)).unionByName(
+        test.select(F.lit("test").alias("file"), *place(test))
+    )
+    # The cells are a setting of the experiment; every one gets the same held-out text.
+    cell_list = [F.struct(F.lit(r["seed"]).alias("seed"), F.lit(r["p_text"]).alias("p_env_a")) for r in cells.collect()]
+    copied = held.select(F.explode(F.array(*cell_list)).alias("_c"), "*").select(
+        "_c.seed", "_c.p_env_a", "file", F.lit("").alias("part"), "doc_no", "doc_id", "line_no", "line"
+    )
+    return train.unionByName(copied)
+
+
+def export_split_text(rows: DataFrame, folder: str) -> None:
+    """Text of all files of all cells in one job, a folder for each seed, p and file.
+
+    The rows are split into ranges over the files and the order inside them, so that the parts of a folder
+    hold its lines in order, and a large file is written by several tasks. An export replaces an earlier one.
+    """
+    order = ["part", "doc_no", "doc_id", "line_no"]
+    ranged = rows.repartitionByRange("seed", "p_env_a", "file", *order)
+    (
+        ranged.sortWithinPartitions("seed", "p_env_a", "file", *order)
+        .select("seed", "p_env_a", "file", "line")
+        .write.mode("overwrite")
+        .partitionBy("seed", "p_env_a", "file")
+        .text(folder)
+    )
 
 
 def write_scores(scores: DataFrame, folder: str) -> None:
@@ -55,12 +87,14 @@ def write_scores(scores: DataFrame, folder: str) -> None:
 
 
 def export_scores_csv(scores: DataFrame, folder: str) -> None:
-    """One column ``bias`` per run, under the tagged file name of the run."""
+    """One column ``bias`` per run, under the tagged file name of the run; a run that is written again
+    replaces its earlier scores only."""
     tag = run_tag(F.col("seed"), F.col("p_text"), F.col("alpha_text"))
     rows = scores.select(score_file(tag, F.col("method")).alias("run_file"), "bias")
     (
         rows.hint("rebalance", "run_file")
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("header", True)
         .partitionBy("run_file")
         .csv(folder)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterfact import fixed
 from counterfact.functions import text
-from counterfact.staging import spread
 
 # Environment name in a path: the part of `<name>.txt` before its first dot. The file may be a
 # plain file or a folder that Spark wrote.
@@ -29,20 +29,20 @@ def clean_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training corpus: clean lines of ``documents``."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return clean_lines(table_lines(docs, "doc_id"))
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test corpus: clean lines of ``conversations``, keyed by conversation and turn."""
-    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     keyed = turns.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
     return clean_lines(table_lines(keyed, "doc_id"))
 
 
 def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation corpus: clean lines of ``benchmark``."""
-    items = spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id AS doc_id", "text"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id AS doc_id", "text")
     return clean_lines(table_lines(items, "doc_id"))
 
 
@@ -81,11 +81,6 @@ def single_file_env(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lit(fixed.POOLED_ENV).alias("env"), F.col("value").alias("line"))
 
 
-def eval_file(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one validation file, under the name a single file gets."""
-    return spark.read.text(path).select(F.lit("validation-file").alias("split"), F.col("value").alias("line"))
-
-
 def nonempty_eval_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the non-empty ``<split>.txt`` files of a validation folder."""
     lines = spark.read.text(f"{folder.rstrip('/')}/*.txt").where(F.col("_metadata.file_size") > 0)
@@ -98,7 +93,8 @@ def skipped_eval_files(spark: SparkSession, folder: str, wanted: Sequence[str] =
     A scan skips files without bytes, so the names come from the file listing of the source.
     """
     glob = f"{folder.rstrip('/')}/*.txt"
-    listed = {m.group(1) for m in (re.search(_ENV_IN_PATH, f) for f in spark.read.text(glob).inputFiles()) if m}
+    found = (re.search(_ENV_IN_PATH, f) for f in spark.read.text(glob).inputFiles())
+    listed = {unquote(m.group(1)) for m in found if m}
     names = spark.createDataFrame(
         [(n, "empty" if n in listed else "missing") for n in sorted(listed | set(wanted))],
         "split string, reason string",
@@ -124,4 +120,6 @@ def text_column_pick(df: DataFrame) -> DataFrame:
 
 
 def _env_of_path():
-    return F.regexp_extract(F.col("_metadata.file_path"), _ENV_IN_PATH, 1)
+    """Name in the path of the file read. The path is percent-encoded; a plus sign stands for itself."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), _ENV_IN_PATH, 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))

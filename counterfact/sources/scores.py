@@ -27,32 +27,29 @@ def scores_scan(spark: SparkSession, folder: str, mode: str = "exact") -> DataFr
     return rows.where(F.col("run").isNotNull()).select("run.*", "bias")
 
 
+def _file_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct names of the files in the folder, without reading them."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return listed.select(_name(F.col("path")).alias("name")).distinct()
+
+
 def ignored_score_files(spark: SparkSession, folder: str) -> DataFrame:
     """Names in the folder that are not those of score files."""
-    names = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select(_name(F.col("path")).alias("name"))
-        .distinct()
-    )
-    return names.where(parse_run_tag(F.col("name")).isNull())
+    return _file_names(spark, folder).where(parse_run_tag(F.col("name")).isNull())
 
 
-def union_scores(spark: SparkSession, folder: str, mode: str = "exact") -> DataFrame:
-    """All scores of all runs; an error when the folder holds none."""
-    scores = scores_scan(spark, folder, mode)
-    if scores.isEmpty():
-        raise ValueError("no valid score file found")
-    return scores
+def completed_runs(spark: SparkSession, folder: str, mode: str = "exact") -> DataFrame:
+    """Runs ``(seed, p_env_a, lr, method)`` whose score file is in the folder.
 
+    A score file appears when the job that writes it is committed, so it marks the run as completed.
+    """
+    run = F.array(parse_run_tag(F.col("name"), mode))
+    # A name is taken apart once: no filter or field is moved below the inline.
+    return _file_names(spark, folder).select(F.inline(F.filter(run, lambda r: r.isNotNull()))).distinct()
 
-def completed_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Names ``run`` of the run folders that hold a success mark.
 
-    A scan hides marks, so they are listed through the file system; there is one per run of the grid.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    names = [(status.getPath().getParent().getName(),) for status in (found or [])]
-    return spark.createDataFrame(names, "run string")
+def union_scores(spark: SparkSession, folder: str, mode: str = "exact") -> DataFrame:
+    """All scores of all runs; an error when the folder holds no score file."""
+    if completed_runs(spark, folder, mode).isEmpty():
+        raise ValueError("no valid score file found")
+    return scores_scan(spark, folder, mode)

@@ -41,14 +41,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that has far fewer scan splits than cores.
-
-    Large inputs have more splits than cores and are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores)

@@ -132,19 +132,29 @@ cell_lines AS (
   SELECT seed, p, CASE WHEN {draws} < p THEN '{A}' ELSE '{B}' END AS env, CASE WHEN {draws} < p THEN line ELSE other END AS line
   FROM swapped CROSS JOIN cells),
 {_pairs('cell_pairs', 'cell_lines', 'seed, p, env')},
+cnt AS MATERIALIZED (SELECT seed, p, env, ctx, word, count(*) AS n FROM cell_pairs GROUP BY ALL),
+tot AS (SELECT seed, p, env, ctx, sum(n) AS n_ctx FROM cnt GROUP BY ALL),
+vocab AS (SELECT seed, p, count(DISTINCT word) FILTER (word NOT IN {_in(FREQUENT)}) + {len(FREQUENT) + 1} AS v FROM cnt GROUP BY ALL)"""
+
+
+def _lang_model() -> str:
+    """Counts with the language of a document as environment, in a single cell."""
+    return f"""cells(seed, p) AS (VALUES (0, 0.0::DOUBLE)), alphas(alpha) AS (VALUES ({ALPHA}::DOUBLE)),
+cell_lines AS (SELECT 0 AS seed, 0.0::DOUBLE AS p, lang AS env, line FROM docs JOIN documents USING (doc_id) WHERE lang IS NOT NULL),
+{_pairs('cell_pairs', 'cell_lines', 'seed, p, env')},
 cnt AS (SELECT seed, p, env, ctx, word, count(*) AS n FROM cell_pairs GROUP BY ALL),
 tot AS (SELECT seed, p, env, ctx, sum(n) AS n_ctx FROM cnt GROUP BY ALL),
 vocab AS (SELECT seed, p, count(DISTINCT word) FILTER (word NOT IN {_in(FREQUENT)}) + {len(FREQUENT) + 1} AS v FROM cnt GROUP BY ALL)"""
 
 
-def _scored(requests: str) -> str:
+def _scored(requests: str, envs: str = f"VALUES ('{A}'), ('{B}')") -> str:
     """Probability of every requested (ctx, word), by logits and an explicit normaliser."""
-    return f"""envs(env) AS (VALUES ('{A}'), ('{B}')),
+    return f"""envs(env) AS ({envs}),
 req AS (SELECT DISTINCT ctx, word FROM {requests}),
 rctx AS (SELECT DISTINCT ctx FROM req),
 seen AS (SELECT DISTINCT seed, p, ctx, word FROM cnt WHERE ctx IN (SELECT ctx FROM rctx)),
 wanted AS (SELECT seed, p, ctx, word FROM seen UNION SELECT seed, p, ctx, word FROM cells CROSS JOIN req),
-logits AS (
+logits AS MATERIALIZED (
   SELECT w.seed, w.p, a.alpha, w.ctx, w.word,
          avg(ln(coalesce(c.n, 0) + a.alpha) - ln(coalesce(t.n_ctx, 0) + a.alpha * v.v)) AS logit,
          ln(coalesce(sum(c.n), 0) + a.alpha) - ln(coalesce(sum(t.n_ctx), 0) + a.alpha * any_value(v.v)) AS pooled,
@@ -167,15 +177,18 @@ probs AS (
 _H = "CASE WHEN q IN (0, 1) THEN 0 ELSE -(q * log2(q) + (1 - q) * log2(1 - q)) END"
 
 
-def _line_bias(which: Grid) -> str:
-    return _with(DOCS, TEST, _grid_model(which), TEST_ITEMS, _scored(
-        "(SELECT ctx, target AS word FROM items UNION ALL SELECT ctx, opposite FROM items)"
-    ), f"""ratios AS (
+_BIASES = f"""ratios AS MATERIALIZED (
   SELECT i.*, t.seed, t.p, t.alpha, t.method, t.prob / (t.prob + o.prob) AS q
-  FROM items i JOIN probs t ON t.ctx = i.ctx AND t.word = i.target
+  FROM (SELECT DISTINCT ctx, target, opposite FROM items) i JOIN probs t ON t.ctx = i.ctx AND t.word = i.target
   JOIN probs o ON o.ctx = i.ctx AND o.word = i.opposite AND o.seed = t.seed AND o.p = t.p AND o.alpha = t.alpha AND o.method = t.method
   WHERE t.prob + o.prob >= 1e-8),
-scores AS (SELECT *, 1 - {_H} AS bias FROM ratios)""")
+scores AS (SELECT *, 1 - {_H} AS bias FROM items JOIN ratios USING (ctx, target, opposite))"""
+
+
+def _line_bias(which: Grid) -> str:
+    return _with(DOCS, TEST, _grid_model(which), TEST_ITEMS, _scored(
+        "(SELECT ctx, target AS word FROM items UNION ALL SELECT ctx, opposite FROM items)"
+    ), _BIASES)
 
 
 def _summary(which: Grid, rate: str = "alpha") -> str:
@@ -215,14 +228,32 @@ ORACLES["write_splits"] = _with(
     DOCS, f"two_forms AS MATERIALIZED (SELECT doc_id, line_no, line, {_swap('line', FREQUENT)} AS other FROM docs)"
 ) + f"""SELECT seed, p_env_a, env, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars
 FROM ({_SPLIT_ROWS}) GROUP BY ALL"""
+_CELL_ROWS = "\nUNION ALL ".join(
+    f"""SELECT {s} AS seed, {p}::DOUBLE AS p_env_a, CASE WHEN {_draw(s, 'doc_id', 'line_no')} < {p}::DOUBLE THEN '{A}' ELSE '{B}' END AS env,
+  CASE WHEN {_draw(s, 'doc_id', 'line_no')} < {p}::DOUBLE THEN line ELSE other END AS line FROM two_forms"""
+    for s, p in SMALL.cells
+)
+_SMALL_CELLS = "(VALUES " + ", ".join(f"({s}, {p}::DOUBLE)" for s, p in SMALL.cells) + ") c(seed, p_env_a)"
+ORACLES["export_splits"] = _with(
+    DOCS, VAL, TEST,
+    f"two_forms AS MATERIALIZED (SELECT doc_id, line_no, line, {_swap('line', FREQUENT)} AS other FROM docs)",
+    f"cell_rows AS ({_CELL_ROWS})",
+) + f"""SELECT seed, p_env_a, file, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (
+  SELECT seed, p_env_a, env AS file, line FROM cell_rows UNION ALL SELECT seed, p_env_a, '{POOLED}', line FROM cell_rows
+  UNION ALL SELECT seed, p_env_a, 'val_ind', line FROM val CROSS JOIN {_SMALL_CELLS}
+  UNION ALL SELECT seed, p_env_a, 'test', line FROM test CROSS JOIN {_SMALL_CELLS}) GROUP BY ALL"""
 ORACLES["write_scores"] = _line_bias(SMALL) + """
 SELECT seed, p AS p_env_a, alpha, method, doc_id, line_no, round(bias, 6) AS bias FROM scores"""
 _RUNNING = "avg(loss) OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING)"
 ORACLES["write_training_log"] = _with(EVENTS) + f"""
-SELECT run, epoch, step AS global_step, round(train_loss, 4) AS train_loss, round(loss, 4) AS val_loss,
+SELECT run, epoch + 1 AS epoch, step AS global_step, round(train_loss, 4) AS train_loss, round(loss, 4) AS val_loss,
   round(exp(loss), 4) AS perplexity
 FROM (SELECT *, {_RUNNING} AS train_loss FROM log) WHERE step % {fixed.LOG_INTERVAL} = 0"""
-ORACLES["write_loss_history"] = _with(EVENTS) + "SELECT epoch AS \"Epoch\", " + ", ".join(
+ORACLES["write_round_log"] = _with(EVENTS) + """
+SELECT CAST(0 AS BIGINT) AS run, r.epoch + 1 AS epoch, r.last + 1 AS global_step, round(r.m, 4) AS train_loss, round(loss, 4) AS val_loss,
+  round(exp(loss), 4) AS perplexity
+FROM (SELECT epoch, round, max(step) AS last, avg(loss) AS m FROM log GROUP BY ALL) r JOIN log ON step = last WHERE (last + 1) % 10 = 0"""
+ORACLES["write_loss_history"] = _with(EVENTS) + "SELECT epoch + 1 AS \"Epoch\", " + ", ".join(
     f"round(avg(loss) FILTER (env = '{e}'), 6) AS {e}" for e in ("click", "error", "purchase", "signup", "view")
 ) + " FROM log GROUP BY epoch"
 ORACLES["write_eval_results"] = _with(EVENTS, """
@@ -317,8 +348,10 @@ FROM wanted LEFT JOIN cnt USING (env, ctx, word) LEFT JOIN tot USING (env, ctx)"
 _KEYS = _with(EVENTS, """
 grid AS (SELECT run, epoch, env FROM (SELECT DISTINCT run, epoch FROM log) CROSS JOIN (SELECT DISTINCT env FROM log))""")
 ORACLES["missing_cells"] = _KEYS + "SELECT * FROM grid EXCEPT SELECT run, epoch, env FROM log"
-ORACLES["pending_runs"] = _KEYS + """
-SELECT run, epoch FROM log EXCEPT SELECT run, epoch FROM log WHERE env = 'purchase'"""
+
+_DONE = _line_bias(SMALL) + "SELECT DISTINCT seed, p AS p_env_a, alpha AS lr, method FROM scores"
+ORACLES["pending_runs"] = f"""SELECT seed, p_env_a, lr, method, n_a
+FROM (SELECT seed, p_env_a, alpha AS lr, method, n_a FROM ({ORACLES['experiment_grid']})) ANTI JOIN ({_DONE}) USING (seed, p_env_a, lr, method)"""
 
 # --- aggregations and estimators ------------------------------------------------------------------
 
@@ -343,10 +376,13 @@ SELECT '{m}' AS method, rounds, spe AS steps_per_epoch, CAST(greatest(1, ceil({_
     for m, t in (("iLM", "ilm"), ("eLM", "elm"))
 )
 ORACLES["examples_seen"] = _PLAN + f"""
-SELECT CAST({_STEPS} AS BIGINT) AS max_steps, CAST({_STEPS} * {_PER_ROUND} AS BIGINT) AS examples_seen FROM ilm"""
+SELECT spe * 3 AS max_steps, spe * 3 * {_PER_ROUND} AS examples_seen FROM ilm"""
 ORACLES["epoch_env_loss"] = _with(EVENTS) + """
-SELECT epoch, env, round(avg(loss), 6) AS avg_loss, count(*) AS n_updates FROM log GROUP BY ALL"""
-ORACLES["round_loss"] = _with(EVENTS) + "SELECT epoch, round, round(avg(loss), 6) AS avg_loss FROM log GROUP BY ALL"
+SELECT e AS epoch, env, round(avg(loss), 6) AS avg_loss, count(loss) AS n_updates
+FROM (SELECT DISTINCT CAST(step // 10 AS BIGINT) AS e FROM log) CROSS JOIN (SELECT DISTINCT env FROM log)
+LEFT JOIN (SELECT step // 10 AS e, env, loss FROM log) USING (e, env) GROUP BY ALL"""
+ORACLES["round_loss"] = _with(EVENTS) + """
+SELECT epoch, round, round(coalesce(avg(loss) FILTER (env = 'view'), 0), 6) AS avg_loss FROM log GROUP BY ALL"""
 ORACLES["batch_mean_loss"] = _with(EVENTS) + """
 SELECT round(avg(m), 6) AS eval_loss, round((SELECT avg(loss) FROM log), 6) AS token_loss, count(*) AS n_batches
 FROM (SELECT run, avg(loss) AS m FROM log GROUP BY run)"""
@@ -377,8 +413,7 @@ UNION ALL SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + {_N_SPEC
 FROM (SELECT token, count(*) AS n FROM tokens GROUP BY token)"""
 _ENCODED = f"""ids AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) + {_N_SPECIAL - 1} AS id
-  FROM (SELECT unnest({_words('line')}) AS token, count(*) AS n FROM env_lines GROUP BY token)
-  ORDER BY id LIMIT {fixed.VOCABULARY_SIZE - _N_SPECIAL}),
+  FROM (SELECT unnest({_words('line')}) AS token, count(*) AS n FROM env_lines GROUP BY token)),
 env_words AS (
   SELECT env, doc_id, line_no, i, w[i] AS token
   FROM (SELECT *, {_words('line')} AS w FROM env_lines) t, unnest(range(1, len(w) + 1)) u(i)),
@@ -407,6 +442,28 @@ ORACLES["mean_head_score"] = _with(DOCS, TEST, _grid_model(ONE_CELL), TEST_ITEMS
 SELECT DISTINCT i.ctx, target, opposite, word, round(ln(prob), 6) AS logit
 FROM (SELECT ctx, target, opposite, target AS word FROM items UNION ALL SELECT ctx, target, opposite, opposite FROM items) i
 JOIN probs USING (ctx, word) WHERE method = 'iLM'"""
+_LANGS = "SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL"
+ORACLES["env_line_bias"] = _with(DOCS, TEST, _lang_model(), TEST_ITEMS, _scored(
+    "(SELECT ctx, target AS word FROM items UNION ALL SELECT ctx, opposite FROM items)", _LANGS
+) + f""",
+single AS (
+  SELECT DISTINCT i.ctx, target, opposite,
+    (coalesce(t.n, 0) + {ALPHA}::DOUBLE) / (coalesce(tot.n_ctx, 0) + {ALPHA}::DOUBLE * (SELECT v FROM vocab)) AS p1,
+    (coalesce(o.n, 0) + {ALPHA}::DOUBLE) / (coalesce(tot.n_ctx, 0) + {ALPHA}::DOUBLE * (SELECT v FROM vocab)) AS p2
+  FROM items i LEFT JOIN cnt t ON t.env = 'en' AND t.ctx = i.ctx AND t.word = target
+  LEFT JOIN cnt o ON o.env = 'en' AND o.ctx = i.ctx AND o.word = opposite LEFT JOIN tot ON tot.env = 'en' AND tot.ctx = i.ctx),
+one AS (SELECT ctx, target, opposite, p1 / (p1 + p2) AS q FROM single WHERE p1 + p2 >= 1e-8)""", _BIASES) + f"""
+SELECT doc_id, line_no, method, target, opposite, round(bias, 6) AS bias FROM scores
+UNION ALL SELECT doc_id, line_no, 'en', target, opposite, round(1 - {_H}, 6) FROM items JOIN one USING (ctx, target, opposite)"""
+ORACLES["env_model_eval"] = _with(DOCS, TEST, _lang_model(), f"""
+numbered AS (SELECT *, (row_number() OVER (ORDER BY doc_id, line_no) - 1) // {fixed.EVAL_BATCH_SIZE} AS batch FROM test)""",
+    _pairs("all_positions", "numbered", "batch, doc_id, line_no"),
+    f"positions AS (SELECT * FROM all_positions WHERE {_draw(SEED, 'doc_id', 'line_no', 'pos')} < {fixed.MASK_SHARE}::DOUBLE)",
+    _scored("positions", _LANGS),
+    "losses AS (SELECT batch, method, -ln(prob) AS loss FROM positions JOIN probs USING (ctx, word))",
+) + """
+SELECT method, round(avg(m), 6) AS eval_loss, round(sum(s) / sum(c), 6) AS token_loss, count(*) AS n_batches, round(exp(avg(m)), 3) AS perplexity
+FROM (SELECT method, batch, avg(loss) AS m, sum(loss) AS s, count(*) AS c FROM losses GROUP BY ALL) GROUP BY method"""
 ORACLES["line_bias"] = _line_bias(ONE_CELL) + """
 SELECT doc_id, line_no, method, target, opposite, round(bias, 6) AS bias FROM scores"""
 
@@ -429,7 +486,7 @@ drawn AS (
 chosen AS (SELECT *, id >= {_N_SPECIAL} AND {_hex('h')} < {fixed.MASK_SHARE}::DOUBLE AS c, {_hex('h', 1)} AS kind, {_hex('h', 2)} AS pick FROM drawn)
 SELECT env, batch_id, block_id,
   string_agg(CAST(CASE WHEN NOT c THEN id WHEN kind < 0.8::DOUBLE THEN {fixed.SPECIAL_TOKENS.index(fixed.MASK)}
-    WHEN kind < 0.9::DOUBLE THEN CAST(floor(pick * {fixed.VOCABULARY_SIZE}) AS BIGINT) ELSE id END AS VARCHAR), ' ' ORDER BY i) AS input_ids,
+    WHEN kind < 0.9::DOUBLE THEN CAST(floor(pick * (SELECT count(*) + {_N_SPECIAL} FROM ids)) AS BIGINT) ELSE id END AS VARCHAR), ' ' ORDER BY i) AS input_ids,
   string_agg(CAST(CASE WHEN c THEN id ELSE {fixed.IGNORED_LABEL} END AS VARCHAR), ' ' ORDER BY i) AS labels
 FROM chosen GROUP BY ALL"""
 
@@ -459,8 +516,18 @@ _PASSES = _PLAN + ", pooled AS (SELECT '" + POOLED + "' AS env, doc_id, line_no
 ) + """,
 pooled_steps AS (SELECT epoch, batch_no, CAST(epoch * rounds + batch_no + 1 AS BIGINT) AS step, doc_id, line_no FROM passes CROSS JOIN elm)"""
 ORACLES["pooled_schedule"] = _PASSES + f" SELECT * FROM pooled_steps WHERE step <= {_STEPS}"
+_THREE = _with(
+    DOCS, "env_lines AS (SELECT lang AS env, doc_id, line_no FROM docs JOIN documents USING (doc_id) WHERE lang IN ('de', 'en', 'fr'))",
+    f"plan3 AS (SELECT min(n) // {fixed.BATCH_SIZE} AS rounds FROM (SELECT env, count(*) AS n FROM env_lines GROUP BY env))",
+    _shuffled("shuffled", "env_lines", "(SELECT CAST(greatest(1, ceil(200 / (rounds * 3))) AS BIGINT) FROM plan3)"),
+) + """
+SELECT epoch, batch_no AS round, env, batch_no, CAST((epoch * rounds + batch_no) * 3 + CASE env WHEN 'de' THEN 1 WHEN 'en' THEN 2 ELSE 3 END AS BIGINT) AS step,
+  doc_id, line_no FROM shuffled CROSS JOIN plan3 WHERE batch_no < rounds"""
+ORACLES["round_robin_three"] = f"SELECT * FROM ({_THREE}) WHERE step <= 200"
+ORACLES["log_steps_three"] = f"""
+SELECT DISTINCT epoch, step FROM ({_THREE}) WHERE step <= 200 AND step % {fixed.LOG_INTERVAL} = 0 AND (step % 3 = 0 OR step = 200)"""
 ORACLES["log_steps"] = f"""
-SELECT 'iLM' AS method, epoch, step FROM ({ORACLES['round_robin_schedule']}) WHERE step % {fixed.LOG_INTERVAL} = 0 AND step % 2 = 0 GROUP BY ALL
+SELECT 'iLM' AS method, epoch, step FROM ({ORACLES['round_robin_schedule']}) WHERE step % {fixed.LOG_INTERVAL} = 0 AND (step % 2 = 0 OR step = {_STEPS}) GROUP BY ALL
 UNION ALL SELECT 'eLM', epoch, step FROM ({ORACLES['pooled_schedule']}) WHERE step % {fixed.LOG_INTERVAL} = 0 GROUP BY ALL"""
 ORACLES["checkpoint_steps"] = f"""
 SELECT DISTINCT epoch, step FROM ({ORACLES['round_robin_schedule']}) WHERE step % {CHECKPOINT_EVERY} = 0"""
@@ -475,10 +542,13 @@ SELECT DISTINCT 'iLM' AS method, env FROM env_lines UNION ALL SELECT DISTINCT 'e
 # --- user functions -------------------------------------------------------------------------------
 
 ORACLES["map_batches"] = _with(DOCS) + f"SELECT doc_id, line_no, CAST(len({_words('line')}) AS BIGINT) AS n_words FROM docs"
-ORACLES["masked_scorer"] = _with(DOCS, TEST, _hits("test", FREQUENT), _TOKENS, f"""
-term_counts AS (SELECT token, count(*) AS n FROM tokens WHERE token IN {_in(FREQUENT)} GROUP BY token),
-total AS (SELECT sum(n) + {ALPHA}::DOUBLE * {len(FREQUENT)} AS t FROM term_counts),
+ORACLES["masked_scorer"] = _with(DOCS, TEST, _hits("test", FREQUENT), f"""
+places AS (SELECT w[i] AS token, i = 1 AS first FROM (SELECT {_words('line')} AS w FROM docs) t, unnest(range(1, len(w) + 1)) u(i)),
+term_counts AS (SELECT token, first, count(*) AS n FROM places WHERE token IN {_in(FREQUENT)} GROUP BY ALL),
+total AS (SELECT f AS first, coalesce(sum(n), 0) + {ALPHA}::DOUBLE * {len(FREQUENT)} AS t FROM (VALUES (true), (false)) v(f)
+  LEFT JOIN term_counts ON first = f GROUP BY f),
 ratios AS (
   SELECT doc_id, line_no, target, (coalesce(a.n, 0) + {ALPHA}::DOUBLE) / t AS p1, (coalesce(b.n, 0) + {ALPHA}::DOUBLE) / t AS p2, p1 / (p1 + p2) AS q
-  FROM hits CROSS JOIN total LEFT JOIN term_counts a ON a.token = target LEFT JOIN term_counts b ON b.token = opposite)""") + f"""
+  FROM (SELECT *, tpos = 1 AS first FROM hits) JOIN total USING (first)
+  LEFT JOIN term_counts a ON a.token = target AND a.first = total.first LEFT JOIN term_counts b ON b.token = opposite AND b.first = total.first)""") + f"""
 SELECT doc_id, line_no, target, round(p1, 6) AS p1, round(p2, 6) AS p2, round(1 - {_H}, 6) AS bias FROM ratios"""

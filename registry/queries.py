@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +11,15 @@ from counterfact import fixed
 from counterfact.functions import measures, tags, text
 from counterfact.functions.batches import map_batches as _map_batches
 from counterfact.functions.batches import masked_scorer as _masked_scorer
-from counterfact.functions.batches import share_scorer
+from counterfact.functions.batches import place_scorer
 from counterfact.operators import dictionary as terms
 from counterfact.operators import environments as envs
 from counterfact.operators import masking, packing, runlog, schedule, vocab
-from counterfact.operators.index import bucket_count, ranged_index
-from counterfact.plans import cloze, evaluation, grid, summary
+from counterfact.operators.index import ranged_index
+from counterfact.plans import cloze, environments, evaluation, grid, summary
 from counterfact.sinks import writers
 from counterfact.sources import corpus, scores
-from counterfact.staging import new_folder, spread, stage
+from counterfact.staging import new_folder, stage
 from registry.settings import (
     ALL_TERMS,
     ALPHA,
@@ -55,9 +55,15 @@ def _env_lines(spark: SparkSession, d: str) -> DataFrame:
     return envs.env_assign(corpus.document_lines(spark, d), FREQUENT, SEED, float(P))
 
 
+def _lang_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Document lines with the language as environment."""
+    docs = _documents(spark, d).where(F.col("lang").isNotNull())
+    return corpus.clean_lines(corpus.table_lines(docs, "doc_id", F.col("lang").alias("env")))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """Step log: user as run, event type as environment, event number as step, logarithm of the value as loss."""
-    events = spread(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value"))
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value")
     return events.select(
         F.col("user_id").alias("run"),
         F.floor(F.col("event_id") / LOG_RUNS_EPOCH).cast("bigint").alias("epoch"),
@@ -98,7 +104,7 @@ def bias_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lines_scan(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.table_lines(spread(_documents(spark, d)), "doc_id")
+    return corpus.table_lines(_documents(spark, d), "doc_id")
 
 
 @query
@@ -143,7 +149,7 @@ def eval_split_select(spark: SparkSession, d: str) -> DataFrame:
 @query
 def test_lines_scan(spark: SparkSession, d: str) -> DataFrame:
     turns = spark.read.parquet(f"{d}/conversations.parquet")
-    return corpus.test_lines_scan(corpus.table_lines(spread(turns), "conv_id", "turn"))
+    return corpus.test_lines_scan(corpus.table_lines(turns, "conv_id", "turn"))
 
 
 def _exported_scores(spark: SparkSession, d: str) -> str:
@@ -190,6 +196,22 @@ def write_splits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def export_splits(spark: SparkSession, d: str) -> DataFrame:
+    """All text files of the small grid, read back: environments, pooled, validation, test.
+
+    """
+    folder = new_folder(spark, "split_text")
+    lines = corpus.document_lines(spark, d)
+    cells = envs.grid_assign(lines, FREQUENT, SMALL.seeds, SMALL.p_values)
+    names = spark.range(1).select(F.inline(envs.grid_cells(SMALL.seeds, SMALL.p_values)))
+    rows = writers.split_files(cells, corpus.benchmark_lines(spark, d), corpus.conversation_lines(spark, d), names)
+    writers.export_split_text(rows, folder)
+    return spark.read.text(folder).groupBy("seed", F.col("p_env_a").cast("double").alias("p_env_a"), "file").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars")
+    )
+
+
 @query
 def write_scores(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark, "scores")
@@ -212,6 +234,10 @@ def write_training_log(spark: SparkSession, d: str) -> DataFrame:
     log = _events(spark, d)
     val_loss = log.select("run", F.col("step").alias("global_step"), F.col("loss").alias("val_loss"))
     writers.write_training_log(runlog.training_log(log, val_loss), folder)
+    return _read_training_log(spark, folder)
+
+
+def _read_training_log(spark: SparkSession, folder: str) -> DataFrame:
     return (
         spark.read.option("header", True)
         .schema("epoch bigint, global_step bigint, train_loss double, val_loss double, perplexity double, run bigint")
@@ -220,6 +246,16 @@ def write_training_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def write_round_log(spark: SparkSession, d: str) -> DataFrame:
+    """Log of per-environment runs, a row at the end of a round of five events."""
+    folder = new_folder(spark, "round_log")
+    log = _events(spark, d).withColumn("run", F.lit(0).cast("bigint")).withColumn("step", F.col("step") + 1)
+    val_loss = log.select("run", F.col("step").alias("global_step"), F.col("loss").alias("val_loss"))
+    writers.write_training_log(runlog.round_log(log, val_loss, 10), folder)
+    return _read_training_log(spark, folder)
+
+
 @query
 def write_loss_history(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark, "loss_history")
@@ -293,12 +329,12 @@ def single_hit_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mask_target(spark: SparkSession, d: str) -> DataFrame:
-    return terms.mask_hits(_hits(spark, d)).select("doc_id", "line_no", "masked")
+    return terms.mask_hits(_hits(spark, d), ALL_TERMS).select("doc_id", "line_no", "masked")
 
 
 @query
 def first_mask_pos(spark: SparkSession, d: str) -> DataFrame:
-    return terms.mask_hits(_hits(spark, d)).select("doc_id", "line_no", F.col("mask_pos").cast("bigint").alias("mask_pos"))
+    return terms.mask_hits(_hits(spark, d), ALL_TERMS).select("doc_id", "line_no", F.col("mask_pos").cast("bigint").alias("mask_pos"))
 
 
 def _term_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -351,10 +387,8 @@ def run_tag(spark: SparkSession, d: str) -> DataFrame:
 @query
 def parse_run_tag(spark: SparkSession, d: str) -> DataFrame:
     """File names built from line items: line number as seed, discount as p, tax as rate."""
-    items = spread(
-        spark.read.parquet(f"{d}/lineitem.parquet").select(
-            "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
-        )
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
     )
     method = F.when(F.col("l_returnflag") == "A", "eLM").when(F.col("l_returnflag") == "R", "iLM").otherwise("none")
     rate = (
@@ -450,10 +484,11 @@ def missing_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pending_runs(spark: SparkSession, d: str) -> DataFrame:
-    """An event of type ``purchase`` stands for the success mark of a run and epoch."""
-    log = _events(spark, d)
-    completed = log.where(F.col("env") == "purchase").select("run", "epoch")
-    return summary.pending_runs(log.select("run", "epoch").distinct(), completed, ["run", "epoch"])
+    """Runs of the full grid without a score file in the folder that the small grid was exported to."""
+    completed = scores.completed_runs(spark, _exported_scores(spark, d))
+    runs = envs.experiment_grid(_grid_cells(spark, d)).withColumnRenamed("alpha", "lr")
+    keys = ["seed", "p_env_a", "lr", "method"]
+    return summary.pending_runs(runs.select(*keys, "n_a"), completed, keys)
 
 
 # --- aggregations and estimators ------------------------------------------------------------------
@@ -514,19 +549,24 @@ def round_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def examples_seen(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.examples_seen(schedule.round_plan(envs.env_sizes(_env_lines(spark, d)))).select(
-        "max_steps", "examples_seen"
-    )
+    """Examples of three epochs; the number of steps follows from the sizes of the environments."""
+    plan = schedule.round_plan(envs.env_sizes(_env_lines(spark, d)), nb_steps=None, num_epochs=3)
+    return schedule.examples_seen(plan).select("max_steps", "examples_seen")
 
 
 @query
 def epoch_env_loss(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.epoch_env_loss(_events(spark, d)).select("epoch", "env", _r("avg_loss"), "n_updates")
+    """Short epochs of ten events, in which some environments have no update."""
+    log = _events(spark, d)
+    short = log.withColumn("epoch", F.floor(F.col("step") / 10).cast("bigint"))
+    return runlog.epoch_env_loss(short, envs.env_names(log)).select("epoch", "env", _r("avg_loss"), "n_updates")
 
 
 @query
 def round_loss(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.round_loss(_events(spark, d)).select("epoch", "round", _r("avg_loss"))
+    """Rounds of five events; only those of type ``view`` are updates, so some rounds have none."""
+    log = _events(spark, d)
+    return runlog.round_loss(log.where(F.col("env") == "view"), log).select("epoch", "round", _r("avg_loss"))
 
 
 @query
@@ -577,15 +617,16 @@ def build_vocab(spark: SparkSession, d: str) -> DataFrame:
     return vocab.build_vocab(corpus.document_lines(spark, d))
 
 
-def _encoded(spark: SparkSession, d: str) -> DataFrame:
+def _encoded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded environment lines, and their whole vocabulary as a written table."""
     env_lines = _env_lines(spark, d)
-    size = fixed.VOCABULARY_SIZE
-    return vocab.encode_tokens(env_lines, vocab.build_vocab(env_lines, size), ("env", "doc_id", "line_no"), size)
+    words = stage(vocab.build_vocab(env_lines), "vocab")
+    return vocab.encode_tokens(env_lines, words, ("env", "doc_id", "line_no")), words
 
 
 @query
 def encode_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _encoded(spark, d).select("env", "doc_id", "line_no", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return _encoded(spark, d)[0].select("env", "doc_id", "line_no", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query
@@ -620,18 +661,47 @@ def line_bias(spark: SparkSession, d: str) -> DataFrame:
     return _line_scores(spark, d, ONE_CELL).select("doc_id", "line_no", "method", "target", "opposite", _r("bias"))
 
 
+def _lang_model(spark: SparkSession, d: str) -> environments.EnvModel:
+    """Estimators of the languages, read back from a folder of environment files."""
+    folder = new_folder(spark, "languages")
+    lines = stage(_lang_lines(spark, d), "lang_lines")
+    for env in envs.env_names(lines):
+        lines.where(F.col("env") == env).select("line").write.text(f"{folder}/{env}.txt")
+    return environments.fit_environments(corpus.env_folder_scan(spark, folder), FREQUENT, float(ALPHA))
+
+
+@query
+def env_line_bias(spark: SparkSession, d: str) -> DataFrame:
+    """Bias under the pooled estimator, the mean of all languages, and the one of a single language."""
+    model = _lang_model(spark, d)
+    found = model.line_bias(corpus.conversation_lines(spark, d), [*fixed.METHODS, "en"])
+    return found.select("doc_id", "line_no", "method", "target", "opposite", _r("bias"))
+
+
+@query
+def env_model_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation of the estimators of all languages on the turns of conversations, whose keys are text."""
+    result = _lang_model(spark, d).evaluate(corpus.conversation_lines(spark, d), SEED, fixed.METHODS)
+    return result.select("method", _r("eval_loss"), _r("token_loss"), "n_batches", _r("perplexity", 3))
+
+
 # --- ordered work ---------------------------------------------------------------------------------
 
 
-def _numbered_encoded(spark: SparkSession, d: str) -> DataFrame:
-    # Borders of the buckets come from the document numbers, the cheapest source of keys.
-    docs = _documents(spark, d).select("doc_id")
-    n_buckets = bucket_count(spark, docs.count())
-    return ranged_index(_encoded(spark, d), ["env"], "doc_id", ["doc_id", "line_no"], n_buckets, key_source=docs)
+def _numbered_encoded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded lines with their number in the environment, and the vocabulary.
 
+    The numbers are those of the bare keys; the ids are moved once to meet them, and once into their batches.
+    """
+    encoded, words = _encoded(spark, d)
+    keys = corpus.document_lines(spark, d).select(envs.line_env(SEED, float(P)).alias("env"), "doc_id", "line_no")
+    numbers = ranged_index(keys, ["env"], ["doc_id", "line_no"])
+    return encoded.join(numbers, ["env", "doc_id", "line_no"]), words
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_blocks(_numbered_encoded(spark, d), BLOCK)
+
+def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    numbered, words = _numbered_encoded(spark, d)
+    return packing.pack_blocks(numbered, BLOCK), words
 
 
 def _joined_ids(column: str):
@@ -640,17 +710,18 @@ def _joined_ids(column: str):
 
 @query
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _blocks(spark, d).select("env", "batch_id", "block_id", _joined_ids("input_ids"))
+    return _blocks(spark, d)[0].select("env", "batch_id", "block_id", _joined_ids("input_ids"))
 
 
 @query
 def packing_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packing_report(_numbered_encoded(spark, d), BLOCK)
+    return packing.packing_report(_numbered_encoded(spark, d)[0], BLOCK)
 
 
 @query
 def mlm_mask(spark: SparkSession, d: str) -> DataFrame:
-    masked = masking.mlm_mask(_blocks(spark, d), SEED, fixed.VOCABULARY_SIZE, ("env", "batch_id", "block_id"))
+    blocks, words = _blocks(spark, d)
+    masked = masking.mlm_mask(blocks, SEED, words.count(), ("env", "batch_id", "block_id"))
     return masked.select("env", "batch_id", "block_id", _joined_ids("input_ids"), _joined_ids("labels"))
 
 
@@ -693,6 +764,27 @@ def round_robin_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _round_robin(spark, d).select("epoch", "round", "env", "batch_no", "step", "doc_id", "line_no")
 
 
+def _three_envs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Document lines of three languages as environments, and their sizes with a fourth, empty, one."""
+    lines = _lang_lines(spark, d).where(F.col("env").isin("de", "en", "fr"))
+    examples = stage(lines.select("env", "doc_id", "line_no"), "examples")
+    return examples, envs.env_sizes(examples, ["de", "en", "fr", "none"])
+
+
+@query
+def round_robin_three(spark: SparkSession, d: str) -> DataFrame:
+    """Three environments and an empty one, up to a step limit that cuts a round short."""
+    steps = schedule.round_robin_schedule(*_three_envs(spark, d), SEED, nb_steps=200, accumulation=1)
+    return steps.select("epoch", "round", "env", "batch_no", "step", "doc_id", "line_no")
+
+
+@query
+def log_steps_three(spark: SparkSession, d: str) -> DataFrame:
+    """Step 200 ends a run of three environments inside a round and is logged."""
+    steps = schedule.round_robin_schedule(*_three_envs(spark, d), SEED, nb_steps=200, accumulation=1)
+    return schedule.log_steps(steps, n_env=3, max_steps=200).select("epoch", "step")
+
+
 @query
 def pooled_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _pooled_steps(spark, d).select("epoch", "batch_no", "step", "doc_id", "line_no")
@@ -700,7 +792,7 @@ def pooled_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def log_steps(spark: SparkSession, d: str) -> DataFrame:
-    per_env = schedule.log_steps(_round_robin(spark, d), n_env=2)
+    per_env = schedule.log_steps(_round_robin(spark, d), n_env=2, max_steps=fixed.STEPS_PER_RUN)
     pooled = schedule.log_steps(_pooled_steps(spark, d))
     return per_env.select(F.lit("iLM").alias("method"), "epoch", "step").unionByName(
         pooled.select(F.lit("eLM").alias("method"), "epoch", "step")
@@ -727,7 +819,7 @@ def pooled_train(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def env_list(spark: SparkSession, d: str) -> DataFrame:
-    env_lines = stage(_env_lines(spark, d).select("env"), "envs")
+    env_lines = _env_lines(spark, d).select("env").distinct()
     both = env_lines.unionByName(env_lines.select(F.lit(fixed.POOLED_ENV).alias("env")))
     per_env = envs.env_list(both).select(F.lit("iLM").alias("method"), "env")
     pooled = envs.env_list(both, pooled=True).select(F.lit("eLM").alias("method"), "env")
@@ -739,8 +831,8 @@ def env_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def map_batches(spark: SparkSession, d: str) -> DataFrame:
-    def count_words(columns: dict[str, list]) -> dict[str, list]:
-        found = [len(re.findall(r"\b\w+\b", line.lower())) for line in columns["line"]]
+    def count_words(columns: dict[str, pa.Array]) -> dict[str, pa.Array]:
+        found = pc.count_substring_regex(columns["line"], r"[\p{L}\p{N}_]+")
         return {"doc_id": columns["doc_id"], "line_no": columns["line_no"], "n_words": found}
 
     lines = corpus.document_lines(spark, d).select("doc_id", "line_no", "line")
@@ -749,11 +841,12 @@ def map_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def masked_scorer(spark: SparkSession, d: str) -> DataFrame:
-    counts = vocab.token_counts(corpus.document_lines(spark, d)).where(FREQUENT.contains(F.col("token")))
-    # At most one row per term of the dictionary.
-    by_term = dict.fromkeys(FREQUENT.terms, 0) | {row.token: row.n for row in counts.collect()}
-    hits = terms.mask_hits(terms.single_hits(corpus.conversation_lines(spark, d), FREQUENT))
-    scored = _masked_scorer(hits, share_scorer(by_term, float(ALPHA)))
+    tokens = vocab.line_tokens(corpus.document_lines(spark, d)).where(FREQUENT.contains(F.col("token")))
+    # At most two rows per term of the dictionary.
+    counts = tokens.groupBy("token", (F.col("pos") == 0).alias("first")).agg(F.count(F.lit(1)).alias("n")).collect()
+    by_place = {(row.token, row["first"]): row.n for row in counts}
+    hits = terms.mask_hits(terms.single_hits(corpus.conversation_lines(spark, d), FREQUENT), FREQUENT)
+    scored = _masked_scorer(hits, place_scorer(by_place, FREQUENT.terms, float(ALPHA)))
     biased = scored.withColumn("p", measures.pair_probability(F.col("p1"), F.col("p2"))).where(F.col("p").isNotNull())
     return biased.select(
         "doc_id", "line_no", "target", _r("p1"), _r("p2"), F.round(measures.entropy_bias(F.col("p")), 6).alias("bias")

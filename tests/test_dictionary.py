@@ -57,7 +57,7 @@ def test_single_hits(lines_of):
 
 
 def test_mask_position(lines_of):
-    rows = mask_hits(single_hits(lines_of(["so He's here", "the queen"]), SMALL)).orderBy("doc_id").collect()
+    rows = mask_hits(single_hits(lines_of(["so He's here", "the queen"]), SMALL), SMALL).orderBy("doc_id").collect()
     assert [(r.masked, r.mask_pos) for r in rows] == [("so [MASK]'s here", 2), ("the [MASK]", 2)]
 
 

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from counterfact import fixed
 from counterfact.functions.batches import map_batches, masked_scorer
 from counterfact.operators import environments as envs
 from counterfact.operators.dictionary import TermDictionary, mask_hits, single_hits
-from counterfact.plans import cloze, evaluation, grid, summary
+from counterfact.plans import cloze, environments, evaluation, grid, summary
+from counterfact.sources import corpus
 
 TERMS = TermDictionary([("he", "she"), ("king", "queen")])
 WORDS = "he she king queen the a went saw old, new x y z He Queen".split()
@@ -133,7 +135,7 @@ def test_direct_scores_equal_grid(train, test_lines):
     model = grid.fit_grid(train, TERMS, GRID)
     rows = model.score_items(items).where("seed = 0 AND p_env_a = 0.25 AND alpha = 0.1 AND method = 'iLM'").collect()
     assert mean == pytest.approx({(r.ctx, r.target, r.opposite): r.bias for r in rows})
-    one = cloze.candidate_scores(items, cloze.pool_counts(counts).withColumn("env", F.lit("all")), ["all"], 0.1, size)
+    one = cloze.candidate_scores(items, cloze.pool_counts(counts, "all"), ["all"], 0.1, size)
     pooled = {tuple(r)[:3]: r.bias for r in cloze.pair_bias(cloze.mean_head_score(one)).collect()}
     rows = model.score_items(items).where("seed = 0 AND p_env_a = 0.25 AND alpha = 0.1 AND method = 'eLM'").collect()
     assert pooled == pytest.approx({(r.ctx, r.target, r.opposite): r.bias for r in rows})
@@ -176,7 +178,7 @@ def test_plugged_in_scorer_equals_line_bias(train, test_lines, assigned):
 
         return score
 
-    scored = masked_scorer(mask_hits(single_hits(test_lines, TERMS)), make_scorer).collect()
+    scored = masked_scorer(mask_hits(single_hits(test_lines, TERMS), TERMS), make_scorer).collect()
     model = grid.fit_grid(train, TERMS, grid.Grid((0,), ("0.25",), ("0.1",)))
     want = {r.doc_id: (r.p1, r.p2) for r in grid.grid_line_bias(model, test_lines).where("method = 'iLM'").collect()}
     assert len(scored) == len(want)
@@ -216,7 +218,37 @@ _FIRST = {}
 
 def test_map_batches_may_change_the_row_count(spark):
     def double(columns):
-        return {"x": [v for v in columns["id"] for _ in range(2)]}
+        return {"x": pa.concat_arrays([columns["id"], columns["id"]])}
 
     rows = map_batches(spark.range(0, 2500, 1, 2), double, "x bigint", 100).collect()
     assert sorted(r.x for r in rows) == sorted([i for i in range(2500)] * 2)
+
+
+def test_estimators_of_a_folder_with_three_environments(spark, lines_of, test_lines, tmp_path):
+    """Two of the three hold the assigned lines, so the mean over those two is known from the grid model."""
+    env_lines = envs.env_assign(lines_of(TRAIN), TERMS, 0, 0.25)
+    for env, name in (("env_A", "env A"), ("env_B", "env+B")):
+        env_lines.where(F.col("env") == env).select("line").write.text(str(tmp_path / f"{name}.txt"))
+    lines_of(["other words here"]).select("line").write.text(str(tmp_path / "third.txt"))
+    model = environments.fit_environments(corpus.env_folder_scan(spark, str(tmp_path)), TERMS, 0.1)
+    assert model.envs == ["env A", "env+B", "third"]
+    two = environments.fit_environments(env_lines, TERMS, 0.1)
+    want = grid.grid_line_bias(grid.fit_grid(lines_of(TRAIN), TERMS, grid.Grid((0,), ("0.25",), ("0.1",))), test_lines)
+    expected = {(r.doc_id, r.method): r.bias for r in want.collect()}
+    got = {(r.doc_id, r.method): r.bias for r in two.line_bias(test_lines, ["eLM", "iLM"]).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+    alone = model.line_bias(test_lines, ["env A", "eLM", "iLM"]).collect()
+    assert {r.method for r in alone} == {"env A", "eLM", "iLM"}
+    result = {r.method: r for r in model.evaluate(test_lines, 0, ["eLM", "iLM", "third"]).collect()}
+    assert set(result) == {"eLM", "iLM", "third"}
+
+
+def test_join_frequent_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "FREQUENT_SHARE", 3)
+    many = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id") % 7).alias("k"), "id")
+    one = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    asked = many.groupBy("k").agg(F.count("*").alias("n_rows"))
+    got = evaluation.join_frequent(many, one, asked, ["k"])
+    assert {tuple(r) for r in got.select("id", "k", "v").collect()} == {
+        tuple(r) for r in many.join(one, "k").select("id", "k", "v").collect()
+    }

@@ -25,7 +25,6 @@ def test_plain_folder(spark, tmp_path):
     report = corpus.skipped_eval_files(spark, str(tmp_path), ["env_A", "gone"]).collect()
     assert {tuple(r) for r in report} == {("void", "empty"), ("gone", "missing")}
     assert {tuple(r) for r in corpus.single_file_env(spark, str(tmp_path / "env_A.txt")).collect()} == {("all_train", "a"), ("all_train", "b")}
-    assert {tuple(r) for r in corpus.eval_file(spark, str(tmp_path / "env_A.txt")).collect()} == {("validation-file", "a"), ("validation-file", "b")}
 
 
 def test_split_selection(spark):
@@ -36,13 +35,33 @@ def test_split_selection(spark):
 
 
 def test_text_export_round_trip(spark, lines_of, tmp_path):
-    env_lines = envs.env_assign(lines_of([f"he is {i}" for i in range(50)]), TERMS, 0, 0.5)
-    folder = str(tmp_path / "split0_p05")
-    writers.export_split_text(env_lines, folder, validation=lines_of(["v"]), test=lines_of(["t"]))
-    got = sorted(tuple(r) for r in corpus.env_folder_scan(spark, folder).collect())
-    assert got == sorted((r.env, r.line) for r in env_lines.collect())
-    assert corpus.single_file_env(spark, f"{folder}/train_env/all_train.txt").count() == 50
-    assert {tuple(r) for r in corpus.nonempty_eval_scan(spark, f"{folder}/val_env").collect()} == {("val_ind", "v"), ("test", "t")}
+    lines = lines_of([f"he is {i:02d}" for i in range(50)], 3)
+    cells = envs.grid_assign(lines, TERMS, (0, 1), ("0.25", "0.5"))
+    names = spark.createDataFrame([(s, p) for s in (0, 1) for p in ("0.25", "0.5")], "seed int, p_text string")
+    rows = writers.split_files(cells, lines_of(["v"]), lines_of(["t"]), names)
+    folder = str(tmp_path / "splits")
+    for _ in range(2):  # a second export replaces the first
+        writers.export_split_text(rows, folder)
+    cell = f"{folder}/seed=1/p_env_a=0.5"
+    one = envs.env_assign(lines, TERMS, 1, 0.5).collect()
+
+    def read(name):
+        parts = sorted((tmp_path / "splits" / "seed=1" / "p_env_a=0.5" / f"file={name}").glob("part-*"))
+        return [x for p in parts for x in p.read_text().splitlines()]
+
+    by_env = {e: [r.line for r in sorted(one, key=lambda r: r.doc_id) if r.env == e] for e in (fixed.ENV_A, fixed.ENV_B)}
+    assert {e: read(e) for e in by_env} == by_env
+    assert read(fixed.POOLED_ENV) == by_env[fixed.ENV_A] + by_env[fixed.ENV_B]
+    assert (read("val_ind"), read("test")) == (["v"], ["t"])
+    assert spark.read.text(cell).count() == 102
+
+
+def test_names_with_special_characters(spark, tmp_path):
+    for name in ("env A", "100% +é", "plain"):
+        write(tmp_path / f"{name}.txt", "x\n")
+    assert {r.env for r in corpus.env_folder_scan(spark, str(tmp_path)).collect()} == {"env A", "100% +é", "plain"}
+    assert {r.split for r in corpus.nonempty_eval_scan(spark, str(tmp_path)).collect()} == {"env A", "100% +é", "plain"}
+    assert corpus.skipped_eval_files(spark, str(tmp_path), ["env A"]).isEmpty()
 
 
 def test_write_splits(spark, lines_of, tmp_path):
@@ -65,7 +84,9 @@ def test_scores(spark, tmp_path):
     frame = spark.createDataFrame(
         rows, "seed int, p_text string, alpha_text string, method string, doc_id string, line_no int, bias double"
     )
-    writers.export_scores_csv(frame, str(folder))
+    for _ in range(2):  # a second export replaces the first, other runs stay
+        writers.export_scores_csv(frame, str(folder))
+    assert scores.scores_scan(spark, str(folder)).count() == 5
     found = scores.scores_scan(spark, str(folder)).where("seed = 3").collect()
     assert {tuple(r) for r in found} == {(3, 0.25, 0.1, "iLM", 0.75), (3, 0.25, 0.1, "eLM", 0.5)}
     writers.write_scores(frame, str(tmp_path / "typed"))
@@ -85,7 +106,7 @@ def test_logs(spark, tmp_path):
 
     log = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0), (2, "A", 3.0)], "epoch int, env string, loss double")
     writers.write_loss_history(log, ["A", "B"], str(tmp_path / "history"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "history")).collect()] == ["Epoch,A,B", "1,1.0,2.0", "2,3.0,"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "history")).collect()] == ["Epoch,A,B", "2,1.0,2.0", "3,3.0,"]
 
     results = spark.createDataFrame([("perplexity", 2.5), ("eval_loss", 1.5)], "key string, value double")
     writers.write_eval_results(results, str(tmp_path / "eval"))
@@ -100,11 +121,12 @@ def test_env_names_are_bounded(spark, monkeypatch):
         envs.env_names(rows)
 
 
-def test_completed_runs_have_a_mark(spark, tmp_path):
-    write(tmp_path / "split0_p01" / "_SUCCESS", "")
-    write(tmp_path / "split0_p05" / "part-0.csv", "half")
+def test_completed_runs_have_a_score_file(spark, tmp_path):
+    write(tmp_path / "split0_p01_lr1e-05_eLM.csv" / "part-0.csv", "bias\n0.5\n")
+    write(tmp_path / "split1_p05_iLM.csv", "bias\n")
+    write(tmp_path / "split2_p09.log", "half")
     done = scores.completed_runs(spark, str(tmp_path))
-    assert [r.run for r in done.collect()] == ["split0_p01"]
-    cells = spark.createDataFrame([("split0_p01",), ("split0_p05",), ("split0_p09",)], "run string")
-    assert {r.run for r in summary.pending_runs(cells, done, ["run"]).collect()} == {"split0_p05", "split0_p09"}
-    assert scores.completed_runs(spark, str(tmp_path / "none")).isEmpty()
+    assert {(r.seed, r.p_env_a, r.method) for r in done.collect()} == {(0, 0.1, "eLM"), (1, 0.5, "iLM")}
+    cells = spark.createDataFrame([(0, "eLM"), (1, "eLM"), (1, "iLM")], "seed int, method string")
+    left = summary.pending_runs(cells, done, ["seed", "method"]).collect()
+    assert [(r.seed, r.method) for r in left] == [(1, "eLM")]

@@ -26,7 +26,15 @@ def test_indexes_equal_one_global_number(numbers, buckets):
     below = {(r.doc_id, r.idx) for r in shuffled_index(numbers, ["env"], "h", ["doc_id"], buckets, below=100).collect()}
     assert below == {w for w in want if w[1] < 100}
     want = {(r.doc_id, r.i) for r in numbers.withColumn("i", F.row_number().over(by_key) - 1).collect()}
-    assert {(r.doc_id, r.idx) for r in ranged_index(numbers, ["env"], "doc_id", ["doc_id"], buckets).collect()} == want
+    assert {(r.doc_id, r.idx) for r in ranged_index(numbers, ["env"], ["doc_id"], buckets * 500_000).collect()} == want
+    keyed = numbers.withColumn("key", F.concat(F.lit("k"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+    assert {(r.doc_id, r.idx) for r in ranged_index(keyed, ["env"], ["key"], buckets * 500_000).collect()} == want
+
+
+def test_one_document_spans_several_buckets(spark):
+    lines = spark.range(900).select(F.lit(7).alias("doc_id"), F.col("id").cast("int").alias("line_no"))
+    got = ranged_index(lines, [], ["doc_id", "line_no"], 9 * 500_000).collect()
+    assert all(r.idx == r.line_no for r in got) and len(got) == 900
 
 
 def test_sorted_index(numbers):
@@ -37,16 +45,19 @@ def test_sorted_index(numbers):
     assert got == want
 
 
-@pytest.mark.parametrize("bound", [0, vocab.MAX_BROADCAST_WORDS])
-def test_vocabulary_and_encoding(lines_of, monkeypatch, bound):
-    monkeypatch.setattr(vocab, "MAX_BROADCAST_WORDS", bound)
+@pytest.mark.parametrize("frequent", [0, 1, 2, vocab.FREQUENT_WORDS])
+def test_vocabulary_and_encoding(lines_of, monkeypatch, frequent):
+    monkeypatch.setattr(vocab, "FREQUENT_WORDS", frequent)
     lines = lines_of(["b a a", "c b a", "!"])
     full = {r.token: r.token_id for r in vocab.build_vocab(lines).collect()}
     assert [full[t] for t in fixed.SPECIAL_TOKENS] == [0, 1, 2, 3, 4]
     assert (full["a"], full["b"], full["c"]) == (5, 6, 7)
-    small = vocab.build_vocab(lines, 7)
-    ids = {r.doc_id: r.ids for r in vocab.encode_tokens(lines, small, ("doc_id", "line_no"), 7).collect()}
-    assert ids == {0: [2, 6, 5, 5, 3], 1: [2, 1, 6, 5, 3], 2: [2, 3]}
+    keys = ("doc_id", "line_no")
+    ids = {r.doc_id: r.ids for r in vocab.encode_tokens(lines, vocab.build_vocab(lines), keys).collect()}
+    assert ids == {0: [2, 6, 5, 5, 3], 1: [2, 7, 6, 5, 3], 2: [2, 3]}
+    other = lines_of(["a z c", "b y"])
+    ids = {r.doc_id: r.ids for r in vocab.encode_tokens(other, vocab.build_vocab(lines), keys).collect()}
+    assert ids == {0: [2, 5, 1, 7, 3], 1: [2, 6, 1, 3]}
 
 
 @pytest.mark.parametrize(
@@ -119,6 +130,15 @@ def test_round_robin(examples):
     assert per_step == {(1, 0, "A"): 16, (2, 0, "B"): 16, (3, 1, "A"): 16}
 
 
+def test_empty_environment_has_no_turn(spark, examples):
+    sizes = envs.env_sizes(examples, ["A", "B", "C"])
+    steps = schedule.round_robin_schedule(examples, sizes, 0, nb_steps=100, accumulation=1)
+    assert sorted(r.step for r in steps.select("step").distinct().collect()) == list(range(1, 101))
+    only = examples.where("env = 'A'")
+    steps = schedule.round_robin_schedule(only, envs.env_sizes(only, ["A", "B"]), 0, nb_steps=100, accumulation=1)
+    assert sorted(r.step for r in steps.select("step").distinct().collect()) == list(range(1, 101))
+
+
 def test_schedule_steps_have_no_gaps(examples):
     steps = schedule.round_robin_schedule(examples, envs.env_sizes(examples), 0, nb_steps=11, accumulation=1)
     assert sorted(r.step for r in steps.select("step").distinct().collect()) == list(range(1, 12))
@@ -138,6 +158,8 @@ def test_epochs_are_drawn_anew(examples):
 def test_log_and_checkpoint_steps(spark):
     steps = spark.range(1, 1301).select(F.lit(0).alias("epoch"), F.col("id").alias("step"))
     assert {r.step for r in schedule.log_steps(steps, n_env=3).collect()} == {600, 1200}
+    cut = steps.where("step <= 200")
+    assert {r.step for r in schedule.log_steps(cut, n_env=3, max_steps=200).collect()} == {200}
     assert {r.step for r in schedule.checkpoint_steps(steps, 500).collect()} == {500, 1000}
     assert schedule.checkpoint_steps(steps, 0).isEmpty()
 

@@ -42,12 +42,24 @@ def test_best_checkpoint_example(spark):
 def test_losses(spark):
     rows = [(1, 0, "A", 1.0), (1, 0, "A", 2.0), (1, 1, "B", None), (2, 2, "A", 4.0)]
     log = spark.createDataFrame(rows, "epoch int, round int, env string, loss double")
-    assert {(r.epoch, r.env): (r.avg_loss, r.n_updates) for r in runlog.epoch_env_loss(log).collect()} == {
-        (1, "A"): (1.5, 2), (1, "B"): (None, 0), (2, "A"): (4.0, 1),
-    }
+    found = runlog.epoch_env_loss(log, ["A", "B", "C"]).collect()
+    assert {(r.epoch, r.env): (r.avg_loss, r.n_updates) for r in found} == {
+        (1, "A"): (1.5, 2), (1, "B"): (None, 0), (1, "C"): (None, 0),
+        (2, "A"): (4.0, 1), (2, "B"): (None, 0), (2, "C"): (None, 0),
+    }
     assert {r["round"]: r.avg_loss for r in runlog.round_loss(log).collect()} == {0: 1.5, 1: 0.0, 2: 4.0}
+    rounds = spark.createDataFrame([(1, 0), (1, 1), (2, 2), (2, 3)], "epoch int, round int")
+    assert {r["round"]: r.avg_loss for r in runlog.round_loss(log, rounds).collect()} == {0: 1.5, 1: 0.0, 2: 4.0, 3: 0.0}
     wide = {r.epoch: (r.A, r.B) for r in runlog.loss_history(log, ["A", "B"]).collect()}
-    assert wide == {1: (1.5, None), 2: (4.0, None)}
+    assert wide == {2: (1.5, None), 3: (4.0, None)}
+
+
+def test_round_log(spark):
+    rows = [("r", 0, k // 3, k + 1, float(k)) for k in range(20)]  # the last round is cut after two steps
+    log = spark.createDataFrame(rows, "run string, epoch int, round int, step bigint, loss double")
+    val = spark.createDataFrame([("r", 20, 1.0)], "run string, global_step bigint, val_loss double")
+    got = {r.global_step: (r.epoch, r.train_loss, r.val_loss) for r in runlog.round_log(log, val, 4).collect()}
+    assert got == {12: (1, 10.0, None), 20: (1, 18.5, 1.0)}
 
 
 def test_batch_means_are_not_weighted(spark):
@@ -72,5 +84,4 @@ def test_cells(spark):
     cells = spark.createDataFrame([(0,), (1,), (2,)], "seed int")
     done = spark.createDataFrame([(1,), (1,)], "seed int")
     assert {r.seed for r in summary.missing_cells(cells, done, ["seed"]).collect()} == {0, 2}
-    assert {r.seed for r in summary.present_cells(cells, done, ["seed"]).collect()} == {1}
     assert {r.seed for r in summary.pending_runs(cells, done, ["seed"]).collect()} == {0, 2}
