@@ -29,6 +29,7 @@ from xxhash import xxh64_intdigest
 
 from counterfact.llm.batches import IS_SPACE, LOWER, free_name, quoted, text_buffer, with_text_columns, word_bounds
 from counterfact.llm.components import components
+from counterfact.llm.membership import may_hold
 from counterfact.llm.shipping import ship
 from counterfact.llm.staging import partitions_for, stage
 
@@ -378,16 +379,20 @@ def one_of_each(
     Rows without an id stay only if no row with an id is in their group.
     """
     found = near_duplicates(df, id_col, text, shingle, distance)
-    key, rows = free_name(df, "_kept"), free_name(df, "_rows")
+    key, rows, kept = (free_name(df, name) for name in ("_id", "_rows", "_kept"))
     ident = F.col(quoted(id_col))
-    kept = stage(
-        found.where(ident.eqNullSafe(F.col("component_id")))
-        .groupBy(ident.alias(key))
-        .agg(F.count("*").alias(rows)),
-        "kept",
+    verdicts = stage(
+        found.groupBy(ident.alias(key)).agg(
+            F.count("*").alias(rows), F.max(ident.eqNullSafe(F.col("component_id"))).alias(kept)
+        ),
+        "verdicts",
     )
-    marked = df.join(kept, ident.eqNullSafe(F.col(key)))
     columns = [F.col(quoted(c)) for c in df.columns]
-    # Rows that share an id are rare; only they are moved by their id.
+    # Most rows stay and are the only ones with their id; these are not moved.
+    touched = verdicts.where(~F.col(kept) | (F.col(rows) > 1))
+    doubtful = may_hold(touched, key)(ident)
+    settled = df.where(~doubtful).select(*columns)
+    looked_up = df.where(doubtful).join(verdicts.where(kept), ident.eqNullSafe(F.col(key)))
     several = (F.col(rows) > 1) & F.col(key).isNotNull()
-    return marked.where(~several).select(*columns).union(marked.where(several).select(*columns).dropDuplicates([id_col]))
+    single = looked_up.where(~several).select(*columns)
+    return settled.union(single).union(looked_up.where(several).select(*columns).dropDuplicates([id_col]))
