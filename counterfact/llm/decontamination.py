@@ -17,7 +17,7 @@ result is empty.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructType
 
 from counterfact.llm.batches import LOWER, free_name, quoted, text_buffer, with_text_columns, word_bounds, word_ids
+from counterfact.llm.staging import stage
 
 #: Words are runs of ASCII letters, digits and bytes of other letters.
 GAP = np.ones(256, bool)
@@ -224,19 +225,38 @@ def _rates(df: DataFrame, text: str, items: Items) -> np.ndarray:
     return rates / (total.get(-1, 0) + len(rates) + 1)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, rule: Rule) -> list[Items]:
-    """The items in blocks of about ``rule.block_bytes`` of text, so that each may be sent to all tasks."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, rule: Rule) -> tuple[int, Iterator[Items]]:
+    """Number of blocks, and the items in blocks of about ``rule.block_bytes`` of text, one at a time.
+
+    A block is what is on the driver and in a task at once.
+    """
     items = benchmark.select(F.col(quoted(item_id)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
     items = items.where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     count = max(1, -(-size // rule.block_bytes))
     number = F.pmod(F.xxhash64("text"), F.lit(count))
-    blocks = []
-    for k in range(count):
-        rows = items.where(number == k).orderBy("id", "text").collect()
-        if rows:
-            blocks.append(Items([r["id"] for r in rows], [r["text"] for r in rows], rule))
-    return [b for b in blocks if b.words]
+
+    def blocks() -> Iterator[Items]:
+        for k in range(count):
+            rows = items.where(number == k).orderBy("id", "text").collect()
+            block = Items([r["id"] for r in rows], [r["text"] for r in rows], rule)
+            if block.words:
+                yield block
+
+    return count, blocks()
+
+
+def _match_type(benchmark: DataFrame, item_id: str) -> ArrayType:
+    kind: DataType = benchmark.schema[item_id].dataType
+    each = StructType().add("item_id", kind).add("score", DoubleType())
+    return ArrayType(each.add("first_word", LongType()).add("end_word", LongType()))
+
+
+def _with_block(df: DataFrame, items: Items, text: str, carry: Sequence[str], column: str, kind: ArrayType) -> DataFrame:
+    """``carry`` columns with the copies of the items of one block."""
+    items.choose_seeds(_rates(df, text, items))
+    out = StructType().add(column, kind)
+    return with_text_columns(df, lambda: lambda texts: [matches(texts, items)], out, text, carry)
 
 
 def with_matches(
@@ -246,38 +266,39 @@ def with_matches(
     item_id: str = "item_id",
     item_text: str = "text",
     rule: Rule = Rule(),
-    carry: Sequence[str] | None = None,
     column: str = "matches",
 ) -> DataFrame:
-    """``carry`` columns of every row (all, if not given) with the copies of items in its text.
+    """The columns of every row with the copies of items in its text.
 
-    ``column`` is an array of (item_id, score, first_word, end_word), empty for a clean text.
+    ``column`` is an array of (item_id, score, first_word, end_word), empty for a clean text. With more than
+    one block of items, the table is written after each, so that a task holds one block.
     """
-    kind: DataType = benchmark.schema[item_id].dataType
-    each = (
-        StructType().add("item_id", kind).add("score", DoubleType()).add("first_word", LongType()).add("end_word", LongType())
-    )
-    keep = [c for c in (df.columns if carry is None else carry) if c != column]
-    blocks = item_blocks(benchmark, item_id, item_text, rule)
-    if not blocks:
-        return df.select(*map(quoted, keep), F.array().cast(ArrayType(each)).alias(column))
+    kind = _match_type(benchmark, item_id)
+    keep = [c for c in df.columns if c != column]
+    count, blocks = item_blocks(benchmark, item_id, item_text, rule)
+    found, part = free_name(df, "_found"), free_name(df, "_part")
+    made = df.select(*map(quoted, keep), F.array().cast(kind).alias(found))
     for items in blocks:
-        items.choose_seeds(_rates(df, text, items))
-    names = [free_name(df, f"{column}_{k}") for k in range(len(blocks))]
-    out = StructType()
-    for name in names:
-        out = out.add(name, ArrayType(each))
-
-    def columns(texts: pa.Array) -> list:
-        return [matches(texts, items) for items in blocks]
-
-    made = with_text_columns(df, lambda: columns, out, text, keep)
-    return made.select(*map(quoted, keep), F.concat(*map(quoted, names)).alias(column))
+        each = _with_block(made, items, text, [*keep, found], part, kind)
+        made = each.select(*map(quoted, keep), F.concat(quoted(found), quoted(part)).alias(found))
+        if count > 1:
+            made = stage(made, "matches")
+    return made.withColumnRenamed(found, column)
 
 
 def contaminated(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Rule = Rule()
 ) -> DataFrame:
     """Rows (id, item_id, score, first_word, end_word) for every copy of an item in a row of ``df``."""
-    found = with_matches(df, benchmark, text, rule=rule, carry=[id_col])
-    return found.select(F.col(quoted(id_col)).alias(id_col), F.inline("matches"))
+    kind = _match_type(benchmark, "item_id")
+    count, blocks = item_blocks(benchmark, "item_id", "text", rule)
+    out = StructType().add(id_col, df.schema[id_col].dataType)
+    for field in kind.elementType.fields:
+        out = out.add(field.name, field.dataType)
+    result = None
+    for items in blocks:
+        each = _with_block(df, items, text, [id_col], free_name(df, "_found"), kind)
+        rows = each.select(F.col(quoted(id_col)), F.inline(quoted(each.columns[-1])))
+        rows = stage(rows, "copies") if count > 1 else rows
+        result = rows if result is None else result.union(rows)
+    return result if result is not None else df.sparkSession.createDataFrame([], out)
