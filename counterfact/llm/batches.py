@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from counterfact.llm.shipping import ship
 
 #: Bytes of text that a task works on at a time; a longer text is a part of its own.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 # The bytes that separate words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -106,24 +106,22 @@ def with_text_columns(
     out: str | StructType,
     text: str = "text",
     carry: Sequence[str] | None = None,
-    extra: Sequence[str] = (),
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``carry`` columns of ``df`` (all, if not given) with columns computed from its texts.
 
-    ``make`` is called once per task and returns a function from an Arrow array of texts (and the arrays
-    of the ``extra`` columns) to the arrays of ``out``, in order. A carried column with the name of a
-    computed one gives way to it. A column of texts that is not a string is read as one.
+    ``make`` is called once per task and returns a function from an Arrow array of texts, of ``part_bytes``
+    at most, to the arrays of ``out``, in order. A carried column with the name of a computed one gives way to
+    it. A column of texts that is not a string is read as one.
     """
     ship(df.sparkSession)
     out_type = out if isinstance(out, StructType) else _parse_datatype_string(out)
     names = [c for c in (df.columns if carry is None else carry) if c not in out_type.names]
     inputs = df.select(
         F.col(quoted(text)).cast("string").alias("_text"),
-        *[F.col(quoted(c)).alias(f"_x{i}") for i, c in enumerate(extra)],
         *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(names)],
     )
-    first = 1 + len(extra)
-    made = StructType([*inputs.schema.fields[first:]])
+    made = StructType([*inputs.schema.fields[1:]])
     for i, field in enumerate(out_type.fields):
         made = made.add(f"_o{i}", field.dataType)
     schema = to_arrow_schema(made)
@@ -131,13 +129,16 @@ def with_text_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in parts(batch, 0):
-                columns = fn(*part.columns[:first])
-                arrays = [*part.columns[first:], *columns]
+            for part in parts(batch, 0, part_bytes):
+                columns = fn(part.column(0))
+                arrays = [*part.columns[1:], *columns]
                 cast = [
                     (a if isinstance(a, pa.Array) else pa.array(a, type=f.type)).cast(f.type)
                     for a, f in zip(arrays, schema, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(cast, schema=schema)
+            # A worker lives on; what a batch needed goes back to the system.
+            batch = part = columns = arrays = cast = None
+            pa.default_memory_pool().release_unused()
 
     return inputs.mapInArrow(run, made).toDF(*names, *out_type.names)

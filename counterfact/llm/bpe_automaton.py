@@ -55,6 +55,9 @@ SPLIT = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE_SPACE}{LET
 NOT_KNOWN = re.compile(f"[{_RANGES['Cn']}]")
 WORD_END = "</w>"
 
+#: Bytes of text of a part: each distinct word of a part is encoded once, so larger parts are cheaper.
+PART_BYTES = 8 << 20
+
 
 def byte_alphabet() -> list[str]:
     """The visible character that stands for each byte."""
@@ -286,7 +289,10 @@ def _ragged(values: np.ndarray, firsts: np.ndarray, chosen: np.ndarray) -> tuple
     sizes = (firsts[1:] - firsts[:-1])[chosen]
     bounds = np.zeros(len(chosen) + 1, np.int64)
     np.cumsum(sizes, out=bounds[1:])
-    at = np.arange(bounds[-1]) + np.repeat(firsts[:-1][chosen] - bounds[:-1], sizes)
+    # The largest arrays of a part: four bytes a place where they do.
+    kind = np.int32 if max(bounds[-1], len(values)) < 2**31 else np.int64
+    at = np.repeat((firsts[:-1][chosen] - bounds[:-1]).astype(kind), sizes)
+    at += np.arange(bounds[-1], dtype=kind)
     return values[at], bounds
 
 
@@ -321,7 +327,7 @@ def encode_texts(texts: pa.Array, automaton: Automaton, split: SpecialSplit) ->
     piece = np.where(piece < 0, len(data) + special - piece, piece)
     piece_firsts = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=piece_firsts[1:])
-    by_word, inner = _ragged(tokens, token_firsts, piece)
+    by_word, inner = _ragged(tokens.astype(np.int32), token_firsts, piece)
     word_firsts = inner[piece_firsts]
     out, word_bounds_ = _ragged(by_word, word_firsts, ids)
     return out, word_bounds_[firsts]
@@ -372,4 +378,4 @@ def encode_and_decode(
         return columns
 
     out = f"`{prefix}n_tokens` bigint, `{prefix}ids` binary, `{prefix}decoded` string"
-    return with_text_columns(df, make, out, text, carry)
+    return with_text_columns(df, make, out, text, carry, PART_BYTES)

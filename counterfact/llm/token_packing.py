@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from counterfact.llm.batches import parts, quoted
-from counterfact.llm.bpe_automaton import Automaton, SpecialSplit, compile_tokenizer, encode_texts
+from counterfact.llm.bpe_automaton import PART_BYTES, Automaton, SpecialSplit, compile_tokenizer, encode_texts
 from counterfact.llm.shipping import ship
 
 
@@ -110,7 +110,7 @@ def _split(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
 def _with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts with the end token behind each."""
     wider = bounds + np.arange(len(bounds))
-    out = np.full(int(wider[-1]), end, np.int64)
+    out = np.full(int(wider[-1]), end, np.int32)
     inner = np.ones(len(out), bool)
     inner[wider[1:] - 1] = False
     out[inner] = ids
@@ -158,7 +158,7 @@ def _packed(
     held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
     tokens = made = 0
     for batch in batches:
-        for part in parts(batch, 0):
+        for part in parts(batch, 0, PART_BYTES):
             ids, bounds = _with_end(*encode_texts(part.column(0), automaton, split), layout.end)
             held.append((ids, bounds, part.column(1)))
             tokens += len(ids)
