@@ -51,6 +51,7 @@ def _ranges() -> dict[str, str]:
 _RANGES = _ranges()
 LETTERS, NUMBERS = _RANGES["L"], _RANGES["N"]
 SPLIT = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE_SPACE}{LETTERS}{NUMBERS}]+")
+ASCII_SPLIT = re.compile(f"{CONTRACTIONS}|[a-z]+|[0-9]|[^{WHITE_SPACE}a-z0-9]+")
 #: Characters that this Python does not know; newer tables may class them otherwise.
 NOT_KNOWN = re.compile(f"[{_RANGES['Cn']}]")
 WORD_END = "</w>"
@@ -258,11 +259,17 @@ class SpecialSplit:
 
 def _pieces(word: str, split: SpecialSplit) -> list[str | int]:
     """Pre-split words of a string without ASCII space; a number is a special token."""
-    if word.isascii():
-        if word.isalpha():
-            return [word.lower()]
-        if "<|" not in word:
-            return SPLIT.findall(word.lower())
+    if "<|" not in word:
+        # Each character is lower-cased by itself, so a capital sigma never becomes a final one.
+        low = word if word.isascii() else unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3")
+        low = low.lower()
+        # Most words are letters, or letters and one mark behind them.
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        if word.isascii():
+            return ASCII_SPLIT.findall(low)
     out: list[str | int] = []
     for part in split.parts(word):
         if part in split.ids:
@@ -270,7 +277,6 @@ def _pieces(word: str, split: SpecialSplit) -> list[str | int]:
         elif NOT_KNOWN.search(part):
             out += _split_by_library(part)
         elif part:
-            # Each character is lower-cased by itself, so a capital sigma never becomes a final one.
             out += SPLIT.findall(unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower())
     return out
 
