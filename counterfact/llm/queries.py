@@ -109,4 +109,4 @@ def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
     """Secrets of every document; the source owns a document."""
-    return secret_scan(documents(spark, d), owner="source", repository="doc_id")
+    return secret_scan(documents(spark, d), owner="source")

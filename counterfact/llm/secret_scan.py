@@ -1,15 +1,15 @@
 """Secret scan with ownership over the whole corpus.
 
-Every text is searched for candidates. The digest of a candidate's value is counted by the distinct owners
-and repositories that hold it: a value that many owners hold is a widely copied example, one that a single
-owner holds in few repositories looks like a live credential. Base candidates are always reported; generic
-candidates (long mixed strings) are reported when they look live.
+Every text is searched for candidates. The digest of a candidate's value is counted by the distinct owners of
+the distinct texts that hold it: a value that many owners hold is a widely copied example, one that a single
+owner holds looks like a live credential, in however many documents. A text that several owners hold is one
+text of one owner, so exact copies of a document do not take a value from its owner. Base candidates are
+always reported; generic candidates (long mixed strings) are reported when they look live.
 
-Only digests, owners and repositories are shuffled, never values or texts. A value that very many documents
-hold is reduced on the map side, first by (value, owner, repository), then by (value, owner).
+Only digests and owners are shuffled, never values or texts. A value that very many documents hold is reduced
+on the map side, first by (value, owner, text).
 
-Defined cases: a null or empty text has no candidates; a null owner or repository counts as one unknown owner
-or repository; repeated rows are reported one by one and counted once as owners; an empty table gives an
+Defined cases: a null or empty text has no candidates; a null owner counts as one unknown owner; repeated rows are reported one by one and counted once as owners; an empty table gives an
 empty result.
 """
 
@@ -51,10 +51,9 @@ RUN = 16
 
 @dataclass(frozen=True)
 class Ownership:
-    """A value looks live while at most so many owners and repositories hold it."""
+    """A value looks live while the distinct texts that hold it have at most so many owners."""
 
     max_owners: int = 1
-    max_repositories: int = 3
     least_generic: int = 24
     least_digits: int = 4
     least_letters: int = 4
@@ -142,8 +141,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def _columns(texts: pa.Array, rule: Ownership) -> list:
     counts = [[], [], []]
-    digests, found = [], []
-    for here in candidates(texts, rule):
+    digests, found, whole = [], [], []
+    for here, text in zip(candidates(texts, rule), texts):
         base = [(s, k, e) for s, k, e, _ in here if k < 3]
         for kind in range(3):
             counts[kind].append(sum(k == kind for _, k, _ in base))
@@ -154,20 +153,29 @@ def _columns(texts: pa.Array, rule: Ownership) -> list:
                 for s, k, e, v in here
             ]
         )
-    return [*counts, digests, found]
+        whole.append(hashlib.sha256(text.as_py().encode()).digest() if here else None)
+    return [*counts, digests, found, whole]
 
 
 FOUND = (
     "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
-    "found array<struct<start: bigint, kind: int, end: bigint, value: binary>>"
+    "found array<struct<start: bigint, kind: int, end: bigint, value: binary>>, "
+    "text_sha256 binary"
 )
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of every value, from rows (value, owner, repository)."""
-    once = found.select("value", "owner", "repository").distinct()
-    by_owner = once.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    """Distinct owners of every value, from rows (value, owner, text).
+
+    An owner that holds all the texts of a value is its only one; else a text counts for its least owner.
+    """
+    once = found.select("value", "owner", "text").distinct()
+    most = once.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.max("n").alias("most"))
+    by_text = once.groupBy("value", "text").agg(F.min("owner").alias("owner"))
+    by_owner = by_text.groupBy("value", "owner").agg(F.count("*").alias("n"))
+    totals = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_texts"))
+    n_owners = F.when(F.col("most") == F.col("n_texts"), 1).otherwise(F.col("n_owners"))
+    return totals.join(most, "value").select("value", n_owners.alias("n_owners"))
 
 
 def secret_scan(
@@ -175,7 +183,6 @@ def secret_scan(
     id_col: str = "doc_id",
     text: str = "text",
     owner: str = "source",
-    repository: str = "doc_id",
     rule: Ownership = Ownership(),
 ) -> DataFrame:
     """Rows (id, counts of the base kinds, digest of the base spans, all spans, n_live, n_copied) for every row.
@@ -185,16 +192,15 @@ def secret_scan(
     inputs = df.select(
         F.col(quoted(id_col)).alias("id"),
         F.coalesce(F.col(quoted(owner)).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(quoted(repository)).cast("string"), F.lit("")).alias("repository"),
         F.col(quoted(text)).alias("text"),
     )
     scanned = with_text_columns(
-        inputs, lambda: lambda texts: _columns(texts, rule), FOUND, carry=["id", "owner", "repository"]
+        inputs, lambda: lambda texts: _columns(texts, rule), FOUND, carry=["id", "owner"]
     )
     # The number of a row is fixed by writing it.
     scanned = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "candidates")
-    each = scanned.where(F.size("found") > 0).select("row", "owner", "repository", F.inline("found"))
-    live = (F.col("n_owners") <= rule.max_owners) & (F.col("n_repositories") <= rule.max_repositories)
+    each = scanned.where(F.size("found") > 0).select("row", "owner", F.col("text_sha256").alias("text"), F.inline("found"))
+    live = F.col("n_owners") <= rule.max_owners
     judged = each.join(ownership(each), "value").withColumn("live", live)
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, k)])
     spans = F.array_sort(

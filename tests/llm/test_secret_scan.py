@@ -44,6 +44,17 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert all("generic" not in got[k]["spans"] and got[k]["n_assign"] == 1 and got[k]["n_copied"] == 1 for k in range(400))
 
 
+def test_copies_do_not_take_a_key_from_its_owner(spark):
+    mine, near, mirrored, partly, shared = (f"{x}9Xv3QmZ7Lr2Tb8Wn5Yc1Hd6" for x in "abcde")
+    rows = [(k, f"key {mine}", "s1") for k in range(50)]
+    rows += [(100 + k, f"{prose(6, k)} {near}", "s2") for k in range(50)]
+    rows += [(200 + k, f"see {mirrored}", f"s{k}") for k in range(5)]
+    rows += [(250, f"x {partly}", "s5"), (251, f"y {partly}", "s5"), (252, f"x {partly}", "s1")]
+    rows += [(300, f"one {shared}", "s1"), (301, f"other {shared}", "s2")]
+    got = {r["doc_id"]: r for r in secret_scan(table_of(spark, rows)).collect()}
+    assert all(r["n_live"] == (k < 300) and ("generic" in r["spans"]) == (k < 300) for k, r in got.items())
+
+
 def test_query(spark):
     rows = entry.queries()["op10_secrets"](spark, entry.ENTRY_DIR).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{entry.ENTRY_DIR}/documents.parquet").collect()}
