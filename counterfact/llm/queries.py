@@ -1,7 +1,8 @@
 """The registered queries of the operators, each over its whole table with production parameters.
 
-No query has SQL: fingerprints by XXH64, suffix arrays, trained models, sampled seatings and tokenizers are
-beyond it. The tests hold each against a brute-force version, an exact round trip or held-out accuracy.
+The queries of ``oracles`` have SQL. The others have none: fingerprints by XXH64, suffix arrays, trained models,
+sampled seatings and tokenizers are beyond it. The tests hold each query against a brute-force version, an exact
+round trip or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from counterfact.llm import language_id, pitman_yor, quality_ranking
 from counterfact.llm.bpe_automaton import encode_and_decode
+from counterfact.llm.conversation_trie import conversation_turns, prefix_trie, regrafted
 from counterfact.llm.decontamination import contaminated
+from counterfact.llm.oracles import ORACLES  # noqa: F401
 from counterfact.llm.pii import fit as fit_pii
 from counterfact.llm.pii import tag_pii
 from counterfact.llm.quality_rules import quality_rules
@@ -20,7 +23,6 @@ from counterfact.llm.simhash import near_duplicates
 from counterfact.llm.token_packing import pack_texts
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
@@ -110,3 +112,10 @@ def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
     """Secrets of every document; the source owns a document."""
     return secret_scan(documents(spark, d), owner="source")
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, their first turns taken from the first of their family."""
+    turns = conversation_turns(spark.read.parquet(f"{d}/conversations.parquet"))
+    return prefix_trie(regrafted(turns, family=20, heads=4))
