@@ -55,5 +55,26 @@ subtrees AS (
 SELECT n.conv_id, n.d::BIGINT AS depth, n.parent AS parent_conv_id, n.n_convs, n.kids AS n_children,
     s.leaves AS n_leaves, s.saved AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
 FROM linked n JOIN subtrees s ON s.top = n.key LEFT JOIN ending e ON e.key = n.key
+""",
+    "op12_embedding_dedup": """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a
+    JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+),
+components AS (SELECT a, min(b) AS c FROM reached GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
+FROM embeddings e JOIN components c ON c.a = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
 """,
 }

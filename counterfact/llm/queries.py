@@ -14,6 +14,7 @@ from counterfact.llm import language_id, pitman_yor, quality_ranking
 from counterfact.llm.bpe_automaton import encode_and_decode
 from counterfact.llm.conversation_trie import conversation_turns, prefix_trie, regrafted
 from counterfact.llm.decontamination import contaminated
+from counterfact.llm.embedding_dedup import near_copies
 from counterfact.llm.oracles import ORACLES  # noqa: F401
 from counterfact.llm.pii import fit as fit_pii
 from counterfact.llm.pii import tag_pii
@@ -119,3 +120,9 @@ def op11_conversation_trie(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of the prefix trie of all conversations, their first turns taken from the first of their family."""
     turns = conversation_turns(spark.read.parquet(f"{d}/conversations.parquet"))
     return prefix_trie(regrafted(turns, family=20, heads=4))
+
+
+@query
+def op12_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Links and components of all vectors; the index is fitted on 16,384 of them at most."""
+    return near_copies(spark.read.parquet(f"{d}/embeddings.parquet"), threshold=0.93)
