@@ -76,5 +76,30 @@ components AS (SELECT a, min(b) AS c FROM reached GROUP BY a),
 degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
 FROM embeddings e JOIN components c ON c.a = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
+""",
+    "op13_hard_negatives": """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor, x.vec_id AS other, a.label = x.label AS same, list_inner_product(a.v, x.v)::BIGINT AS score
+    FROM vectors a JOIN vectors x ON a.vec_id <> x.vec_id AND len(a.v) = len(x.v) WHERE a.vec_id % 50 = 0
+),
+positives AS (
+    SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+),
+negatives AS (
+    SELECT p.anchor AS anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score,
+        n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS place
+    FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+        AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE place <= 3
 """,
 }

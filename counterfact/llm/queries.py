@@ -15,6 +15,7 @@ from counterfact.llm.bpe_automaton import encode_and_decode
 from counterfact.llm.conversation_trie import conversation_turns, prefix_trie, regrafted
 from counterfact.llm.decontamination import contaminated
 from counterfact.llm.embedding_dedup import near_copies
+from counterfact.llm.hard_negatives import hard_negatives
 from counterfact.llm.oracles import ORACLES  # noqa: F401
 from counterfact.llm.pii import fit as fit_pii
 from counterfact.llm.pii import tag_pii
@@ -126,3 +127,11 @@ def op11_conversation_trie(spark: SparkSession, d: str) -> DataFrame:
 def op12_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Links and components of all vectors; the index is fitted on 16,384 of them at most."""
     return near_copies(spark.read.parquet(f"{d}/embeddings.parquet"), threshold=0.93)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector against all; the label of every seventh is another one first."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0, positives=5, negatives=3)
