@@ -60,6 +60,31 @@ def test_vocabulary_and_encoding(lines_of, monkeypatch, frequent):
     assert ids == {0: [2, 5, 1, 7, 3], 1: [2, 6, 1, 3]}
 
 
+@pytest.mark.parametrize("frequent, tokens", [(1, 500_000), (2, 3), (50_000, 3)])
+def test_repeated_and_null_lines_are_encoded(spark, monkeypatch, frequent, tokens):
+    """Keys need not be unique, whichever way the words are looked up, and other columns are free to be named."""
+    monkeypatch.setattr(vocab, "FREQUENT_WORDS", frequent)
+    monkeypatch.setattr(vocab, "TOKENS_PER_PART", tokens)
+    rows = [(1, "c b a", 7)] * 5 + [(1, "d c b a e f", 7), (None, "e d", 8), (2, None, 9), (3, "", 9), (4, "z", 9)]
+    lines = spark.createDataFrame(rows, "k int, line string, token int").repartition(3)
+    words = vocab.build_vocab(lines.where("line IS NULL OR line <> 'z'"))
+    ids = {r.token: r.token_id for r in words.collect()}
+    got = vocab.encode_tokens(lines, words, ("k", "token")).collect()
+    want = [(k, t, [2, *(ids.get(w, 1) for w in (line or "").split()), 3]) for k, line, t in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_lines_are_taken_apart_once(spark, lines_of, monkeypatch):
+    """The dictionary of a part and its ids come from the same exchange."""
+    monkeypatch.setattr(vocab, "FREQUENT_WORDS", 1)
+    lines = lines_of(["b a a", "c b a"])
+    encoded = vocab.encode_tokens(lines, vocab.build_vocab(lines), ("doc_id",))
+    execution = encoded._jdf.queryExecution()
+    encoded._jdf.collectToPython()
+    plan = execution.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("regexp_extract_all") == 1
+
+
 @pytest.mark.parametrize(
     "lines, rows, blocks, dropped",
     [
