@@ -15,38 +15,34 @@ from pyspark.sql import functions as F
 from counterfact.staging import stage
 
 # Rows a bucket should hold.
-ROWS_PER_BUCKET = 500_000
-_BUCKET = "_bucket"
+ROWS_PERBUCKET = 500_000
+# Column with the bucket of a row; buckets keep the order.
+BUCKET = "_bucket"
 _FIRST = "_first"
 
 
 def bucket_count(spark: SparkSession, n_rows: int) -> int:
     """Number of buckets for a number of rows; enough to use all cores."""
-    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_BUCKET))
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PERBUCKET))
 
 
 def number_in_buckets(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "idx", below: int | None = None
+    df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "idx"
 ) -> DataFrame:
     """Number rows from 0 per group, given an order-keeping ``_bucket`` column.
 
-    With ``below``, only numbers under it are kept; buckets that start later are dropped before the
-    rows are sorted. The first numbers are one row per group and bucket; the planner sends them to all
+    The first numbers are one row per group and bucket; the planner sends them to all
     tasks while they are few and joins them otherwise.
     """
-    sizes = df.groupBy(*groups, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(*groups, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
-        Window.partitionBy(*groups).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    firsts = sizes.select(*groups, _BUCKET, (F.sum("_n").over(earlier) - F.col("_n")).alias(_FIRST))
-    placed = df.join(firsts, [*groups, _BUCKET])
-    if below is not None:
-        placed = placed.where(F.col(_FIRST) < below)
-    inside = Window.partitionBy(*groups, _BUCKET).orderBy(*order)
+    firsts = sizes.select(*groups, BUCKET, (F.sum("_n").over(earlier) - F.col("_n")).alias(_FIRST))
+    placed = df.join(firsts, [*groups, BUCKET])
+    inside = Window.partitionBy(*groups, BUCKET).orderBy(*order)
     numbered = placed.withColumn(name, (F.col(_FIRST) + F.row_number().over(inside) - 1).cast("bigint"))
-    if below is not None:
-        numbered = numbered.where(F.col(name) < below)
-    return numbered.drop(_BUCKET, _FIRST)
+    return numbered.drop(BUCKET, _FIRST)
 
 
 def shuffled_index(
@@ -56,12 +52,11 @@ def shuffled_index(
     ties: Sequence[str],
     n_buckets: int,
     name: str = "idx",
-    below: int | None = None,
 ) -> DataFrame:
     """Number rows in the order of a hex digest column, which spreads evenly over the buckets."""
     head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    bucketed = df.withColumn(_BUCKET, F.shiftright(head * F.lit(n_buckets), 32))
-    return number_in_buckets(bucketed, groups, [digest, *ties], name, below)
+    bucketed = df.withColumn(BUCKET, F.shiftright(head * F.lit(n_buckets), 32))
+    return number_in_buckets(bucketed, groups, [digest, *ties], name)
 
 
 def ranged_index(
@@ -77,7 +72,7 @@ def ranged_index(
     of rows asks for, and written once so that the borders cannot move.
     """
     n_buckets = bucket_count(df.sparkSession, df.count() if n_rows is None else n_rows)
-    ranged = df.repartitionByRange(n_buckets, *groups, *order).withColumn(_BUCKET, F.spark_partition_id())
+    ranged = df.repartitionByRange(n_buckets, *groups, *order).withColumn(BUCKET, F.spark_partition_id())
     return number_in_buckets(stage(ranged, "ranged"), groups, list(order), name)
 
 

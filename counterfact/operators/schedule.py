@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterfact import fixed
 from counterfact.functions.draws import digest
-from counterfact.operators.index import bucket_count, shuffled_index
+from counterfact.operators.index import BUCKET, bucket_count, number_in_buckets, shuffled_index, sorted_index
+from counterfact.staging import stage
+
+# Environments that are sent to all tasks.
+FEW_ENVS = 100_000
+_TURN, _EXAMPLE, _DIGEST = ["epoch", "env"], ["doc_id", "line_no"], "_digest"
+# Values of the first 15 digits of a digest.
+_HEADS = float(1 << 60)
 
 
 def round_plan(
@@ -72,25 +79,68 @@ def examples_seen(plan: DataFrame, batch_size: int = fixed.BATCH_SIZE, accumulat
 
 
 def shuffled_batches(
+    examples: DataFrame, seed: int, n_rows: int, epochs: int = 1, batch_size: int = fixed.BATCH_SIZE
+) -> DataFrame:
+    """Random order of all examples of every environment, drawn anew per epoch, cut into batches."""
+    keyed = _drawn(examples, seed, epochs)
+    n_buckets = bucket_count(examples.sparkSession, n_rows * epochs)
+    return _batched(shuffled_index(keyed, _TURN, _DIGEST, _EXAMPLE, n_buckets), batch_size)
+
+
+def first_batches(
     examples: DataFrame,
+    sizes: DataFrame,
     seed: int,
-    n_rows: int,
-    epochs: int = 1,
+    epochs: int,
+    batches: int,
+    last_batches: int,
     batch_size: int = fixed.BATCH_SIZE,
-    batches_needed: int | None = None,
 ) -> DataFrame:
-    """Random order of the examples of every environment, drawn anew per epoch, cut into batches.
+    """The first batches of ``shuffled_batches``: so many of every epoch, and fewer of the last one.
 
-    ``batches_needed`` keeps the first batches only; the rows of later ones are not sorted.
+    Only examples whose digest is below a cut are kept and moved. The cut of an environment follows from its
+    size ``n``: about as many digests are below it as are needed, and some more. The examples kept are counted;
+    where an environment is short of what it needs, the cut is made wider and taken again.
     """
-    keyed = examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn(
-        "_digest", digest(seed, F.col("epoch"), F.col("env"), F.col("doc_id"), F.col("line_no"))
-    )
-    below = None if batches_needed is None else batches_needed * batch_size
-    numbered = shuffled_index(
-        keyed, ["epoch", "env"], "_digest", ["doc_id", "line_no"], bucket_count(examples.sparkSession, n_rows), "idx", below
-    )
-    return numbered.drop("_digest").withColumn("batch_no", F.floor(F.col("idx") / batch_size).cast("bigint"))
+    needed = F.when(F.col("epoch") == epochs - 1, F.lit(last_batches)).otherwise(F.lit(batches)) * batch_size
+    filled = sizes.where(F.col("n") > 0)
+    every, last = (F.sum(F.least("n", F.lit(k * batch_size).cast("bigint"))) for k in (batches, last_batches))
+    total = filled.agg((every * (epochs - 1) + last).alias("wanted"), F.max("n").alias("largest")).first()
+    keyed = _drawn(_with_sizes(examples, filled.select("env", "n")), seed, epochs)
+    width = 1.0
+    while True:
+        more = needed + 6 * F.sqrt(needed) + 16
+        cut = F.least(F.lit(1.0), width * more / F.col("n")) * _HEADS
+        head = F.conv(F.substring(_DIGEST, 1, 15), 16, 10).cast("bigint")
+        kept = stage(keyed.withColumn("_head", head).withColumn("_cut", cut).where("_head < _cut").drop("n"), "drawn")
+        have = kept.groupBy(*_TURN).agg(F.count(F.lit(1)).alias("n"))
+        found = have.agg(F.sum(F.least("n", needed)).alias("needed"), F.sum("n").alias("n")).first()
+        # A cut that is wider than the largest environment keeps everything.
+        if (found["needed"] or 0) >= (total["wanted"] or 0) or width >= total["largest"]:
+            break
+        width *= 4
+    # Buckets of equal shares of the digests below the cut, which keep the order.
+    n_buckets = bucket_count(examples.sparkSession, found["n"] or 0)
+    bucket = F.floor(F.col("_head") / F.col("_cut") * n_buckets)
+    numbered = number_in_buckets(kept.withColumn(BUCKET, bucket), _TURN, [_DIGEST, *_EXAMPLE])
+    return _batched(numbered.where(F.col("idx") < needed).drop("_head", "_cut"), batch_size)
+
+
+def _drawn(examples: DataFrame, seed: int, epochs: int) -> DataFrame:
+    """Every example in every epoch, with the digest that gives its place."""
+    keyed = examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    return keyed.withColumn(_DIGEST, digest(seed, F.col("epoch"), F.col("env"), F.col("doc_id"), F.col("line_no")))
+
+
+def _batched(numbered: DataFrame, batch_size: int) -> DataFrame:
+    return numbered.drop(_DIGEST).withColumn("batch_no", F.floor(F.col("idx") / batch_size).cast("bigint"))
+
+
+def _with_sizes(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows with the columns of their environment. The environments are sent to all tasks up to a number of
+    them; beyond it the planner joins them."""
+    few = sizes.limit(FEW_ENVS + 1).count() <= FEW_ENVS
+    return df.join(F.broadcast(sizes) if few else sizes, "env")
 
 
 def plan_row(plan: DataFrame):
@@ -112,21 +162,26 @@ def round_robin_schedule(
 ) -> DataFrame:
     """Steps that visit the environments in turn: in round r, batch r of each, in order of name.
 
-    An environment without examples has no turn: the plan counts the others only.
+    An environment without examples has no turn: the plan counts the others only. There may be any number of
+    environments. What is moved and sorted are the examples of the steps, however many epochs the smallest
+    environment makes them last and however large the others are.
     """
-    filled = sizes.where(F.col("n") > 0)
-    counted = filled.collect()
-    if not counted:
+    filled = stage(sizes.where(F.col("n") > 0).select("env", "n"), "sizes")
+    if filled.isEmpty():
         raise ValueError("all training environments are empty")
     plan = plan_row(round_plan(filled, batch_size, accumulation, nb_steps, num_epochs))
-    envs = sorted(row.env for row in counted)
-    per_epoch = min(plan.rounds, -(-plan.max_steps // len(envs)))
-    batches = shuffled_batches(
-        examples, seed, sum(r.n for r in counted), plan.epochs, batch_size, per_epoch
-    )
-    position = F.array_position(F.array(*[F.lit(e) for e in envs]), F.col("env"))
-    step = (F.col("epoch") * plan.rounds + F.col("batch_no")) * len(envs) + position
-    return step_limit(batches.withColumn("round", F.col("batch_no")).withColumn("step", step), plan.max_steps)
+    # Epochs that begin before the limit, and the rounds that the last of them begins.
+    epochs = min(plan.epochs, -(-plan.max_steps // plan.steps_per_epoch))
+    rest = plan.max_steps - (epochs - 1) * plan.steps_per_epoch
+    last = min(plan.rounds, -(-rest // plan.n_env))
+    batches = first_batches(examples, filled, seed, epochs, plan.rounds, last, batch_size)
+    if plan.n_env <= FEW_ENVS:
+        turns = filled.select("env", (F.row_number().over(Window.orderBy("env")) - 1).alias("_turn"))
+    else:
+        turns = sorted_index(filled.select("env"), ["env"], "_turn")
+    step = (F.col("epoch") * plan.rounds + F.col("batch_no")) * plan.n_env + F.col("_turn") + 1
+    placed = _with_sizes(batches, turns).withColumn("round", F.col("batch_no")).withColumn("step", step)
+    return step_limit(placed.drop("_turn"), plan.max_steps)
 
 
 def pooled_schedule(
@@ -139,10 +194,11 @@ def pooled_schedule(
     accumulation: int = fixed.ACCUMULATION,
 ) -> DataFrame:
     """Steps over the batches of the pooled lines, whole passes until the step limit."""
+    sizes = stage(sizes.select("env", "n"), "sizes")
     plan = plan_row(pooled_plan(sizes, batch_size, accumulation, nb_steps, num_epochs))
     epochs = min(plan.epochs, -(-plan.max_steps // plan.n_batches))
-    needed = min(plan.n_batches, plan.max_steps)
-    batches = shuffled_batches(examples, seed, plan.n_examples, epochs, batch_size, needed)
+    last = min(plan.n_batches, plan.max_steps - (epochs - 1) * plan.n_batches)
+    batches = first_batches(examples, sizes, seed, epochs, plan.n_batches, last, batch_size)
     step = F.col("epoch") * plan.n_batches + F.col("batch_no") + 1
     return step_limit(batches.withColumn("step", step), plan.max_steps)
 

@@ -517,15 +517,20 @@ _PASSES = _PLAN + ", pooled AS (SELECT '" + POOLED + "' AS env, doc_id, line_no
 pooled_steps AS (SELECT epoch, batch_no, CAST(epoch * rounds + batch_no + 1 AS BIGINT) AS step, doc_id, line_no FROM passes CROSS JOIN elm)"""
 ORACLES["pooled_schedule"] = _PASSES + f" SELECT * FROM pooled_steps WHERE step <= {_STEPS}"
 _THREE = _with(
-    DOCS, "env_lines AS (SELECT lang AS env, doc_id, line_no FROM docs JOIN documents USING (doc_id) WHERE lang IN ('de', 'en', 'fr'))",
-    f"plan3 AS (SELECT min(n) // {fixed.BATCH_SIZE} AS rounds FROM (SELECT env, count(*) AS n FROM env_lines GROUP BY env))",
-    _shuffled("shuffled", "env_lines", "(SELECT CAST(greatest(1, ceil(200 / (rounds * 3))) AS BIGINT) FROM plan3)"),
-) + """
-SELECT epoch, batch_no AS round, env, batch_no, CAST((epoch * rounds + batch_no) * 3 + CASE env WHEN 'de' THEN 1 WHEN 'en' THEN 2 ELSE 3 END AS BIGINT) AS step,
-  doc_id, line_no FROM shuffled CROSS JOIN plan3 WHERE batch_no < rounds"""
-ORACLES["round_robin_three"] = f"SELECT * FROM ({_THREE}) WHERE step <= 200"
-ORACLES["log_steps_three"] = f"""
-SELECT DISTINCT epoch, step FROM ({_THREE}) WHERE step <= 200 AND step % {fixed.LOG_INTERVAL} = 0 AND (step % 3 = 0 OR step = 200)"""
+    DOCS, "env_lines AS (SELECT lang AS env, doc_id, line_no FROM docs JOIN documents USING (doc_id) WHERE lang IS NOT NULL)",
+    "sizes AS (SELECT env, count(*) AS n, row_number() OVER (ORDER BY env) AS turn FROM env_lines GROUP BY env)",
+    f"plan3 AS (SELECT min(n) // {fixed.BATCH_SIZE} AS rounds, count(*) AS n_env FROM sizes)",
+    "bound AS (SELECT rounds * n_env + n_env // 2 AS most FROM plan3)",
+    _shuffled("shuffled", "env_lines", "2"),
+    """steps AS (
+  SELECT epoch, batch_no AS round, env, batch_no, CAST((epoch * rounds + batch_no) * n_env + turn AS BIGINT) AS step, doc_id, line_no
+  FROM shuffled JOIN sizes USING (env) CROSS JOIN plan3 WHERE batch_no < rounds)""",
+)
+ORACLES["round_robin_three"] = _THREE + """
+SELECT epoch, round, env, batch_no, step, doc_id, line_no FROM steps CROSS JOIN bound WHERE step <= most"""
+ORACLES["log_steps_three"] = _THREE + """
+SELECT DISTINCT epoch, step FROM steps CROSS JOIN plan3 CROSS JOIN bound
+WHERE step <= most AND step % 2 = 0 AND (step % n_env = 0 OR step = most)"""
 ORACLES["log_steps"] = f"""
 SELECT 'iLM' AS method, epoch, step FROM ({ORACLES['round_robin_schedule']}) WHERE step % {fixed.LOG_INTERVAL} = 0 AND (step % 2 = 0 OR step = {_STEPS}) GROUP BY ALL
 UNION ALL SELECT 'eLM', epoch, step FROM ({ORACLES['pooled_schedule']}) WHERE step % {fixed.LOG_INTERVAL} = 0 GROUP BY ALL"""

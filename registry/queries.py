@@ -764,25 +764,29 @@ def round_robin_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _round_robin(spark, d).select("epoch", "round", "env", "batch_no", "step", "doc_id", "line_no")
 
 
-def _three_envs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Document lines of three languages as environments, and their sizes with a fourth, empty, one."""
-    lines = _lang_lines(spark, d).where(F.col("env").isin("de", "en", "fr"))
-    examples = stage(lines.select("env", "doc_id", "line_no"), "examples")
-    return examples, envs.env_sizes(examples, ["de", "en", "fr", "none"])
+def _lang_schedule(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    """Schedule of all languages and an empty environment, the number of languages, and the step limit: one
+    epoch and half a round, so that the limit cuts a round short."""
+    examples = stage(_lang_lines(spark, d).select("env", "doc_id", "line_no"), "examples")
+    langs = envs.env_names(examples)
+    sizes = envs.env_sizes(examples, [*langs, "none"])
+    plan = schedule.round_plan(sizes.where("n > 0"), accumulation=1, nb_steps=None, num_epochs=1).first()
+    limit = plan.max_steps + len(langs) // 2
+    return schedule.round_robin_schedule(examples, sizes, SEED, nb_steps=limit, accumulation=1), len(langs), limit
 
 
 @query
 def round_robin_three(spark: SparkSession, d: str) -> DataFrame:
-    """Three environments and an empty one, up to a step limit that cuts a round short."""
-    steps = schedule.round_robin_schedule(*_three_envs(spark, d), SEED, nb_steps=200, accumulation=1)
+    """More than two environments and an empty one, up to a step limit that cuts a round short."""
+    steps, _, _ = _lang_schedule(spark, d)
     return steps.select("epoch", "round", "env", "batch_no", "step", "doc_id", "line_no")
 
 
 @query
 def log_steps_three(spark: SparkSession, d: str) -> DataFrame:
-    """Step 200 ends a run of three environments inside a round and is logged."""
-    steps = schedule.round_robin_schedule(*_three_envs(spark, d), SEED, nb_steps=200, accumulation=1)
-    return schedule.log_steps(steps, n_env=3, max_steps=200).select("epoch", "step")
+    """Logged every two steps: at the ends of rounds, and where the limit ends the run inside a round."""
+    steps, n_env, limit = _lang_schedule(spark, d)
+    return schedule.log_steps(steps, interval=2, n_env=n_env, max_steps=limit).select("epoch", "step")
 
 
 @query

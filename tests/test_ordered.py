@@ -7,6 +7,7 @@ from counterfact.functions.draws import digest
 from counterfact.operators import environments as envs
 from counterfact.operators import masking, packing, schedule, vocab
 from counterfact.operators.index import ranged_index, shuffled_index, sorted_index
+from counterfact.staging import stage
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +24,6 @@ def test_indexes_equal_one_global_number(numbers, buckets):
     by_key = Window.partitionBy("env").orderBy("doc_id")
     want = {(r.doc_id, r.i) for r in numbers.withColumn("i", F.row_number().over(by_hash) - 1).collect()}
     assert {(r.doc_id, r.idx) for r in shuffled_index(numbers, ["env"], "h", ["doc_id"], buckets).collect()} == want
-    below = {(r.doc_id, r.idx) for r in shuffled_index(numbers, ["env"], "h", ["doc_id"], buckets, below=100).collect()}
-    assert below == {w for w in want if w[1] < 100}
     want = {(r.doc_id, r.i) for r in numbers.withColumn("i", F.row_number().over(by_key) - 1).collect()}
     assert {(r.doc_id, r.idx) for r in ranged_index(numbers, ["env"], ["doc_id"], buckets * 500_000).collect()} == want
     keyed = numbers.withColumn("key", F.concat(F.lit("k"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
@@ -173,6 +172,56 @@ def test_schedule_steps_have_no_gaps(examples):
     assert steps.where("epoch = 0").select("doc_id").distinct().count() == 170
 
 
+def by_definition(examples, epochs, batches, last):
+    """First batches out of the whole order of every epoch."""
+    drawn = schedule.shuffled_batches(examples, 0, examples.count(), epochs)
+    needed = F.when(F.col("epoch") == epochs - 1, last).otherwise(batches)
+    return {tuple(r) for r in drawn.where(F.col("batch_no") < needed).select("epoch", "env", "doc_id", "idx", "batch_no").collect()}
+
+
+@pytest.mark.parametrize("larger", [1, 0.2, 50, 4_000])
+def test_first_batches_equal_the_whole_order(examples, larger):
+    """Also where the sizes are wrong, so that the first cut is too narrow or too wide."""
+    sizes = envs.env_sizes(examples).withColumn("n", F.ceil(F.col("n") * larger).cast("bigint"))
+    if larger < 1:
+        sizes = sizes.withColumn("n", F.greatest("n", F.lit(32)))
+    got = schedule.first_batches(examples, sizes, 0, 3, 2, 1)
+    assert {tuple(r) for r in got.select("epoch", "env", "doc_id", "idx", "batch_no").collect()} == by_definition(examples, 3, 2, 1)
+
+
+def test_a_short_environment_has_all_its_examples(examples):
+    got = schedule.first_batches(examples, envs.env_sizes(examples), 0, 2, 5, 7)
+    assert {tuple(r) for r in got.select("epoch", "env", "doc_id", "idx", "batch_no").collect()} == by_definition(examples, 2, 5, 7)
+
+
+def test_a_small_environment_does_not_multiply_what_is_moved(spark, monkeypatch):
+    """Many epochs over a large environment move the examples of the steps, not all in every epoch."""
+    rows = spark.range(20_000).select(F.lit("large").alias("env"), F.col("id").alias("doc_id"), F.lit(0).alias("line_no"))
+    few = spark.range(16).select(F.lit("small").alias("env"), (F.col("id") + 20_000).alias("doc_id"), F.lit(0).alias("line_no"))
+    both, moved = rows.unionByName(few), []
+
+    def staged(df, label):
+        out = stage(df, label)
+        moved.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(schedule, "stage", staged)
+    steps = schedule.round_robin_schedule(both, envs.env_sizes(both), 0, nb_steps=60, accumulation=1)
+    assert steps.count() == 60 * 16 and steps.agg(F.max("epoch")).first()[0] == 29
+    assert sum(n for label, n in moved if label == "drawn") < 4 * 60 * 16
+
+
+def test_thousands_of_environments(spark, monkeypatch):
+    monkeypatch.setattr(schedule, "FEW_ENVS", 100)
+    rows = spark.range(12_000).select(
+        F.concat(F.lit("e"), F.lpad((F.col("id") % 3_000).cast("string"), 4, "0")).alias("env"),
+        F.col("id").alias("doc_id"), F.lit(0).alias("line_no"),
+    )
+    steps = schedule.round_robin_schedule(rows, envs.env_sizes(rows), 0, nb_steps=7_000, batch_size=2, accumulation=1)
+    found = {r.step: (r.epoch, r.env) for r in steps.select("step", "epoch", "env").distinct().collect()}
+    assert found == {s + 1: (s // 6_000, f"e{s % 3_000:04d}") for s in range(7_000)}
+
+
 def test_epochs_are_drawn_anew(examples):
     drawn = schedule.shuffled_batches(examples, 0, 170, epochs=2)
     first, second = ([r.doc_id for r in drawn.where((F.col("env") == "A") & (F.col("epoch") == e)).orderBy("idx").collect()] for e in (0, 1))
