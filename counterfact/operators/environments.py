@@ -11,9 +11,6 @@ from counterfact import fixed
 from counterfact.functions.draws import draw_below, unit_draw
 from counterfact.operators.dictionary import TermDictionary
 
-# Environments come from a folder listing; the number is a setting, not data, and is bounded here.
-MAX_ENVS = 1000
-
 
 def line_draw(seed: int | Column) -> Column:
     """Draw of a line; it does not depend on p, so environment A grows with p."""
@@ -110,20 +107,13 @@ def env_list(env_lines: DataFrame, pooled: bool = False) -> DataFrame:
     names = env_lines.select("env").distinct()
     if not pooled:
         names = names.where(F.col("env") != fixed.POOLED_ENV)
-    gathered = names.agg(F.array_sort(F.collect_set("env")).alias("envs"))
-    return gathered.select(
-        F.explode(
-            F.when(F.size("envs") == 0, F.array(F.lit(fixed.NO_ENV))).otherwise(F.col("envs"))
-        ).alias("env")
-    )
+    stand_in = names.agg(F.count("env").alias("_n")).where("_n = 0").select(F.lit(fixed.NO_ENV).alias("env"))
+    return names.where(F.col("env").isNotNull()).unionByName(stand_in).orderBy("env")
 
 
 def env_names(env_lines: DataFrame) -> list[str]:
-    """Environment names on the driver, at most ``MAX_ENVS``."""
-    rows = env_lines.select("env").distinct().limit(MAX_ENVS + 1).collect()
-    if len(rows) > MAX_ENVS:
-        raise ValueError(f"more than {MAX_ENVS} environments")
-    return sorted(row.env for row in rows)
+    """Environment names on the driver, for tables with a column for each of them."""
+    return sorted(row.env for row in env_lines.select("env").distinct().collect())
 
 
 def env_sizes(env_lines: DataFrame, envs: Sequence[str] = ()) -> DataFrame:

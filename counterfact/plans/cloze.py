@@ -7,6 +7,7 @@ mean of their logits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -123,32 +124,52 @@ def env_head_score(scores: DataFrame, env: str) -> DataFrame:
 
 
 def mean_head_score(scores: DataFrame) -> DataFrame:
-    """Mean of the logits over all environments."""
+    """Mean of the logits over the environments of ``candidate_scores``."""
     return scores.groupBy("ctx", "target", "opposite", "word").agg(F.avg("logit").alias("logit"))
 
 
-def mean_normaliser(
-    contexts: DataFrame, counts: DataFrame, envs: Sequence[str], alpha: float, vocab_size: int
-) -> DataFrame:
-    """Sum over the vocabulary of the exponentials of the mean logits, per context.
+def _mean_shares(contexts: DataFrame, counts: DataFrame, n_env: int, alpha: float) -> DataFrame:
+    """Rows ``(ctx, word, m)`` of the words seen after the contexts in some environment: the mean over all
+    environments of ``ln(n + alpha)``.
 
-    Words unseen after the context in every environment share one value, so they enter as a number
-    and not as rows.
+    An environment without the word adds ``ln(alpha)``. So the sum runs over the counts that there are, and the
+    other environments enter as a number.
     """
-    n_env = len(envs)
-    here = counts.where(F.col("env").isin(list(envs))).join(contexts.select("ctx").distinct(), "ctx", "left_semi")
-    totals = here.groupBy("ctx").pivot("env", list(envs)).agg(F.sum("n"))
-    log_totals = sum(
-        (F.log(F.coalesce(F.col(f"`{e}`"), F.lit(0)) + F.lit(alpha * vocab_size)) for e in envs), F.lit(0.0)
-    )
-    shares = here.groupBy("ctx", "word").agg(
-        F.sum(F.log(F.col("n") + F.lit(alpha))).alias("s"), F.count(F.lit(1)).alias("k")
-    )
-    seen_logit = (F.col("s") + (n_env - F.col("k")) * F.log(F.lit(alpha))) / n_env
-    seen = shares.groupBy("ctx").agg(F.sum(F.exp(seen_logit)).alias("g"), F.count(F.lit(1)).alias("n_seen"))
-    joined = seen.join(totals.select("ctx", (log_totals / n_env).alias("log_total")), "ctx")
-    unseen = (F.lit(vocab_size) - F.col("n_seen")) * F.lit(alpha)
-    return joined.select("ctx", ((F.col("g") + unseen) * F.exp(-F.col("log_total"))).alias("z"))
+    here = counts.join(contexts.select("ctx").distinct(), "ctx", "left_semi")
+    more = F.sum(F.log(F.col("n") + F.lit(alpha)) - F.lit(math.log(alpha)))
+    return here.groupBy("ctx", "word").agg((more / n_env + F.lit(math.log(alpha))).alias("m"))
+
+
+def mean_logits(items: DataFrame, counts: DataFrame, n_env: int, alpha: float, vocab_size: int) -> DataFrame:
+    """Mean of the logits of target and opposite over all ``n_env`` environments that ``counts`` holds.
+
+    The work follows the counts, not the number of environments.
+    """
+    wanted = items.select("ctx", "target", "opposite", F.explode(F.array("target", "opposite")).alias("word"))
+    unseen = math.log(alpha * vocab_size)
+    here = counts.join(items.select("ctx").distinct(), "ctx", "left_semi")
+    more = F.sum(F.log(F.col("n_ctx") + F.lit(alpha * vocab_size)) - F.lit(unseen))
+    totals = here.groupBy("env", "ctx").agg(F.sum("n").alias("n_ctx"))
+    totals = totals.groupBy("ctx").agg((more / n_env + F.lit(unseen)).alias("t"))
+    shares = _mean_shares(items, counts, n_env, alpha)
+    logit = F.coalesce("m", F.lit(math.log(alpha))) - F.coalesce("t", F.lit(unseen))
+    scored = wanted.join(shares, ["ctx", "word"], "left").join(totals, "ctx", "left")
+    return scored.select("ctx", "target", "opposite", "word", logit.alias("logit"))
+
+
+def normalised_mean(items: DataFrame, counts: DataFrame, n_env: int, alpha: float, vocab_size: int) -> DataFrame:
+    """As ``mean_logits``, less the logarithm of the sum of their exponentials over the vocabulary.
+
+    The totals of the contexts cancel out. Words that no environment has seen after a context share one value,
+    and enter the sum as a number.
+    """
+    wanted = items.select("ctx", "target", "opposite", F.explode(F.array("target", "opposite")).alias("word"))
+    shares = _mean_shares(items, counts, n_env, alpha)
+    seen = shares.groupBy("ctx").agg(F.sum(F.exp("m")).alias("g"), F.count(F.lit(1)).alias("n_seen"))
+    sums = seen.select("ctx", F.log(F.col("g") + (F.lit(vocab_size) - F.col("n_seen")) * F.lit(alpha)).alias("z"))
+    scored = wanted.join(shares, ["ctx", "word"], "left").join(sums, "ctx", "left")
+    logit = F.coalesce("m", F.lit(math.log(alpha))) - F.coalesce("z", F.lit(math.log(alpha * vocab_size)))
+    return scored.select("ctx", "target", "opposite", "word", logit.alias("logit"))
 
 
 def pair_bias(scores: DataFrame) -> DataFrame:

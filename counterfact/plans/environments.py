@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from counterfact import fixed
 from counterfact.functions.measures import perplexity
 from counterfact.operators.dictionary import TermDictionary
-from counterfact.operators.environments import env_names
 from counterfact.plans import cloze
 from counterfact.plans.evaluation import eval_batches, join_frequent, masked_positions
 from counterfact.staging import stage
@@ -26,24 +25,28 @@ POOLED, MEAN = fixed.METHODS
 
 @dataclass(frozen=True)
 class EnvModel:
-    """Counts of every environment, the names of these, and the size of the vocabulary."""
+    """Counts of every environment, their number, and the size of the vocabulary."""
 
-    envs: Sequence[str]
+    n_env: int
     dictionary: TermDictionary
     counts: DataFrame
     alpha: float
     vocab_size: int
     context: str = "left"
 
+    @property
+    def envs(self) -> DataFrame:
+        """Names of the environments."""
+        return self.counts.select("env").distinct()
+
     def logits(self, items: DataFrame, method: str) -> DataFrame:
-        """Logits ``(ctx, target, opposite, word, logit)`` under the pooled estimator, the mean of all, or the
-        estimator of the environment of that name. They are normalised but for the mean."""
-        if method == POOLED:
-            counts, envs = cloze.pool_counts(self.counts), [fixed.POOLED_ENV]
-        else:
-            counts, envs = self.counts, list(self.envs) if method == MEAN else [method]
-        scores = cloze.candidate_scores(items, counts, envs, self.alpha, self.vocab_size)
-        return cloze.mean_head_score(scores)
+        """Normalised logits ``(ctx, target, opposite, word, logit)`` under the pooled estimator, the mean of
+        all, or the estimator of the environment of that name."""
+        if method == MEAN:
+            return cloze.normalised_mean(items, self.counts, self.n_env, self.alpha, self.vocab_size)
+        counts, env = (cloze.pool_counts(self.counts), fixed.POOLED_ENV) if method == POOLED else (self.counts, method)
+        scores = cloze.candidate_scores(items, counts, [env], self.alpha, self.vocab_size)
+        return scores.select("ctx", "target", "opposite", "word", "logit")
 
     def line_bias(self, test_lines: DataFrame, methods: Sequence[str]) -> DataFrame:
         """Bias of every line with exactly one term, under each method."""
@@ -51,13 +54,7 @@ class EnvModel:
         distinct = stage(cloze.distinct_items(items), "distinct_items")
         parts = []
         for method in methods:
-            logits = self.logits(distinct, method)
-            if method == MEAN:
-                z = cloze.mean_normaliser(distinct, self.counts, list(self.envs), self.alpha, self.vocab_size)
-                logits = logits.join(z, "ctx", "left").withColumn(
-                    "logit", F.col("logit") - F.log(F.coalesce("z", F.lit(1.0)))
-                )
-            parts.append(cloze.pair_bias(logits).withColumn("method", F.lit(method)))
+            parts.append(cloze.pair_bias(self.logits(distinct, method)).withColumn("method", F.lit(method)))
         scored = parts[0]
         for part in parts[1:]:
             scored = scored.unionByName(part)
@@ -77,11 +74,6 @@ class EnvModel:
         results = []
         for method in methods:
             logits = self.logits(items, method).groupBy("ctx", "word").agg(F.max("logit").alias("logit"))
-            if method == MEAN:
-                z = cloze.mean_normaliser(items, self.counts, list(self.envs), self.alpha, self.vocab_size)
-                logits = logits.join(z, "ctx", "left").withColumn(
-                    "logit", F.col("logit") - F.log(F.coalesce("z", F.lit(1.0)))
-                )
             losses = join_frequent(counted, stage(logits, "logits"), asked, ["ctx", "word"])
             weighted = F.sum(-F.col("logit") * F.col("n_positions"))
             per_batch = losses.groupBy("batch").agg(weighted.alias("_s"), F.sum("n_positions").alias("_n"))
@@ -101,8 +93,10 @@ class EnvModel:
 def fit_environments(
     env_lines: DataFrame, dictionary: TermDictionary, alpha: float, context: str = "left"
 ) -> EnvModel:
-    """One estimator per environment from rows ``(env, line)``; the counts are written once."""
+    """One estimator per environment from rows ``(env, line)``; the counts are written once.
+
+    There may be any number of environments: none of them is a column or a literal of a plan.
+    """
     counts = stage(cloze.fit_per_env(env_lines, context), "env_counts")
-    return EnvModel(
-        env_names(counts), dictionary, counts, alpha, cloze.vocabulary_size(counts, dictionary), context
-    )
+    n_env = counts.agg(F.count_distinct("env")).first()[0]
+    return EnvModel(n_env, dictionary, counts, alpha, cloze.vocabulary_size(counts, dictionary), context)

@@ -28,6 +28,12 @@ def write_splits(cell_lines: DataFrame, folder: str) -> None:
     )
 
 
+def write_env_folder(env_lines: DataFrame, folder: str) -> None:
+    """Lines of all environments in one job, a folder ``env=<name>.txt`` for each, as the folder scan reads them."""
+    rows = env_lines.select(F.concat("env", F.lit(".txt")).alias("env"), "line")
+    rows.hint("rebalance", "env").write.mode("overwrite").partitionBy("env").text(folder)
+
+
 def split_files(cell_lines: DataFrame, validation: DataFrame, test: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows ``(seed, p_env_a, file, part, doc_no, doc_id, line_no, line)`` of all text files of all cells.
 

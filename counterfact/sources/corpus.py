@@ -13,8 +13,9 @@ from counterfact import fixed
 from counterfact.functions import text
 
 # Environment name in a path: the part of `<name>.txt` before its first dot. The file may be a
-# plain file or a folder that Spark wrote.
-_ENV_IN_PATH = r"/([^/.]*)[^/]*\.txt(?:/part-[^/]+)?$"
+# plain file, a folder that Spark wrote, or one of the folders `env=<name>.txt` of a table.
+_ENV_IN_PATH = r"/(?:env=)?([^/.]*)[^/]*\.txt(?:/part-[^/]+)?$"
+_TABLE_FOLDER = r"/env=[^/]*\.txt/part-[^/]+$"
 
 
 def table_lines(df: DataFrame, *keys: str, text_column: str = "text") -> DataFrame:
@@ -120,6 +121,9 @@ def text_column_pick(df: DataFrame) -> DataFrame:
 
 
 def _env_of_path():
-    """Name in the path of the file read. The path is percent-encoded; a plus sign stands for itself."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), _ENV_IN_PATH, 1)
-    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    """Name in the path of the file read. The path is percent-encoded, the name of a table's folder once more;
+    a plus sign stands for itself."""
+    path = F.col("_metadata.file_path")
+    plain = lambda name: F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    name = plain(F.regexp_extract(path, _ENV_IN_PATH, 1))
+    return F.when(path.rlike(_TABLE_FOLDER), plain(name)).otherwise(name)

@@ -455,18 +455,22 @@ def dict_lookup(spark: SparkSession, d: str) -> DataFrame:
     return terms.dict_lookup(counts, "token", ALL_TERMS, "left").select("token", "opposite", "n")
 
 
-def _env_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
-    """Candidate scores of the test items under one estimator per environment."""
+def _env_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """Test items, one estimator per environment, and the size of the vocabulary."""
     counts = stage(cloze.fit_per_env(_env_lines(spark, d)), "env_counts")
-    size = cloze.vocabulary_size(counts, FREQUENT)
     items = cloze.distinct_items(cloze.cell_items(corpus.conversation_lines(spark, d), FREQUENT))
-    names = [fixed.ENV_A, fixed.ENV_B]
-    return cloze.candidate_scores(items, counts, names, float(ALPHA), size), counts, size
+    return items, counts, cloze.vocabulary_size(counts, FREQUENT)
+
+
+def _env_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate scores of the test items under one estimator per environment."""
+    items, counts, size = _env_model(spark, d)
+    return cloze.candidate_scores(items, counts, [fixed.ENV_A, fixed.ENV_B], float(ALPHA), size)
 
 
 @query
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
-    found, _, _ = _env_scores(spark, d)
+    found = _env_scores(spark, d)
     return found.select("env", "ctx", "target", "opposite", "word", "n", "n_ctx", _r("logit"))
 
 
@@ -641,19 +645,17 @@ def fit_per_env(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def env_head_score(spark: SparkSession, d: str) -> DataFrame:
-    found, _, _ = _env_scores(spark, d)
+    found = _env_scores(spark, d)
     one = cloze.env_head_score(found, fixed.ENV_A)
     return cloze.pair_bias(one).select("ctx", "target", "opposite", _r("p1"), _r("p2"), _r("bias"))
 
 
 @query
 def mean_head_score(spark: SparkSession, d: str) -> DataFrame:
-    found, counts, size = _env_scores(spark, d)
-    z = cloze.mean_normaliser(found, counts, [fixed.ENV_A, fixed.ENV_B], float(ALPHA), size)
-    mean = cloze.mean_head_score(found).join(z, "ctx", "left")
-    # A context without training words has the uniform distribution, which needs no normaliser.
-    normal = mean.withColumn("logit", F.col("logit") - F.log(F.coalesce("z", F.lit(1.0))))
-    return normal.select("ctx", "target", "opposite", "word", _r("logit"))
+    """Mean over the environments, normalised over the vocabulary."""
+    items, counts, size = _env_model(spark, d)
+    mean = cloze.normalised_mean(items, counts, 2, float(ALPHA), size)
+    return mean.select("ctx", "target", "opposite", "word", _r("logit"))
 
 
 @query
@@ -664,9 +666,7 @@ def line_bias(spark: SparkSession, d: str) -> DataFrame:
 def _lang_model(spark: SparkSession, d: str) -> environments.EnvModel:
     """Estimators of the languages, read back from a folder of environment files."""
     folder = new_folder(spark, "languages")
-    lines = stage(_lang_lines(spark, d), "lang_lines")
-    for env in envs.env_names(lines):
-        lines.where(F.col("env") == env).select("line").write.text(f"{folder}/{env}.txt")
+    writers.write_env_folder(_lang_lines(spark, d), folder)
     return environments.fit_environments(corpus.env_folder_scan(spark, folder), FREQUENT, float(ALPHA))
 
 

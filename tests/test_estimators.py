@@ -231,7 +231,7 @@ def test_estimators_of_a_folder_with_three_environments(spark, lines_of, test_li
         env_lines.where(F.col("env") == env).select("line").write.text(str(tmp_path / f"{name}.txt"))
     lines_of(["other words here"]).select("line").write.text(str(tmp_path / "third.txt"))
     model = environments.fit_environments(corpus.env_folder_scan(spark, str(tmp_path)), TERMS, 0.1)
-    assert model.envs == ["env A", "env+B", "third"]
+    assert sorted(r.env for r in model.envs.collect()) == ["env A", "env+B", "third"] and model.n_env == 3
     two = environments.fit_environments(env_lines, TERMS, 0.1)
     want = grid.grid_line_bias(grid.fit_grid(lines_of(TRAIN), TERMS, grid.Grid((0,), ("0.25",), ("0.1",))), test_lines)
     expected = {(r.doc_id, r.method): r.bias for r in want.collect()}
@@ -243,6 +243,44 @@ def test_estimators_of_a_folder_with_three_environments(spark, lines_of, test_li
     assert set(result) == {"eLM", "iLM", "third"}
 
 
+def test_ten_thousand_environments_equal_brute_force(spark, test_lines):
+    """The mean of many estimators, of which most have not seen a context or a word."""
+    rng = random.Random(9)
+    rows = [(f"env {rng.randrange(10_000)}", " ".join(rng.choice(WORDS) for _ in range(4))) for _ in range(3_000)]
+    rows += [(f"env {e}", "he went") for e in range(10_000)]
+    model = environments.fit_environments(spark.createDataFrame(rows, "env string, line string"), TERMS, 0.1)
+    assert model.n_env == 10_000
+    counts, totals, vocabulary = {}, {}, set(TERMS.terms)
+    for env, line in rows:
+        for ctx, word in cut(line):
+            counts.setdefault((ctx, word), {}).setdefault(env, 0)
+            counts[ctx, word][env] += 1
+            totals.setdefault(ctx, {}).setdefault(env, 0)
+            totals[ctx][env] += 1
+            vocabulary.add(word)
+    v = len(vocabulary) + 1
+    assert model.vocab_size == v
+
+    def logit(ctx, word):
+        n, t = counts.get((ctx, word), {}), totals.get(ctx, {})
+        over = sum(math.log(x + 0.1) for x in n.values()) + (10_000 - len(n)) * math.log(0.1)
+        under = sum(math.log(x + 0.1 * v) for x in t.values()) + (10_000 - len(t)) * math.log(0.1 * v)
+        return (over - under) / 10_000
+
+    items = cloze.distinct_items(cloze.cell_items(test_lines, TERMS))
+    plain = cloze.mean_logits(items, model.counts, model.n_env, 0.1, v).collect()
+    assert plain and all(r.logit == pytest.approx(logit(r.ctx, r.word)) for r in plain)
+    for r in model.logits(items, "iLM").collect():
+        z = sum(math.exp(logit(r.ctx, w)) for w in [*vocabulary, None])
+        assert r.logit == pytest.approx(logit(r.ctx, r.word) - math.log(z))
+    assert model.line_bias(test_lines, ["eLM", "iLM"]).count() > 0
+
+
+def test_many_names_are_listed(spark):
+    rows = spark.range(3_000).select(F.concat(F.lit("e"), F.col("id") % 1_500).alias("env"))
+    assert [r.env for r in envs.env_list(rows).collect()] == sorted(f"e{i}" for i in range(1_500))
+
+
 def test_join_frequent_equals_a_join(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "FREQUENT_SHARE", 3)
     many = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id") % 7).alias("k"), "id")

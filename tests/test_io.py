@@ -113,12 +113,13 @@ def test_logs(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "eval")).collect()] == ["eval_loss = 1.5", "perplexity = 2.5"]
 
 
-def test_env_names_are_bounded(spark, monkeypatch):
-    rows = spark.range(5).select(F.col("id").cast("string").alias("env"))
-    assert envs.env_names(rows) == list("01234")
-    monkeypatch.setattr(envs, "MAX_ENVS", 3)
-    with pytest.raises(ValueError):
-        envs.env_names(rows)
+def test_environments_are_written_in_one_job(spark, tmp_path):
+    """Any names: blanks, signs that a path escapes, dots (the name ends before the first)."""
+    names = ["en", "a b", "a+b", "50%", "x:y=z", "été", "v1.2"]
+    rows = spark.createDataFrame([(n, f"line {i}") for i, n in enumerate(names)], "env string, line string")
+    writers.write_env_folder(rows, str(tmp_path / "envs"))
+    got = corpus.env_folder_scan(spark, str(tmp_path / "envs"))
+    assert {tuple(r) for r in got.collect()} == {(n.split(".")[0], f"line {i}") for i, n in enumerate(names)}
 
 
 def test_completed_runs_have_a_score_file(spark, tmp_path):
