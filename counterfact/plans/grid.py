@@ -1,14 +1,21 @@
 """All cells of the experiment grid in one pass over the training text.
 
-Draws do not depend on p, so a line is in environment A of a cell where its draw is below p and
-otherwise, swapped, in environment B. The words are not fanned out over the cells: every
-``(ctx, word)`` is counted once, with two conditional sums per cell. Rows per seed are made from the
-counts, after they have been cut down to what is asked for.
+Draws do not depend on p, so a line is in environment A of a cell where its draw is below p and otherwise,
+swapped, in environment B. The sorted values of p cut the draws into bins: bin j lies between value j - 1 and
+value j. The counts of a cell are sums over bins: environment A at value j has the bins up to j, environment B the
+others.
+
+Every ``(ctx, word)`` of a line is counted once for a group of seeds, under the bins of the line for all seeds of
+the group. There are as many seeds in a group as give ``MOST_BINS`` combinations of bins at most: a rare pair has
+one row a group, and a frequent one no more rows than combinations. So neither the text nor the counts are fanned
+out over p, and a bin without a line takes no room. Cells are made from the counts, after these have been cut down
+to what is asked for. A grid of one group of seeds and one block of values of p is small enough to be counted with a
+column for each cell from the beginning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +29,8 @@ from counterfact.operators.environments import line_draw
 from counterfact.plans import cloze
 from counterfact.staging import stage
 
-# Cells become columns, so their number is bounded.
-MAX_CELLS = 60
+# Combinations of bins that the seeds of a group may have, and values of p that are columns of a row.
+MOST_BINS, BLOCK = 8_192, 8
 _CELL_COLUMNS = ("seed", "p_text", "p_env_a", "alpha_text", "alpha", "method")
 
 
@@ -37,22 +44,58 @@ class Grid:
     methods: Sequence[str] = fixed.METHODS
 
     def __post_init__(self) -> None:
-        if not 0 < len(self.cells) <= MAX_CELLS or not self.alphas or not self.methods:
-            raise ValueError(f"a grid needs 1 to {MAX_CELLS} cells, a smoothing value and a method")
+        if not self.cells or not self.alphas or not self.methods:
+            raise ValueError("a grid needs a cell, a smoothing value and a method")
         unknown = set(self.methods) - set(fixed.METHODS)
         if unknown:
             raise ValueError(f"unknown methods: {sorted(unknown)}")
+        for values in (self.seeds, [float(p) for p in self.p_values], [float(a) for a in self.alphas], self.methods):
+            if len(set(values)) < len(values):
+                raise ValueError(f"repeated values: {list(values)}")
 
     @property
     def cells(self) -> list[tuple[int, str]]:
         return [(s, p) for s in self.seeds for p in self.p_values]
 
+    @property
+    def borders(self) -> list[str]:
+        """The values of p in rising order, which are the borders of the bins."""
+        return sorted(self.p_values, key=float)
+
+    @property
+    def groups(self) -> list[list[int]]:
+        """Seeds that are counted together."""
+        base, size = len(self.p_values) + 1, 1
+        while base ** (size + 1) <= MOST_BINS:
+            size += 1
+        return [list(self.seeds[at : at + size]) for at in range(0, len(self.seeds), size)]
+
+    def group_bins(self, group: Sequence[int]) -> Column:
+        """Bins of a line for the seeds of a group, as the digits of one number."""
+        digits = [_bin(line_draw(seed), self.borders) * (len(self.p_values) + 1) ** i for i, seed in enumerate(group)]
+        return sum(digits[1:], digits[0]).cast("int")
+
+    def digit(self, i: int) -> str:
+        """Bin for the i-th seed of a group, out of the column ``bins``."""
+        base = len(self.p_values) + 1
+        return f"cast(bins div {base**i} % {base} AS int)"
+
+    @property
+    def small(self) -> bool:
+        """Whether all cells are columns of one row."""
+        return len(self.groups) == 1 and self.n_blocks == 1
+
+    @property
+    def n_blocks(self) -> int:
+        """Blocks of values of p."""
+        return -(-len(self.p_values) // BLOCK)
+
     def p_literal(self) -> Column:
         """Array of the values of p, for ``explode``."""
         return F.array(
             *[
                 F.struct(F.lit(j).alias("j"), F.lit(p).alias("p_text"), F.lit(float(p)).alias("p_env_a"))
-                for j, p in enumerate(self.p_values)
+                for j, p in enumerate(self.borders)
             ]
         )
 
@@ -68,8 +111,9 @@ class Grid:
 
 @dataclass(frozen=True)
 class GridModel:
-    """Estimators of all cells: a table ``(ctx, word, a0_0, b0_0, a0_1, b0_1, ...)`` of counts, the
-    columns numbered by seed and p."""
+    """Estimators of all cells: a table ``(ctx, word, part, bins, keep, swap)`` of counts, where ``part`` numbers
+    the group of seeds, ``keep`` are the words of the lines as they are, ``swap`` those of the swapped lines. The
+    table of a small grid has the counts of its cells instead, as ``per_cell_columns`` gives them."""
 
     grid: Grid
     dictionary: TermDictionary
@@ -78,59 +122,108 @@ class GridModel:
     sizes: DataFrame | None = None
 
     def vocab_sizes(self) -> DataFrame:
-        """Vocabulary size per seed and p: the table written when the model was fitted, if there is one."""
+        """Vocabulary size per seed and p: that of the fit, if there is one."""
         return self.sizes if self.sizes is not None else self.count_vocabulary()
 
     def count_vocabulary(self) -> DataFrame:
-        """The same from the counts. A bit per p marks the words of a cell, so one aggregation over the words
-        serves all cells."""
-        js = range(len(self.grid.p_values))
-        extra = len(self.dictionary) + 1
-        masks, sums, sizes = [], [], []
-        for i, seed in enumerate(self.grid.seeds):
-            bits = " | ".join(f"if(a{i}_{j} + b{i}_{j} > 0, {1 << j}L, 0L)" for j in js)
-            masks.append(F.expr(f"bit_or({bits}) AS m{i}"))
-            for j in js:
-                sums.append(F.expr(f"sum(shiftright(m{i}, {j}) & 1L) AS v{i}_{j}"))
-                sizes.append(f"struct({seed} AS seed, {j} AS j, coalesce(v{i}_{j}, 0L) + {extra} AS vocab_size)")
+        """The same from the counts: a word is in the cells from its first kept bin on, and in those before its
+        last swapped one."""
+        n_bins, extra = len(self.grid.p_values), len(self.dictionary) + 1
         unlisted = self.counts.where(~self.dictionary.contains(F.col("word")))
-        present = unlisted.groupBy("word").agg(*masks)
-        return present.agg(*sums).selectExpr(f"inline(array({', '.join(sizes)}))")
-
-    def seed_counts(self, counts: DataFrame) -> DataFrame:
-        """Rows ``(seed, ctx, word, a0, b0, a1, b1, ...)`` of counts."""
-        js = range(len(self.grid.p_values))
-        rows = []
-        for i, seed in enumerate(self.grid.seeds):
-            columns = ", ".join(f"{side}{i}_{j} AS {side}{j}" for j in js for side in "ab")
-            rows.append(f"struct({seed} AS seed, {columns})")
-        return counts.selectExpr("ctx", "word", f"inline(array({', '.join(rows)}))")
+        spans = []
+        # A column for each place in a group; a group with fewer seeds leaves the last ones unused.
+        for i in range(len(self.grid.groups[0])):
+            if self.grid.small:
+                first = " ".join(f"WHEN a{i}_{j} > 0 THEN {j}" for j in range(n_bins))
+                last = " ".join(f"WHEN b{i}_{j} > 0 THEN {j + 1}" for j in reversed(range(n_bins)))
+            else:
+                first, last = (f"WHEN {x} > 0 THEN {self.grid.digit(i)}" for x in ("keep", "swap"))
+            spans.append(F.expr(f"min(CASE {first} ELSE {n_bins} END) AS first{i}"))
+            spans.append(F.expr(f"max(CASE {last} ELSE 0 END) AS last{i}"))
+        of_word = unlisted.groupBy("part", "word").agg(*spans)
+        spans = self._of_group(
+            lambda i, seed: F.struct(F.lit(seed).alias("seed"), F.col(f"first{i}").alias("first"), F.col(f"last{i}").alias("last"))
+        )
+        found = of_word.select(F.inline(spans)).groupBy("seed", "first", "last").agg(F.count(F.lit(1)).alias("n"))
+        # A row for each seed and pair of bins; what is made of them has one row per cell.
+        sizes = {(seed, j): extra for seed in self.grid.seeds for j in range(n_bins)}
+        for seed, first, last, n in found.collect():
+            for j in range(n_bins):
+                if j >= first or j < last:
+                    sizes[seed, j] += n
+        rows = [(seed, j, size) for (seed, j), size in sizes.items()]
+        return self.counts.sparkSession.createDataFrame(rows, "seed int, j int, vocab_size bigint")
+
+    def _of_group(self, value) -> Column:
+        """Array over the seeds of a row's group, of ``value(place in the group, seed)``."""
+        arrays = [F.array(*[value(i, seed) for i, seed in enumerate(group)]) for group in self.grid.groups]
+        return arrays[0] if len(arrays) == 1 else F.get(F.array(*arrays), F.col("part"))
+
+    def per_cell_columns(self, rows: DataFrame) -> DataFrame:
+        """Rows ``(ctx, word, part, block, a0_0, b0_0, a0_1, ...)`` from rows with ``bins``, ``keep`` and ``swap``: the
+        words in the environments, with a column for each seed of the group and each value of p of the block."""
+        places, width = range(len(self.grid.groups[0])), range(min(BLOCK, len(self.grid.p_values)))
+        block = F.explode(F.sequence(F.lit(0), F.lit(self.grid.n_blocks - 1))) if self.grid.n_blocks > 1 else F.lit(0)
+        rows = rows.select("ctx", "word", "part", "keep", "swap", *[F.expr(self.grid.digit(i)).alias(f"d{i}") for i in places])
+        sums = []
+        for i in places:
+            for r in width:
+                j = f"{r} + block * {BLOCK}"
+                sums.append(F.expr(f"sum(if(d{i} <= {j}, keep, 0)) AS a{i}_{r}"))
+                sums.append(F.expr(f"sum(if(d{i} > {j}, swap, 0)) AS b{i}_{r}"))
+        return rows.select("*", block.alias("block")).groupBy("ctx", "word", "part", "block").agg(*sums)
+
+    def _per_value(self, counts: DataFrame) -> DataFrame:
+        """Rows ``(seed, ctx, word, block, a0, b0, a1, b1, ...)`` of counts that were cut down."""
+        width = range(min(BLOCK, len(self.grid.p_values)))
+        # A word has few rows of bins, MOST_BINS at most, so they are dealt as they are and summed up once.
+        wide = counts if self.grid.small else self.per_cell_columns(counts.repartition("ctx", "word", "part"))
+        columns = lambda i: [F.col(f"{x}{i}_{r}").alias(f"{x}{r}") for r in width for x in "ab"]
+        seeds = self._of_group(lambda i, seed: F.struct(F.lit(seed).alias("seed"), *columns(i)))
+        return wide.select("ctx", "word", "block", F.inline(seeds))
+
+    def _over_blocks(self, rows: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+        """One row for the blocks of a key, their arrays one after the other."""
+        if self.grid.n_blocks == 1:
+            return rows.drop("block")
+        gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", *arrays))).alias("_all"))
+        return gathered.select(*keys, *[F.flatten(F.col("_all")[c]).alias(c) for c in arrays])
+
+    def cell_counts(self, counts: DataFrame) -> DataFrame:
+        """Rows ``(seed, p_text, env, ctx, word, n)``, one for each cell and environment that has the word."""
+        cells = self.word_bins(counts).withColumn("_c", F.explode(self.grid.p_literal()))
+        sides = F.array(
+            F.struct(F.lit(fixed.ENV_A).alias("env"), F.get("a", F.col("_c.j")).alias("n")),
+            F.struct(F.lit(fixed.ENV_B).alias("env"), F.get("b", F.col("_c.j")).alias("n")),
+        )
+        return cells.select("seed", "_c.p_text", "ctx", "word", F.inline(sides)).where("n > 0")
+
+    def word_bins(self, counts: DataFrame) -> DataFrame:
+        """Rows ``(seed, ctx, word, a, b)``: arrays over p of the words in the environments."""
+        width = range(min(BLOCK, len(self.grid.p_values)))
+        sides = [F.array(*[f"{x}{r}" for r in width]).alias(x) for x in "ab"]
+        rows = self._per_value(counts).select("seed", "ctx", "word", "block", *sides)
+        return self._over_blocks(rows, ["seed", "ctx", "word"], ["a", "b"])
 
     def context_totals(self, contexts: DataFrame) -> DataFrame:
-        """Per seed and context: arrays over p with the number of words, of distinct words, and the
-        sum of the geometric means of the smoothed counts, the last for every smoothing value."""
-        here = self.seed_counts(self.counts.join(contexts.select("ctx").distinct(), "ctx", "left_semi"))
-        js, ks = range(len(self.grid.p_values)), range(len(self.grid.alphas))
+        """Per seed and context: arrays over p with the number of words, of distinct words, and for every smoothing
+        value the sum of the geometric means of the smoothed counts."""
+        here = self._per_value(self.counts.join(contexts.select("ctx").distinct(), "ctx", "left_semi"))
+        width, ks = range(min(BLOCK, len(self.grid.p_values))), range(len(self.grid.alphas))
         sums = []
-        for j in js:
-            sums.append(F.expr(f"sum(a{j} + b{j}) AS n{j}"))
-            sums.append(F.expr(f"count_if(a{j} + b{j} > 0) AS s{j}"))
+        for r in width:
+            sums.append(F.expr(f"sum(a{r} + b{r}) AS n{r}"))
+            sums.append(F.expr(f"count_if(a{r} + b{r} > 0) AS s{r}"))
             for k in ks:
-                alpha = _double(self.grid.alphas[k])
-                mean_count = f"sqrt((a{j} + {alpha}) * (b{j} + {alpha}))"
-                sums.append(F.expr(f"sum(if(a{j} + b{j} > 0, {mean_count}, 0D)) AS g{j}_{k}"))
-        per_alpha = ", ".join(_array(f"g{j}_{k}" for j in js) for k in ks)
-        return (
-            here.groupBy("seed", "ctx")
-            .agg(*sums)
-            .selectExpr(
-                "seed",
-                "ctx",
-                f"{_array(f'n{j}' for j in js)} AS n_ctx",
-                f"{_array(f's{j}' for j in js)} AS n_seen",
-                f"array({per_alpha}) AS g",
-            )
-        )
+                alpha = f"{float(self.grid.alphas[k])!r}D"
+                mean = f"sqrt((a{r} + {alpha}) * (b{r} + {alpha}))"
+                sums.append(F.expr(f"sum(if(a{r} + b{r} > 0, {mean}, 0D)) AS g{r}_{k}"))
+        arrays = {"n_ctx": F.array(*[f"n{r}" for r in width]), "n_seen": F.array(*[f"s{r}" for r in width])}
+        arrays |= {f"g{k}": F.array(*[f"g{r}_{k}" for r in width]) for k in ks}
+        rows = here.groupBy("seed", "ctx", "block").agg(*sums)
+        rows = rows.select("seed", "ctx", "block", *[v.alias(c) for c, v in arrays.items()])
+        whole = self._over_blocks(rows, ["seed", "ctx"], list(arrays))
+        return whole.select("seed", "ctx", "n_ctx", "n_seen", F.array(*[f"g{k}" for k in ks]).alias("g"))
 
     def word_counts(self, requests: DataFrame, *words: str) -> DataFrame:
         """Counts, as arrays over p, of the words that columns of the requests name after ``ctx``.
@@ -139,11 +232,7 @@ class GridModel:
         broadcast and the counts are not moved.
         """
         wanted = requests.select("ctx", F.explode(F.array(*words)).alias("word")).distinct()
-        found = self.seed_counts(self.counts.join(wanted, ["ctx", "word"], "left_semi"))
-        js = range(len(self.grid.p_values))
-        return found.selectExpr(
-            "seed", "ctx", "word", f"{_array(f'a{j}' for j in js)} AS a", f"{_array(f'b{j}' for j in js)} AS b"
-        )
+        return self.word_bins(self.counts.join(wanted, ["ctx", "word"], "left_semi"))
 
     def per_seed(self, df: DataFrame) -> DataFrame:
         """Rows for every seed."""
@@ -153,7 +242,7 @@ class GridModel:
         """Rows for every p, smoothing value and method, with the vocabulary size of the cell."""
         keep = df.columns
         cells = df.withColumn("_c", F.explode(self.grid.p_literal())).select(*keep, "_c.*")
-        # One row per cell of the grid, whose size the constructor bounds.
+        # One row per cell of the grid.
         sized = cells.join(F.broadcast(self.vocab_sizes()), ["seed", "j"])
         alphas = sized.withColumn("_a", F.explode(self.grid.alpha_literal())).select(*sized.columns, "_a.*")
         return alphas.withColumn("method", F.explode(F.array(*[F.lit(m) for m in self.grid.methods])))
@@ -202,12 +291,10 @@ class GridModel:
         return scored.select(*items.columns, *_CELL_COLUMNS, "p1", "p2", "bias")
 
 
-def _double(number: str) -> str:
-    return f"{float(number)!r}D"
-
-
-def _array(columns: Iterable[str]) -> str:
-    return f"array({', '.join(columns)})"
+def _bin(draw: Column, borders: Sequence[str]) -> Column:
+    """Bin of a draw: the number of borders that are not above it."""
+    inside = [F.when(draw >= float(p), 1).otherwise(0) for p in borders]
+    return sum(inside[1:], inside[0])
 
 
 def _named(counts: DataFrame, word: str, prefix: str) -> DataFrame:
@@ -221,17 +308,19 @@ def fit_grid(
 ) -> GridModel:
     """Count the words of all cells in one pass and write the counts as a table.
 
-    Only lines with a term have a second, swapped, stream of words; in all other lines one row
-    counts for both environments. A stream that counts in no cell is not taken apart into words.
+    Only lines with a term have a second, swapped, stream of words; in all other lines one row counts for both
+    environments. A stream that counts in no cell is not taken apart into words.
     """
     grid = grid or Grid()
-    lowest, highest = min(map(float, grid.p_values)), max(map(float, grid.p_values))
-    draws = [f"u{i}" for i in range(len(grid.seeds))]
-    drawn = train_lines.select(*[line_draw(s).alias(u) for s, u in zip(grid.seeds, draws)], "line")
-    some_a = F.array_min(F.array(*draws)) < highest
-    some_b = F.array_max(F.array(*draws)) >= lowest
+    last = len(grid.p_values)
+    groups = [F.struct(F.lit(k).alias("part"), grid.group_bins(g).alias("bins")) for k, g in enumerate(grid.groups)]
+    # The highest bin of all seeds is 0, or the lowest the last one, where a stream counts in no cell.
+    draws = [line_draw(seed) for seed in grid.seeds]
+    least, most = (F.least(*draws), F.greatest(*draws)) if len(draws) > 1 else (draws[0], draws[0])
+    drawn = train_lines.select(F.array(*groups).alias("groups"), least.alias("least"), most.alias("most"), "line")
+    some_a, some_b = F.col("least") < float(grid.borders[-1]), F.col("most") >= float(grid.borders[0])
     prepared = drawn.withColumn("swaps", some_b & dictionary.has_token(F.col("line"))).select(
-        *draws,
+        "groups",
         "swaps",
         F.when(some_a | ~F.col("swaps"), text.words(F.col("line"))).alias("plain"),
         F.when(F.col("swaps"), text.words(dictionary.swap_line(F.col("line")))).alias("swapped"),
@@ -241,23 +330,23 @@ def fit_grid(
         return F.struct(F.lit(keep).alias("keep"), F.lit(swap).alias("swap"), F.col(column).alias("words"))
 
     streams = prepared.select(
-        *draws,
+        "groups",
         F.inline(
             F.when(F.col("swaps"), F.array(stream(1, 0, "plain"), stream(0, 1, "swapped"))).otherwise(
                 F.array(stream(1, 1, "plain"))
             )
         ),
     ).where(F.col("words").isNotNull())
-    pairs = cloze.explode_pairs(streams, "words", [*draws, "keep", "swap"], context)
-    sums = []
-    for i, u in enumerate(draws):
-        for j, p in enumerate(grid.p_values):
-            in_a = f"{u} < {_double(p)}"
-            sums.append(F.expr(f"sum(if({in_a}, keep, 0)) AS a{i}_{j}"))
-            sums.append(F.expr(f"sum(if({in_a}, 0, swap)) AS b{i}_{j}"))
-    counts = pairs.groupBy("ctx", "word").agg(*sums)
-    model = GridModel(grid, dictionary, stage(counts, "counts"), context)
-    return replace(model, sizes=stage(model.count_vocabulary(), "vocab_sizes"))
+    pairs = cloze.explode_pairs(streams, "words", ["groups", "keep", "swap"], context)
+    rows = pairs.select("ctx", "word", F.inline("groups"), "keep", "swap")
+    model = GridModel(grid, dictionary, rows, context)
+    if grid.small:
+        counts = model.per_cell_columns(rows)
+    else:
+        sums = [F.sum(c).alias(c) for c in ("keep", "swap")]
+        counts = rows.groupBy("ctx", "word", "part", "bins").agg(*sums)
+    model = replace(model, counts=stage(counts, "counts"))
+    return replace(model, sizes=model.count_vocabulary())
 
 
 def grid_items(model: GridModel, test_lines: DataFrame) -> DataFrame:
@@ -285,7 +374,7 @@ def grid_summary(model: GridModel, test_lines: DataFrame) -> DataFrame:
     scored = stage(model.score_items(items).select(*keys, "n_lines", "bias"), "scored")
     n, bias, mean = F.col("n_lines"), F.col("bias"), F.col("mean_bias")
     means = scored.groupBy(*keys).agg(F.sum(n).alias("n_scored"), (F.sum(n * bias) / F.sum(n)).alias("mean_bias"))
-    # One row per cell of the grid, whose size the constructor bounds.
+    # One row per cell of the grid.
     apart = scored.join(F.broadcast(means), keys).groupBy(*keys, "n_scored", "mean_bias")
     squares = apart.agg(F.sum(n * (bias - mean) * (bias - mean)).alias("_q"))
     deviation = F.when(F.col("n_scored") > 1, F.sqrt(F.col("_q") / (F.col("n_scored") - 1)))

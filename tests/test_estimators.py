@@ -112,20 +112,50 @@ def test_probabilities_sum_to_one(spark, train, assigned):
     assert [r.s for r in sums.collect()] == pytest.approx([1.0] * 16)
 
 
-def test_grid_counts_equal_direct_counts(train):
+@pytest.mark.parametrize("most, block", [(8_192, 8), (9, 8), (3, 1), (8_192, 1)])
+def test_grid_counts_equal_direct_counts(train, monkeypatch, most, block):
+    """With the seeds in one group or several, and the values of p in one block or several."""
+    monkeypatch.setattr(grid, "MOST_BINS", most)
+    monkeypatch.setattr(grid, "BLOCK", block)
+    assert GRID.small == (most > 3 and block > 1)
     model = grid.fit_grid(train, TERMS, GRID)
-    wide = model.seed_counts(model.counts)
+    cells = model.cell_counts(model.counts).collect()
     for seed, p in GRID.cells:
-        j = GRID.p_values.index(p)
         env_lines = envs.env_assign(train, TERMS, seed, float(p))
         direct = {(r.env, r.ctx, r.word): r.n for r in cloze.fit_per_env(env_lines).collect()}
-        rows = wide.where(F.col("seed") == seed).collect()
-        binned = {(e, r.ctx, r.word): r[f"{s}{j}"] for r in rows for e, s in ((fixed.ENV_A, "a"), (fixed.ENV_B, "b"))}
-        assert {k: n for k, n in binned.items() if n} == direct
+        assert {(r.env, r.ctx, r.word): r.n for r in cells if (r.seed, r.p_text) == (seed, p)} == direct
         pooled = {(r.ctx, r.word): r.n for r in cloze.fit_pooled(env_lines).collect()}
         assert pooled == {(r.ctx, r.word): r.n for r in cloze.pool_counts(cloze.fit_per_env(env_lines)).collect()}
 
 
+def test_five_hundred_cells_equal_the_direct_form(train, test_lines):
+    """A grid of many cells, with values of p in any order, 0 and 1 among them."""
+    p_values = ["1.0", "0.0", *[f"{x / 100:.2f}" for x in range(97, 1, -2)]]
+    many = grid.Grid(tuple(range(10)), tuple(p_values), ("0.1",))
+    assert len(many.cells) == 500
+    model = grid.fit_grid(train, TERMS, many)
+    items = cloze.distinct_items(cloze.cell_items(test_lines, TERMS))
+    scored = model.score_items(items).where("seed IN (0, 7) AND p_text IN ('0.0', '0.25', '0.97', '1.0')").collect()
+    sizes = {(r.seed, r.j): r.vocab_size for r in model.vocab_sizes().collect()}
+    assert len(sizes) == 500
+    for seed, p in [(0, "0.0"), (7, "0.25"), (0, "0.97"), (7, "1.0")]:
+        env_lines = envs.env_assign(train, TERMS, seed, float(p))
+        counts = cloze.fit_per_env(env_lines)
+        size = cloze.vocabulary_size(counts, TERMS)
+        assert sizes[seed, many.borders.index(p)] == size
+        brute = Brute([(r.env, r.line) for r in env_lines.collect()], 0.1)
+        for r in scored:
+            if (r.seed, r.p_text) == (seed, p):
+                assert r.p1 == pytest.approx(brute.prob(r.method, r.ctx, r.target))
+                assert r.p2 == pytest.approx(brute.prob(r.method, r.ctx, r.opposite))
+
+
+def test_a_grid_is_checked():
+    for bad in ({"seeds": ()}, {"p_values": ("0.5", "0.50")}, {"seeds": (1, 1)}, {"methods": ("xLM",)}, {"alphas": ()}):
+        with pytest.raises(ValueError):
+            grid.Grid(**bad)
+
+
 def test_direct_scores_equal_grid(train, test_lines):
     counts = cloze.fit_per_env(envs.env_assign(train, TERMS, 0, 0.25))
     size = cloze.vocabulary_size(counts, TERMS)
