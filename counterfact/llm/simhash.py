@@ -355,6 +355,19 @@ def near_duplicates(
     Rows are in one component if a chain of fingerprints within ``distance`` bits joins them;
     ``component_id`` is its least id. The text is read once; only ids and fingerprints are shuffled.
     """
+    marked, group = _grouped(df, id_col, text, shingle, distance, block)
+    firsts = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = group.join(firsts, "component").select("fp", "component_id")
+    return marked.join(named, "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(
+    df: DataFrame, id_col: str, text: str, shingle: int, distance: int, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp) of ``df``, and rows (fp, least, component) of its distinct fingerprints: the least id of
+    each, and the least fingerprint that its links reach."""
     marked = with_fingerprint(df.select(quoted(id_col), quoted(text)), text, shingle, "fp", carry=[id_col])
     marked = stage(marked.select(F.col(quoted(id_col)).alias("id"), "fp"), "fingerprints")
     # Copies become one row before anything is compared.
@@ -364,35 +377,38 @@ def near_duplicates(
     group = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    firsts = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = group.join(firsts, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return marked, group
 
 
 def one_of_each(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = 2
 ) -> DataFrame:
-    """The rows of ``df`` whose id is the least of its near duplicates, one row for an id.
+    """One row of ``df`` for each group of near duplicates: the one with the least id.
 
-    Rows without an id stay only if no row with an id is in their group.
+    Rows without an id come last. Ids need not be unique: of the rows that share the least id of their group, the
+    one with the least fingerprint stays, and one of those that agree in that too.
     """
-    found = near_duplicates(df, id_col, text, shingle, distance)
-    key, rows, kept = (free_name(df, name) for name in ("_id", "_rows", "_kept"))
-    ident = F.col(quoted(id_col))
-    verdicts = stage(
-        found.groupBy(ident.alias(key)).agg(
-            F.count("*").alias(rows), F.max(ident.eqNullSafe(F.col("component_id"))).alias(kept)
-        ),
-        "verdicts",
+    marked, group = _grouped(df, id_col, text, shingle, distance)
+    first = F.min(F.struct(F.col("least").isNull().alias("missing"), "least", "fp"))
+    chosen = stage(group.groupBy("component").agg(first.alias("c")).select("c.fp", F.col("c.least").alias("first")), "chosen")
+    key, rows, kept, fp = (free_name(df, name) for name in ("_id", "_rows", "_kept", "_fp"))
+    stays = F.col("id").eqNullSafe(F.col("first")) & F.col("chosen")
+    told = marked.join(chosen.withColumn("chosen", F.lit(True)), "fp", "left")
+    verdicts = told.groupBy(F.col("id").alias(key)).agg(
+        F.count("*").alias(rows), F.max(F.coalesce(stays, F.lit(False))).alias(kept)
     )
+    verdicts = stage(verdicts, "verdicts")
     columns = [F.col(quoted(c)) for c in df.columns]
+    ident = F.col(quoted(id_col))
     # Most rows stay and are the only ones with their id; these are not moved.
-    touched = verdicts.where(~F.col(kept) | (F.col(rows) > 1))
-    doubtful = may_hold(touched, key)(ident)
+    several = F.col(rows) > 1
+    doubtful = may_hold(verdicts.where(~F.col(kept) | several), key)(ident)
     settled = df.where(~doubtful).select(*columns)
-    looked_up = df.where(doubtful).join(verdicts.where(kept), ident.eqNullSafe(F.col(key)))
-    several = (F.col(rows) > 1) & F.col(key).isNotNull()
-    single = looked_up.where(~several).select(*columns)
-    return settled.union(single).union(looked_up.where(several).select(*columns).dropDuplicates([id_col]))
+    asked = ident.eqNullSafe(F.col(key))
+    single = df.where(doubtful).join(verdicts.where(F.col(kept) & ~several), asked).select(*columns)
+    # Of rows that share an id, the fingerprint tells which is meant.
+    shared = df.where(doubtful).join(verdicts.where(F.col(kept) & several), asked, "left_semi")
+    chosen = chosen.select(F.col("fp").alias(f"{fp}_chosen"), F.col("first").alias(key))
+    meant = (F.col(fp) == F.col(f"{fp}_chosen")) & asked
+    told_apart = with_fingerprint(shared, text, shingle, fp).join(chosen, meant, "left_semi").dropDuplicates([id_col, fp])
+    return settled.union(single).union(told_apart.select(*columns))

@@ -85,4 +85,20 @@ def test_each_stage_handles_edges(spark, make):
 def test_rows_without_an_id_pass(spark):
     table = spark.createDataFrame([(None, *r[1:]) for r in edge_rows()], SCHEMA)
     assert corpus_pipeline.quality(spark, table, entry.ENTRY_DIR).count() > 0
-    assert corpus_pipeline.near_dedup(spark, table, entry.ENTRY_DIR).count() == 11
+    assert corpus_pipeline.near_dedup(spark, table, entry.ENTRY_DIR).count() == 6
+
+
+def test_carried_columns_survive_every_stage(spark):
+    """Columns with the names of computed ones keep their values."""
+    rows = [(r[0], r[1], i, f"n{i}", f"d{i}", i) for i, r in enumerate(edge_rows())]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, ids int, n_tokens string, decoded string, _kept int")
+    own = ["ids", "n_tokens", "decoded", "_kept"]
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, table, entry.ENTRY_DIR)
+        got = {tuple(r) for r in out.select(*own).collect()}
+        assert got and got <= {(i, f"n{i}", f"d{i}", i) for i in range(len(rows))}, name
+    assert sorted(out.columns) == sorted(["doc_id", *own, "n_tokens_", "ids_"])
+    library = Tokenizer.from_file(tokenizer_path())
+    for r in out.collect():
+        ids = library.encode(rows[r["ids"]][1] or "", add_special_tokens=False).ids
+        assert bytes(r["ids_"]) == np.array(ids, "<u4").tobytes() and r["n_tokens_"] == len(ids)

@@ -132,3 +132,22 @@ def test_edges(spark):
     assert one_of_each(alone).count() == 1
     assert near_duplicates(empty_table(spark)).count() == 0
     assert one_of_each(empty_table(spark)).count() == 0
+
+
+def test_no_unique_text_is_lost_where_ids_clash(spark):
+    """One row of each group stays, whatever the ids: shared, missing, or both."""
+    t, u, v = (prose(60, i) for i in (71, 72, 73))
+    rows = [(1, t), (2, t), (2, u), (3, v), (3, v), (None, v), (None, u + " x"), (None, t), (4, None), (4, ""), (None, "k l m n"), (None, "k l m n")]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame([(*r, i) for i, r in enumerate(order)], "doc_id bigint, text string, fp int").repartition(3)
+        kept = [(r["doc_id"], r["text"]) for r in one_of_each(table).collect()]
+        prints = {x: brute_fingerprint(x) for _, x in rows}
+        of = brute_components(sorted(set(prints.values())))
+        groups = {}
+        for i, x in rows:
+            groups.setdefault(of[prints[x]], []).append((i is None, i, x))
+        assert len(kept) == len(groups)
+        for i, x in kept:
+            least = min(groups[of[prints[x]]], key=lambda r: (r[0], r[1] or 0))
+            assert (i is None, i) == least[:2]
+        assert {of[prints[x]] for _, x in kept} == set(groups)
