@@ -52,6 +52,12 @@ def mask_words(line: Column, terms: Sequence[str], mask: str = fixed.MASK) -> Co
     return F.regexp_replace(line, F.lit(pattern), F.lit(mask.replace("\\", "\\\\").replace("$", "\\$")))
 
 
+def mask_word(line: Column, word: Column, mask: str = fixed.MASK) -> Column:
+    """Replace a column's word, where it stands as a whole word, in any case, by the mask."""
+    pattern = F.concat(F.lit(f"(?iu)(?<!{WORD_CLASS})"), word, F.lit(f"(?!{WORD_CLASS})"))
+    return F.regexp_replace(line, pattern, F.lit(mask.replace("\\", "\\\\").replace("$", "\\$")))
+
+
 def is_capitalised(token: Column) -> Column:
     """Whether the first character is an upper-case letter."""
     return F.substring(token, 1, 1).rlike(r"^\p{Lu}")

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterfact import fixed
 from counterfact.functions import text
 
-# A dictionary is a literal of every plan and is broadcast, so its size is bounded here.
-MAX_TERMS = 10_000
+# Terms that are a literal of the plan; a larger dictionary is sent to the tasks once and looked up there.
+LITERAL_TERMS = 10_000
+# Terms of a table that a join sends to all tasks.
+BROADCAST_TERMS = 100_000
+# Characters of a dictionary that is sent to the tasks.
+MAX_CHARACTERS = 256 << 20
 
 
 class TermDictionary:
-    """Symmetric dictionary of paired terms, in lower case."""
+    """Symmetric dictionary of paired terms, in lower case.
+
+    Up to ``LITERAL_TERMS`` terms are part of the expressions. The expressions of a larger dictionary look whole
+    batches of words up in a table that is broadcast once, whose size is checked; they give the same answers.
+    """
 
     def __init__(self, pairs: Iterable[tuple[str, str]]):
         opposites: dict[str, str] = {}
@@ -26,9 +36,11 @@ class TermDictionary:
                 opposites[term] = opposite
         if not opposites:
             raise ValueError("no paired terms given")
-        if len(opposites) > MAX_TERMS:
-            raise ValueError(f"more than {MAX_TERMS} terms")
+        size = sum(map(len, opposites)) * 2
+        if size > MAX_CHARACTERS:
+            raise ValueError(f"{size} characters of terms, more than {MAX_CHARACTERS}")
         self.opposites = opposites
+        self._shared: tuple[str, object] | None = None
 
     @classmethod
     def from_text(cls, lines: str) -> "TermDictionary":
@@ -54,44 +66,90 @@ class TermDictionary:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """Rows ``(term, opposite)``."""
-        return spark.createDataFrame(list(self.opposites.items()), "term string, opposite string")
+        return spark.createDataFrame(self._table())
+
+    def _table(self) -> pa.Table:
+        return pa.table({"term": list(self.opposites), "opposite": list(self.opposites.values())})
+
+    @property
+    def is_literal(self) -> bool:
+        return len(self.opposites) <= LITERAL_TERMS
+
+    def opposites_of(self, word_array: Column) -> Column:
+        """Opposites of an array of words, NULL for words that are no terms; for dictionaries of any size."""
+        context = SparkSession.active().sparkContext
+        if self._shared is None or self._shared[0] != context.applicationId:
+            self._shared = (context.applicationId, context.broadcast(self._table()))
+        return F.arrow_udf(_finder(self._shared[1]), "array<string>")(word_array)
 
     def contains(self, word: Column) -> Column:
         """Whether a word is a term."""
-        return word.isin(self.terms)
+        return word.isin(self.terms) if self.is_literal else self.opposite(word).isNotNull()
 
     def opposite(self, word: Column) -> Column:
         """Opposite of a word; NULL for other words."""
+        if not self.is_literal:
+            return F.get(self.opposites_of(F.array(word)), F.lit(0))
         literal = F.create_map(*[F.lit(x) for pair in self.opposites.items() for x in pair])
         return F.when(self.contains(word), F.element_at(literal, word))
 
     def swap_token(self, token: Column) -> Column:
         """Opposite of a whole token, capital kept; other tokens unchanged."""
-        swapped = self.opposite(F.lower(token))
-        return F.when(
-            self.contains(F.lower(token)),
-            F.when(text.is_capitalised(token), text.capitalise(swapped)).otherwise(swapped),
-        ).otherwise(token)
+        return _in_place_of(token, self.opposite(F.lower(token)))
 
     def swap_line(self, line: Column) -> Column:
         """Line with every whole-token term swapped and whitespace runs collapsed."""
-        return F.array_join(F.transform(text.blank_tokens(line), self.swap_token), " ")
+        tokens = text.blank_tokens(line)
+        if self.is_literal:
+            return F.array_join(F.transform(tokens, self.swap_token), " ")
+        return F.array_join(F.zip_with(tokens, self.opposites_of(F.transform(tokens, F.lower)), _in_place_of), " ")
 
     def has_token(self, line: Column) -> Column:
         """Whether swapping changes a token of the line."""
-        return F.arrays_overlap(text.blank_tokens(F.lower(line)), F.array(*[F.lit(t) for t in self.terms]))
+        tokens = text.blank_tokens(F.lower(line))
+        if self.is_literal:
+            return F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in self.terms]))
+        return F.exists(self.opposites_of(tokens), lambda o: o.isNotNull())
 
     def hits(self, word_array: Column) -> Column:
         """Terms among the words, repetitions kept."""
-        return F.filter(word_array, self.contains)
+        if self.is_literal:
+            return F.filter(word_array, self.contains)
+        found = F.zip_with(word_array, self.opposites_of(word_array), lambda w, o: F.when(o.isNotNull(), w))
+        return F.filter(found, lambda w: w.isNotNull())
+
+
+def _in_place_of(token: Column, opposite: Column) -> Column:
+    """The opposite with the capital of the token; the token if there is no opposite."""
+    return F.when(opposite.isNull(), token).otherwise(
+        F.when(text.is_capitalised(token), text.capitalise(opposite)).otherwise(opposite)
+    )
+
+
+def _finder(table):
+    """Function from arrays of words to arrays of their opposites; the table is taken apart once a task."""
+    known: dict[str, str] = {}
+
+    def find(words: pa.Array) -> pa.Array:
+        if not known:
+            known.update(zip(*(table.value[c].to_pylist() for c in ("term", "opposite")), strict=True))
+        # Every distinct word of the batch is looked up once; the opposite of a null word is null.
+        coded = words.flatten().cast(pa.string()).dictionary_encode()
+        found = pa.array([known.get(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        ends = sizes.cumsum()
+        offsets = pa.array([0, *ends.tolist()], pa.int32())
+        return pa.ListArray.from_arrays(offsets, found)
+
+    return find
 
 
 def dict_lookup(tokens: DataFrame, column: str, dictionary: TermDictionary, how: str = "inner") -> DataFrame:
-    """Join tokens with the dictionary, whose size the constructor bounds."""
+    """Join tokens with the dictionary; one of up to ``BROADCAST_TERMS`` terms is sent to all tasks."""
     if how not in ("inner", "left"):
         raise ValueError(f"unknown join: {how}")
-    terms = F.broadcast(dictionary.frame(tokens.sparkSession).withColumnRenamed("term", column))
-    return tokens.join(terms, column, how)
+    terms = dictionary.frame(tokens.sparkSession).withColumnRenamed("term", column)
+    return tokens.join(F.broadcast(terms) if len(dictionary) <= BROADCAST_TERMS else terms, column, how)
 
 
 def swap_lines(lines: DataFrame, dictionary: TermDictionary, column: str = "line") -> DataFrame:
@@ -104,9 +162,9 @@ def swap_rate(lines: DataFrame, dictionary: TermDictionary, keys: tuple[str, ...
     tokens = lines.select(*keys, F.explode(text.blank_tokens(F.col("line"))).alias("token")).select(
         *keys, F.lower("token").alias("term")
     )
-    return dict_lookup(tokens, "term", dictionary).groupBy(*keys, "term", "opposite").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # Counted before they are looked up, so that a frequent word is one row of the join.
+    counted = tokens.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    return dict_lookup(counted, "term", dictionary).select(*keys, "term", "opposite", "n")
 
 
 def single_hits(lines: DataFrame, dictionary: TermDictionary) -> DataFrame:
@@ -132,6 +190,8 @@ def mask_hits(hits: DataFrame, dictionary: TermDictionary, mask: str = fixed.MAS
     A line of ``single_hits`` has one term of the dictionary and the words beside it, so the place of the
     target among the words is the place of the mask.
     """
-    return hits.withColumn("masked", text.mask_words(F.col("line"), dictionary.terms, mask)).withColumn(
-        "mask_pos", F.array_position("words", F.col("target"))
-    )
+    if dictionary.is_literal:
+        masked = text.mask_words(F.col("line"), dictionary.terms, mask)
+    else:
+        masked = text.mask_word(F.col("line"), F.col("target"), mask)
+    return hits.withColumn("masked", masked).withColumn("mask_pos", F.array_position("words", F.col("target")))
