@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from counterfact.llm import decontamination
 from counterfact.llm.decontamination import Rule, align, contaminated, with_matches
 from tests.llm.cases import SCHEMA, edge_table, empty_table, prose
 
@@ -114,9 +116,99 @@ def test_edges(spark, items):
     )
     found = contaminated(table, benchmark).collect()
     assert sorted(((r["doc_id"] or 0), (r["item_id"] or 0)) for r in found) == [
-        (0, 0), (0, 4), (5, 0), (5, 0), (5, 4), (5, 4), (6, 0), (6, 4), (9, 5)
+        (0, 0), (0, 4), (5, 0), (5, 0), (5, 4), (5, 4), (6, 0), (6, 4), (8, 3), *[(9, 5)] * 20
     ]
     assert contaminated(empty_table(spark), benchmark).count() == 0
     assert contaminated(table, benchmark.where("item_id < 0")).count() == 0
     marked = with_matches(table, benchmark.where("item_id < 0"))
     assert marked.columns == [*table.columns, "matches"] and marked.where("size(matches) = 0").count() == 11
+    again = with_matches(marked.withColumnRenamed("matches", "Matches"), benchmark)
+    assert again.columns == [*table.columns, "Matches", "matches_"]
+    assert again.where("size(matches_) > 0").count() == 6 and again.where("size(Matches) = 0").count() == 11
+
+
+def exact_copies(texts, item):
+    """Non-overlapping places of a sequence of words in every text, from the left."""
+    out = []
+    for k, text in texts:
+        at = 0
+        while at + len(item) <= len(text):
+            if text[at : at + len(item)] == item:
+                out.append((k, at, at + len(item)))
+                at += len(item)
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_short_items_are_searched_as_whole_sequences(spark):
+    """Items of one to seven words; those of one and two are only found as whole texts."""
+    base = prose(400, 9).replace(".", "").split()
+    short = {n: " ".join(base[50 * n : 50 * n + n]) for n in range(1, 8)}
+    rows = [(n, f"{prose(30, n)} {short[n]} {prose(30, 50 + n)}") for n in short]
+    rows += [(20 + n, short[n].upper() + "!") for n in short]
+    rows += [(40 + n, " ".join(short[n].split()[:-1] + ["other"])) for n in range(3, 8)]
+    rows += [(60, f"{short[6]}, {short[6]} and {prose(9, 1)} {short[6]}")]
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)
+    benchmark = spark.createDataFrame(list(short.items()), "item_id int, text string")
+    got = sorted((r["item_id"], r["doc_id"], r["first_word"], r["end_word"]) for r in contaminated(table, benchmark).collect())
+    texts = [(k, words(t)) for k, t in rows]
+    want = [(n, *c) for n in range(3, 8) for c in exact_copies(texts, words(short[n]))]
+    want += [(n, 20 + n, 0, n) for n in (1, 2)]
+    assert got == sorted(want) and sum(1 for g in got if g[1] == 60) == 3
+
+
+def test_scripts_without_blanks(spark):
+    """Characters are words: whole, edited and short items inside running text."""
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    item = "".join(rng.choice(signs) for _ in range(42))
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(30))
+    edited = "".join(rng.choice(signs) if rng.random() < 0.12 else c for c in item)
+    filler = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    rows = [(1, filler(80) + item + filler(60)), (2, filler(50) + edited + "。" + filler(9)), (3, filler(200)),
+            (4, f"see {thai} here"), (5, filler(30) + item[:5] + filler(30)), (6, "𠀀𠀁𠀂𠀃 x"), (7, filler(3))]
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)
+    benchmark = spark.createDataFrame([(1, item), (2, thai), (3, item[:5]), (4, "𠀁𠀂𠀃")], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(table, benchmark).collect()}
+    assert got - {(2, 3)} == {(1, 1), (2, 1), (4, 2), (1, 3), (5, 3), (6, 4)}
+
+
+def test_every_copy_is_reported(spark, items):
+    text = items[3][1]
+    n = len(words(text))
+    rows = [(1, f"{text} {prose(300, 1)} {text}"), (2, f"{text} {text}\n{text}"), (3, prose(40, 2))]
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["first_word"], r["end_word"]) for r in contaminated(table, benchmark).where("item_id = 3").collect())
+    assert got == [(1, 0, n), (1, n + 300, 2 * n + 300), (2, 0, n), (2, n, 2 * n), (2, 2 * n, 3 * n)]
+
+
+def test_items_of_one_text_are_matched_once(spark, items, monkeypatch):
+    """Many rows of one text do not make a block larger, and each is reported."""
+    rows, want = planted(items[:3])
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)
+    many = [(i, t) for i, t in items[:3]] + [(1000 + k, items[0][1]) for k in range(200)]
+    benchmark = spark.createDataFrame(many, "item_id bigint, text string")
+    seen = []
+    plain = decontamination.Items.__init__
+    monkeypatch.setattr(decontamination.Items, "__init__", lambda s, names, texts, rule: (seen.append(len(texts)), plain(s, names, texts, rule))[1])
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(table, benchmark).collect()}
+    assert got == want | {(d, 1000 + k) for d, i in want if i == 0 for k in range(200)} and seen == [3]
+
+
+def test_tables_of_alignments_are_bounded(spark, monkeypatch, items):
+    """A long text of chained seeds beside short passages, with small tables."""
+    rows, want = planted(items[:5])
+    rows.append((900, " ".join([items[1][1]] * 60)))
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)
+    benchmark = spark.createDataFrame(items[:5], "item_id bigint, text string")
+    largest = []
+    plain = decontamination.align
+    monkeypatch.setattr(decontamination, "CELLS", 500)
+    monkeypatch.setattr(decontamination, "align", lambda p, i, r: (largest.append(p.shape), plain(p, i, r))[1])
+    items_ = decontamination.Items([i for i, _ in items[:5]], [t for _, t in items[:5]], RULE)
+    items_.choose_seeds(np.full(len(items_.vocabulary), 1e-6))
+    found = decontamination.matches(pa.array([t for _, t in rows]), items_)
+    assert {(rows[d][0], m["item_id"]) for d, here in enumerate(found) for m in here} == want | {(900, items[1][0])}
+    assert len(found[-1]) == 60 and all(r == 1 or r * w <= 500 for r, w in largest)
