@@ -40,9 +40,6 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS_OF_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
-#: A generic candidate is a run of letters, digits, "_" and "-".
-GENERIC = re.compile(r"[A-Za-z0-9_-]+")
-
 #: Access and hex candidates, and generic ones, lie inside runs of these bytes of so many at least.
 RUN_BYTES = np.zeros(256, bool)
 RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")] = True
@@ -51,9 +48,11 @@ RUN = 16
 
 @dataclass(frozen=True)
 class Ownership:
-    """A value looks live while the distinct texts that hold it have at most so many owners."""
+    """A value is widely copied when it has more than ``max_others`` owners beside the leading one, and this one
+    does not stand out: it holds less of the value's texts than half way from its share of all rows to all. Any
+    other value looks live."""
 
-    max_owners: int = 1
+    max_others: int = 1
     least_generic: int = 24
     least_digits: int = 4
     least_letters: int = 4
@@ -164,18 +163,22 @@ FOUND = (
 )
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """Distinct owners of every value, from rows (value, owner, text).
+def ownership(found: DataFrame, sizes: DataFrame, rule: Ownership) -> DataFrame:
+    """Rows (value, n_owners, live) from rows (value, owner, text) and the share of every owner in all rows.
 
-    An owner that holds all the texts of a value is its only one; else a text counts for its least owner.
+    An owner that holds all the texts of a value is its only one; else a text counts for its least owner. The
+    leading owner is the one with most of the texts.
     """
     once = found.select("value", "owner", "text").distinct()
-    most = once.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.max("n").alias("most"))
+    per_owner = once.groupBy("value", "owner").agg(F.count("*").alias("n"))
+    lead = per_owner.groupBy("value").agg(F.max(F.struct("n", "owner")).alias("lead")).select("value", "lead.*")
     by_text = once.groupBy("value", "text").agg(F.min("owner").alias("owner"))
     by_owner = by_text.groupBy("value", "owner").agg(F.count("*").alias("n"))
     totals = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_texts"))
-    n_owners = F.when(F.col("most") == F.col("n_texts"), 1).otherwise(F.col("n_owners"))
-    return totals.join(most, "value").select("value", n_owners.alias("n_owners"))
+    held = totals.join(lead, "value").join(sizes, "owner")
+    n_owners = F.when(F.col("n") == F.col("n_texts"), 1).otherwise(F.col("n_owners"))
+    stands_out = F.col("n") / F.col("n_texts") >= (1 + F.col("share")) / 2
+    return held.select("value", n_owners.alias("n_owners"), ((n_owners <= 1 + rule.max_others) | stands_out).alias("live"))
 
 
 def secret_scan(
@@ -200,8 +203,9 @@ def secret_scan(
     # The number of a row is fixed by writing it.
     scanned = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = scanned.where(F.size("found") > 0).select("row", "owner", F.col("text_sha256").alias("text"), F.inline("found"))
-    live = F.col("n_owners") <= rule.max_owners
-    judged = each.join(ownership(each), "value").withColumn("live", live)
+    rows = scanned.agg(F.count("*")).first()[0] or 1
+    sizes = scanned.groupBy("owner").agg((F.count("*") / rows).alias("share"))
+    judged = each.join(ownership(each, sizes, rule), "value")
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, k)])
     spans = F.array_sort(
         F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end")))

@@ -50,11 +50,28 @@ def test_copies_do_not_take_a_key_from_its_owner(spark):
     rows += [(100 + k, f"{prose(6, k)} {near}", "s2") for k in range(50)]
     rows += [(200 + k, f"see {mirrored}", f"s{k}") for k in range(5)]
     rows += [(250, f"x {partly}", "s5"), (251, f"y {partly}", "s5"), (252, f"x {partly}", "s1")]
-    rows += [(300, f"one {shared}", "s1"), (301, f"other {shared}", "s2")]
+    rows += [(300 + k, f"{prose(4, 500 + k)} {shared}", f"s{k}") for k in range(3)]
     got = {r["doc_id"]: r for r in secret_scan(table_of(spark, rows)).collect()}
     assert all(r["n_live"] == (k < 300) and ("generic" in r["spans"]) == (k < 300) for k, r in got.items())
 
 
+def test_owners_are_judged_by_their_share(spark):
+    """One text of another owner takes no key from its owner; a large owner needs more to stand out."""
+    mine, moved, pair, hot, spread = (f"{x}9Xv3QmZ7Lr2Tb8Wn5Yc1Hd6" for x in "abcde")
+    rows = [(k, f"{prose(5, k)} {mine}", "s1") for k in range(10)]
+    rows += [(20 + k, f"{prose(5, 20 + k)} {moved}", f"s{2 if k else 3}") for k in range(10)]
+    rows += [(40, f"{prose(5, 40)} {pair}", "s4"), (41, f"{prose(5, 41)} {pair}", "s5")]
+    # Two thirds of a widely copied value lie with the source that has most of all rows.
+    rows += [(60 + k, f"{prose(5, 60 + k)} {hot}", "big" if k < 20 else f"s{k}") for k in range(30)]
+    rows += [(100 + k, f"{prose(5, 100 + k)} {spread}", f"s{k % 9}") for k in range(27)]
+    rows += [(1000 + k, prose(8, 1000 + k), "big") for k in range(150)]
+    got = {r["doc_id"]: r["n_live"] for r in secret_scan(table_of(spark, rows)).collect()}
+    assert all(n == (k < 60) for k, n in got.items() if k < 1000)
+    # Without the other rows of that source, it stands out.
+    got = {r["doc_id"]: r["n_live"] for r in secret_scan(table_of(spark, [r for r in rows if r[0] < 1000])).collect()}
+    assert all(got[60 + k] == 1 for k in range(30)) and not any(got[100 + k] for k in range(27))
+
+
 def test_query(spark):
     rows = entry.queries()["op10_secrets"](spark, entry.ENTRY_DIR).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{entry.ENTRY_DIR}/documents.parquet").collect()}
