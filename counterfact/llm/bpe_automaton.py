@@ -365,10 +365,17 @@ def ids_as_bytes(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def encode_and_decode(
-    df: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] | None = None, prefix: str = ""
+    df: DataFrame,
+    tokenizer: str,
+    text: str = "text",
+    carry: Sequence[str] | None = None,
+    prefix: str = "",
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``carry`` columns (all, if not given) with n_tokens, ids and decoded of every text.
 
+    A task works on texts of ``part_bytes`` at a time, or on one; smaller parts take less memory and more time.
+
     ``tokenizer`` is the path of the vocabulary file on the driver; tasks get the compiled tables. ``ids``
     holds little-endian unsigned 32-bit numbers. Nothing is shuffled.
     """
@@ -384,4 +391,4 @@ def encode_and_decode(
         return columns
 
     out = f"`{prefix}n_tokens` bigint, `{prefix}ids` binary, `{prefix}decoded` string"
-    return with_text_columns(df, make, out, text, carry, PART_BYTES)
+    return with_text_columns(df, make, out, text, carry, part_bytes)
