@@ -57,7 +57,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their number; under names of their own if these are taken."""
     carried = {f"_carried{i}": c for i, c in enumerate(c for c in docs.columns if c != "text")}
     plain = docs.select("text", *[F.col(quoted(c)).alias(k) for k, c in carried.items()])
-    coded = encode_and_decode(plain, tokenizer_path(), carry=list(carried))
+    coded = encode_and_decode(plain, tokenizer_path(), carry=list(carried), part_bytes=4 << 20)
     made = [F.col(c).alias(free_name(docs, c)) for c in coded.columns if c not in carried and c != "decoded"]
     return coded.select(*[F.col(k).alias(c) for k, c in carried.items()], *made)
 
