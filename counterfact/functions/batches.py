@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,7 +16,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from counterfact import fixed
 
 Columns = dict[str, pa.Array]
-Scorer = Callable[[Sequence[str], Sequence[str], Sequence[str]], tuple[Sequence, Sequence]]
+# From masked lines, targets, opposites, and evidence if it is asked for, to the probabilities of both words.
+Scorer = Callable[..., tuple[Sequence, Sequence]]
 
 
 def map_batches(
@@ -42,15 +44,20 @@ def map_batches(
 
 
 def masked_scorer(
-    hits: DataFrame, make_scorer: Callable[[], Scorer], keys: Sequence[str] = ("doc_id", "line_no"), rows: int = 256
+    hits: DataFrame,
+    make_scorer: Callable[[], Scorer],
+    keys: Sequence[str] = ("doc_id", "line_no"),
+    rows: int = 256,
+    evidence: Sequence[str] = (),
 ) -> DataFrame:
     """Score masked lines with a scorer of the caller.
 
     The scorer is made once per task and called with many lines at a time: masked lines, targets,
     opposites. It returns the two probabilities of every line, None where it cannot score one; such
-    rows are kept with NULL, so that they can be counted.
+    rows are kept with NULL, so that they can be counted. ``evidence`` names further columns, such as those of
+    ``cloze.item_evidence``; the scorer gets them as a fourth argument, a dictionary of lists.
     """
-    inputs = hits.select(*keys, "masked", "target", "opposite")
+    inputs = hits.select(*keys, "masked", "target", "opposite", *evidence)
     fields = [inputs.schema[c] for c in (*keys, "target", "opposite")]
     out_type = StructType(fields).add("p1", "double").add("p2", "double")
 
@@ -59,7 +66,8 @@ def masked_scorer(
         for frame in frames:
             for start in range(0, len(frame), rows):
                 part = frame.iloc[start : start + rows]
-                p1, p2 = scorer(list(part["masked"]), list(part["target"]), list(part["opposite"]))
+                seen = [{c: list(part[c]) for c in evidence}] if evidence else []
+                p1, p2 = scorer(list(part["masked"]), list(part["target"]), list(part["opposite"]), *seen)
                 out = part[[*keys, "target", "opposite"]].copy()
                 out["p1"] = pd.Series(list(p1), index=out.index, dtype="float64")
                 out["p2"] = pd.Series(list(p2), index=out.index, dtype="float64")
@@ -70,6 +78,33 @@ def masked_scorer(
     )
 
 
+def count_scorer(n_env: int, alpha: float, vocab_size: int) -> Callable[[], Scorer]:
+    """Scorer with the mean of the environments' estimators, from the evidence of ``cloze.item_evidence``.
+
+    Made of closures, which reach the tasks by value.
+    """
+
+    def make_scorer() -> Scorer:
+        unseen = math.log(alpha)
+
+        def mean(counts) -> float:
+            """Mean over the environments of ``ln(n + alpha)``; most have not seen the word."""
+            found = [] if counts is None else counts
+            return unseen + sum(math.log(n + alpha) - unseen for n in found if n) / n_env
+
+        def score(masked, targets, opposites, seen):
+            sums, n_seen = seen["seen_sum"], seen["n_seen"]
+            z = [math.log((s or 0.0) + (vocab_size - (n or 0)) * alpha) for s, n in zip(_plain(sums), _plain(n_seen))]
+            return tuple([math.exp(mean(n) - t) for n, t in zip(seen[c], z)] for c in ("n_target", "n_opposite"))
+
+        def _plain(values):
+            return [None if v is None or v != v else v for v in values]
+
+        return score
+
+    return make_scorer
+
+
 def place_scorer(
     counts: dict[tuple[str, bool], int], terms: Sequence[str], alpha: float, mask: str = fixed.MASK
 ) -> Callable[[], Scorer]:

@@ -172,6 +172,36 @@ def normalised_mean(items: DataFrame, counts: DataFrame, n_env: int, alpha: floa
     return scored.select("ctx", "target", "opposite", "word", logit.alias("logit"))
 
 
+#: Columns of ``item_evidence`` beside the item.
+EVIDENCE = ("envs", "n_target", "n_opposite", "n_ctx", "seen_sum", "n_seen")
+
+
+def item_evidence(items: DataFrame, counts: DataFrame, n_env: int, alpha: float) -> DataFrame:
+    """What the estimators know of every distinct ``(ctx, target, opposite)``, for scorers outside the plan.
+
+    ``envs`` are the environments that have seen the context, with the counts of target, opposite and context
+    beside each. ``seen_sum`` and ``n_seen`` are, over the words seen after the context in some environment, the
+    sum of the exponentials of the mean of ``ln(n + alpha)``, and their number; a normaliser needs no more. The
+    count rows of a context are not gathered. A context that no environment has seen has a row of NULLs.
+    """
+    items = items.select("ctx", "target", "opposite").distinct()
+    asked = items.select("ctx", F.explode(F.array("target", "opposite")).alias("word")).distinct()
+    found = counts.join(asked, ["ctx", "word"], "left_semi").select("env", "ctx", "word", "n")
+    here = counts.join(items.select("ctx").distinct(), "ctx", "left_semi")
+    totals = here.groupBy("env", "ctx").agg(F.sum("n").alias("n_ctx"))
+    sides = [found.select("env", "ctx", F.col("word").alias(c), F.col("n").alias(f"n_{c}")) for c in ("target", "opposite")]
+    each = items.join(totals, "ctx").join(sides[0], ["env", "ctx", "target"], "left")
+    each = each.join(sides[1], ["env", "ctx", "opposite"], "left")
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_target", "n_opposite")]
+    known = each.groupBy("ctx", "target", "opposite").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("env").alias("envs"), *counted, "n_ctx"))).alias("_e")
+    )
+    known = known.select("ctx", "target", "opposite", *[F.col("_e")[c].alias(c) for c in EVIDENCE[:4]])
+    shares = _mean_shares(items, counts, n_env, alpha)
+    seen = shares.groupBy("ctx").agg(F.sum(F.exp("m")).alias("seen_sum"), F.count(F.lit(1)).alias("n_seen"))
+    return items.join(known, ["ctx", "target", "opposite"], "left").join(seen, "ctx", "left")
+
+
 def pair_bias(scores: DataFrame) -> DataFrame:
     """Bias of every item from the logits of its target and its opposite."""
     is_target = F.col("word") == F.col("target")

@@ -557,3 +557,5 @@ ratios AS (
   FROM (SELECT *, tpos = 1 AS first FROM hits) JOIN total USING (first)
   LEFT JOIN term_counts a ON a.token = target AND a.first = total.first LEFT JOIN term_counts b ON b.token = opposite AND b.first = total.first)""") + f"""
 SELECT doc_id, line_no, target, round(p1, 6) AS p1, round(p2, 6) AS p2, round(1 - {_H}, 6) AS bias FROM ratios"""
+ORACLES["model_scorer"] = _line_bias(ONE_CELL) + """
+SELECT doc_id, line_no, target, opposite, round(bias, 6) AS bias FROM scores WHERE method = 'iLM'"""

@@ -11,7 +11,7 @@ from counterfact import fixed
 from counterfact.functions import measures, tags, text
 from counterfact.functions.batches import map_batches as _map_batches
 from counterfact.functions.batches import masked_scorer as _masked_scorer
-from counterfact.functions.batches import place_scorer
+from counterfact.functions.batches import count_scorer, place_scorer
 from counterfact.operators import dictionary as terms
 from counterfact.operators import environments as envs
 from counterfact.operators import masking, packing, runlog, schedule, vocab
@@ -855,3 +855,21 @@ def masked_scorer(spark: SparkSession, d: str) -> DataFrame:
     return biased.select(
         "doc_id", "line_no", "target", _r("p1"), _r("p2"), F.round(measures.entropy_bias(F.col("p")), 6).alias("bias")
     )
+
+
+@query
+def model_scorer(spark: SparkSession, d: str) -> DataFrame:
+    """A scorer outside the plan that sees the fitted estimators; the bias of every line equals ``line_bias``."""
+    counts = stage(cloze.fit_per_env(_env_lines(spark, d)), "env_counts")
+    size = cloze.vocabulary_size(counts, FREQUENT)
+    hits = terms.mask_hits(terms.single_hits(corpus.conversation_lines(spark, d), FREQUENT), FREQUENT)
+    hits = stage(cloze.hit_items(hits).select("doc_id", "line_no", "masked", "ctx", "target", "opposite"), "hits")
+    evidence = cloze.item_evidence(hits, counts, 2, float(ALPHA))
+    asked = ["n_target", "n_opposite", "seen_sum", "n_seen"]
+    scored = _masked_scorer(
+        hits.join(evidence, ["ctx", "target", "opposite"], "left"),
+        count_scorer(2, float(ALPHA), size),
+        evidence=asked,
+    )
+    biased = scored.withColumn("p", measures.pair_probability(F.col("p1"), F.col("p2"))).where(F.col("p").isNotNull())
+    return biased.select("doc_id", "line_no", "target", "opposite", F.round(measures.entropy_bias(F.col("p")), 6).alias("bias"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from counterfact import fixed
-from counterfact.functions.batches import map_batches, masked_scorer
+from counterfact.functions.batches import count_scorer, map_batches, masked_scorer
 from counterfact.operators import environments as envs
 from counterfact.operators.dictionary import TermDictionary, mask_hits, single_hits
 from counterfact.plans import cloze, environments, evaluation, grid, summary
@@ -217,6 +217,54 @@ def test_plugged_in_scorer_equals_line_bias(train, test_lines, assigned):
         assert (r.p2 is None) if r.opposite == "king" else r.p2 == pytest.approx(want[r.doc_id][1])
 
 
+def test_a_scorer_that_sees_the_model_equals_line_bias(train, test_lines):
+    """On all lines, also those whose context no environment has seen."""
+    env_lines = envs.env_assign(train, TERMS, 0, 0.25).where("line NOT LIKE '%old%'")
+    model = environments.fit_environments(env_lines, TERMS, 0.1)
+    hits = cloze.hit_items(mask_hits(single_hits(test_lines, TERMS), TERMS))
+    evidence = cloze.item_evidence(hits, model.counts, model.n_env, 0.1)
+    joined = hits.join(evidence, ["ctx", "target", "opposite"], "left")
+    scored = masked_scorer(joined, count_scorer(model.n_env, 0.1, model.vocab_size), evidence=cloze.EVIDENCE).collect()
+    logits = {(r.ctx, r.target, r.word): math.exp(r.logit) for r in model.logits(cloze.distinct_items(hits), "iLM").collect()}
+    of = {r.doc_id: r.ctx for r in hits.collect()}
+    assert len(scored) == len(of) and evidence.where("envs IS NULL").count() > 0
+    for r in scored:
+        assert r.p1 == pytest.approx(logits[of[r.doc_id], r.target, r.target])
+        assert r.p2 == pytest.approx(logits[of[r.doc_id], r.target, r.opposite])
+    bias = {r.doc_id: r.bias for r in model.line_bias(test_lines, ["iLM"]).collect()}
+    for r in scored:
+        p = r.p1 / (r.p1 + r.p2)
+        assert bias[r.doc_id] == pytest.approx(1 + p * math.log2(p) + (1 - p) * math.log2(1 - p))
+
+
+def test_a_scorer_of_one_environment_sees_its_counts(train, test_lines, assigned):
+    """The evidence names the environments, so a caller may use any of them."""
+    model = environments.fit_environments(envs.env_assign(train, TERMS, 0, 0.25), TERMS, 0.1)
+    hits = cloze.hit_items(mask_hits(single_hits(test_lines, TERMS), TERMS))
+    v = model.vocab_size
+
+    def make_scorer():
+        def score(masked, targets, opposites, seen):
+            found = []
+            for names, n_t, n_o, n_ctx in zip(*(seen[c] for c in ("envs", "n_target", "n_opposite", "n_ctx"))):
+                at = {} if names is None else {e: i for i, e in enumerate(names)}
+                i = at.get("env_A")
+                t, o, total = (0, 0, 0) if i is None else (n_t[i], n_o[i], n_ctx[i])
+                found.append(((t + 0.1) / (total + 0.1 * v), (o + 0.1) / (total + 0.1 * v)))
+            return tuple(zip(*found))
+
+        return score
+
+    evidence = cloze.item_evidence(hits, model.counts, model.n_env, 0.1)
+    joined = hits.join(evidence, ["ctx", "target", "opposite"], "left")
+    got = {r.doc_id: (r.p1, r.p2) for r in masked_scorer(joined, make_scorer, evidence=cloze.EVIDENCE).collect()}
+    brute = Brute([(e, x) for e, x in assigned if e == fixed.ENV_A], 0.1)
+    for r in hits.collect():
+        n = [brute.counts[fixed.ENV_A].get((r.ctx, w), 0) for w in (r.target, r.opposite)]
+        total = brute.totals[fixed.ENV_A].get(r.ctx, 0)
+        assert got[r.doc_id] == pytest.approx(tuple((x + 0.1) / (total + 0.1 * v) for x in n))
+
+
 def test_environments(train, lines_of):
     a = {p: {r.doc_id for r in envs.env_assign(train, TERMS, 0, p).where("env = 'env_A'").collect()} for p in (0.1, 0.25, 0.9)}
     assert a[0.1] < a[0.25] < a[0.9] and len(a[0.9]) < len(TRAIN)
