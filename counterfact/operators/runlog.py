@@ -12,6 +12,8 @@ from counterfact.functions.measures import unguarded_perplexity
 
 # Steps a window task may hold; longer runs are cut into stretches of this length.
 STRETCH = 10_000
+# Rows of one step come in the order of their loss, so that ties have one answer.
+_IN_ORDER = ("step", "loss")
 
 
 def epoch_env_loss(log: DataFrame, envs: Sequence[str]) -> DataFrame:
@@ -60,7 +62,7 @@ def running_epoch_loss(log: DataFrame, keys: Sequence[str] = ("run", "epoch")) -
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"),
     )
     inside = (
-        Window.partitionBy(*keys, "_part").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_part").orderBy(*_IN_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     total = F.col("_s0") + F.coalesce(F.sum("loss").over(inside), F.lit(0.0))
     n = F.col("_c0") + F.count("loss").over(inside)
@@ -82,7 +84,7 @@ def improvements(evals: DataFrame, keys: Sequence[str] = ("run",)) -> DataFrame:
     lows = known.groupBy(*keys, "_part").agg(F.min("loss").alias("_low"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = lows.select(*keys, "_part", F.min("_low").over(before).alias("_low0"))
-    inside = Window.partitionBy(*keys, "_part").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*_IN_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     best = F.least(F.col("_low0"), F.min("loss").over(inside))
     return (
         known.join(starts, [*keys, "_part"])

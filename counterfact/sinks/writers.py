@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -12,6 +14,7 @@ from counterfact import fixed
 from counterfact.functions.measures import format4
 from counterfact.functions.tags import run_tag, score_file
 from counterfact.operators.runlog import loss_history
+from counterfact.sources.scores import MARKS, marks_folder
 
 
 def write_splits(cell_lines: DataFrame, folder: str) -> None:
@@ -94,9 +97,17 @@ def write_scores(scores: DataFrame, folder: str) -> None:
 
 def export_scores_csv(scores: DataFrame, folder: str) -> None:
     """One column ``bias`` per run, under the tagged file name of the run; a run that is written again
-    replaces its earlier scores only."""
+    replaces its earlier scores only.
+
+    A mark is left before the job begins and another one after it is committed, so that a run whose files were
+    only half replaced is not taken for a completed one. ``scores`` is read twice, and best a written table.
+    """
     tag = run_tag(F.col("seed"), F.col("p_text"), F.col("alpha_text"))
     rows = scores.select(score_file(tag, F.col("method")).alias("run_file"), "bias")
+    # One row for a run.
+    runs = [r.run_file for r in rows.select("run_file").distinct().collect()]
+    attempt = uuid.uuid4().hex
+    _mark(rows.sparkSession, folder, runs, attempt, "begun")
     (
         rows.hint("rebalance", "run_file")
         .write.mode("overwrite")
@@ -105,6 +116,14 @@ def export_scores_csv(scores: DataFrame, folder: str) -> None:
         .partitionBy("run_file")
         .csv(folder)
     )
+    _mark(rows.sparkSession, folder, runs, attempt, "completed")
+
+
+def _mark(spark: SparkSession, folder: str, runs: Sequence[str], attempt: str, state: str) -> None:
+    """Append a row for every run to the marks of a folder of scores."""
+    rows = [(run, attempt, state, time.time_ns()) for run in runs]
+    marks = spark.createDataFrame(rows, MARKS).coalesce(1)
+    marks.write.mode("append").parquet(marks_folder(folder))
 
 
 def write_training_log(rows: DataFrame, folder: str) -> None:

@@ -131,3 +131,36 @@ def test_completed_runs_have_a_score_file(spark, tmp_path):
     cells = spark.createDataFrame([(0, "eLM"), (1, "eLM"), (1, "iLM")], "seed int, method string")
     left = summary.pending_runs(cells, done, ["seed", "method"]).collect()
     assert [(r.seed, r.method) for r in left] == [(1, "eLM")]
+
+
+def test_a_broken_export_leaves_its_runs_pending(spark, tmp_path):
+    """Also runs that were complete before it began; the others stay complete."""
+    folder = str(tmp_path / "scores")
+    row = "seed int, p_text string, alpha_text string, method string, bias double"
+    cells = [(s, "0.5", "0.1", m, 0.1 * s) for s in range(3) for m in ("eLM", "iLM")]
+    writers.export_scores_csv(spark.createDataFrame(cells, row), folder)
+    write(tmp_path / "scores" / "split7_p05_eLM.csv", "bias\n0.5\n")
+
+    def done():
+        return {(r.seed, r.method) for r in scores.completed_runs(spark, folder).collect()}
+
+    every = {(s, m) for s, *_, m, _ in cells} | {(7, "eLM")}
+    assert done() == every and scores.unfinished_files(spark, folder).isEmpty()
+    broken = spark.createDataFrame([c for c in cells if c[0] == 1] + [(5, "0.5", "0.1", "eLM", 9.0)], row).repartition(3)
+    fails = F.udf(lambda x: 1 / (x - 9.0), "double")
+    with pytest.raises(Exception):
+        writers.export_scores_csv(broken.withColumn("bias", fails("bias")), folder)
+    assert done() == {(0, "eLM"), (0, "iLM"), (2, "eLM"), (2, "iLM"), (7, "eLM")}
+    assert scores.union_scores(spark, folder).count() >= 5
+    writers.export_scores_csv(broken, folder)
+    assert done() == every | {(5, "eLM")}
+
+
+def test_a_run_begun_again_is_pending_until_it_is_committed(spark, tmp_path):
+    folder = str(tmp_path / "scores")
+    write(tmp_path / "scores" / "split0_p05_eLM.csv", "bias\n0.5\n")
+    marks = [("split0_p05_eLM.csv", a, s, t) for a, s, t in [("x", "begun", 1), ("x", "completed", 2), ("y", "begun", 3)]]
+    spark.createDataFrame(marks, scores.MARKS).write.parquet(scores.marks_folder(folder))
+    assert scores.completed_runs(spark, folder).isEmpty()
+    spark.createDataFrame([(marks[0][0], "y", "completed", 4)], scores.MARKS).write.mode("append").parquet(scores.marks_folder(folder))
+    assert scores.completed_runs(spark, folder).count() == 1

@@ -32,6 +32,27 @@ def test_running_loss_and_best(log, monkeypatch, stretch):
     assert runlog.best_checkpoint(log).first().step == max(best)
 
 
+def test_ties_of_a_step_have_one_answer(spark):
+    """Whatever the order of the rows."""
+    rng = random.Random(6)
+    rows = [("r", 0, s // 5, rng.randrange(9) / 4) for s in range(300)]
+    found = set()
+    for k in (1, 2, 7):
+        rng.shuffle(rows)
+        log = spark.createDataFrame(rows, "run string, epoch int, step bigint, loss double").repartition(k)
+        running = sorted((r.step, r.loss, round(r.running_loss, 9)) for r in runlog.running_epoch_loss(log).collect())
+        better = sorted((r.step, r.loss) for r in runlog.improvements(log).collect())
+        found.add((tuple(running), tuple(better), tuple(runlog.best_checkpoint(log).first())))
+    assert len(found) == 1
+    running, better, _ = found.pop()
+    means, total = [], 0.0
+    for n, (_, loss, _) in enumerate(running, 1):
+        total += loss
+        means.append(total / n)
+    assert sorted(m for _, _, m in running) == pytest.approx(sorted(means))
+    assert len({s for s, _ in better}) == len(better)
+
+
 def test_best_checkpoint_example(spark):
     rows = [("r", i + 1, x) for i, x in enumerate([3.0, 2.5, 2.5, 2.7, 2.4])] + [("r", 6, None)]
     evals = spark.createDataFrame(rows, "run string, step bigint, loss double")
