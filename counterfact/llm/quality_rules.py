@@ -42,11 +42,13 @@ COLUMNS = {
 @dataclass(frozen=True)
 class Limits:
     """Repeated strings count from ``min_repeat`` words on. A text is kept while they cover at most the
-    share ``max_covered`` of its words, and the longest has at most ``max_longest`` words."""
+    share ``max_covered`` of its words, and the longest has at most ``max_longest`` words or, in a long text, the
+    share ``long_share`` of its words."""
 
     min_repeat: int = 8
     max_covered: float = 0.4
-    max_longest: int = 400
+    max_longest: int = 100
+    long_share: float = 0.1
 
 
 def suffix_ranks(ids: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -170,7 +172,8 @@ def measure(texts: pa.Array, limits: Limits) -> list[np.ndarray]:
     covered = _sums(_covered(spans, longest[spans], n), bounds)
     most = _maxima(longest, bounds)
     failed = (counts < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * counts)
-    kept = ~failed & (covered <= limits.max_covered * counts) & (most <= limits.max_longest)
+    allowed = np.maximum(limits.max_longest, limits.long_share * counts)
+    kept = ~failed & (covered <= limits.max_covered * counts) & (most <= allowed)
     return [
         counts,
         _sums(first_bytes[buf], offsets),

@@ -32,7 +32,8 @@ def brute(text, limits):
     covered = {i + k for i, b in enumerate(best) if b >= limits.min_repeat for k in range(b)}
     failed = n < 50 or 100 * len(repeated) > 50 * n
     longest = max(best, default=0)
-    kept = not failed and len(covered) <= limits.max_covered * n and longest <= limits.max_longest
+    allowed = max(limits.max_longest, limits.long_share * n)
+    kept = not failed and len(covered) <= limits.max_covered * n and longest <= allowed
     symbols = sum(c in "#*$%&|<>" for c in text)
     return [n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(repeated), failed, kept, len(covered), longest]
 
@@ -49,6 +50,24 @@ def test_measures_equal_brute_force(limits):
         assert [c[k] for c in got] == brute(text, limits), text
 
 
+def test_the_verdict_rejects_what_the_base_misses():
+    """A long passage pasted twice; the base rule asks for half of a text."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, line = fresh(300), fresh(20)
+    texts = {
+        "pasted": fresh(650) + passage + fresh(650) + passage,
+        "once": fresh(650) + passage + fresh(650),
+        "boilerplate": fresh(500) + line + fresh(500) + line + fresh(500) + line,
+        "long": (lead := fresh(1500)) + fresh(20_000) + lead,
+        "mostly": [w for _ in range(12) for w in fresh(10) + line[:9]],
+    }
+    got = measure(pa.array([" ".join(t) for t in texts.values()]), Limits())
+    failed, kept = (dict(zip(texts, got[k].tolist())) for k in (5, 6))
+    assert not any(failed[k] for k in ("pasted", "once", "boilerplate", "long", "mostly"))
+    assert kept == {"pasted": False, "once": True, "boilerplate": True, "long": True, "mostly": False}
+
+
 def test_edges(spark):
     table = edge_table(spark)
     out = quality_rules(table)
