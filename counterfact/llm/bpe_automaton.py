@@ -12,6 +12,11 @@ The automaton is deterministic: of all tokens that end at a place of a word, exa
 of the word's beginning. A word is encoded symbol by symbol, keeping that token for each place. Words are
 worked on together, as arrays, and each distinct word of a part once. Decoding emits the labels of the arcs.
 
+The token of a place depends on the tokens of the places before it that one token can span, and on nothing else.
+So a very long word is cut into pieces that overlap and are worked on together, each as if the word began with it:
+where the tokens of two pieces agree on as many places of their overlap as the longest token has symbols, they agree
+from there on. A word whose pieces do not meet is encoded in one.
+
 Defined cases: a null or empty text has no tokens and decodes to an empty text; rows are encoded one by one.
 """
 
@@ -59,6 +64,9 @@ WORD_END = "</w>"
 #: Bytes of text of a part: each distinct word of a part is encoded once, so larger parts are cheaper.
 PART_BYTES = 8 << 20
 
+#: Symbols of a piece of a long word, and of its overlap with the piece before.
+PIECE, OVERLAP = 4_096, 1_024
+
 
 def byte_alphabet() -> list[str]:
     """The visible character that stands for each byte."""
@@ -116,6 +124,7 @@ class Automaton:
     token_at: np.ndarray
     labels: pa.Array
     specials: dict[str, int]
+    longest: int
     symbols: int = 512
 
     def follows(self, p: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -140,6 +149,62 @@ class Automaton:
 
     def encode(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of words given as symbols, word after word, and the number of each word's first token."""
+        long = np.flatnonzero(np.diff(bounds) > PIECE + OVERLAP)
+        if not len(long):
+            return self._read(*self._paths(symbols, bounds), bounds)
+        # Long words are empty ones here, and what they hold is put between the others.
+        sizes = np.diff(bounds)
+        inside = np.repeat(sizes <= PIECE + OVERLAP, sizes)
+        sizes[long] = 0
+        short = np.zeros(len(bounds), np.int64)
+        np.cumsum(sizes, out=short[1:])
+        tokens, firsts = self._read(*self._paths(symbols[inside], short), short)
+        counts, apart = np.diff(firsts), {}
+        for w in long.tolist():
+            apart[w] = self._long_word(symbols[bounds[w] : bounds[w + 1]])
+            counts[w] = len(apart[w])
+        np.cumsum(counts, out=firsts[1:])
+        out, plain = np.zeros(int(firsts[-1]), np.int64), np.ones(int(firsts[-1]), bool)
+        for w, found in apart.items():
+            out[firsts[w] : firsts[w + 1]] = found
+            plain[firsts[w] : firsts[w + 1]] = False
+        out[plain] = tokens
+        return out, firsts
+
+    def _long_word(self, symbols: np.ndarray) -> np.ndarray:
+        """Tokens of one long word."""
+        token, start = (x.tolist() for x in self._long_path(symbols))
+        out, place = [], len(symbols) - 1
+        while place >= 0:
+            out.append(token[place])
+            place = start[place] - 1
+        return np.array(out[::-1], np.int64)
+
+    def _long_path(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_paths`` for one long word."""
+        n = len(symbols)
+        cuts = np.arange(0, n, PIECE)
+        firsts, ends = np.maximum(cuts - OVERLAP, 0), np.minimum(cuts + PIECE, n)
+        bounds = np.zeros(len(cuts) + 1, np.int64)
+        np.cumsum(ends - firsts, out=bounds[1:])
+        spread = np.concatenate([np.arange(a, b) for a, b in zip(firsts, ends)])
+        tokens, starts = self._paths(symbols[spread], bounds)
+        token, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k, (a, b) in enumerate(zip(firsts.tolist(), ends.tolist())):
+            t, s = tokens[bounds[k] : bounds[k + 1]], starts[bounds[k] : bounds[k + 1]] - bounds[k] + a
+            if k:
+                cut = int(cuts[k])
+                same = (token[a:cut] == t[: cut - a]) & (start[a:cut] == s[: cut - a])
+                # Places up to which so many in a row are the same.
+                row = np.convolve(same, np.ones(self.longest, np.int64), "valid") == self.longest
+                if not row.any():
+                    return self._paths(symbols, np.array([0, n]))
+                a, t, s = cut, t[cut - a :], s[cut - a :]
+            token[a:b], start[a:b] = t, s
+        return token, start
+
+    def _paths(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every place, the token that ends there in the encoding of its word up to it, and where it begins."""
         sizes = np.diff(bounds)
         order = np.argsort(-sizes, kind="stable")
         begin, size = bounds[:-1][order], sizes[order]
@@ -176,7 +241,7 @@ class Automaton:
                 drop = np.zeros(len(word), bool)
                 drop[pick] = True
                 tried = tried[~done[word[tried]] & ~drop[tried]]
-        return self._read(token, start, bounds)
+        return token, start
 
     @staticmethod
     def _read(token: np.ndarray, start: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,6 +307,7 @@ def compile_tokenizer(path: str) -> Automaton:
         ends,
         pa.array([(x + " ").encode() for x in labels], pa.large_binary()),
         specials,
+        max(map(len, spelled.values())),
     )
 
 

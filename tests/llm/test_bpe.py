@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from counterfact.llm import bpe_automaton
 from counterfact.llm.bpe_automaton import SpecialSplit, compile_tokenizer, decode_ids, encode_and_decode, encode_texts
 from counterfact.llm.queries import tokenizer_path
 from tests.llm.cases import edge_rows, edge_table, empty_table
@@ -47,6 +49,38 @@ def test_particular_strings():
     )
 
 
+def long_words():
+    """Words of thousands of letters: drawn, with runs of one letter and repeated stretches, and nothing but a run."""
+    rng = random.Random(11)
+    letters = "etaoinshrdlucmfgypwbvkxjqz"
+    drawn = "".join(rng.choices(letters, range(26, 0, -1), k=23_000))
+    runs = "".join(rng.choice(letters) * rng.randint(1, 700) for _ in range(60))
+    again = "".join(rng.choices(letters, k=37)) * 500
+    signs = "".join(rng.choices("+/=-_.#", k=9_000))
+    return [drawn, runs, again, signs, "a" * 12_345, "ab" * 6_000, "日本語" * 2_500]
+
+
+def test_long_words_equal_the_library():
+    check([*long_words(), " ".join(["short", *long_words()[:3], "words", "between", long_words()[3]])])
+
+
+@pytest.mark.parametrize("piece, overlap", [(64, 80), (100, 30), (7, 200), (1, 1)])
+def test_pieces_of_any_size_equal_the_library(monkeypatch, piece, overlap):
+    """Also where they are too small to meet, so that a word is encoded in one."""
+    monkeypatch.setattr(bpe_automaton, "PIECE", piece)
+    monkeypatch.setattr(bpe_automaton, "OVERLAP", overlap)
+    check([w[:1500] for w in long_words()] + ["plain words here", "", None, "hello " * 50])
+
+
+def test_a_megabyte_without_a_space():
+    """Time follows the length, not its product with anything."""
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    begun = time.perf_counter()
+    check([text])
+    assert time.perf_counter() - begun < 60
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.characters(exclude_categories=("Cs",)), max_size=30))
 def test_any_text_equals_the_library(text):
