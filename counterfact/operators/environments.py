@@ -63,6 +63,56 @@ def grid_assign(
     )
 
 
+def nested_streams(
+    lines: DataFrame, dictionary: TermDictionary, seeds: Sequence[int], p_values: Sequence[str]
+) -> DataFrame:
+    """Rows ``(seed, from_p, side, doc_id, line_no, line)`` that hold the environments of every (seed, p) cell.
+
+    Environment A grows with p, so a line is in A from one value of p on, ``from_p``, and swapped in B before it;
+    a line that no value reaches has ``inf``. A line is stored once a seed as it is (``keep``) and once swapped
+    (``swap``), or once for ``both`` where swapping changes nothing, and not once for every p.
+    """
+    borders = sorted(p_values, key=float)
+    swapped = lines.withColumn("swapped", dictionary.swap_line(F.col("line")))
+
+    def reached(seed: int) -> Column:
+        u = line_draw(seed)
+        return F.coalesce(*[F.when(u < float(p), F.lit(p)) for p in borders], F.lit("inf"))
+
+    drawn = F.array(*[F.struct(F.lit(s).alias("seed"), reached(s).alias("from_p")) for s in seeds])
+    per_seed = swapped.select("doc_id", "line_no", "line", "swapped", F.inline(drawn))
+    stream = lambda side, text: F.struct(F.lit(side).alias("side"), F.col(text).alias("line"))
+    in_a, in_b = F.col("from_p") != "inf", F.col("from_p") != borders[0]
+    sides = F.when(F.col("line") == F.col("swapped"), F.array(stream("both", "line"))).otherwise(
+        F.concat(
+            F.when(in_a, F.array(stream("keep", "line"))).otherwise(F.array()),
+            F.when(in_b, F.array(stream("swap", "swapped"))).otherwise(F.array()),
+        )
+    )
+    return per_seed.select("seed", "from_p", "doc_id", "line_no", F.inline(sides))
+
+
+def cell_of_streams(streams: DataFrame, p: str) -> DataFrame:
+    """Environment lines of the cells of one p, out of ``nested_streams``; partitions are pruned where these are
+    stored by ``from_p`` and ``side``."""
+    in_a = F.col("from_p").cast("double") <= float(p)
+    here = streams.where((in_a & F.col("side").isin("keep", "both")) | (~in_a & F.col("side").isin("swap", "both")))
+    env = F.when(in_a, fixed.ENV_A).otherwise(fixed.ENV_B).alias("env")
+    return here.select("seed", env, "doc_id", "line_no", "line")
+
+
+def stream_sizes(streams: DataFrame, p_values: Sequence[str]) -> DataFrame:
+    """Lines and characters ``(seed, p_env_a, env, n_lines, n_chars)`` of all cells, in one pass over the streams."""
+    sums = streams.groupBy("seed", "from_p", "side").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars")
+    )
+    cells = sums.withColumn("p_env_a", F.explode(F.array(*[F.lit(float(p)) for p in p_values])))
+    in_a = F.col("from_p").cast("double") <= F.col("p_env_a")
+    here = cells.where((in_a & F.col("side").isin("keep", "both")) | (~in_a & F.col("side").isin("swap", "both")))
+    env = F.when(in_a, fixed.ENV_A).otherwise(fixed.ENV_B).alias("env")
+    return here.groupBy("seed", "p_env_a", env).agg(F.sum("n_lines").alias("n_lines"), F.sum("n_chars").alias("n_chars"))
+
+
 def grid_sizes(lines: DataFrame, seeds: Sequence[int], p_values: Sequence[str]) -> DataFrame:
     """Lines of environments A and B in every (seed, p) cell, without a fan-out of the lines."""
     draws = lines.select(*[line_draw(s).alias(f"u{i}") for i, s in enumerate(seeds)])

@@ -31,6 +31,17 @@ def write_splits(cell_lines: DataFrame, folder: str) -> None:
     )
 
 
+def write_streams(streams: DataFrame, folder: str) -> None:
+    """The nested streams of all cells in one job: a line is written once or twice a seed, not once for each p."""
+    rows = streams.select("seed", "from_p", "side", "doc_id", "line_no", "line")
+    (
+        rows.hint("rebalance", "seed", "from_p", "side")
+        .write.mode("overwrite")
+        .partitionBy("seed", "from_p", "side")
+        .parquet(folder)
+    )
+
+
 def write_env_folder(env_lines: DataFrame, folder: str) -> None:
     """Lines of all environments in one job, a folder ``env=<name>.txt`` for each, as the folder scan reads them."""
     rows = env_lines.select(F.concat("env", F.lit(".txt")).alias("env"), "line")

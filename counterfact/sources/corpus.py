@@ -77,6 +77,11 @@ def env_folder_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """The nested streams of a folder that ``write_streams`` wrote."""
+    return spark.read.parquet(folder).withColumn("from_p", F.col("from_p").cast("string"))
+
+
 def single_file_env(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one file as the pooled environment."""
     return spark.read.text(path).select(F.lit(fixed.POOLED_ENV).alias("env"), F.col("value").alias("line"))

@@ -187,13 +187,11 @@ def text_column_pick(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def write_splits(spark: SparkSession, d: str) -> DataFrame:
+    """All cells of the grid written as nested streams, and the sizes of their environments read back."""
     folder = new_folder(spark, "splits")
-    cells = envs.grid_assign(corpus.document_lines(spark, d), FREQUENT, fixed.SEEDS, fixed.P_ENV_A)
-    writers.write_splits(cells, folder)
-    read = spark.read.parquet(folder)
-    return read.groupBy("seed", F.col("p_env_a").cast("double").alias("p_env_a"), "env").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars")
-    )
+    lines = corpus.document_lines(spark, d)
+    writers.write_streams(envs.nested_streams(lines, FREQUENT, fixed.SEEDS, fixed.P_ENV_A), folder)
+    return envs.stream_sizes(corpus.stored_streams(spark, folder), fixed.P_ENV_A)
 
 
 @query

@@ -13,6 +13,7 @@ from counterfact.functions.batches import count_scorer, map_batches, masked_scor
 from counterfact.operators import environments as envs
 from counterfact.operators.dictionary import TermDictionary, mask_hits, single_hits
 from counterfact.plans import cloze, environments, evaluation, grid, summary
+from counterfact.sinks import writers
 from counterfact.sources import corpus
 
 TERMS = TermDictionary([("he", "she"), ("king", "queen")])
@@ -278,6 +279,29 @@ def test_environments(train, lines_of):
     assert [r.env for r in envs.env_list(train.withColumn("env", F.lit(fixed.POOLED_ENV))).collect()] == ["erm"]
 
 
+def test_nested_streams_hold_every_cell(spark, train, tmp_path):
+    """Every cell out of the stored streams equals its own assignment; no line is stored for every p."""
+    seeds, p_values = (0, 3), ("0.9", "0.25", "1.0", "0.5", "0.0")
+    streams = envs.nested_streams(train, TERMS, seeds, p_values)
+    writers.write_streams(streams, str(tmp_path / "streams"))
+    stored = corpus.stored_streams(spark, str(tmp_path / "streams"))
+    assert len(TRAIN) * len(seeds) <= stored.count() <= 2 * len(TRAIN) * len(seeds)
+    sizes = {(r.seed, r.p_env_a, r.env): (r.n_lines, r.n_chars) for r in envs.stream_sizes(stored, p_values).collect()}
+    for p in p_values:
+        got = envs.cell_of_streams(stored, p)
+        cells = {(r.seed, r.env, r.doc_id, r.line) for r in got.collect()}
+        for seed in seeds:
+            want = {(r.env, r.doc_id, r.line) for r in envs.env_assign(train, TERMS, seed, float(p)).collect()}
+            here = {(e, k, x) for s, e, k, x in cells if s == seed}
+            # Swapping also makes white space plain, which the drawn lines do not have.
+            assert here == want and len(want) == len(TRAIN)
+            for env in (fixed.ENV_A, fixed.ENV_B):
+                own = [x for e, _, x in want if e == env]
+                assert sizes.get((seed, float(p), env), (0, 0)) == (len(own), sum(map(len, own)))
+    plan = envs.cell_of_streams(stored, "0.25")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((" in plan
+
+
 @pytest.mark.parametrize("partitions, shuffles", [(1, 8), (4, 3), (37, 8)])
 def test_results_do_not_depend_on_partitions(spark, lines_of, test_lines, partitions, shuffles):
     before = spark.conf.get("spark.sql.shuffle.partitions")
