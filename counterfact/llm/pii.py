@@ -6,8 +6,8 @@ windows; at each character the scores of all windows over it are averaged, more
 middle it lies, and one path is found over the whole stretch. An added span must have the shape of its kind
 (digits, check sum, ranges) and touch no base span.
 
-Every accepted span holds a digit or an ``@``. So a stretch is decoded wherever one occurs, with its
-surroundings, and nowhere else; that leaves out no span.
+Every accepted span holds a digit, an ``@``, an ``at`` in brackets or the word ``dot``. So a stretch is decoded
+wherever one occurs, with its surroundings, and nowhere else; that leaves out no span.
 
 Defined cases: a null or empty text has no spans; repeated rows are tagged one by one; without texts to learn
 from, the tagger learns from made-up windows alone.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfact.llm.batches import quoted, text_buffer, with_text_columns
+from counterfact.llm.sampling import bucket_sample
 from counterfact.llm.tagger import Params, Shape, best_path, emissions, train
 
 # Kinds in order, and the base patterns.
@@ -46,7 +47,7 @@ TAGS = 1 + 2 * len(KINDS)
 SYMBOLS = 131
 
 #: Characters of a window, between windows, and around a character that may belong to a span.
-WINDOW, STRIDE, AROUND = 64, 32, 32
+WINDOW, STRIDE, AROUND = 64, 32, 64
 #: Windows that are scored at a time.
 WINDOWS = 1024
 
@@ -57,8 +58,8 @@ class Training:
 
     texts: int = 2000
     windows_each: int = 4
-    made: int = 2400
-    steps: int = 260
+    made: int = 6000
+    steps: int = 900
     seed: int = 11
 
 
@@ -110,9 +111,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # Shapes of added spans; a span is stripped of spaces and punctuation at its ends first.
-_EMAIL_SHAPE = re.compile(
-    r"[A-Za-z0-9._%+-]+\s?[(\[]?@[)\]]?\s?[A-Za-z0-9-]+(\s?(\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+)+"
-)
+# Addresses may have letters of any script, and their signs as words or in brackets.
+_DOT = r"(?:\s?\.\s?|\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\sdot\s)"
+_AT = r"(?:\s?[(\[{]\s?(?:@|at)\s?[)\]}]\s?|\s?@\s?|\sat\s)"
+_NAME, _LABEL = r"[\w%+-]+", r"[^\W_](?:[\w-]*[^\W_])?"
+_EMAIL_SHAPE = re.compile(rf"{_NAME}(?:{_DOT}{_NAME})*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", re.IGNORECASE)
+# What every added span has one of.
+_MARK = r"[0-9@]|[(\[{]\s?at\s?[)\]}]|\bdot\b"
+MARK = re.compile(_MARK, re.IGNORECASE)
 _IP_SHAPE = re.compile(r"([0-9]{1,3})(?:\s?(?:\.|\[\.\]|\(\.\))\s?([0-9]{1,3})){3}")
 _PHONE_SHAPE = re.compile(r"[+(]?[0-9][\x20().0-9/-]+[0-9]")
 _PHONE_GROUPS = re.compile(r"[0-9]+")
@@ -122,7 +128,9 @@ def fits(kind: int, value: str) -> bool:
     """Whether an added span has the shape of its kind."""
     digits = _digits(value)
     if kind == 0:
-        return bool(_EMAIL_SHAPE.fullmatch(value))
+        # The signs as mere words are not enough for one: " at " and a full stop occur in any text.
+        spelled = "@" in value or MARK.search(value.replace("@", "")) is not None
+        return spelled and bool(_EMAIL_SHAPE.fullmatch(value)) and not _digits(value) == value
     if kind == 1:
         return bool(_IP_SHAPE.fullmatch(value)) and all(int(p) <= 255 for p in _PHONE_GROUPS.findall(value))
     if kind == 2:
@@ -146,7 +154,7 @@ def symbols_of(text: str) -> np.ndarray:
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """Stretches with every character that an added span must have one of, and what is around them."""
-    at = [m.start() for m in re.finditer(r"[0-9@]", text)]
+    at = [m.start() for m in MARK.finditer(text)]
     found: list[list[int]] = []
     for k in at:
         lo, hi = max(0, k - AROUND), min(len(text), k + AROUND + 1)
@@ -187,10 +195,17 @@ def _made_up(kind: int, rng: np.random.Generator) -> str:
     pick = lambda *options: options[int(rng.integers(0, len(options)))]
     if kind == 0:
         plain = ("@", ".")
-        at, dot = pick(plain, plain, plain, (" @ ", "."), (" @ ", " . "), ("(@)", "."), ("[@]", "[dot]"))
-        name = word(int(rng.integers(2, 9))) + pick("", ".", "_", "-") + pick(number(2), word(4))
-        top = pick("com", "org", "net", f"example{dot}com")
-        return name + at + word(int(rng.integers(3, 8))) + pick("", number(1)) + dot + top
+        at, dot = pick(
+            plain, plain, (" @ ", "."), (" @ ", " . "), ("(@)", "."), ("[@]", "[dot]"), (" [at] ", "."), ("[at]", "[dot]"),
+            (" (at) ", " (dot) "), (" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "),
+        )
+        between = dot if " dot" in dot.lower() else "."
+        name = word(int(rng.integers(2, 9))) + pick("", between, "_", "-") + pick(number(2), word(4))
+        host = word(int(rng.integers(3, 8)))
+        if rng.random() < 0.25:
+            name, host = (x.translate(str.maketrans("aoue", pick("äöüé", "åøúê", "αουε")))[::1] for x in (name, host))
+        top = pick("com", "org", "net", "de", f"example{dot}com")
+        return name + at + host + pick("", number(1)) + dot + top
     if kind == 1:
         return pick(".", ".", "[.]", " . ").join(str(int(x)) for x in rng.integers(0, 256, 4))
     if kind == 2:
@@ -218,6 +233,10 @@ def _distraction(rng: np.random.Generator) -> str:
         "".join(rng.choice(list("0123456789abcdef"), 32)),
         "v" + ".".join(map(str, rng.integers(0, 20, 3))),
         f"{rng.integers(1, 99)} @ {rng.integers(1, 99)}",
+        "the dot at the end of it",
+        "look at the dot",
+        "a dot matrix at home",
+        "see [at] there",
     ]
     return options[int(rng.integers(0, len(options)))]
 
@@ -256,13 +275,12 @@ def _sample_windows(texts: pa.Array, rule: Training) -> list[list[str]]:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Training = Training()) -> Params:
-    """A tagger from a sample of at most ``rule.texts`` texts, those with the least hash of their id.
+    """A tagger from a sample of at most ``rule.texts`` texts, the least id of each bucket of hashes.
 
     The driver gets ``rule.windows_each`` windows of 64 characters of each.
     """
     ident = F.col(quoted(id_col))
-    chosen = df.select(ident.alias("id")).where(ident.isNotNull()).distinct()
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rule.texts)
+    chosen = bucket_sample(df.select(ident.alias("id")), "id", rule.texts)
     texts = df.select(ident.alias("id"), F.col(quoted(text)).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
     windows = with_text_columns(
         texts, lambda: lambda t: [_sample_windows(t, rule)], "windows array<string>", carry=["id"]
@@ -291,19 +309,34 @@ def _path_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 def added_spans(text: str, stretch: tuple[int, int], path: np.ndarray, base: list[tuple[int, int, int]]) -> list:
     """Spans of a decoded stretch that fit their kind and touch no base span."""
-    out = []
+    out: list[tuple[int, int, int]] = []
     for kind, s, e in _path_spans(path):
         s, e = s + stretch[0], e + stretch[0]
+        if kind == 0:
+            s, e = _whole_address(text, s, e)
         while s < e and (text[s].isspace() or text[s] in ",;:.!?'\""):
             s += 1
         while s < e and (text[e - 1].isspace() or text[e - 1] in ",;:.!?'\""):
             e -= 1
         whole = (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum())
         if s < e and whole and fits(kind, text[s:e]) and not any(s < y and x < e for _, x, y in base):
-            out.append((kind, s, e))
+            if (kind, s, e) not in out:
+                out.append((kind, s, e))
     return out
 
 
+def _whole_address(text: str, s: int, e: int) -> tuple[int, int]:
+    """The address that a tagged part belongs to, as far as its shape reaches; the part itself if there is none.
+
+    An address in words has several parts, of which the tagger may mark one.
+    """
+    lo = max(0, s - 2 * AROUND)
+    for m in _EMAIL_SHAPE.finditer(text[lo : e + 2 * AROUND]):
+        if m.start() + lo < e and s < m.end() + lo:
+            return m.start() + lo, m.end() + lo
+    return s, e
+
+
 def find_spans(texts: Sequence[str], params: Params) -> list[tuple[list, list]]:
     """Base spans and all spans (kind, start, end) of every text, by kind, then start."""
     weight = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
@@ -354,13 +387,17 @@ def written(spans: Sequence[tuple[int, int, int]]) -> str:
 
 
 def _may_hold(texts: pa.Array) -> np.ndarray:
-    """Which texts have a digit or an ``@``, from their bytes."""
+    """Which texts have what every span has one of, from their bytes where these are enough."""
     buf, offsets = text_buffer(texts)
     marks = np.zeros(256, bool)
     marks[[*range(48, 58), 64]] = True
     total = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(marks[buf], out=total[1:])
-    return total[offsets[1:]] > total[offsets[:-1]]
+    out = total[offsets[1:]] > total[offsets[:-1]]
+    rest = np.flatnonzero(~out)
+    words = pc.match_substring_regex(texts.take(pa.array(rest)), r"(?i)[(\[{]\s?at\s?[)\]}]|\bdot\b")
+    out[rest] = pc.fill_null(words, False).to_numpy(zero_copy_only=False)
+    return out
 
 
 def redacted(text: str, spans: Sequence[tuple[int, int, int]]) -> str:

@@ -14,6 +14,7 @@ from counterfact.llm.pii import (
     base_spans,
     find_spans,
     fit,
+    fits,
     luhn,
     redacted,
     stretches,
@@ -113,6 +114,45 @@ def test_tagger_adds_other_notations(tagger):
     assert len(kinds) >= 2
 
 
+SPELLED = [
+    "name [at] example.com",
+    "jane dot doe at example dot com",
+    "j.smith (at) mail (dot) example (dot) org",
+    "müller@exämple.de",
+    "kontakt[at]firma[dot]net",
+    "bob.stone AT server DOT com",
+]
+
+
+def test_spelled_out_addresses_have_the_shape():
+    assert all(fits(0, value) for value in SPELLED)
+    for value in ("look at home", "meet at noon. then", "dot", "at dot", "12 @ 13", "a at b", "he was at example.com", "1234"):
+        assert not fits(0, value)
+
+
+def test_spelled_out_addresses_are_found(tagger):
+    """Most of them, in prose; the tagger decides where they begin and end."""
+    found = 0
+    for k, value in enumerate(SPELLED):
+        for n in range(5):
+            before = f"{prose(12, 40 * k + n)} "
+            text = f"{before}{value} {prose(12, 40 * k + n + 20)}"
+            base, spans = find_spans([text], tagger)[0]
+            found += (0, len(before), len(before) + len(value)) in spans
+    assert found >= 0.7 * 5 * len(SPELLED)
+
+
+def test_words_of_addresses_in_prose_are_none(tagger):
+    texts = [f"{prose(15, k)} {x} {prose(15, 99 + k)}" for k in range(20) for x in (
+        "look at the dot over there", "a dot. at last", "the polka dot dress at home", "we met at noon", "see [at] the end",
+    )]
+    assert not any(spans for _, spans in find_spans(texts, tagger))
+
+
+def test_a_name_longer_than_a_window(tagger):
+    assert any(a == 0 for a, _ in stretches("x" * 60 + " [at] example.com"))
+
+
 def test_clean_texts_stay_clean(tagger):
     rng = random.Random(6)
     texts = [f"{prose(30, k)} {rng.randint(1, 10 ** rng.randint(1, 12))} {prose(20, 99 + k)} 12.10.2020 10:30" for k in range(60)]
