@@ -22,6 +22,7 @@ from counterfact.llm.pii import tag_pii
 from counterfact.llm.quality_rules import quality_rules
 from counterfact.llm.secret_scan import secret_scan
 from counterfact.llm.simhash import near_duplicates
+from counterfact.llm.staging import stage_compact
 from counterfact.llm.token_packing import pack_texts
 
 QUERIES = {}
@@ -63,10 +64,12 @@ def op3_packing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op4_quality_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Quality of every document; learned from 8,000 labelled documents of each label at most."""
+    """Quality of every document; learned from all labelled documents that are not held out."""
     docs, labels = documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")
     held = quality_ranking.held_out()
-    ranked = quality_ranking.rank_quality(docs, quality_ranking.fit(docs, labels, ~held), carry=["doc_id"])
+    # Measured once, for the fit and for the scores.
+    vectors = stage_compact(quality_ranking.measured(docs, carry=["doc_id"]), "vectors")
+    ranked = quality_ranking.rank_measured(vectors, quality_ranking.fit_measured(vectors, labels, ~held))
     return ranked.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

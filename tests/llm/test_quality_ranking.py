@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from counterfact.llm.quality_ranking import THRESHOLD, Ranking, Training, fit, held_out, learn, rank_quality, vectors
@@ -73,3 +74,41 @@ def test_scores_do_not_depend_on_partitions(spark):
         ranking = fit(docs, labels, ~held_out())
         found.append({(r["doc_id"], r["score"], r["predicted"]) for r in rank_quality(docs, ranking, carry=["doc_id"]).collect()})
     assert found[0] == found[1] == found[2] and len({s for _, s, _ in found[0]}) > 1
+
+
+def _spaced(n):
+    """Words whose share of marks tells the label; the number of the text is in its length."""
+    return [(i, ("word " * (1 + i % 7) + "# $ " * (i % 2)) * 3, (i + 1) % 2) for i in range(n)]
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    """Also beyond 8,000 texts of a label, where a sample was taken: all moments are those of the whole table."""
+    from counterfact.llm import quality_ranking as q
+
+    rows = _spaced(20000)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    ranking = fit(docs, labels, F.lit(True))
+    x = vectors(pa.array([t for _, t, _ in rows]))
+    assert np.allclose(ranking.mean, x.mean(0), rtol=1e-9, atol=1e-9) and np.allclose(ranking.scale, x.std(0) + 1e-9, rtol=1e-6, atol=1e-6)
+    one = q.rank_measured(q.measured(docs, carry=["doc_id"]), ranking).orderBy("doc_id").collect()
+    assert one == rank_quality(docs, ranking, carry=["doc_id"]).orderBy("doc_id").collect()
+    assert np.mean([r["predicted"] == y for r, (_, _, y) in zip(one, rows)]) > 0.99
+
+
+def test_every_text_is_in_a_pair_and_counted_once(spark):
+    """With a label that is rare, and with both alike."""
+    from counterfact.llm import quality_ranking as q
+
+    for rare in (2, 300, 3000):
+        rows = [(i, int(i >= rare), np.array([float(i), 1.0]).tobytes()) for i in range(6000)]
+        table = spark.createDataFrame(rows, "id bigint, label int, vector binary")
+        found = q._buckets(table, {0: rare, 1: 6000 - rare}, Training(texts=64, mates=4, pairs=1)).collect()
+        own = []
+        for r in found:
+            good, bad = (np.frombuffer(r[c], np.float64).reshape(-1, 2) for c in ("good", "bad"))
+            assert len(good) and len(bad)
+            own += [*good[: r["own_good"], 0], *bad[: r["own_bad"], 0]]
+            bucket = q.Bucket(good, bad, (r["own_good"], r["own_bad"]))
+            assert len(bucket.differences(lambda v: v, 1)) == max(len(good), len(bad))
+        assert sorted(own) == list(range(6000))
