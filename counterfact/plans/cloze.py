@@ -17,8 +17,11 @@ from counterfact import fixed
 from counterfact.functions import text
 from counterfact.functions.measures import entropy_bias, pair_probability
 from counterfact.operators.dictionary import TermDictionary, single_hits
+from counterfact.staging import stage
 
 CONTEXTS = ("left", "both")
+# Contexts that are sent to the tasks which count words.
+ASKED_CONTEXTS = 500_000
 
 
 def context_pairs(word_array: Column, context: str = "left") -> Column:
@@ -47,9 +50,28 @@ def line_pairs(lines: DataFrame, keep: Sequence[str] = (), context: str = "left"
     return explode_pairs(lines.select(*keep, text.words(F.col("line")).alias("words")), "words", keep, context)
 
 
-def fit_per_env(env_lines: DataFrame, context: str = "left", keys: Sequence[str] = ()) -> DataFrame:
-    """Counts ``(env, ctx, word, n)``: one estimator per environment (and further keys)."""
-    pairs = line_pairs(env_lines, [*keys, "env"], context)
+def fold_contexts(pairs: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """Pairs with NULL as context where ``asked``, rows with ``ctx``, does not have it.
+
+    Scores need the counts after the contexts they are asked for, and of all other words only that they occur. So a
+    word is counted once for all other contexts, and is still in the vocabulary. Nothing is folded when nothing is
+    asked for, or more contexts than ``ASKED_CONTEXTS``.
+    """
+    if asked is None:
+        return pairs
+    listed = stage(asked.select(F.col("ctx").alias("_asked")).distinct(), "asked_contexts")
+    if listed.count() > ASKED_CONTEXTS:
+        return pairs
+    columns = [F.col("_asked").alias("ctx") if c == "ctx" else F.col(c) for c in pairs.columns]
+    return pairs.join(F.broadcast(listed), F.col("ctx") == F.col("_asked"), "left").select(*columns)
+
+
+def fit_per_env(
+    env_lines: DataFrame, context: str = "left", keys: Sequence[str] = (), asked: DataFrame | None = None
+) -> DataFrame:
+    """Counts ``(env, ctx, word, n)``: one estimator per environment (and further keys). With ``asked``, contexts
+    are folded."""
+    pairs = fold_contexts(line_pairs(env_lines, [*keys, "env"], context), asked)
     return pairs.groupBy(*keys, "env", "ctx", "word").agg(F.count(F.lit(1)).alias("n"))
 
 

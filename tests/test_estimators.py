@@ -392,3 +392,29 @@ def test_join_frequent_equals_a_join(spark, monkeypatch):
     assert {tuple(r) for r in got.select("id", "k", "v").collect()} == {
         tuple(r) for r in many.join(one, "k").select("id", "k", "v").collect()
     }
+
+
+def test_folded_contexts_give_the_same_scores(train, lines_of, monkeypatch):
+    """Only the contexts that are asked for have rows of their own; scores and sizes of vocabularies stay."""
+    cells = grid.Grid((0, 1), ("0.25", "0.5"), ("0.1",))
+    test_lines = lines_of(["x he", "the queen went", "king", "new she", "z z king", "no such he"])
+    asked = cloze.cell_items(test_lines, TERMS).select("ctx")
+    names = {r.ctx for r in asked.distinct().collect()}
+    whole, folded = grid.fit_grid(train, TERMS, cells), grid.fit_grid(train, TERMS, cells, asked=asked)
+    assert {r.ctx for r in folded.counts.select("ctx").distinct().collect()} - {None} < names
+    assert folded.counts.count() < whole.counts.count()
+    assert sorted(folded.vocab_sizes().collect()) == sorted(whole.vocab_sizes().collect())
+    scores = [
+        sorted((*r[:-3], round(r.p1, 9), round(r.p2, 9), round(r.bias, 9)) for r in grid.grid_line_bias(m, test_lines).collect())
+        for m in (folded, whole)
+    ]
+    assert scores[0] == scores[1] and len(scores[0]) == 6 * 4 * 2
+    assigned = envs.env_assign(train, TERMS, 0, 0.25)
+    some, every = cloze.fit_per_env(assigned, asked=asked), cloze.fit_per_env(assigned)
+    columns = ["env", "ctx", "word", "n"]
+    assert sorted(some.where("ctx IS NOT NULL").select(*columns).collect()) == sorted(
+        every.join(asked.distinct(), "ctx", "left_semi").select(*columns).collect()
+    )
+    assert cloze.vocabulary_size(some, TERMS) == cloze.vocabulary_size(every, TERMS)
+    monkeypatch.setattr(cloze, "ASKED_CONTEXTS", 0)
+    assert cloze.fit_per_env(assigned, asked=asked).where("ctx IS NULL").count() == 0
