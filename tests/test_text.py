@@ -57,3 +57,11 @@ def test_text_column_pick(spark):
     first = spark.createDataFrame([("x", "y")], "a string, b string")
     assert corpus.text_column_pick(named).first().text == "y"
     assert corpus.text_column_pick(first).first().text == "x"
+
+
+def test_blanks_are_the_same_characters(spark):
+    """Every character is a blank of the tokens if it is one of the class of blanks."""
+    ids = spark.range(0x110000).where("id < 55296 or id > 57343")
+    chars = ids.select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, F.lit("0"))), "UTF-32").alias("c"))
+    blank, inside = F.col("c").rlike(text.SPACE_CLASS), F.size(text.blank_tokens(F.concat(F.lit("a"), "c", F.lit("b")))) == 2
+    assert chars.where(blank != inside).count() == 0 and chars.where(blank).count() == 29
