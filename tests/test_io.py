@@ -56,6 +56,27 @@ def test_text_export_round_trip(spark, lines_of, tmp_path):
     assert spark.read.text(cell).count() == 102
 
 
+def test_cells_are_exported_in_order(spark, lines_of, tmp_path, monkeypatch):
+    """The same files as from rows for every cell, with several ranges and several files for each."""
+    monkeypatch.setattr("counterfact.operators.index.ROWS_PERBUCKET", 40)
+    lines = lines_of([f"he is {i:03d}" for i in range(100)], 7)
+    held = lines_of([f"v {i:02d}" for i in range(30)], 3), lines_of(["t", "u"])
+    names = spark.createDataFrame([(s, p) for s in (0, 1) for p in ("0.25", "0.5")], "seed int, p_text string")
+    cells = envs.grid_assign(lines, TERMS, (0, 1), ("0.25", "0.5"))
+    writers.export_split_text(writers.split_files(cells, *held, names), str(tmp_path / "rows"))
+    writers.export_cell_text(lines, TERMS, (0, 1), ("0.25", "0.5"), *held, str(tmp_path / "cells"))
+
+    def texts(name):
+        found = {}
+        for part in sorted((tmp_path / name).glob("seed=*/*/*/part-*"), key=lambda p: p.name):
+            found.setdefault(str(part.parent.relative_to(tmp_path / name)), []).append(part.read_text())
+        return found
+
+    got, want = texts("cells"), texts("rows")
+    assert {k: "".join(v) for k, v in got.items()} == {k: "".join(v) for k, v in want.items()}
+    assert len(got) == 4 * 5 and max(map(len, got.values())) > 10
+
+
 def test_names_with_special_characters(spark, tmp_path):
     for name in ("env A", "100% +é", "plain"):
         write(tmp_path / f"{name}.txt", "x\n")
