@@ -91,12 +91,17 @@ class EnvModel:
 
 
 def fit_environments(
-    env_lines: DataFrame, dictionary: TermDictionary, alpha: float, context: str = "left"
+    env_lines: DataFrame,
+    dictionary: TermDictionary,
+    alpha: float,
+    context: str = "left",
+    asked: DataFrame | None = None,
 ) -> EnvModel:
     """One estimator per environment from rows ``(env, line)``; the counts are written once.
 
+    With ``asked``, the model scores the contexts of this table alone; see ``cloze.fold_contexts``.
     There may be any number of environments: none of them is a column or a literal of a plan.
     """
-    counts = stage(cloze.fit_per_env(env_lines, context), "env_counts")
+    counts = stage(cloze.fit_per_env(env_lines, context, asked=asked), "env_counts")
     n_env = counts.agg(F.count_distinct("env")).first()[0]
     return EnvModel(n_env, dictionary, counts, alpha, cloze.vocabulary_size(counts, dictionary), context)

@@ -418,3 +418,16 @@ def test_folded_contexts_give_the_same_scores(train, lines_of, monkeypatch):
     assert cloze.vocabulary_size(some, TERMS) == cloze.vocabulary_size(every, TERMS)
     monkeypatch.setattr(cloze, "ASKED_CONTEXTS", 0)
     assert cloze.fit_per_env(assigned, asked=asked).where("ctx IS NULL").count() == 0
+
+
+def test_folded_environments_give_the_same_scores(spark, train, lines_of):
+    """Pooled, mean and one environment, asked for a few contexts."""
+    test_lines = lines_of(["x he", "the queen went", "king"])
+    env_lines = envs.env_assign(train, TERMS, 0, 0.25)
+    asked = cloze.cell_items(test_lines, TERMS).select("ctx")
+    found = []
+    for contexts in (None, asked):
+        model = environments.fit_environments(env_lines, TERMS, 0.1, asked=contexts)
+        rows = model.line_bias(test_lines, [*fixed.METHODS, fixed.ENV_B]).collect()
+        found.append((model.n_env, model.vocab_size, sorted((*r[:-1], round(r.bias, 9)) for r in rows)))
+    assert found[0] == found[1] and len(found[0][2]) == 9
