@@ -134,6 +134,24 @@ def test_logs(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "eval")).collect()] == ["eval_loss = 1.5", "perplexity = 2.5"]
 
 
+def test_training_logs_of_many_runs_share_files(spark, tmp_path):
+    """Files do not grow with the runs; a run that is written again replaces its own rows only, whatever its name."""
+    path = str(tmp_path / "log")
+    names = [None, " a b ", 'x"y,z', "50%", *[f"run{k}" for k in range(396)]]
+    schema = "run string, epoch int, global_step bigint, train_loss double, val_loss double, perplexity double"
+    rows = [(n, 1, 200 * s, 0.5, None, None) for n in names for s in (1, 2)]
+    writers.write_training_log(spark.createDataFrame(rows, schema).repartition(4), path)
+    assert len([f for f in (tmp_path / "log").rglob("*.csv")]) <= 64
+    again = [None, 'x"y,z', "run7"]
+    writers.write_training_log(spark.createDataFrame([(n, 2, 600, 1.5, 1.0, 2.5) for n in again], schema), path)
+    got = spark.read.option("header", True).csv(path).select("run", "epoch", "global_step", "train_loss", "val_loss", "perplexity")
+    want = [(n, "1", str(200 * s), "0.5000", None, None) for n in names if n not in again for s in (1, 2)]
+    want += [(n, "2", "600", "1.5000", "1.0000", "2.5000") for n in again]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    writers.write_training_log(spark.createDataFrame([], schema), path)
+    assert spark.read.option("header", True).csv(path).count() == len(want)
+
+
 def test_environments_are_written_in_one_job(spark, tmp_path):
     """Any names: blanks, signs that a path escapes, dots (the name ends before the first)."""
     names = ["en", "a b", "a+b", "50%", "x:y=z", "été", "v1.2"]
