@@ -7,17 +7,20 @@ long word. The beginning of a text is a class of its own, whose customers are fi
 classes are the customers of one parent restaurant, whose tables draw words evenly from the vocabulary and one
 unknown word. The probability of a token backs off from the word before to its class and to the parent.
 
-The seating is sampled. Pairs of words are seated once, customer after customer, into a restaurant without other
-tables, given the share of the word in the training texts. Given the tables of the pairs, classes and parent are
-sampled by Gibbs: in a sweep, the customers of each word leave and are seated again, one after the other, given
-the tables of all others. The probability of a token is the average of its predictive probabilities over the
-sampled seatings. Discounts are estimated from what occurs once and twice.
+The seating of all restaurants is sampled by Gibbs. At first pairs of words are seated customer after customer into
+a restaurant without other tables, given the share of the word in the training texts. In a sweep, the customers of
+each pair leave and are seated again, one after the other, given the tables of all others in the restaurants of
+the words before and what the classes then think of the word without them; after the pairs, the customers of each
+word in the classes and the parent do so. The probability of a token is the average of its predictive probabilities
+over the sampled seatings of all restaurants. Discounts are estimated from what occurs once and twice.
 
 How the work is spread: texts are cut into blocks, in which every distinct word has a number. For each block,
 one entry for each distinct pair is shuffled, never one for each token, packed by ranges of the pair's digest;
 so a frequent word's followers are spread over all ranges. What is summed of the pairs is one row for each
 word of a block. A pair is known by 96 bits made of the digests of its words. The draws of a pair come from
-its digest, so every block that holds it finds the same tables, and one of them adds these to the sums.
+its digest, so every block that holds it finds the same tables, and one of them adds these to the sums. A sweep
+of the pairs moves those that occur more than once, and no texts: the seating of their words is sent to the
+blocks, and what changed in the sums of a word comes back.
 Given the totals of the last sweep, the words of a sweep of the classes are independent of each other; so a
 sweep is a map over the vocabulary, and the totals are a handful of sums. Its draws come from digests of word,
 sweep and customer, so a task that is run again draws the same. Up to 32 customers of a word are seated
@@ -32,8 +35,8 @@ after a word that training texts do not hold, the class alone decides.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,8 @@ RANGE_PAIRS = 1_500_000
 #: Bytes of text of a block; rows that are packed together on their way back to the blocks.
 BLOCK_BYTES = 32 << 20
 PACK_ROWS = 200_000
+#: Live pairs that are seated at a time.
+LIVE_PAIRS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -438,11 +443,16 @@ def word_counts(staged: DataFrame) -> DataFrame:
 
 
 def _seated_pairs(staged: DataFrame, pairs: DataFrame, packed: DataFrame, discount: float, rule: Sampler) -> DataFrame:
-    """Rows (word, n, own, n0, ...) of the tables the pairs sit at; and a row (block, payload) of each block's."""
+    """Rows (word, n, own, n0, ...) of the tables the pairs sit at at first; and a row for each block.
+
+    A block's ``payload`` holds the training counts of its pairs. ``live`` are the pairs that can sit at more tables
+    than one, in the order of their words' numbers, and ``seats`` the tables they sit at.
+    """
     out = StructType().add("word", StringType())
-    for c in (*_SUMS, "block", "size"):
+    for c in (*_SUMS, "block", "size", "n_live"):
         out = out.add(c, LongType())
-    out = out.add("payload", BinaryType())
+    for c in ("payload", "live", "seats"):
+        out = out.add(c, BinaryType())
     schema = to_arrow_schema(out)
 
     def run(block: pa.Table, given: pa.Table) -> pa.Table:
@@ -451,20 +461,26 @@ def _seated_pairs(staged: DataFrame, pairs: DataFrame, packed: DataFrame, discou
         for row in (b.slice(k, 1) for b in block.to_batches() for k in range(b.num_rows)):
             one = _block_of(row)
             n, adds = _joined(counted, "<i8", "u1")
-            _, own, chances = _unpacked(words, len(one.kinds))
+            known = _unpacked(words, len(one.kinds), _FIRST)
             tables = (n > 0).astype(np.int64)
             more = np.flatnonzero(n > 1)
             before, after = one.before[more], one.after[more]
+            kind = one.kinds[before]
             tables[more] = seated(
-                n[more], own[before] - 1.0, chances[after, one.kinds[before]], discount, rule.strength,
-                one.digest[more], rule.seed - 1, rule.single,
+                n[more], known["own"][before] - 1.0, _by_class(known, _CHANCES)[after, kind].astype(np.float64), discount,
+                rule.strength, one.digest[more], rule.seed - 1, rule.single,
             ).astype(np.int64)
             names = row.column(row.schema.get_field_index("words")).flatten()
             found.append(_word_sums(names, _sums(one, tables * adds), schema))
+            order = np.lexsort((after, before))
+            more, before, after, kind = more[order], before[order], after[order], kind[order]
             payload = {
                 "block": row.column(0),
                 "size": pa.array([len(tables)], pa.int64()),
-                "payload": pa.array([_planes(n.astype("<i8"), tables.astype("<i8"))], pa.binary()),
+                "payload": pa.array([_planes(n.astype("<i8"))], pa.binary()),
+                "n_live": pa.array([len(more)], pa.int64()),
+                "live": pa.array([_live_payload(before, after, kind, adds[more], n[more])], pa.binary()),
+                "seats": pa.array([_planes(tables[more])], pa.binary()),
             }
             columns = [payload.get(f.name, pa.nulls(1, f.type)) for f in schema]
             found.append(pa.Table.from_arrays(columns, schema=schema))
@@ -475,6 +491,75 @@ def _seated_pairs(staged: DataFrame, pairs: DataFrame, packed: DataFrame, discou
     return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, out)
 
 
+def _live_payload(before: np.ndarray, after: np.ndarray, kind: np.ndarray, adds: np.ndarray, n: np.ndarray) -> bytes:
+    """Live pairs: numbers of the words, class of the word before, whether the block adds them to sums, counts."""
+    return _planes(np.diff(before, prepend=0).astype("<i4"), after.astype("<i4"), kind, adds, n.astype("<i8"))
+
+
+def _live_pairs(data: bytes, n: int) -> list[np.ndarray]:
+    steps, *rest = _from_planes(data, n, "<i4", "<i4", "u1", "u1", "<i8")
+    return [np.cumsum(steps, dtype=np.int64), *rest]
+
+
+def _resampled_pairs(
+    fixed: DataFrame, seats: DataFrame, packed: DataFrame, totals: Totals, discount: float, turn: int, rule: Sampler
+) -> DataFrame:
+    """One sweep over the live pairs: rows (id, own, n1, ...) of what changes for a word; and (block, size, payload)
+    of the tables that each block's pairs sit at.
+
+    ``fixed`` has the live pairs of the blocks, ``seats`` the tables they sat at and ``packed`` the seating of their
+    words.
+    """
+    changes = ["own", *_COUNTS[1:]]
+    out = StructType()
+    for c in ("id", *changes, "block", "size"):
+        out = out.add(c, LongType())
+    out = out.add("payload", BinaryType())
+    schema = to_arrow_schema(out)
+
+    def filled(columns: dict, n: int) -> pa.Table:
+        return pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in schema}, schema=schema)
+
+    def run(block: pa.Table, given: pa.Table) -> pa.Table:
+        found = []
+        sat, words = _parted(given)
+        for number, size, live in zip(*(block[c].to_pylist() for c in ("block", "n_live", "live"))):
+            pa.default_memory_pool().release_unused()
+            before, after, kind, adds, n = _live_pairs(live, size)
+            tables = _joined(sat, "<i8")[0]
+            top = int(max(before.max(initial=-1), after.max(initial=-1))) + 1
+            known = _unpacked(words, top, _SEATING)
+            counts, class_tables = _by_class(known, _COUNTS), _by_class(known, _TABLES)
+            in_all = class_tables.sum(1)
+            new = np.empty(size, np.int64)
+            for x in range(0, size, LIVE_PAIRS):
+                some = slice(x, x + LIVE_PAIRS)
+                u, w, c = before[some], after[some], kind[some]
+                keys = _mixed(known["id"][u], known["id"][w], 3)
+                new[some] = pair_sweep(
+                    n[some], tables[some], known["own"][u], c, counts[w, c], class_tables[w, c], in_all[w],
+                    known["above"][w], keys, totals, discount, turn, rule,
+                )
+            moved = (new - tables) * adds
+            own = np.bincount(before, moved, top).astype(np.int64)
+            cells = np.bincount(after.astype(np.int64) * CONTEXTS + kind, moved, top * CONTEXTS)
+            sums = [own, *cells.astype(np.int64).reshape(-1, CONTEXTS).T[1:]]
+            some = np.flatnonzero(np.any(sums, axis=0))
+            columns = {"id": known["id"][some]} | {c: v[some] for c, v in zip(changes, sums)}
+            found.append(filled({c: pa.array(v, pa.int64()) for c, v in columns.items()}, len(some)))
+            payload = {
+                "block": pa.array([number], pa.int64()),
+                "size": pa.array([size], pa.int64()),
+                "payload": pa.array([_planes(new.astype("<i8"))], pa.binary()),
+            }
+            found.append(filled(payload, 1))
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    # The first seats are of the same table; a new name tells the columns apart.
+    live = fixed.select(F.col("block").alias("block"), "n_live", "live")
+    return live.groupBy("block").cogroup(_given(seats, packed).groupBy("block")).applyInArrow(run, out)
+
+
 def _given(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """Payloads of pairs and of words as one table; those of words have no range."""
     words = packed.select("block", F.lit(None).cast("bigint").alias("range"), F.col("rows").alias("size"), "payload")
@@ -621,17 +706,48 @@ def sweep(
     return tables, above
 
 
+def pair_sweep(
+    customers: np.ndarray,
+    tables: np.ndarray,
+    own: np.ndarray,
+    kinds: np.ndarray,
+    counts: np.ndarray,
+    class_tables: np.ndarray,
+    in_all: np.ndarray,
+    above: np.ndarray,
+    keys: np.ndarray,
+    totals: Totals,
+    discount: float,
+    turn: int,
+    rule: Sampler,
+) -> np.ndarray:
+    """One Gibbs sweep over pairs: new tables in the restaurants of the words before.
+
+    ``own`` are all tables there, and ``kinds`` the class whose customers the pair's tables are. ``counts`` and
+    ``class_tables`` are the customers and tables in this class of the word that follows, ``in_all`` its tables in all
+    classes and ``above`` those in the parent.
+    """
+    # Without the pair's tables, the class and the parent keep as many tables as the customers that stay can sit at.
+    left = counts - tables
+    stay = np.where(left > 0, np.clip(class_tables, 1, np.maximum(left, 1)), 0)
+    up = in_all - class_tables + stay
+    up_stay = np.where(up > 0, np.clip(above, 1, np.maximum(up, 1)), 0)
+    base = np.maximum(left - totals.discount * stay, 0) / (totals.strength + totals.customers[kinds])
+    base += totals.back()[kinds] * totals.parent(up, up_stay)
+    salt = rule.seed + 101 * turn + CONTEXTS + 1
+    return seated(customers, own - tables, base, discount, rule.strength, keys, salt, rule.single).astype(np.int64)
+
+
 _COUNTS = [f"n{k}" for k in range(CONTEXTS)]
 _TABLES = [f"t{k}" for k in range(CONTEXTS)]
 _CHANCES = [f"p{k}" for k in range(CONTEXTS)]
+#: What is sent of a word to the blocks before anything is seated, and in a sweep of the pairs.
+_FIRST = {"n": "<i8", "own": "<i8"} | dict.fromkeys(_CHANCES, "<f4")
+_SEATING = dict.fromkeys(["id", "own", *_COUNTS, *_TABLES, "above"], "<i8")
 
 
-@dataclass
-class Model:
-    """Words with their averaged probabilities in each class, and what unknown words have."""
-
-    chances: DataFrame
-    unknown: np.ndarray
+def _by_class(known: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
+    return np.stack([known[c] for c in names], axis=1)
 
 
 def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -651,14 +767,46 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def sample_seatings(counts: DataFrame, rule: Sampler, carry: Sequence[str] = ()) -> Model:
-    """Probabilities of the vocabulary in each class, averaged over the sampled seatings.
+@dataclass
+class Seating:
+    """A sampled seating: words with customers and tables, their totals, and the tables of the blocks' pairs."""
+
+    words: DataFrame
+    totals: Totals
+    pairs: DataFrame
+
+    def chances(self, suffix: str) -> DataFrame:
+        """Rows (id, n, own, probabilities in each class) of the words; the suffix is added to the last names."""
+        names = [f"{c}{suffix}" for c in _CHANCES]
+        totals = self.totals
+        inputs = self.words.select("id", "n", F.col("own").alias(f"own{suffix}"), *_COUNTS, *_TABLES, "above")
+        out = inputs.drop(*_COUNTS, *_TABLES, "above")
+        for c in names:
+            out = out.withColumn(c, F.lit(0).cast("float"))
+        schema = to_arrow_schema(out.schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, t = _matrix(batch, _COUNTS), _matrix(batch, _TABLES)
+                above = batch.column(batch.schema.get_field_index("above")).to_numpy()
+                found = totals.predictive(n, t, above).astype(np.float32)
+                columns = [*batch.columns[:3], *[pa.array(found[:, k]) for k in range(CONTEXTS)]]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    ``counts`` is a written table (word, n0, n1, ...); its ``carry`` columns stay beside the probabilities.
+        return inputs.mapInArrow(run, out.schema)
+
+
+def sample_seatings(
+    sums: DataFrame, fixed: DataFrame, places: DataFrame, pair_discount: float, rule: Sampler
+) -> list[Seating]:
+    """The sampled seatings of all restaurants.
+
+    ``sums`` is a written table (id, word, n, own, n0, n1, ...) of the first seating of the pairs, ``fixed`` the rows
+    of its blocks and ``places`` says where in the blocks a word is.
     """
     many = [F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in _COUNTS for k in (1, 2)]
     contexts = sum((F.col(c) > 0).cast("int") for c in _COUNTS)
-    facts = counts.agg(
+    facts = sums.agg(
         F.count("*").alias("words"),
         F.count_if(contexts == 1).alias("one"),
         F.count_if(contexts == 2).alias("two"),
@@ -667,68 +815,73 @@ def sample_seatings(counts: DataFrame, rule: Sampler, carry: Sequence[str] = ())
     discount = _discount(*[sum(facts[f"{c}_{k}"] for c in _COUNTS) for k in (1, 2)])
     discounts = (discount, _discount(facts["one"], facts["two"]))
     # At first every word has one table where it has customers.
-    state = counts.select(
-        "word",
-        *carry,
-        *_COUNTS,
+    state = sums.select(
+        "id",
         F.xxhash64("word").alias("key"),
+        "n",
+        "own",
+        *_COUNTS,
         *[(F.col(n) > 0).cast("bigint").alias(t) for n, t in zip(_COUNTS, _TABLES)],
         F.lit(1).cast("bigint").alias("above"),
-        *[F.lit(0).cast("float").alias(p) for p in _CHANCES],
     )
     schema = to_arrow_schema(state.schema)
-    totals = [_totals(state, facts["words"], discounts, rule)]
-
-    def turned(turn: int, before: Totals, last: bool):
-        """Adds the probabilities of the seating it reads, if that is kept, and seats again unless it is the last."""
+    totals = _totals(state, facts["words"], discounts, rule)
+    seats = fixed.select("block", F.lit(0).cast("bigint").alias("range"), F.col("n_live").alias("size"), F.col("seats").alias("payload"))
 
+    def turned(turn: int, before: Totals):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, t = _matrix(batch, _COUNTS), _matrix(batch, _TABLES).astype(np.float64)
                 above = batch.column(batch.schema.get_field_index("above")).to_numpy().astype(np.float64)
                 keys = batch.column(batch.schema.get_field_index("key")).to_numpy()
-                new = {}
-                if turn > rule.burn_in:
-                    chances = _matrix(batch, _CHANCES) + before.predictive(n, t, above) / rule.samples
-                    new = {c: pa.array(chances[:, k].astype(np.float32)) for k, c in enumerate(_CHANCES)}
-                if not last:
-                    t, above = sweep(n, t, above, keys, before, turn, rule)
-                    new |= {c: pa.array(t[:, k].astype(np.int64)) for k, c in enumerate(_TABLES)}
-                    new["above"] = pa.array(above.astype(np.int64))
+                t, above = sweep(n, t, above, keys, before, turn, rule)
+                new = {c: pa.array(t[:, k].astype(np.int64)) for k, c in enumerate(_TABLES)}
+                new["above"] = pa.array(above.astype(np.int64))
                 columns = [new.get(f.name, batch.column(i)) for i, f in enumerate(schema)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         return run
 
-    turns = rule.burn_in + rule.samples
-    for turn in range(turns):
-        state = stage_compact(state.mapInArrow(turned(turn, totals[-1], False), state.schema), f"seating-{turn}")
-        totals.append(_totals(state, facts["words"], discounts, rule))
-    chances = state.mapInArrow(turned(turns, totals[-1], True), state.schema)
-    chances = chances.select("word", *carry, *_CHANCES)
-    unknown = np.mean([t.unknown() for t in totals[rule.burn_in + 1 :]], axis=0)
-    return Model(chances, unknown)
+    kept = []
+    for turn in range(rule.burn_in + rule.samples):
+        if turn:
+            # Both words of a pair that occurs twice do so.
+            live = places.where("n > 1").select("id", "block", "number").join(state.where("n > 1"), "id")
+            packed = _packed(live.select("block", "number", *_SEATING), _SEATING)
+            moved = stage_compact(
+                _resampled_pairs(fixed, seats, packed, totals, pair_discount, turn, rule), f"tables-{turn}"
+            )
+            seats = moved.where("block is not null").select("block", F.lit(0).cast("bigint").alias("range"), "size", "payload")
+            changes = ["own", *_COUNTS[1:]]
+            moved = moved.where("id is not null")
+            change = moved.groupBy("id").agg(*[F.sum(c).alias(f"d_{c}") for c in changes])
+            more = moved.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in _COUNTS[1:]]).first()
+            totals = replace(totals, customers=totals.customers + np.array([0, *more], float))
+            summed = {c: (F.col(c) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in changes}
+            state = state.join(change, "id", "left").select(*[summed.get(c, F.col(c)) for c in schema.names])
+        state = stage_compact(state.mapInArrow(turned(turn, totals), state.schema), f"seating-{turn}")
+        totals = _totals(state, facts["words"], discounts, rule)
+        if turn >= rule.burn_in:
+            kept.append(Seating(state, totals, seats))
+    return kept
 
 
 # ---- scoring
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Rows of (block, number, n, own, chances) as a few rows for a block, their values squeezed together."""
+def _packed(rows: DataFrame, types: dict[str, str] = _FIRST) -> DataFrame:
+    """Rows of (block, number, ...) as a few rows for a block, their values squeezed together."""
 
     def pack(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         table = pa.Table.from_batches(batches)
-        column = {name: table[name].to_numpy() for name in table.column_names}
-        order = np.argsort(column["block"], kind="stable")
-        block = column["block"][order]
+        block = table["block"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        block = block[order]
         firsts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        whole = [column["n"].astype("<i8"), column["own"].astype("<i8")]
-        values = [column["number"].astype("<i4"), *whole, *[column[c].astype("<f4") for c in _CHANCES]]
-        payloads = [
-            pa.Codec("zstd").compress(b"".join(v[some].tobytes() for v in values), asbytes=True)
-            for some in np.split(order, firsts[1:])
-        ]
+        values = [table[c].to_numpy().astype(t)[order] for c, t in (("number", "<i4"), *types.items())]
         sizes = np.diff(np.append(firsts, len(block)))
+        payloads = [_planes(*[v[x : x + n] for v in values]) for x, n in zip(firsts.tolist(), sizes.tolist())]
         yield pa.RecordBatch.from_arrays(
             [pa.array(block[firsts], pa.int64()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())],
             ["block", "rows", "payload"],
@@ -749,32 +902,20 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block bigint, rows bigint, payload binary")
 
 
-def _unpacked(packed: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training count, tables and chances of each word of a block."""
-    counts, own = np.zeros(words, np.int64), np.zeros(words, np.int64)
-    chances = np.zeros((words, CONTEXTS), np.float64)
-    width = 4 + 8 + 8 + 4 * CONTEXTS
+def _unpacked(
+    packed: pa.Table, words: int, types: dict[str, str], fill: dict[str, float] | None = None
+) -> dict[str, np.ndarray]:
+    """What was sent of the first words of a block; of words that nothing was sent of, ``fill`` or zero."""
+    out = {c: np.full(words, (fill or {}).get(c, 0), t) for c, t in types.items()}
     for n, payload in zip(packed["size"].to_pylist(), packed["payload"].to_pylist()):
-        data = pa.Codec("zstd").decompress(payload, n * width, asbytes=True)
-        number = np.frombuffer(data, "<i4", n)
-        counts[number] = np.frombuffer(data, "<i8", n, 4 * n)
-        own[number] = np.frombuffer(data, "<i8", n, 12 * n)
-        for k in range(CONTEXTS):
-            chances[number, k] = np.frombuffer(data, "<f4", n, (20 + 4 * k) * n)
-    return counts, own, chances
-
-
-def _to_blocks(staged: DataFrame, known: DataFrame, unknown: np.ndarray | None = None) -> DataFrame:
-    """What each block has to know of its words, packed, from rows (word, n, own, chances).
-
-    Words that are not known have the chances ``unknown``; without these, they are left out.
-    """
-    if unknown is None:
-        return _packed(_word_rows(staged).join(known, "word").select("block", "number", "n", "own", *_CHANCES))
-    found = _word_rows(staged).join(known, "word", "left")
-    filled = [F.coalesce(c, F.lit(float(u)).cast("float")).alias(c) for c, u in zip(_CHANCES, unknown)]
-    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "own")]
-    return _packed(found.select("block", "number", *whole, *filled))
+        number, *values = _from_planes(payload, n, "<i4", *types.values())
+        asked = None if number.max(initial=-1) < words else number < words
+        for c, v in zip(types, values):
+            if asked is None:
+                out[c][number] = v
+            else:
+                out[c][number[asked]] = v[asked]
+    return out
 
 
 def score_texts(
@@ -794,21 +935,35 @@ def score_texts(
     size = staged.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda x, y: x + y))).first()[0] or 0
     pairs = stage_compact(pair_counts(staged, rows_for(size, RANGE_PAIRS, 1)), "pairs")
     discount = _discount(*[int(n or 0) for n in pairs.agg(F.sum("once"), F.sum("twice")).first()])
-    counts = stage_compact(word_counts(staged), "word-counts")
-    facts = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
-    tokens, vocabulary = facts["tokens"] or 0, facts["words"]
+    vocabulary = stage_compact(word_counts(staged).withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+    facts = vocabulary.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
+    tokens, words_known = facts["tokens"] or 0, facts["words"]
+    places = _word_rows(staged).join(vocabulary.select("word", "id", "n"), "word").select("id", "n", "block", "number")
+    places = stage_compact(places, "places")
     # Before anything is seated: the words as they occur, and a restaurant with no table but the pair's own. A word
     # that occurs once is in no pair that occurs twice, and only such pairs have tables to choose.
-    share = ((F.col("n") + 1) / (tokens + vocabulary + 1)).cast("float")
-    empty = counts.where("n > 1").select(
-        "word", "n", F.lit(1).cast("bigint").alias("own"), *[share.alias(c) for c in _CHANCES]
+    share = ((F.col("n") + 1) / (tokens + words_known + 1)).cast("float")
+    empty = places.where("n > 1").select(
+        "block", "number", "n", F.lit(1).cast("bigint").alias("own"), *[share.alias(c) for c in _CHANCES]
     )
-    sat = stage_compact(_seated_pairs(staged, pairs, _to_blocks(staged, empty), discount, rule), "tables")
+    sat = stage_compact(_seated_pairs(staged, pairs, _packed(empty), discount, rule), "tables")
     sums = sat.where("word is not null").groupBy("word").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    sums = stage_compact(sums, "sums")
-    model = sample_seatings(sums, rule, carry=["n", "own"])
-    tables = sat.where("block is not null").select("block", F.lit(0).cast("bigint").alias("range"), "size", "payload")
-    given = _given(tables, _to_blocks(staged, model.chances, model.unknown))
+    sums = stage_compact(sums.join(vocabulary.select("word", "id"), "word"), "sums")
+    fixed = sat.where("block is not null")
+    kept = sample_seatings(sums, fixed, places, discount, rule)
+    known = kept[0].chances("_0")
+    for k, one in enumerate(kept[1:], 1):
+        known = known.join(one.chances(f"_{k}").drop("n"), "id")
+    types, unknown = {"n": "<i8"}, {}
+    for k, one in enumerate(kept):
+        types |= {f"own_{k}": "<i8"} | {f"{c}_{k}": "<f4" for c in _CHANCES}
+        unknown |= {f"{c}_{k}": u for c, u in zip(_CHANCES, one.totals.unknown().tolist())}
+    packed = _packed(places.drop("n").join(known, "id").select("block", "number", *types), types)
+    counted = fixed.select("block", F.lit(0).cast("bigint").alias("range"), "size", "payload")
+    for k, one in enumerate(kept, 1):
+        counted = counted.unionByName(one.pairs.withColumn("range", F.lit(k).cast("bigint")))
+    given = _given(counted, packed)
+    samples = len(kept)
     texts = _texts(staged).select("block", "ids", *_BLOCK)
     id_type = df.schema[id_col].dataType
     out = StructType().add("id", id_type).add("held_out", BooleanType())
@@ -818,21 +973,33 @@ def score_texts(
 
     def score(block: pa.Table, given: pa.Table) -> pa.Table:
         batches = []
-        seated_, words = _parted(given)
+        counted, words = _parted(given)
+        payload = lambda k: _joined(counted.filter(pa.compute.equal(counted["range"], k)), "<i8")[0]
         for row in block.to_batches():
             for k in range(row.num_rows):
                 one = row.slice(k, 1)
                 it = _block_of(one, places=True)
-                n, own, chances = _unpacked(words, len(it.kinds))
-                base = np.log10((n + 1) / (tokens + vocabulary + 1))
-                customers, sat_at = _joined(seated_, "<i8", "<i8")
-                # In the restaurants of the words before; without customers all goes to the class.
-                back = (rule.strength + discount * own) / (rule.strength + n)
-                pair = np.maximum(customers - discount * sat_at, 0) / (rule.strength + n[it.before])
-                pair += back[it.before] * chances[it.after, it.kinds[it.before]]
-                logs = np.log10(np.append(pair, 1.0))[it.place]
+                found = _unpacked(words, len(it.kinds), types, unknown)
+                n = found["n"]
+                base = np.log10((n + 1) / (tokens + words_known + 1))
+                customers = payload(0)
+                live = np.flatnonzero(customers > 1)
+                live = live[np.lexsort((it.after[live], it.before[live]))]
                 first = it.firsts[:-1]
-                logs[first] = np.log10(chances[it.tokens[first], 0])
+                pair, begin = np.zeros(len(customers)), np.zeros(len(first))
+                for sample in range(samples):
+                    sat_at = (customers > 0).astype(np.float64)
+                    sat_at[live] = payload(sample + 1)
+                    # In the restaurants of the words before; without customers all goes to the class.
+                    back = (rule.strength + discount * found[f"own_{sample}"]) / (rule.strength + n)
+                    chance = _by_class(found, [f"{c}_{sample}" for c in _CHANCES])
+                    now = np.maximum(customers - discount * sat_at, 0) / (rule.strength + n[it.before])
+                    now += back[it.before] * chance[it.after, it.kinds[it.before]]
+                    pair += now / samples
+                    begin += chance[it.tokens[first], 0] / samples
+                    del sat_at, back, chance, now
+                logs = np.log10(np.append(pair, 1.0))[it.place]
+                logs[first] = np.log10(begin)
                 batches.append(
                     pa.RecordBatch.from_arrays(
                         [

@@ -7,15 +7,19 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from counterfact.llm import pitman_yor
 from counterfact.llm.pitman_yor import (
     CONTEXTS,
     Sampler,
     Totals,
+    _from_planes,
+    _live_pairs,
     _packed,
     _seated_pairs,
     blocks,
     held_out,
     pair_counts,
+    pair_sweep,
     score_texts,
     seated,
     sweep,
@@ -128,6 +132,98 @@ def test_pairs_equal_brute_force(spark, block_bytes):
         assert [r[f"n{k}"] for k in range(1, 5)] == [sum(x == w and kind(u) == k for u, x in counts) for k in range(1, 5)]
 
 
+def test_a_sweep_seats_pairs_given_all_others():
+    """The mean number of tables equals that of customers seated one by one, after those of the pair have left."""
+    n, customers, mine, own = 400, 12, 5, 9
+    totals = Totals(np.array([20.0, 30, 10, 5, 9]), np.array([6.0, 9, 4, 2, 3]), 11.0, 40, 0.6, 0.5, 1.0)
+    full = lambda v: np.full(n, v)
+    got = pair_sweep(
+        full(customers), full(mine), full(own), full(1), full(7), full(2), full(4), full(2), np.arange(n) * 7919, totals, 0.7, 3,
+        Sampler(),
+    )
+    free = (1 + 0.5 * 11) / 41
+    parent = (4 - 0.5 * 2 + free) / (1 + 24)
+    base = (7 - mine - 0.6 * 2) / (1 + 30) + (1 + 0.6 * 9) / (1 + 30) * parent
+    rng = np.random.default_rng(1)
+    want = np.ones(n)
+    for sat in range(1, customers):
+        new = (1 + 0.7 * (own - mine + want)) * base
+        want += rng.random(n) < new / (new + sat - 0.7 * want)
+    assert got.min() >= 1 and got.max() <= customers
+    assert abs(got.mean() - want.mean()) < 5 * math.sqrt((want.var() + got.var()) / n) + 1e-9
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 1])
+def test_pairs_are_sampled_in_sweeps_and_averaged(spark, monkeypatch, block_bytes):
+    """The sums of every kept seating are those of its pairs, which sit anew; a score is the mean over the seatings."""
+    texts = {k: prose(60, k % 9) for k in range(30)}
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in texts.items()], SCHEMA).repartition(3)
+    caught = {}
+    sample = pitman_yor.sample_seatings
+
+    def catch(sums, fixed, places, discount, rule):
+        caught.update(fixed=fixed, places=places, sums=sums, discount=discount, kept=sample(sums, fixed, places, discount, rule))
+        return caught["kept"]
+
+    monkeypatch.setattr(pitman_yor, "sample_seatings", catch)
+    rows = {r["doc_id"]: r for r in score_texts(table, F.col("doc_id") % 5 == 2, block_bytes=block_bytes).collect()}
+    train = [tokens(t) for k, t in texts.items() if k % 5 != 2]
+    pairs = collections.Counter(p for seen in train for p in zip(seen, seen[1:]))
+    n = collections.Counter(w for seen in train for w in seen)
+    names = {r["id"]: r["word"] for r in caught["sums"].collect()}
+    at = {(r["block"], r["number"]): names[r["id"]] for r in caught["places"].collect()}
+    kind = lambda w: 1 if w[-1] in ".!?" else 2 if len(w) <= 3 else 3 if len(w) <= 7 else 4
+    fixed = caught["fixed"].collect()
+
+    def seats_of(payloads):
+        found = {p: 1 for p in pairs}
+        for r in fixed:
+            before, after, *_ = _live_pairs(r["live"], r["n_live"])
+            tables = _from_planes(payloads[r["block"]], r["n_live"], "<i8")[0]
+            for u, w, t in zip(before.tolist(), after.tolist(), tables.tolist()):
+                pair = at[r["block"], u], at[r["block"], w]
+                assert 1 <= t <= pairs[pair]
+                # All blocks that hold the pair find the same tables.
+                assert found.setdefault(("seen", pair), t) == t
+                found[pair] = t
+        return {p: found[p] for p in pairs}
+
+    sat = [seats_of({r["block"]: r["seats"] for r in fixed})]
+    models = []
+    for one in caught["kept"]:
+        sat.append(seats_of({r["block"]: r["payload"] for r in one.pairs.collect()}))
+        words = {names[r["id"]]: r for r in one.words.collect()}
+        for w, r in words.items():
+            assert r["own"] == sum(t for (u, _), t in sat[-1].items() if u == w)
+            of_kinds = [sum(t for (u, x), t in sat[-1].items() if x == w and kind(u) == k) for k in range(1, 5)]
+            assert [r[f"n{k}"] for k in range(1, 5)] == of_kinds
+        assert [sum(r[f"n{k}"] for r in words.values()) for k in range(CONTEXTS)] == one.totals.customers.tolist()
+        models.append((one.totals, words, sat[-1]))
+    # Every sweep seats them anew.
+    assert all(a != b for a, b in zip(sat, sat[1:]))
+
+    def probability(u, w, model):
+        totals, words, tables = model
+        r = words.get(w)
+        cells = [[r[f"{c}{k}"] if r else 0 for k in range(CONTEXTS)] for c in "nt"]
+        chances = totals.predictive(*[np.array([c], float) for c in cells], np.array([r["above"] if r else 0.0]))[0]
+        if u is None:
+            return chances[0]
+        own = words[u]["own"] if u in words else 0
+        seated_ = max(pairs[u, w] - caught["discount"] * tables.get((u, w), 0), 0)
+        return (seated_ + (1 + caught["discount"] * own) * chances[kind(u)]) / (1 + n[u])
+
+    for k in (0, 2, 3, 7):
+        seen = tokens(texts[k])
+        want = sum(math.log10(np.mean([probability(u, w, m) for m in models])) for u, w in zip([None, *seen], seen))
+        assert abs(want - rows[k]["score"]) < 1e-4
+    for u in list(n)[:3]:
+        if u:
+            for model in models:
+                total = sum(probability(u, w, model) for w in n) + probability(u, "never seen", model)
+                assert abs(total - 1) < 1e-9
+
+
 def test_small_blocks_give_the_same(spark):
     table = spark.createDataFrame([(k, prose(60, k % 9), None, None, None) for k in range(40)], SCHEMA).repartition(3)
     one, many = (
