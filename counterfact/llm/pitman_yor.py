@@ -16,11 +16,11 @@ over the sampled seatings of all restaurants. Discounts are estimated from what
 
 How the work is spread: texts are cut into blocks, in which every distinct word has a number. For each block,
 one entry for each distinct pair is shuffled, never one for each token, packed by ranges of the pair's digest;
-so a frequent word's followers are spread over all ranges. What is summed of the pairs is one row for each
-word of a block. A pair is known by 96 bits made of the digests of its words. The draws of a pair come from
+so a frequent word's followers are spread over all ranges. A pair is known by 96 bits made of the digests of its words. The draws of a pair come from
 its digest, so every block that holds it finds the same tables, and one of them adds these to the sums. A sweep
 of the pairs moves those that occur more than once, and no texts: the seating of their words is sent to the
-blocks, and what changed in the sums of a word comes back.
+blocks, and what changed in the sums of a word comes back. The vocabulary is cut into parts by the words' digests;
+a part and a block exchange one packed row, never one for each word of a block.
 Given the totals of the last sweep, the words of a sweep of the classes are independent of each other; so a
 sweep is a map over the vocabulary, and the totals are a handful of sums. Its draws come from digests of word,
 sweep and customer, so a task that is run again draws the same. Up to 32 customers of a word are seated
@@ -35,7 +35,7 @@ after a word that training texts do not hold, the class alone decides.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -69,8 +69,14 @@ RANGE_PAIRS = 1_500_000
 #: Bytes of text of a block; rows that are packed together on their way back to the blocks.
 BLOCK_BYTES = 32 << 20
 PACK_ROWS = 200_000
-#: Live pairs that are seated at a time.
+#: Words of the vocabulary in a part.
+PART_WORDS = 200_000
+#: Bytes of payloads that a task hands over at a time.
+SENT_BYTES = 4 << 20
+#: Pairs that are seated or scored at a time.
 LIVE_PAIRS = 1 << 18
+#: Words or pairs with few customers whose customers are seated at a time.
+SEATED = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -203,9 +209,174 @@ def blocks(df: DataFrame, id_col: str, text: str, held: Column, block_bytes: int
     return inputs.mapInArrow(run, out)
 
 
-def _word_rows(staged: DataFrame) -> DataFrame:
-    """Rows (block, number, word) for the words of every block."""
-    return staged.select("block", F.posexplode("words").alias("number", "word"))
+# ---- words
+
+
+@dataclass
+class Places:
+    """Where in the blocks a word is: rows (part, block, size, payload) of numbers in the block and ids, packed by
+    parts of the vocabulary, which are cut by the words' digests."""
+
+    packed: DataFrame
+    parts: int
+
+    def part(self, digest: Column) -> Column:
+        return F.pmod(digest, F.lit(self.parts)).cast("bigint").alias("part")
+
+    def collect(self) -> list:
+        """Rows (block, number, id), for small tables."""
+        names = ("number", "id")
+        return _flat(self.packed, "block", dict(zip(names, ("<i4", "<i8")))).collect()
+
+    def sent(
+        self, rows: DataFrame, make: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], types: dict[str, str]
+    ) -> DataFrame:
+        """Rows (block, rows, payload) of what the blocks are told of their words, as ``_packed`` makes them.
+
+        ``rows`` has the columns part and id. ``make`` gets the rows of a part and returns ids, in order, and the
+        values of ``types`` but part and id; nothing is sent of the words whose ids it leaves out.
+        """
+
+        def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+            pa.default_memory_pool().release_unused()
+            ids, values = make(known)
+            values = [v.astype(t) for v, t in zip(values, [t for c, t in types.items() if c not in ("part", "id")], strict=True)]
+            found, sizes, payloads = [], [], []
+            for part, block, n, payload in zip(*(asked[c].to_pylist() for c in ("part", "block", "size", "payload"))):
+                number, ident = _from_planes(payload, n, "<i4", "<i8")
+                at = np.searchsorted(ids, ident)
+                if len(ids):
+                    some = ids[np.minimum(at, len(ids) - 1)] == ident
+                    if not some.all():
+                        number, ident, at = number[some], ident[some], at[some]
+                if not len(ids) or not len(at):
+                    continue
+                told = iter(values)
+                own = {"part": np.full(len(at), part, "<i4"), "id": ident}
+                found.append(block)
+                sizes.append(len(at))
+                payloads.append(_planes(number, *[own[c] if c in own else next(told)[at] for c in types]))
+            columns = [pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())]
+            return pa.Table.from_arrays(columns, ["block", "rows", "payload"])
+
+        told = self.packed.groupBy("part").cogroup(rows.groupBy("part"))
+        return told.applyInArrow(run, "block bigint, rows bigint, payload binary")
+
+
+def word_places(staged: DataFrame, vocabulary: DataFrame, words: int) -> Places:
+    """Places of the words of all blocks that the vocabulary (id, word) holds."""
+    places = Places(staged, rows_for(words, PART_WORDS))
+    parts = places.parts
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            names = row.column(1).flatten().cast(pa.large_binary())
+            part = row.column(2).flatten().to_numpy() % parts
+            order = np.argsort(part, kind="stable")
+            names = names.take(pa.array(order))
+            ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+            data = names.buffers()[2]
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edges))
+            rows = []
+            for x, y in zip(edges[some].tolist(), edges[some + 1].tolist()):
+                size = int(ends[y] - ends[x])
+                packed = pa.Codec("zstd").compress(data[int(ends[x]) : int(ends[y])], asbytes=True) if size else b""
+                rows.append((y - x, size, _planes(order[x:y].astype("<i4"), np.diff(ends[x : y + 1]).astype("<i4")), packed))
+            sizes, bytes_, payloads, packed = zip(*rows)
+            columns = [
+                pa.array(some, pa.int64()), pa.array([row.column(0)[0].as_py()] * len(some), pa.int64()),
+                pa.array(sizes, pa.int64()), pa.array(bytes_, pa.int64()), pa.array(payloads, pa.binary()),
+                pa.array(packed, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "block", "size", "bytes", "payload", "words"])
+
+    def find(asked: pa.Table, known: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        numbers, names = [], []
+        sizes = asked["size"].to_pylist()
+        for n, size, payload, words in zip(sizes, *(asked[c].to_pylist() for c in ("bytes", "payload", "words"))):
+            number, lengths = _from_planes(payload, n, "<i4", "<i4")
+            data = pa.Codec("zstd").decompress(words, size) if size else pa.py_buffer(b"")
+            ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
+            names.append(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), data]))
+            numbers.append(number)
+        ids = known["id"].to_numpy()
+        of_part = known["word"].cast(pa.string()).cast(pa.binary()).cast(pa.large_binary())
+        at = pa.compute.index_in(pa.chunked_array(names, pa.large_binary()), value_set=of_part.combine_chunks())
+        at = pa.compute.fill_null(at, -1).to_numpy()
+        firsts = np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int64)
+        payloads, held = [], []
+        for k, number in enumerate(numbers):
+            here = at[firsts[k] : firsts[k + 1]]
+            some = np.flatnonzero(here >= 0)
+            held.append(len(some))
+            payloads.append(_planes(number[some], ids[here[some]].astype("<i8")) if len(some) else b"")
+        columns = [asked["part"], asked["block"], pa.array(held, pa.int64()), pa.array(payloads, pa.binary())]
+        return pa.Table.from_arrays(columns, ["part", "block", "size", "payload"])
+
+    asked = _texts(staged).select("block", "words", "digests").mapInArrow(
+        cut, "part bigint, block bigint, size bigint, bytes bigint, payload binary, words binary"
+    )
+    known = vocabulary.select(places.part(F.xxhash64("word")), "id", "word")
+    found = asked.groupBy("part").cogroup(known.groupBy("part"))
+    found = found.applyInArrow(find, "part bigint, block bigint, size bigint, payload binary")
+    return replace(places, packed=stage_compact(found, "places"))
+
+
+def _flat(packed: DataFrame, key: str, types: dict[str, str]) -> DataFrame:
+    """Rows of the key and the values of payloads."""
+    out = StructType().add(key, LongType())
+    for c in types:
+        out = out.add(c, LongType())
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, n, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                values = [pa.array(v.astype(np.int64)) for v in _from_planes(payload, n, *types.values())]
+                yield pa.RecordBatch.from_arrays([pa.array([of] * n, pa.int64()), *values], schema=schema)
+
+    return packed.select(key, "size", "payload").mapInArrow(run, out)
+
+
+def _by_part(known: dict[str, np.ndarray], sums: list[np.ndarray]) -> tuple[list[int], list[int], list[bytes]]:
+    """Parts, sizes and payloads (id, sums) of the words of a block that have a sum."""
+    some = np.flatnonzero(np.any(sums, axis=0))
+    some = some[np.argsort(known["part"][some], kind="stable")]
+    if not len(some):
+        return [], [], []
+    part = known["part"][some]
+    firsts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = np.append(firsts[1:], len(part))
+    spans = [some[x:y] for x, y in zip(firsts.tolist(), ends.tolist())]
+    payloads = [_planes(known["id"][at].astype("<i8"), *[v[at].astype("<i8") for v in sums]) for at in spans]
+    return part[firsts].tolist(), (ends - firsts).tolist(), payloads
+
+
+def _added(
+    rows: DataFrame, messages: DataFrame, columns: list[str], out: StructType, then: Callable[[pa.Table], pa.Table]
+) -> DataFrame:
+    """``then`` of the rows (part, id, ...) of a part, after what the messages (part, size, payload) of the blocks add
+    to the columns."""
+
+    def run(known: pa.Table, told: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        ids = known["id"].to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        sums = [known[c].to_numpy().copy() for c in columns]
+        for n, payload in zip(told["size"].to_pylist(), told["payload"].to_pylist()):
+            ident, *values = _from_planes(payload, n, *["<i8"] * (len(columns) + 1))
+            at = order[np.searchsorted(ids, ident)]
+            for total, v in zip(sums, values):
+                total[at] += v
+        for c, total in zip(columns, sums):
+            known = known.set_column(known.schema.get_field_index(c), c, pa.array(total))
+        return then(known)
+
+    messages = messages.select("part", "size", "payload")
+    return rows.groupBy("part").cogroup(messages.groupBy("part")).applyInArrow(run, out)
 
 
 # ---- pairs
@@ -225,110 +396,125 @@ def _mixed(u: np.ndarray, w: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _planes(*columns: np.ndarray) -> bytes:
-    """Columns as bytes, the places of their numbers apart, so that they compress well."""
-    data = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
-    return pa.Codec("zstd").compress(data, asbytes=True)
+    """Columns as bytes, the places of their numbers apart, so that they compress well; high places that are zero in
+    all numbers of a column are left out. The first bytes are the places of each column."""
+    widths, data = [], []
+    for c in columns:
+        width = c.itemsize
+        if c.dtype.kind in "iu" and len(c) and c.min() >= 0:
+            width = max(1, (int(c.max()).bit_length() + 7) // 8)
+        places = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize)
+        data.append(np.ascontiguousarray(places[:, :width].T).tobytes())
+        widths.append(width)
+    return bytes(widths) + pa.Codec("zstd").compress(b"".join(data), asbytes=True)
 
 
 def _from_planes(data: bytes, n: int, *types: str) -> list[np.ndarray]:
-    widths = [np.dtype(t).itemsize for t in types]
     if not n:
         return [np.zeros(0, t) for t in types]
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data, n * sum(widths), asbytes=True), np.uint8)
+    widths = list(data[: len(types)])
+    raw = pa.Codec("zstd").decompress(memoryview(data)[len(types) :], n * sum(widths), asbytes=True)
+    raw = np.frombuffer(raw, np.uint8)
     out, at = [], 0
     for t, width in zip(types, widths):
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(t).reshape(-1))
+        places = raw[at : at + n * width].reshape(width, n)
         at += n * width
+        if width == 1:
+            out.append(places[0].astype(t))
+            continue
+        full = np.zeros((n, np.dtype(t).itemsize), np.uint8)
+        full[:, :width] = places.T
+        out.append(full.view(t).reshape(-1))
     return out
 
 
 @dataclass
 class Block:
-    """A block's tokens and its distinct pairs, in the order of their digests; ``place`` is the pair of a token.
+    """A block's tokens and its distinct pairs, in the order of their words' numbers; ``place`` is the pair of a token.
 
-    ``place`` is -1 for first tokens, and empty when not asked for; ``n`` are the pairs' counts in the training texts of the block.
+    ``place`` is -1 for first tokens. ``n`` are the pairs' counts in the training texts of the block. Only one of them
+    is found, the other is empty.
     """
 
     tokens: np.ndarray
     sizes: np.ndarray
     firsts: np.ndarray
     kinds: np.ndarray
-    train: np.ndarray
     before: np.ndarray
     after: np.ndarray
     n: np.ndarray
-    digest: np.ndarray
-    more: np.ndarray
     place: np.ndarray
 
 
 #: Columns of a block that hold its tokens and pairs.
-_BLOCK = ["held", "sizes", "tokens", "kinds", "digests"]
+_BLOCK = ["held", "sizes", "tokens", "kinds"]
 
 
 def _block_of(row: pa.RecordBatch, places: bool = False) -> Block:
-    """The block of one row with the columns above; places are only found when they are asked for."""
+    """The block of one row with the columns above; with the pairs of its tokens if asked for, else with their counts."""
     pa.default_memory_pool().release_unused()
-    held, sizes, tokens, kinds, digests = (row.column(row.schema.get_field_index(c)) for c in _BLOCK)
+    held, sizes, tokens, kinds = (row.column(row.schema.get_field_index(c)) for c in _BLOCK)
     sizes = sizes.flatten().to_numpy()
     kinds = np.frombuffer(kinds[0].as_py(), np.uint8)
-    words = digests.flatten().to_numpy()
+    words = len(kinds)
     firsts = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=firsts[1:])
     tokens = _unsqueezed(tokens[0].as_py(), int(firsts[-1])).astype(np.int32)
-    train = np.repeat(~held.flatten().to_numpy(zero_copy_only=False).astype(bool), sizes)
     inner = np.ones(len(tokens), bool)
     inner[firsts[:-1]] = False
-
-    def codes_of(first: int, end: int) -> np.ndarray:
-        """Numbers of the pairs that end at these tokens, which have one before them."""
-        codes = tokens[first - 1 : end - 1].astype(np.int64)
-        codes *= len(words)
-        codes += tokens[first:end]
-        return codes
-
-    # Sorted in place, with the texts that are not learned from in the last bit.
-    codes = codes_of(1, len(tokens))
-    codes *= 2
-    codes += ~train[1:]
-    codes = codes[inner[1:]]
-    codes.sort()
-    out = (codes & 1).astype(np.uint8)
-    codes >>= 1
-    new = np.ones(len(codes), bool)
-    np.not_equal(codes[1:], codes[:-1], out=new[1:])
-    at = np.flatnonzero(new)
-    codes = codes[at]
-    n = np.diff(np.append(at, len(out))) - np.add.reduceat(out, at, dtype=np.int64) if len(at) else at
-    before, after = (codes // len(words)).astype(np.int32), (codes % len(words)).astype(np.int32)
-    digest = _mixed(words[before], words[after], 1)
-    order = np.argsort(digest)
-    place = np.full(len(tokens) if places else 0, -1, np.int32)
+    # Numbers of the pairs that end at a token which has one before it.
+    codes = tokens[:-1].astype(np.int64)
+    codes *= words
+    codes += tokens[1:]
+    new = np.ones(int(inner.sum()), bool)
     if places:
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        place[inner] = rank[_ranked(tokens, inner, len(words))]
-    del codes, out, new
-    before, after = before[order], after[order]
-    more = (_mixed(words[before], words[after], 2) >> np.uint64(32)).astype("<u4")
-    return Block(tokens, sizes, firsts, kinds, train, before, after, n[order], digest[order], more, place)
-
-
-def _ranked(tokens: np.ndarray, inner: np.ndarray, words: int) -> np.ndarray:
-    """Rank, among the distinct pairs, of the pair that ends at each inner token."""
-    at = np.flatnonzero(inner)
-    wanted = tokens[at - 1].astype(np.int64)
-    wanted *= words
-    wanted += tokens[at]
-    del at
-    order = np.argsort(wanted).astype(np.int32)
-    wanted = wanted[order]
-    new = np.ones(len(order), bool)
-    np.not_equal(wanted[1:], wanted[:-1], out=new[1:])
-    del wanted
-    out = np.empty(len(order), np.int32)
-    out[order] = np.cumsum(new, dtype=np.int32) - 1
-    return out
+        codes = codes[inner[1:]]
+        codes, order = _ordered(codes, np.flatnonzero(inner).astype(np.int32), words * words)
+        np.not_equal(codes[1:], codes[:-1], out=new[1:])
+        place = np.full(len(tokens), -1, np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        codes, n = codes[new], np.zeros(0, np.int32)
+        del order
+    else:
+        # Sorted in place, with the texts that are not learned from in the last bit.
+        codes *= 2
+        codes += np.repeat(held.flatten().to_numpy(zero_copy_only=False).astype(bool), sizes)[1:]
+        codes = codes[inner[1:]]
+        codes.sort()
+        out = (codes & 1).astype(np.uint8)
+        codes >>= 1
+        np.not_equal(codes[1:], codes[:-1], out=new[1:])
+        at = np.flatnonzero(new)
+        codes = codes[at]
+        n = np.diff(at, append=len(out)).astype(np.int32)
+        if len(at):
+            n -= np.add.reduceat(out, at, dtype=np.int32)
+        place = np.zeros(0, np.int32)
+        del out, at
+    before = codes // words
+    codes -= before * words
+    return Block(tokens, sizes, firsts, kinds, before.astype(np.int32), codes.astype(np.int32), n, place)
+
+
+def _ordered(codes: np.ndarray, places: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes below the end, in order, and the ascending places they come from; sorted as one number with these, in
+    place, if it has the bits."""
+    bits = int(places.max(initial=0)).bit_length()
+    if end << bits >= 1 << 63:
+        order = np.argsort(codes, kind="stable")
+        return codes[order], places[order]
+    codes <<= bits
+    codes += places
+    codes.sort()
+    np.bitwise_and(codes, (1 << bits) - 1, out=places, casting="unsafe")
+    codes >>= bits
+    return codes, places
+
+
+def _digest(row: pa.RecordBatch, block: Block, salt: int) -> np.ndarray:
+    """Digests of the block's pairs."""
+    words = row.column(row.schema.get_field_index("digests")).flatten().to_numpy()
+    return _mixed(words[block.before], words[block.after], salt)
 
 
 def _texts(staged: DataFrame) -> DataFrame:
@@ -338,7 +524,7 @@ def _texts(staged: DataFrame) -> DataFrame:
 def pair_counts(staged: DataFrame, ranges: int) -> DataFrame:
     """Rows (block, range, size, payload, once, twice) of what the pairs of every block count in all blocks.
 
-    A payload holds, in the order of the block's pairs, their counts in all training texts and whether this
+    A payload holds, in the order of the digests of the block's pairs, their counts in all training texts and whether this
     block is the one of those that adds the pair to sums. ``once`` and ``twice`` count the pairs it adds that
     occur so often.
     """
@@ -348,28 +534,39 @@ def pair_counts(staged: DataFrame, ranges: int) -> DataFrame:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 block = _block_of(row)
-                part = ((block.digest >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+                digest = _digest(row, block, 1)
+                order = np.argsort(digest)
+                digest, n = digest[order], block.n[order]
+                more = (_digest(row, block, 2) >> np.uint64(32)).astype("<u4")[order]
+                part = ((digest >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
                 edges = np.searchsorted(part, np.arange(ranges + 1))
                 some = np.flatnonzero(np.diff(edges))
-                payloads = []
+                payloads, size, sent = [], 0, 0
                 for x, y in zip(edges[some], edges[some + 1]):
-                    steps = np.diff(block.digest[x:y], prepend=np.uint64(0))
-                    payloads.append(_planes(steps.astype("<u8"), block.more[x:y], block.n[x:y].astype("<i8")))
-                columns = [
-                    pa.array(some, pa.int64()),
-                    pa.array([row.column(0)[0].as_py()] * len(some), pa.int64()),
-                    pa.array(np.diff(edges)[some], pa.int64()),
-                    pa.array(payloads, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["range", "block", "size", "payload"])
+                    steps = np.diff(digest[x:y], prepend=digest[x])
+                    steps[0] = 0
+                    payloads.append(digest[x : x + 1].tobytes() + _planes(steps, more[x:y], n[x:y]))
+                    size += len(payloads[-1])
+                    if size >= SENT_BYTES or y == len(digest):
+                        ranges_ = some[sent : sent + len(payloads)]
+                        columns = [
+                            pa.array(ranges_, pa.int64()),
+                            pa.array([row.column(0)[0].as_py()] * len(ranges_), pa.int64()),
+                            pa.array(np.diff(edges)[ranges_], pa.int64()),
+                            pa.array(payloads, pa.binary()),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, ["range", "block", "size", "payload"])
+                        sent += len(payloads)
+                        payloads, size = [], 0
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         sizes = table["size"].to_numpy()
         digest, more, n = [], [], []
         for size, payload in zip(sizes.tolist(), table["payload"].to_pylist()):
+            first, payload = np.frombuffer(payload[:8], np.uint64), memoryview(payload)[8:]
             steps, m, counts = _from_planes(payload, size, "<u8", "<u4", "<i8")
-            digest.append(np.cumsum(steps, dtype=np.uint64))
+            digest.append(np.cumsum(steps, dtype=np.uint64) + first)
             more.append(m)
             n.append(counts)
         digest, more, n = np.concatenate(digest), np.concatenate(more), np.concatenate(n)
@@ -399,7 +596,7 @@ def pair_counts(staged: DataFrame, ranges: int) -> DataFrame:
         }
         return pa.table(columns)
 
-    rows = _texts(staged).select("block", *_BLOCK).mapInArrow(
+    rows = _texts(staged).select("block", *_BLOCK, "digests").mapInArrow(
         cut, "range bigint, block bigint, size bigint, payload binary"
     )
     merged = "block bigint, range bigint, size bigint, payload binary, once bigint, twice bigint"
@@ -414,26 +611,17 @@ def _joined(table: pa.Table, *types: str) -> list[np.ndarray]:
 
 
 def _sums(block: Block, tables: np.ndarray) -> list[np.ndarray]:
-    """For every word of a block: training count, tables of its own restaurant, customers in each class."""
+    """For every word of a block: tables of its own restaurant, customers in each class that pairs bring."""
     words = len(block.kinds)
-    n = np.bincount(block.tokens[block.train], minlength=words)
     own = np.bincount(block.before, tables, words).astype(np.int64)
-    customers = np.zeros((words, CONTEXTS), np.int64)
-    first = block.firsts[:-1]
-    customers[:, 0] = np.bincount(block.tokens[first[block.train[first]]], minlength=words)
     cells = block.after.astype(np.int64) * CONTEXTS + block.kinds[block.before]
-    customers += np.bincount(cells, tables, words * CONTEXTS).astype(np.int64).reshape(-1, CONTEXTS)
-    return [n, own, *customers.T]
+    customers = np.bincount(cells, tables, words * CONTEXTS).astype(np.int64).reshape(-1, CONTEXTS)
+    return [own, *customers.T[1:]]
 
 
 _SUMS = ["n", "own", *[f"n{k}" for k in range(CONTEXTS)]]
-
-
-def _word_sums(words: pa.Array, sums: list[np.ndarray], schema: pa.Schema) -> pa.Table:
-    seen = np.flatnonzero(np.any(sums, axis=0))
-    columns = {"word": words.take(pa.array(seen))} | {c: pa.array(v[seen]) for c, v in zip(_SUMS, sums)}
-    none = {f.name: pa.nulls(len(seen), f.type) for f in schema if f.name not in columns}
-    return pa.table({f.name: (columns | none)[f.name] for f in schema}, schema=schema)
+#: What the pairs add to the sums of a word.
+_ADDED = ["own", *[f"n{k}" for k in range(1, CONTEXTS)]]
 
 
 def word_counts(staged: DataFrame) -> DataFrame:
@@ -443,13 +631,25 @@ def word_counts(staged: DataFrame) -> DataFrame:
 
 
 def _seated_pairs(staged: DataFrame, pairs: DataFrame, packed: DataFrame, discount: float, rule: Sampler) -> DataFrame:
-    """Rows (word, n, own, n0, ...) of the tables the pairs sit at at first; and a row for each block.
+    """Rows (word, n, own, n0, ...) of the tables the pairs sit at at first; a row for each word of a block."""
+    sat = _first_seats(staged, pairs, packed, discount, rule, _FIRST).where("part is not null")
+    added = _flat(sat, "part", dict.fromkeys(["id", *_ADDED], "<i8"))
+    words = staged.select(F.col("block").alias("part"), F.posexplode(F.arrays_zip("words", "n", "n0")).alias("id", "w"))
+    words = words.join(added, ["part", "id"], "left").select("w.words", "w.n", "w.n0", *_ADDED)
+    return words.where("n > 0 or own is not null or n1 is not null").withColumnRenamed("words", "word").na.fill(0, _ADDED)
+
+
+def _first_seats(
+    staged: DataFrame, pairs: DataFrame, packed: DataFrame, discount: float, rule: Sampler, types: dict[str, str]
+) -> DataFrame:
+    """Rows (part, size, payload) of the tables the pairs of a block sit at at first; and a row for each block.
 
     A block's ``payload`` holds the training counts of its pairs. ``live`` are the pairs that can sit at more tables
-    than one, in the order of their words' numbers, and ``seats`` the tables they sit at.
+    than one, in the order of their words' numbers, and ``seats`` the tables they sit at. ``types`` are what ``packed``
+    tells of the words; without ids and parts, these are the numbers in the block and the block.
     """
-    out = StructType().add("word", StringType())
-    for c in (*_SUMS, "block", "size", "n_live"):
+    out = StructType()
+    for c in ("part", "block", "size", "n_live"):
         out = out.add(c, LongType())
     for c in ("payload", "live", "seats"):
         out = out.add(c, BinaryType())
@@ -460,20 +660,32 @@ def _seated_pairs(staged: DataFrame, pairs: DataFrame, packed: DataFrame, discou
         counted, words = _parted(given)
         for row in (b.slice(k, 1) for b in block.to_batches() for k in range(b.num_rows)):
             one = _block_of(row)
-            n, adds = _joined(counted, "<i8", "u1")
-            known = _unpacked(words, len(one.kinds), _FIRST)
+            digest = _digest(row, one, 1)
+            order = np.argsort(digest)
+            n, adds = np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
+            n[order], adds[order] = _joined(counted, "<i8", "u1")
+            known = _unpacked(words, len(one.kinds), types)
             tables = (n > 0).astype(np.int64)
             more = np.flatnonzero(n > 1)
+            digest = digest[more]
             before, after = one.before[more], one.after[more]
             kind = one.kinds[before]
+            if "share" in known:
+                others, base = np.zeros(len(more)), known["share"][after]
+            else:
+                others, base = known["own"][before] - 1.0, _by_class(known, _CHANCES)[after, kind]
             tables[more] = seated(
-                n[more], known["own"][before] - 1.0, _by_class(known, _CHANCES)[after, kind].astype(np.float64), discount,
-                rule.strength, one.digest[more], rule.seed - 1, rule.single,
+                n[more], others, base.astype(np.float64), discount, rule.strength, digest, rule.seed - 1, rule.single
             ).astype(np.int64)
-            names = row.column(row.schema.get_field_index("words")).flatten()
-            found.append(_word_sums(names, _sums(one, tables * adds), schema))
-            order = np.lexsort((after, before))
-            more, before, after, kind = more[order], before[order], after[order], kind[order]
+            known.setdefault("id", np.arange(len(one.kinds)))
+            known.setdefault("part", np.full(len(one.kinds), row.column(0)[0].as_py()))
+            part, sizes, payloads = _by_part(known, _sums(one, tables * adds))
+            told = {
+                "part": pa.array(part, pa.int64()),
+                "size": pa.array(sizes, pa.int64()),
+                "payload": pa.array(payloads, pa.binary()),
+            }
+            found.append(_filled(told, len(part), schema))
             payload = {
                 "block": row.column(0),
                 "size": pa.array([len(tables)], pa.int64()),
@@ -482,15 +694,18 @@ def _seated_pairs(staged: DataFrame, pairs: DataFrame, packed: DataFrame, discou
                 "live": pa.array([_live_payload(before, after, kind, adds[more], n[more])], pa.binary()),
                 "seats": pa.array([_planes(tables[more])], pa.binary()),
             }
-            columns = [payload.get(f.name, pa.nulls(1, f.type)) for f in schema]
-            found.append(pa.Table.from_arrays(columns, schema=schema))
+            found.append(_filled(payload, 1, schema))
         return pa.concat_tables(found) if found else schema.empty_table()
 
-    texts = _texts(staged).select("block", *_BLOCK, "words")
+    texts = _texts(staged).select("block", *_BLOCK, "digests")
     given = _given(pairs, packed)
     return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, out)
 
 
+def _filled(columns: dict, n: int, schema: pa.Schema) -> pa.Table:
+    return pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in schema}, schema=schema)
+
+
 def _live_payload(before: np.ndarray, after: np.ndarray, kind: np.ndarray, adds: np.ndarray, n: np.ndarray) -> bytes:
     """Live pairs: numbers of the words, class of the word before, whether the block adds them to sums, counts."""
     return _planes(np.diff(before, prepend=0).astype("<i4"), after.astype("<i4"), kind, adds, n.astype("<i8"))
@@ -504,22 +719,18 @@ def _live_pairs(data: bytes, n: int) -> list[np.ndarray]:
 def _resampled_pairs(
     fixed: DataFrame, seats: DataFrame, packed: DataFrame, totals: Totals, discount: float, turn: int, rule: Sampler
 ) -> DataFrame:
-    """One sweep over the live pairs: rows (id, own, n1, ...) of what changes for a word; and (block, size, payload)
-    of the tables that each block's pairs sit at.
+    """One sweep over the live pairs: rows (part, size, payload) of what changes for the words of a part; and
+    (block, size, payload, n1, ...) of the tables that each block's pairs sit at, and of all that changes by it.
 
     ``fixed`` has the live pairs of the blocks, ``seats`` the tables they sat at and ``packed`` the seating of their
     words.
     """
-    changes = ["own", *_COUNTS[1:]]
     out = StructType()
-    for c in ("id", *changes, "block", "size"):
+    for c in ("part", "block", "size", *_COUNTS[1:]):
         out = out.add(c, LongType())
     out = out.add("payload", BinaryType())
     schema = to_arrow_schema(out)
 
-    def filled(columns: dict, n: int) -> pa.Table:
-        return pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in schema}, schema=schema)
-
     def run(block: pa.Table, given: pa.Table) -> pa.Table:
         found = []
         sat, words = _parted(given)
@@ -544,15 +755,19 @@ def _resampled_pairs(
             own = np.bincount(before, moved, top).astype(np.int64)
             cells = np.bincount(after.astype(np.int64) * CONTEXTS + kind, moved, top * CONTEXTS)
             sums = [own, *cells.astype(np.int64).reshape(-1, CONTEXTS).T[1:]]
-            some = np.flatnonzero(np.any(sums, axis=0))
-            columns = {"id": known["id"][some]} | {c: v[some] for c, v in zip(changes, sums)}
-            found.append(filled({c: pa.array(v, pa.int64()) for c, v in columns.items()}, len(some)))
+            part, sizes, payloads = _by_part(known, sums)
+            told = {
+                "part": pa.array(part, pa.int64()),
+                "size": pa.array(sizes, pa.int64()),
+                "payload": pa.array(payloads, pa.binary()),
+            }
+            found.append(_filled(told, len(part), schema))
             payload = {
                 "block": pa.array([number], pa.int64()),
                 "size": pa.array([size], pa.int64()),
                 "payload": pa.array([_planes(new.astype("<i8"))], pa.binary()),
-            }
-            found.append(filled(payload, 1))
+            } | {c: pa.array([int(v.sum())], pa.int64()) for c, v in zip(_COUNTS[1:], sums[1:])}
+            found.append(_filled(payload, 1, schema))
         return pa.concat_tables(found) if found else schema.empty_table()
 
     # The first seats are of the same table; a new name tells the columns apart.
@@ -560,50 +775,60 @@ def _resampled_pairs(
     return live.groupBy("block").cogroup(_given(seats, packed).groupBy("block")).applyInArrow(run, out)
 
 
-def _given(pairs: DataFrame, packed: DataFrame) -> DataFrame:
-    """Payloads of pairs and of words as one table; those of words have no range."""
-    words = packed.select("block", F.lit(None).cast("bigint").alias("range"), F.col("rows").alias("size"), "payload")
-    return pairs.select("block", "range", "size", "payload").unionByName(words)
+def _given(pairs: DataFrame, *packed: DataFrame) -> DataFrame:
+    """Payloads of pairs and of words as one table; those of words have the ranges -1, -2, ..."""
+    given = pairs.select("block", "range", "size", "payload")
+    for k, words in enumerate(packed, 1):
+        given = given.unionByName(
+            words.select("block", F.lit(-k).cast("bigint").alias("range"), F.col("rows").alias("size"), "payload")
+        )
+    return given
 
 
 def _parted(given: pa.Table) -> tuple[pa.Table, pa.Table]:
-    of_words = pa.compute.is_null(given["range"])
+    of_words = pa.compute.less(given["range"], 0)
     return given.filter(pa.compute.invert(of_words)), given.filter(of_words)
 
 
 # ---- sampling
 
 
-def _uniform(keys: np.ndarray, *salts: int) -> np.ndarray:
-    """Numbers in (0, 1) from digests of keys and salts."""
-    x = keys.astype(np.uint64)
+def _stirred(x: np.ndarray, salt: int) -> np.ndarray:
+    """Digests of numbers of 64 bits and a salt."""
     with np.errstate(over="ignore"):
-        for salt in salts:
-            x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(32)
+        x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+    return x
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from digests."""
     return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
 
 
-def _poisson(mean: np.ndarray, keys: np.ndarray, *salts: int) -> np.ndarray:
+def _poisson(mean: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Poisson numbers: by the distribution function for small means, else the nearest to a normal number."""
-    u = _uniform(keys, *salts, 1)
+    u = _uniform(_stirred(x, 1))
     out = np.zeros(len(mean))
     few = np.flatnonzero(mean < 30)
-    term = np.exp(-mean[few])
-    below = term.copy()
+    below = np.exp(-mean[few])
+    more = u[few] > below
+    few, below = few[more], below[more]
+    term = below.copy()
     k = 0
     while len(few):
-        more = (u[few] > below) & (k < 200)
-        few, term, below = few[more], term[more], below[more]
         k += 1
         out[few] = k
         term = term * mean[few] / k
         below = below + term
-    many = mean >= 30
-    normal = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * math.pi * _uniform(keys[many], *salts, 2))
-    out[many] = np.maximum(0, np.rint(mean[many] + np.sqrt(mean[many]) * normal))
+        more = (u[few] > below) & (k < 200)
+        few, term, below = few[more], term[more], below[more]
+    many = np.flatnonzero(mean >= 30)
+    if len(many):
+        normal = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * math.pi * _uniform(_stirred(x[many], 2)))
+        out[many] = np.maximum(0, np.rint(mean[many] + np.sqrt(mean[many]) * normal))
     return out
 
 
@@ -623,23 +848,51 @@ def seated(
     """
     tables = (customers > 0).astype(np.float64)
     live = np.flatnonzero(customers > 1)
+    # Few at a time stay in the processor's cache; those with many customers take many steps, and go together.
+    many = customers[live] > single
+    few = live[~many]
+    for some in (live[many], *[few[x : x + SEATED] for x in range(0, len(few), SEATED)]):
+        _seat(tables, some, customers, others, base, discount, strength, keys, salt, single)
+    return tables
+
+
+def _seat(
+    tables: np.ndarray,
+    live: np.ndarray,
+    customers: np.ndarray,
+    others: np.ndarray,
+    base: np.ndarray,
+    discount: float,
+    strength: float,
+    keys: np.ndarray,
+    salt: int,
+    single: int,
+) -> None:
+    # Those with the most customers come first, so the ones of whom some still stand are a slice.
+    sizes = customers[live]
+    order = np.argsort(sizes)
+    live, sizes = live[order[::-1]], sizes[order]
+    customers, others, base = sizes[::-1], others[live], base[live]
+    x = _stirred(keys[live].astype(np.uint64), salt)
+    sit = np.ones(len(live))
     sat = 1
     step = 0
-    while len(live):
+    left = len(live)
+    while left:
         group = max(1, sat // single)
-        size = np.minimum(group, customers[live] - sat)
-        own = tables[live]
-        new = (strength + discount * (others[live] + own)) * base[live]
+        own = sit[:left]
+        new = (strength + discount * (others[:left] + own)) * base[:left]
         q = new / (new + sat + (group - 1) / 2 - discount * own)
+        drawn = _stirred(x[:left], step)
         if group == 1:
-            more = _uniform(keys[live], salt, step) < q
+            own += _uniform(drawn) < q
         else:
-            more = np.minimum(_poisson(size * q, keys[live], salt, step), size)
-        tables[live] += more
+            size = np.minimum(group, customers[:left] - sat)
+            own += np.minimum(_poisson(size * q, drawn), size)
         sat += group
         step += 1
-        live = live[customers[live] > sat]
-    return tables
+        left = len(live) - int(np.searchsorted(sizes, sat, side="right"))
+    tables[live] = sit
 
 
 @dataclass
@@ -743,17 +996,13 @@ _TABLES = [f"t{k}" for k in range(CONTEXTS)]
 _CHANCES = [f"p{k}" for k in range(CONTEXTS)]
 #: What is sent of a word to the blocks before anything is seated, and in a sweep of the pairs.
 _FIRST = {"n": "<i8", "own": "<i8"} | dict.fromkeys(_CHANCES, "<f4")
-_SEATING = dict.fromkeys(["id", "own", *_COUNTS, *_TABLES, "above"], "<i8")
+_SEATING = {"part": "<i4"} | dict.fromkeys(["id", "own", *_COUNTS, *_TABLES, "above"], "<i8")
 
 
 def _by_class(known: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
     return np.stack([known[c] for c in names], axis=1)
 
 
-def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names], axis=1)
-
-
 def _totals(seating: DataFrame, vocabulary: int, discounts: tuple[float, float], rule: Sampler) -> Totals:
     sums = seating.agg(*[F.sum(c).alias(c) for c in (*_COUNTS, *_TABLES, "above")]).first()
     value = lambda c: float(sums[c] or 0)
@@ -775,29 +1024,41 @@ class Seating:
     totals: Totals
     pairs: DataFrame
 
-    def chances(self, suffix: str) -> DataFrame:
-        """Rows (id, n, own, probabilities in each class) of the words; the suffix is added to the last names."""
-        names = [f"{c}{suffix}" for c in _CHANCES]
-        totals = self.totals
-        inputs = self.words.select("id", "n", F.col("own").alias(f"own{suffix}"), *_COUNTS, *_TABLES, "above")
-        out = inputs.drop(*_COUNTS, *_TABLES, "above")
-        for c in names:
-            out = out.withColumn(c, F.lit(0).cast("float"))
-        schema = to_arrow_schema(out.schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, t = _matrix(batch, _COUNTS), _matrix(batch, _TABLES)
-                above = batch.column(batch.schema.get_field_index("above")).to_numpy()
-                found = totals.predictive(n, t, above).astype(np.float32)
-                columns = [*batch.columns[:3], *[pa.array(found[:, k]) for k in range(CONTEXTS)]]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of the batches, some hundred thousand at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= PACK_ROWS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.take(pa.array(np.argsort(table["id"].to_numpy())))
+
+
+def _values(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in names], axis=1)
 
-        return inputs.mapInArrow(run, out.schema)
+
+def _told(names: list[str], least: int = 1) -> Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]]:
+    """For ``Places.sent``: the columns of the words that occur so often at least."""
+
+    def make(known: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        known = _sorted(known.filter(pa.compute.greater_equal(known["n"], least)))
+        return known["id"].to_numpy(), [known[c].to_numpy() for c in names]
+
+    return make
 
 
 def sample_seatings(
-    sums: DataFrame, fixed: DataFrame, places: DataFrame, pair_discount: float, rule: Sampler
+    sums: DataFrame, fixed: DataFrame, places: Places, pair_discount: float, rule: Sampler
 ) -> list[Seating]:
     """The sampled seatings of all restaurants.
 
@@ -828,38 +1089,38 @@ def sample_seatings(
     totals = _totals(state, facts["words"], discounts, rule)
     seats = fixed.select("block", F.lit(0).cast("bigint").alias("range"), F.col("n_live").alias("size"), F.col("seats").alias("payload"))
 
-    def turned(turn: int, before: Totals):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, t = _matrix(batch, _COUNTS), _matrix(batch, _TABLES).astype(np.float64)
-                above = batch.column(batch.schema.get_field_index("above")).to_numpy().astype(np.float64)
-                keys = batch.column(batch.schema.get_field_index("key")).to_numpy()
-                t, above = sweep(n, t, above, keys, before, turn, rule)
-                new = {c: pa.array(t[:, k].astype(np.int64)) for k, c in enumerate(_TABLES)}
-                new["above"] = pa.array(above.astype(np.int64))
-                columns = [new.get(f.name, batch.column(i)) for i, f in enumerate(schema)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    def seated_anew(table: pa.Table, turn: int, before: Totals) -> list[pa.Array]:
+        n, t = _values(table, _COUNTS), _values(table, _TABLES).astype(np.float64)
+        above, keys = table["above"].to_numpy().astype(np.float64), table["key"].to_numpy()
+        t, above = sweep(n, t, above, keys, before, turn, rule)
+        new = {c: pa.array(t[:, k].astype(np.int64)) for k, c in enumerate(_TABLES)}
+        new["above"] = pa.array(above.astype(np.int64))
+        return [new[f.name] if f.name in new else table[f.name].combine_chunks() for f in schema]
 
-        return run
+    def first_turn(batches: Iterator[pa.RecordBatch], before: Totals = totals) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            yield pa.RecordBatch.from_arrays(seated_anew(table, 0, before), schema=schema)
+
+    def next_turn(turn: int, before: Totals) -> Callable[[pa.Table], pa.Table]:
+        return lambda table: pa.Table.from_arrays(seated_anew(table, turn, before), schema=schema)
 
     kept = []
     for turn in range(rule.burn_in + rule.samples):
-        if turn:
+        if not turn:
+            now = state.mapInArrow(first_turn, state.schema)
+        else:
+            rows = state.select(places.part(F.col("key")), *schema.names)
             # Both words of a pair that occurs twice do so.
-            live = places.where("n > 1").select("id", "block", "number").join(state.where("n > 1"), "id")
-            packed = _packed(live.select("block", "number", *_SEATING), _SEATING)
+            packed = places.sent(rows, _told(list(_SEATING)[2:], 2), _SEATING)
             moved = stage_compact(
                 _resampled_pairs(fixed, seats, packed, totals, pair_discount, turn, rule), f"tables-{turn}"
             )
             seats = moved.where("block is not null").select("block", F.lit(0).cast("bigint").alias("range"), "size", "payload")
-            changes = ["own", *_COUNTS[1:]]
-            moved = moved.where("id is not null")
-            change = moved.groupBy("id").agg(*[F.sum(c).alias(f"d_{c}") for c in changes])
             more = moved.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in _COUNTS[1:]]).first()
             totals = replace(totals, customers=totals.customers + np.array([0, *more], float))
-            summed = {c: (F.col(c) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in changes}
-            state = state.join(change, "id", "left").select(*[summed.get(c, F.col(c)) for c in schema.names])
-        state = stage_compact(state.mapInArrow(turned(turn, totals), state.schema), f"seating-{turn}")
+            told = moved.where("part is not null")
+            now = _added(rows, told, _ADDED, state.schema, next_turn(turn, totals))
+        state = stage_compact(now, f"seating-{turn}")
         totals = _totals(state, facts["words"], discounts, rule)
         if turn >= rule.burn_in:
             kept.append(Seating(state, totals, seats))
@@ -872,9 +1133,8 @@ def sample_seatings(
 def _packed(rows: DataFrame, types: dict[str, str] = _FIRST) -> DataFrame:
     """Rows of (block, number, ...) as a few rows for a block, their values squeezed together."""
 
-    def pack(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
-        table = pa.Table.from_batches(batches)
         block = table["block"].to_numpy()
         order = np.argsort(block, kind="stable")
         block = block[order]
@@ -888,25 +1148,15 @@ def _packed(rows: DataFrame, types: dict[str, str] = _FIRST) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= PACK_ROWS:
-                yield from pack(held)
-                held, size = [], 0
-        if held:
-            yield from pack(held)
+        for table in _gathered(batches):
+            yield from pack(table)
 
     return rows.mapInArrow(run, "block bigint, rows bigint, payload binary")
 
 
-def _unpacked(
-    packed: pa.Table, words: int, types: dict[str, str], fill: dict[str, float] | None = None
-) -> dict[str, np.ndarray]:
-    """What was sent of the first words of a block; of words that nothing was sent of, ``fill`` or zero."""
-    out = {c: np.full(words, (fill or {}).get(c, 0), t) for c, t in types.items()}
+def _unpacked(packed: pa.Table, words: int, types: dict[str, str]) -> dict[str, np.ndarray]:
+    """What was sent of the first words of a block; zero of words that nothing was sent of."""
+    out = {c: np.zeros(words, t) for c, t in types.items()}
     for n, payload in zip(packed["size"].to_pylist(), packed["payload"].to_pylist()):
         number, *values = _from_planes(payload, n, "<i4", *types.values())
         asked = None if number.max(initial=-1) < words else number < words
@@ -938,33 +1188,39 @@ def score_texts(
     vocabulary = stage_compact(word_counts(staged).withColumn("id", F.monotonically_increasing_id()), "vocabulary")
     facts = vocabulary.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
     tokens, words_known = facts["tokens"] or 0, facts["words"]
-    places = _word_rows(staged).join(vocabulary.select("word", "id", "n"), "word").select("id", "n", "block", "number")
-    places = stage_compact(places, "places")
-    # Before anything is seated: the words as they occur, and a restaurant with no table but the pair's own. A word
-    # that occurs once is in no pair that occurs twice, and only such pairs have tables to choose.
-    share = ((F.col("n") + 1) / (tokens + words_known + 1)).cast("float")
-    empty = places.where("n > 1").select(
-        "block", "number", "n", F.lit(1).cast("bigint").alias("own"), *[share.alias(c) for c in _CHANCES]
+    places = word_places(staged, vocabulary, words_known)
+    # Before anything is seated: the words as they occur, and a restaurant with no table but the pair's own.
+    named = vocabulary.select(places.part(F.xxhash64("word")), "id", "n")
+
+    def shares(known: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        known = _sorted(known)
+        n = known["n"].to_numpy()
+        return known["id"].to_numpy(), [(n + 1) / (tokens + words_known + 1)]
+
+    first = {"part": "<i4", "id": "<i8", "share": "<f4"}
+    sat = _first_seats(staged, pairs, places.sent(named, shares, first), discount, rule, first)
+    sat = stage_compact(sat, "tables")
+    empty = vocabulary.select(
+        places.part(F.xxhash64("word")), "id", "word", "n", "n0", *[F.lit(0).cast("bigint").alias(c) for c in _ADDED]
     )
-    sat = stage_compact(_seated_pairs(staged, pairs, _packed(empty), discount, rule), "tables")
-    sums = sat.where("word is not null").groupBy("word").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    sums = stage_compact(sums.join(vocabulary.select("word", "id"), "word"), "sums")
+    names = ["id", "word", *_SUMS]
+    sums = _added(
+        empty, sat.where("part is not null"), _ADDED, empty.select(*names).schema, lambda table: table.select(names)
+    )
+    sums = stage_compact(sums, "sums")
     fixed = sat.where("block is not null")
     kept = sample_seatings(sums, fixed, places, discount, rule)
-    known = kept[0].chances("_0")
-    for k, one in enumerate(kept[1:], 1):
-        known = known.join(one.chances(f"_{k}").drop("n"), "id")
-    types, unknown = {"n": "<i8"}, {}
-    for k, one in enumerate(kept):
-        types |= {f"own_{k}": "<i8"} | {f"{c}_{k}": "<f4" for c in _CHANCES}
-        unknown |= {f"{c}_{k}": u for c, u in zip(_CHANCES, one.totals.unknown().tolist())}
-    packed = _packed(places.drop("n").join(known, "id").select("block", "number", *types), types)
+    types = dict.fromkeys(["n", "own", *_COUNTS, *_TABLES, "above"], "<i8")
+    told = [
+        places.sent(one.words.select(places.part(F.col("key")), "id", *types), _told(list(types)), types) for one in kept
+    ]
     counted = fixed.select("block", F.lit(0).cast("bigint").alias("range"), "size", "payload")
     for k, one in enumerate(kept, 1):
         counted = counted.unionByName(one.pairs.withColumn("range", F.lit(k).cast("bigint")))
-    given = _given(counted, packed)
+    given = _given(counted, *told)
+    totals = [one.totals for one in kept]
     samples = len(kept)
-    texts = _texts(staged).select("block", "ids", *_BLOCK)
+    texts = staged.select("block", "ids", *_BLOCK)
     id_type = df.schema[id_col].dataType
     out = StructType().add("id", id_type).add("held_out", BooleanType())
     out = out.add("n_tokens", LongType()).add("n_known", LongType())
@@ -979,25 +1235,31 @@ def score_texts(
             for k in range(row.num_rows):
                 one = row.slice(k, 1)
                 it = _block_of(one, places=True)
-                found = _unpacked(words, len(it.kinds), types, unknown)
-                n = found["n"]
-                base = np.log10((n + 1) / (tokens + words_known + 1))
                 customers = payload(0)
                 live = np.flatnonzero(customers > 1)
-                live = live[np.lexsort((it.after[live], it.before[live]))]
                 first = it.firsts[:-1]
                 pair, begin = np.zeros(len(customers)), np.zeros(len(first))
                 for sample in range(samples):
+                    of_sample = words.filter(pa.compute.equal(words["range"], -1 - sample))
+                    found = _unpacked(of_sample, len(it.kinds), types)
+                    n = found["n"]
+                    chance = totals[sample].predictive(
+                        _by_class(found, _COUNTS), _by_class(found, _TABLES), found["above"]
+                    ).astype(np.float32)
+                    # In the restaurants of the words before; without customers all goes to the class.
+                    back = (rule.strength + discount * found["own"]) / (rule.strength + n)
+                    del found, of_sample
                     sat_at = (customers > 0).astype(np.float64)
                     sat_at[live] = payload(sample + 1)
-                    # In the restaurants of the words before; without customers all goes to the class.
-                    back = (rule.strength + discount * found[f"own_{sample}"]) / (rule.strength + n)
-                    chance = _by_class(found, [f"{c}_{sample}" for c in _CHANCES])
-                    now = np.maximum(customers - discount * sat_at, 0) / (rule.strength + n[it.before])
-                    now += back[it.before] * chance[it.after, it.kinds[it.before]]
-                    pair += now / samples
+                    for x in range(0, len(pair), LIVE_PAIRS):
+                        some = slice(x, x + LIVE_PAIRS)
+                        u, w = it.before[some], it.after[some]
+                        now = np.maximum(customers[some] - discount * sat_at[some], 0) / (rule.strength + n[u])
+                        now += back[u] * chance[w, it.kinds[u]]
+                        pair[some] += now / samples
                     begin += chance[it.tokens[first], 0] / samples
-                    del sat_at, back, chance, now
+                    del sat_at, back, chance
+                base = np.log10((n + 1) / (tokens + words_known + 1))
                 logs = np.log10(np.append(pair, 1.0))[it.place]
                 logs[first] = np.log10(begin)
                 batches.append(
@@ -1006,7 +1268,7 @@ def score_texts(
                             one.column(1).flatten(),
                             one.column(2).flatten(),
                             pa.array(it.sizes, pa.int64()),
-                            pa.array(np.add.reduceat((n > 0)[it.tokens].astype(np.int64), first)),
+                            pa.array(np.add.reduceat((n > 0)[it.tokens], first, dtype=np.int64)),
                             pa.array(np.add.reduceat(base[it.tokens], first)),
                             pa.array(np.add.reduceat(logs, first)),
                         ],

@@ -235,6 +235,55 @@ def test_small_blocks_give_the_same(spark):
         assert all(abs(r[c] - many[k][c]) < 1e-6 for c in ("n_known", "base_score", "score"))
 
 
+def test_planes_keep_all_numbers():
+    columns = [
+        np.array([0, 255, 3], "<i8"), np.array([0, 256, 65535], "<i8"), np.array([1 << 40, 0, 7], "<i8"),
+        np.array([-1, 5, 1 << 62], "<i8"), np.array([(1 << 64) - 1, 0, 1], "<u8"), np.array([0, 0, 0], "<i4"),
+        np.array([0.5, -2.0, 1e-9], "<f4"), np.array([200, 0, 1], "u1"),
+    ]
+    for n in (3, 1, 0):
+        some = [c[:n] for c in columns]
+        found = _from_planes(pitman_yor._planes(*some), n, *[c.dtype.str for c in columns])
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(some, found, strict=True))
+
+
+def test_order_of_codes_that_fit_and_that_do_not():
+    codes = np.random.default_rng(3).integers(0, 50, 1000)
+    places = np.arange(1000, dtype=np.int32) * 3 + 1
+    want = np.argsort(codes, kind="stable")
+    for end in (50, 1 << 60):
+        got, order = pitman_yor._ordered(codes.copy(), places.copy(), end)
+        assert (got == codes[want]).all() and (order == places[want]).all()
+
+
+def test_words_of_blocks_move_packed_by_parts(spark, monkeypatch):
+    """A block and a part of the vocabulary exchange one row; the number of parts does not change a score."""
+    texts = [prose(60, k % 9) for k in range(30)] + ["Zz \u00e9t\u00e9 one \U0001f600 two", "", None]
+    table = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    rows = {}
+    written = pitman_yor.stage_compact
+
+    def catch(df, label):
+        out = written(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(pitman_yor, "stage_compact", catch)
+    found = []
+    for size in (1 << 30, 20):
+        monkeypatch.setattr(pitman_yor, "PART_WORDS", size)
+        scored = score_texts(table, F.col("doc_id") % 5 == 2)
+        found.append({r["doc_id"]: r.asDict() for r in scored.collect()})
+        parts = -(-rows["vocabulary"] // size)
+        assert rows["places"] <= rows["blocks"] * parts
+        assert all(rows[c] <= rows["blocks"] * (parts + 1) for c in ("tables", "tables-1", "tables-2"))
+        assert all(rows[c] == rows["vocabulary"] for c in ("sums", "seating-0", "seating-1", "seating-2"))
+    assert parts > 1 and rows["blocks"] == 3
+    assert found[0].keys() == found[1].keys() and len(found[0]) == len(texts)
+    for k, r in found[0].items():
+        assert all(abs(r[c] - found[1][k][c]) < 1e-9 for c in ("n_known", "base_score", "score"))
+
+
 def test_edges(spark):
     table = edge_table(spark)
     rows = score_texts(table, held_out()).collect()
