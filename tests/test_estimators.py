@@ -302,6 +302,24 @@ def test_nested_streams_hold_every_cell(spark, train, tmp_path):
     assert "PartitionFilters: [((" in plan
 
 
+def test_seeds_share_the_text_of_their_streams(spark, lines_of, tmp_path):
+    """Of eight seeds, each with its own rows, a text that cannot be packed is kept once for each value and side."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, digits = spark.conf.get(name, None), random.Random(0)
+    texts = [f"he is {digits.getrandbits(2400):x}" for _ in range(1000)]
+    seeds, p_values = tuple(range(8)), ("0.5", "0.9")
+    streams = envs.nested_streams(lines_of(texts, 3), TERMS, seeds, p_values)
+    for _ in range(2):  # a second export replaces the first
+        writers.write_streams(streams, str(tmp_path / "streams"))
+    stored = corpus.stored_streams(spark, str(tmp_path / "streams"))
+    rows = lambda df: sorted(map(tuple, df.select(streams.columns).collect()))
+    assert rows(stored) == rows(streams)
+    # A digit holds half a byte. Two values for each side: 4 texts a line; stored for each seed they were about 11.
+    size = sum(f.stat().st_size for f in (tmp_path / "streams").rglob("*.parquet"))
+    assert size < 5.5 * sum(map(len, texts)) / 2
+    assert spark.conf.get(name, None) == before
+
+
 @pytest.mark.parametrize("partitions, shuffles", [(1, 8), (4, 3), (37, 8)])
 def test_results_do_not_depend_on_partitions(spark, lines_of, test_lines, partitions, shuffles):
     before = spark.conf.get("spark.sql.shuffle.partitions")
