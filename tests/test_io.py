@@ -1,3 +1,6 @@
+import gzip
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from counterfact.operators.dictionary import TermDictionary
 from counterfact.plans import summary
 from counterfact.sinks import writers
 from counterfact.sources import corpus, scores
+from registry.queries import QUERIES
 
 TERMS = TermDictionary([("he", "she")])
 
@@ -77,6 +81,36 @@ def test_cells_are_exported_in_order(spark, lines_of, tmp_path, monkeypatch):
     assert len(got) == 4 * 5 and max(map(len, got.values())) > 10
 
 
+def test_exported_text_is_packed(spark, lines_of, tmp_path, monkeypatch):
+    """Packed files hold the lines of the plain ones in the same order, and those of the query take about half the room."""
+    monkeypatch.setattr("counterfact.operators.index.ROWS_PERBUCKET", 200)
+    lines, held = lines_of([f"he is {i:03d}" for i in range(100)], 7), lines_of([f"v {i:02d}" for i in range(30)], 3)
+    for kind in ("none", "gzip"):
+        writers.export_cell_text(lines, TERMS, (0, 1), ("0.25", "0.5"), held, held, str(tmp_path / kind), kind)
+
+    def texts(kind):
+        found = {}
+        for part in sorted((tmp_path / kind).glob("seed=*/*/*/part-*"), key=lambda p: p.name):
+            packed = part.read_bytes()
+            text = gzip.decompress(packed) if kind == "gzip" else packed
+            name = str(part.parent.relative_to(tmp_path / kind))
+            found[name] = found.get(name, b"") + text
+        return found
+
+    assert texts("gzip") == texts("none") and len(texts("none")) == 4 * 5
+
+    digits = random.Random(0)
+    rows = [(i, 0, "\n".join(f"he is {digits.getrandbits(1200):x}" for _ in range(3))) for i in range(100)]
+    for table, names in {"documents": "doc_id", "benchmark": "item_id", "conversations": "conv_id"}.items():
+        frame = spark.createDataFrame(rows, f"{names} bigint, turn int, text string")
+        frame.write.parquet(str(tmp_path / "in" / f"{table}.parquet"))
+    monkeypatch.setattr("registry.queries.new_folder", lambda spark, label: str(tmp_path / label))
+    got = QUERIES["export_splits"](spark, str(tmp_path / "in")).collect()
+    assert len(got) == 4 * 5 and sum(r.n_lines for r in got) == 4 * 4 * 300
+    size = sum(f.stat().st_size for f in (tmp_path / "split_text").rglob("part-*"))
+    assert size < 0.65 * sum(r.n_chars for r in got)
+
+
 def test_names_with_special_characters(spark, tmp_path):
     for name in ("env A", "100% +é", "plain"):
         write(tmp_path / f"{name}.txt", "x\n")
